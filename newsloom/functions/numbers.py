@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 # Patterns of a table value, of its change in brackets, and of a rate.
 VALUE = r"\d{1,3}(?:[,.]\d{1,6})?"
@@ -19,11 +19,13 @@ def decimal_text(c: Column) -> Column:
 
 def parse_value_change(c: Column) -> Column:
     """Cell text to struct<value,change_pct>: first 1-3 digit number, and a change in brackets."""
-    s = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\n\r]", " "))
-    empty = s.isin("", "—", "-")
-    value = decimal_text(F.regexp_extract(s, f"({VALUE})", 1))
-    change = decimal_text(F.regexp_extract(s, CHANGE, 1))
-    return F.struct(F.when(~empty, value).alias("value"), F.when(~empty, change).alias("change_pct"))
+    def parse(s: Column) -> Column:
+        empty = s.isin("", "—", "-")
+        value = decimal_text(F.regexp_extract(s, f"({VALUE})", 1))
+        change = decimal_text(F.regexp_extract(s, CHANGE, 1))
+        return F.struct(F.when(~empty, value).alias("value"), F.when(~empty, change).alias("change_pct"))
+
+    return let(strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\n\r]", " ")), parse)
 
 
 def rate_value(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ FACT_SECTIONS = [
 FACT_DEFAULT = "Продукт и ассортимент"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once per row, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode whitespace (``trim`` knows only the plain space)."""
     return F.regexp_replace(c, rf"(?U)^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_iso_ts
-from ..functions.text import blank_to_null, classify_fact, strip, strip_emoji
+from ..functions.text import blank_to_null, classify_fact, let, strip, strip_emoji
 from ..scale import keep_first
 from ..session import stage
 
@@ -40,26 +40,32 @@ def _empty(ddl: str) -> Column:
 
 def _object_json(c: Column) -> Column:
     """The text when it is one JSON object, else NULL."""
-    v = F.try_parse_json(c)
-    return F.when(v.isNotNull() & F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), c)
+    return let(F.try_parse_json(c), lambda v: F.when(
+        v.isNotNull() & F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), c))
 
 
 def section_json(raw: Column) -> Column:
     """The JSON object in a model answer: as it is, without its code fence, or the outermost braces."""
-    s = strip(F.coalesce(raw, F.lit("")))
-    opened = F.regexp_replace(s, r"^```[^\n]*(?:\n|\z)", "")
-    fenced = F.when(F.startswith(s, F.lit("```")), strip(F.regexp_replace(opened, r"(?:^|\n)[ \t\r]*```[ \t\r]*\z", "")))
-    unfenced = F.coalesce(fenced, s)
-    braces = F.nullif(F.regexp_extract(unfenced, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.coalesce(_object_json(s), _object_json(unfenced), _object_json(braces))
+    def unfenced(s: Column) -> Column:
+        opened = F.regexp_replace(s, r"^```[^\n]*(?:\n|\z)", "")
+        inner = strip(F.regexp_replace(opened, r"(?:^|\n)[ \t\r]*```[ \t\r]*\z", ""))
+        return F.when(F.startswith(s, F.lit("```")), inner).otherwise(s)
+
+    def braces(u: Column) -> Column:
+        return let(F.nullif(F.regexp_extract(u, r"(?s)(\{.*\})", 1), F.lit("")), _object_json)
+
+    return let(strip(F.coalesce(raw, F.lit(""))), lambda s: F.coalesce(
+        _object_json(s), let(unfenced(s), lambda u: F.coalesce(_object_json(u), braces(u)))))
 
 
 def _bullets(c: Column) -> Column:
     """Bullets given as strings or objects to {text, citations}; blank ones are dropped."""
+    def clean(text: Column, citations: Column) -> Column:
+        return F.struct(strip_emoji(text).alias("text"), F.coalesce(citations, _empty(CITATION)).alias("citations"))
+
     def one(b: Column) -> Column:
-        parsed = F.when(F.startswith(b, F.lit("{")), F.from_json(b, BULLET))
-        text = strip_emoji(F.when(F.startswith(b, F.lit("{")), parsed["text"]).otherwise(b))
-        return F.struct(text.alias("text"), F.coalesce(parsed["citations"], _empty(CITATION)).alias("citations"))
+        return F.when(F.startswith(b, F.lit("{")), let(F.from_json(b, BULLET), lambda p: clean(p["text"], p["citations"]))) \
+            .otherwise(clean(b, F.lit(None).cast(f"array<{CITATION}>")))
 
     return F.filter(F.transform(F.coalesce(c, _empty("string")), one), lambda b: b["text"] != "")
 
@@ -75,13 +81,11 @@ def _clean_text(c: Column) -> Column:
 def parse_sections(df: DataFrame, raw: str, out: str = "section") -> DataFrame:
     """Add the cleaned section struct parsed from ``raw``; NULL when there is no JSON object in it."""
     def clean(j: Column) -> Column:
-        r = F.from_json(j, RAW_SECTION)
-
         def build(x: Column) -> Column:
             def sub(text: Column) -> Column:
-                s = F.from_json(text, RAW_SUBSECTION)
-                return F.struct(strip_emoji(s["title"]).alias("title"), _paragraphs(s["paragraphs"]).alias("paragraphs"),
-                                _bullets(s["bullets"]).alias("bullets"))
+                return let(F.from_json(text, RAW_SUBSECTION), lambda s: F.struct(
+                    strip_emoji(s["title"]).alias("title"), _paragraphs(s["paragraphs"]).alias("paragraphs"),
+                    _bullets(s["bullets"]).alias("bullets")))
 
             objects = F.filter(F.coalesce(x["subsections"], _empty("string")), lambda t: F.startswith(t, F.lit("{")))
             subs = F.filter(F.transform(objects, sub), lambda s: (s["title"] != "") | (F.size(s["paragraphs"]) > 0)
@@ -91,10 +95,9 @@ def parse_sections(df: DataFrame, raw: str, out: str = "section") -> DataFrame:
                 _paragraphs(x["paragraphs"]).alias("paragraphs"), _bullets(x["bullets"]).alias("bullets"),
                 subs.alias("subsections"), _clean_text(x["closing"]).alias("closing"))
 
-        return F.transform(F.array(r), build)[0]
+        return let(F.from_json(j, RAW_SECTION), build)
 
-    j = F.transform(F.array(section_json(F.col(raw))), lambda x: F.when(x.isNotNull(), clean(x)))[0]
-    return df.withColumn(out, j)
+    return df.withColumn(out, let(section_json(F.col(raw)), lambda j: F.when(j.isNotNull(), clean(j))))
 
 
 def normalize_sections(df: DataFrame, section: str = "section") -> DataFrame:

@@ -31,7 +31,7 @@ def feed_date(c: Column) -> Column:
     """RFC 822 or ISO date of a feed."""
     s = F.regexp_replace(strip(c), r"^[A-Za-z]{3,9},?\s+", "")
     s = F.regexp_replace(s, r"^(\d{1,2}) ([A-Za-z]{3})[a-z]* (\d{4})", "$1 $2 $3")
-    s = F.regexp_replace(s, r"^(.*?\d{1,2}:\d{2})( |$)", "$1:00$2")
+    s = F.regexp_replace(s, r"^([^:]*\d{1,2}:\d{2})( |$)", "$1:00$2")
     for name, offset in ZONES.items():
         s = F.regexp_replace(s, rf"\s{name}$", f" {offset}")
     return F.coalesce(F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss Z")), parse_iso_ts(strip(c)))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import DATE_RANGE
 from ..functions.numbers import parse_value_change, rate_value
 from ..functions.text import SPACE_CLASS, strip
-from ..scale import CHUNK, keep_first, order_chunks, scan, top_n
+from ..scale import CHUNK, attach, keep_first, order_chunks, scan, top_n
+from ..session import stage
 
 # Default indicator and unit, header words, how far a value may follow its date,
 # and the tokens that make a line a header.
@@ -119,7 +120,7 @@ def unpivot_matrix(cells: DataFrame) -> DataFrame:
     The name column is the first one, or the second when the first header is a number sign next to a header
     that speaks of names. Periods are the non-blank headers after it, counted from left to right.
     """
-    c = _clean(cells)
+    c = stage(_clean(cells), "cells")
     head = c.where("row = 0")
     names = head.groupBy("table_id").agg(
         F.max(F.when(F.col("col") == 0, F.col("text"))).alias("h0"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("h1"))
@@ -134,7 +135,7 @@ def unpivot_matrix(cells: DataFrame) -> DataFrame:
     name = name.where((F.col("name") != "") & (F.col("name") != NUMBER_SIGN) & ~F.col("name").rlike(rf"(?iu)^{NAME_WORD}"))
     values = body.where(F.col("col") > F.col("name_col")).select(
         "table_id", "row", (F.col("col") - F.col("name_col")).cast("long").alias("slot"), parse_value_change(F.col("text")).alias("c"))
-    values = values.where("c.value is not null").join(numbered, ["table_id", "slot"])
+    values = stage(values.where("c.value is not null").join(numbered, ["table_id", "slot"]), "values")
     filled = forward_fill_parent(name.join(values.select("table_id", "row").distinct(), ["table_id", "row"], "left_semi"),
                                  "table_id", ["row"])
     child = F.regexp_replace(F.col("name"), rf"^{DASH}+", "")
@@ -167,13 +168,15 @@ def classify_table(cells: DataFrame) -> DataFrame:
     Cells carry doc_id.
     """
     sizes = cells.groupBy("table_id").agg(F.max("row").alias("_last"), F.first("doc_id").alias("doc_id")).where("_last >= 1")
-    usable = cells.join(sizes.select("table_id"), "table_id", "left_semi")
-    dated = table_date_values(usable).withColumn("slot", F.lit(0).cast("long"))
-    matrix = unpivot_matrix(usable.join(dated.select("table_id"), "table_id", "left_anti"))
-    plain = table_fallback(usable.join(dated.select("table_id"), "table_id", "left_anti")
-                           .join(matrix.select("table_id"), "table_id", "left_anti"))
+    # each reading works on what the one before left over, so every step is written out once
+    usable = stage(_clean(cells).join(sizes.select("table_id", "_last"), "table_id").drop("_last"), "cells")
     order = ["table_id", "row", "slot", "indicator_name", "period", "value", "change_pct", "unit"]
-    flat = dated.select(*order, F.lit("date_value").alias("kind")).unionByName(matrix.select(*order, F.lit("matrix").alias("kind")))
-    flat = flat.join(sizes.select("table_id", "doc_id"), "table_id")
-    rest = plain.select(*order, F.lit("headers").alias("kind")).join(sizes.select("table_id", "doc_id"), "table_id")
-    return flat.unionByName(rest.join(flat.select("doc_id"), "doc_id", "left_anti").select(*flat.columns))
+    dated = table_date_values(usable).withColumn("slot", F.lit(0).cast("long"))
+    flat = stage(dated.select(*order, F.lit("date_value").alias("kind")), "dated")
+    left = stage(usable.join(flat.select("table_id").distinct(), "table_id", "left_anti"), "cells")
+    matrix = stage(unpivot_matrix(left).select(*order, F.lit("matrix").alias("kind")), "matrix")
+    plain = table_fallback(left.join(matrix.select("table_id").distinct(), "table_id", "left_anti"))
+    docs = usable.groupBy("table_id").agg(F.first("doc_id").alias("doc_id"))
+    found = attach(flat.unionByName(matrix), docs, ["table_id"], "inner")
+    rest = attach(plain.select(*order, F.lit("headers").alias("kind")), docs, ["table_id"], "inner")
+    return found.unionByName(rest.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*found.columns))
