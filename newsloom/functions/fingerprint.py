@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 TOKEN = "[0-9A-Za-zА-Яа-яЁё]{3,}"
 LANES = 0x0000000100000001
@@ -68,9 +69,12 @@ def hamming64(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
-    """SimHash of each text, one Arrow batch at a time; distinct tokens of a batch are hashed once."""
+    """SimHash of each text, NULL for NULL or blank ones; distinct tokens of an Arrow batch are hashed once.
+
+    Whitespace does not matter, so the text need not be normalised first.
+    """
     words = re.compile(TOKEN)
     index: dict[str, int] = {}
     lists = [np.fromiter((index.setdefault(t, len(index)) for t in words.findall((x or "").lower())), dtype=np.int64)
@@ -84,4 +88,5 @@ def simhash64(texts: pd.Series) -> pd.Series:
             ones = times.astype(np.int32) @ bits[present]
             packed = np.packbits((2 * ones >= len(ids)).astype(np.uint8))
             out[row] = np.frombuffer(packed.tobytes(), dtype=">i8")[0]
-    return pd.Series(out)
+    blank = [not (x or "").strip() for x in texts]
+    return pd.Series(out, dtype="Int64").mask(pd.Series(blank, dtype=bool))

@@ -10,7 +10,7 @@ from .text import SPACE_CLASS, strip
 
 def parse_keyword_text(c: Column) -> Column:
     """Keywords from one string, separated by commas, semicolons or any whitespace."""
-    parts = F.split(F.lower(F.coalesce(c, F.lit(""))), rf"(?U)(?:[,;]|{SPACE_CLASS})+")
+    parts = F.split(F.lower(F.coalesce(c, F.lit(""))), rf"(?:[,;]|{SPACE_CLASS})+")
     return F.filter(parts, lambda p: p != "")
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode whitespace plus the four ASCII separators, emoji ranges, line breaks.
-SPACE_CLASS = r"[\s\x1c-\x1f]"
+SPACE_CLASS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE00}-\x{FEFF}]+"
 LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 SUBSCRIBE_WORDS = r"(?iu)подпишитесь|подписывайтесь|подписаться"
 FOOTER_NAMES = r"(?iu)ерз|max"
-URL_IN_TEXT = r"(?iU)https?://\S+|www\.\S+"
+URL_IN_TEXT = r"(?U)https?://\S+|www\.\S+"
 MD_LINK = r"\[([^\]]+)\]\((https?://[^)\s]+)\)"
 
 # Error text parts per category, tested in this order.
@@ -45,24 +46,26 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of Unicode whitespace (``trim`` knows only the plain space)."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    """Trim every kind of Unicode whitespace (``trim`` alone knows only the plain space)."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
-    s = strip(c)
-    return F.when(s != "", s)
+    return F.nullif(strip(c), F.lit(""))
+
+
+# whitespace that changes: other than a plain space, or more than one in a row
+UNEVEN_SPACE = f"(?:{SPACE_CLASS[:-1]}&&[^ ]]{SPACE_CLASS}*| {SPACE_CLASS}+)"
 
 
 def normalize_text(c: Column) -> Column:
     """Collapse whitespace runs to one space and trim; NULL becomes the empty string."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){SPACE_CLASS}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), UNEVEN_SPACE, " "))
 
 
 def text_sha256(c: Column) -> Column:
     """Hex SHA-256 of the normalised text, NULL when nothing is left of it."""
-    n = normalize_text(c)
-    return F.when(n != "", F.sha2(n, 256))
+    return let(normalize_text(c), lambda n: F.when(n != "", F.sha2(n, 256)))
 
 
 def head_chars(c: Column, n: int) -> Column:
@@ -79,7 +82,11 @@ def item_snippet(c: Column) -> Column:
 
 def tagging_text(c: Column) -> Column:
     """Lower-case text without URLs, in which entity and region terms are looked up."""
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), URL_IN_TEXT, " "))
+    def without_urls(low: Column) -> Column:
+        some = F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))
+        return F.when(some, F.regexp_replace(low, URL_IN_TEXT, " ")).otherwise(low)
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), without_urls)
 
 
 def strip_emoji(c: Column) -> Column:
@@ -124,9 +131,11 @@ def classify_error(c: Column) -> Column:
 
 def classify_fact(c: Column) -> Column:
     """Report subsection a fact belongs to, by the first keyword group that occurs in it."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    (first, parts), *rest = FACT_SECTIONS
-    out = F.when(contains_any(low, parts), F.lit(first))
-    for name, words in rest:
-        out = out.when(contains_any(low, words), F.lit(name))
-    return out.otherwise(F.lit(FACT_DEFAULT))
+    def pick(low: Column) -> Column:
+        (first, parts), *rest = FACT_SECTIONS
+        out = F.when(contains_any(low, parts), F.lit(first))
+        for name, words in rest:
+            out = out.when(contains_any(low, words), F.lit(name))
+        return out.otherwise(F.lit(FACT_DEFAULT))
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), pick)

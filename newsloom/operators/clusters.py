@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import hamming64, simhash64
-from ..functions.text import normalize_text
 from ..scale import packed_arrays
 from ..session import stage
 
@@ -16,9 +15,8 @@ HOT_BUCKET = 20_000
 
 
 def with_simhash(items: DataFrame, text: str = "content_text") -> DataFrame:
-    """Add ``simhash64`` of the normalised text; NULL where the text is empty."""
-    n = normalize_text(F.col(text))
-    return items.withColumn("simhash64", F.when(n != "", simhash64(n)))
+    """Add ``simhash64`` of the text; NULL where the text is empty."""
+    return items.withColumn("simhash64", simhash64(F.col(text)))
 
 
 def _signed(mask: int) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keywords import keyword_hits, ordered_union, parse_keyword_list
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..scale import attach
 
 
@@ -28,17 +28,22 @@ def minutes(n: Column) -> Column:
 
 def explain_keywords(text: Column, include: Column, exclude: Column, whole_words: Column) -> Column:
     """struct<keep, reason, matched_keywords>; an exclude hit wins, then a missing include."""
-    hay = strip(F.lower(F.coalesce(text, F.lit(""))))
-    bad, good = keyword_hits(hay, exclude, whole_words), keyword_hits(hay, include, whole_words)
     none = F.expr("cast(array() as array<string>)")
 
     def verdict(keep: bool, reason: str, words: Column) -> Column:
         return F.struct(F.lit(keep).alias("keep"), F.lit(reason).alias("reason"), words.alias("matched_keywords"))
 
-    return (F.when(F.size(bad) > 0, verdict(False, "exclude", bad))
-            .when(F.size(include) == 0, verdict(True, "no_filter", none))
-            .when(F.size(good) > 0, verdict(True, "include", good))
-            .otherwise(verdict(False, "include_missing", none)))
+    def judge(hits: Column) -> Column:
+        return (F.when(F.size(hits["bad"]) > 0, verdict(False, "exclude", hits["bad"]))
+                .when(F.size(include) == 0, verdict(True, "no_filter", none))
+                .when(F.size(hits["good"]) > 0, verdict(True, "include", hits["good"]))
+                .otherwise(verdict(False, "include_missing", none)))
+
+    def look(hay: Column) -> Column:
+        return let(F.struct(keyword_hits(hay, exclude, whole_words).alias("bad"),
+                            keyword_hits(hay, include, whole_words).alias("good")), judge)
+
+    return let(strip(F.lower(F.coalesce(text, F.lit("")))), look)
 
 
 def literal_words(words: Sequence[str]) -> Column:

@@ -31,7 +31,7 @@ def enrich_items(entries: DataFrame, sources: DataFrame, global_cfg: dict, compe
         "period_month": period_month(F.col("published_at"), now),
         "snippet": F.nullif(F.substring(text, 1, 300), F.lit("")),
         "normalized_text_hash": text_sha256(F.col("content_text")),
-        "simhash64": F.when(text != "", simhash64(text))})
+        "simhash64": simhash64(F.col("content_text"))})
     for kind, dim in (("competitor", competitors), ("developer", developers)):
         rows = tag_entities(rows, dim, F.col("_hay"), f"{kind}_mentions")
     return resolve_regions(rows, regions).drop("_hay", "include", "exclude", "whole_words", "source_region_ids")

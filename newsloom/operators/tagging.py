@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, tagging_text
+from ..functions.text import let, strip, tagging_text
 from ..scale import attach
 
 # What counts as a word character, the longest term matched as a whole word,
@@ -26,7 +26,6 @@ GENERIC_GEO_TERMS = ["республика", "народная", "национа
 
 SLICE_TERMS = 2_000
 DICTIONARY_BYTES = 256 * 1024 * 1024
-MARK = "\u0001"
 
 
 def entity_terms(entities: DataFrame) -> DataFrame:
@@ -109,8 +108,7 @@ def _mentions_slice(text: Column, entries) -> Column:
 
         return F.transform(F.filter(table, hit), lambda e: e["id"])
 
-    # one-element transform: text and padded text are evaluated once per row
-    return F.transform(F.array(F.struct(text.alias("text"), _padded(text).alias("padded"))), look)[0]
+    return let(text, lambda t: let(F.struct(t.alias("text"), _padded(t).alias("padded")), look))
 
 
 def tag_entities(items: DataFrame, entities: DataFrame, text: Column, out: str = "mentions") -> DataFrame:
@@ -143,15 +141,6 @@ def mention_names(items: DataFrame, entities: DataFrame, column: str = "mentions
 
 # --- regions -----------------------------------------------------------------------------------------
 
-def _marked(text: Column) -> Column:
-    """Text with a mark before every character that does not follow a word character."""
-    return F.regexp_replace(text, f"(?<![{WORD}])", MARK)
-
-
-def _mark(term: str) -> str:
-    return re.sub(f"(?<![{WORD}])", MARK, term).removesuffix(MARK) if term else term
-
-
 def _usable(term: str) -> bool:
     return len(term) >= 2 and term not in GENERIC_GEO_TERMS
 
@@ -178,20 +167,19 @@ def _scores_slice(title: Column, body: Column, entries) -> Column:
                 "word": f" {t} " if short and _is_plain(t) else None,
                 "odd": _bounded(t) if short and not _is_plain(t) else None,
                 "part": None if short else t,
-                "stem": None if short else _mark(t[:-1]),
+                "stem": None if short else t[:-1],
+                "start": f" {t[:-1]}" if not short and _is_plain(t[:-1]) else None,
+                "odd_start": rf"(?<![{WORD}])\Q{t[:-1]}\E" if not short and not _is_plain(t[:-1]) else None,
             })
         spec.append({"id": key, "terms": rows})
     table = _constant(spec, "array<struct<id:string,terms:array<struct<s:double,word:string,odd:string,"
-                            "part:string,stem:string>>>>")
-
-    def views(c: Column, name: str) -> list[Column]:
-        return [c.alias(name), _padded(c).alias(f"{name}_words"), _marked(c).alias(f"{name}_marks")]
+                            "part:string,stem:string,start:string,odd_start:string>>>>")
 
     def hit(hay: Column, name: str, t: Column) -> Column:
-        return F.coalesce(
-            F.contains(hay[f"{name}_words"], t["word"]),
-            F.rlike(hay[name], t["odd"]),
-            F.contains(hay[name], t["part"]) | F.contains(hay[f"{name}_marks"], t["stem"]))
+        words = hay[f"{name}_words"]
+        # a whole term, else the term without its last letter at the start of a word
+        inflected = F.contains(hay[name], t["stem"]) & F.coalesce(F.contains(words, t["start"]), F.rlike(hay[name], t["odd_start"]))
+        return F.coalesce(F.contains(words, t["word"]), F.rlike(hay[name], t["odd"]), F.contains(hay[name], t["part"]) | inflected)
 
     def look(hay: Column) -> Column:
         def points(total: Column, t: Column) -> Column:
@@ -204,8 +192,11 @@ def _scores_slice(title: Column, body: Column, entries) -> Column:
             r["id"].alias("region_id"), F.round(F.aggregate(r["terms"], F.lit(0.0), points), 6).alias("score")))
         return F.filter(scored, lambda r: r["score"] > 0)
 
-    hay = F.struct(*views(title, "title"), *views(F.substring(body, 1, 300), "head"), *views(body, "body"))
-    return F.transform(F.array(hay), look)[0]
+    def view(c: Column, name: str) -> list[Column]:
+        return [c.alias(name), _padded(c).alias(f"{name}_words")]
+
+    return let(title, lambda t: let(body, lambda b: let(F.substring(b, 1, 300), lambda h: let(
+        F.struct(*view(t, "title"), *view(h, "head"), *view(b, "body")), look))))
 
 
 SOURCE_BONUS = 3.0

@@ -12,6 +12,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# tables with long texts, whose rows are worth spreading over the cores
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 @dataclass(frozen=True)
 class Tables:
     """The driver tables of one scale factor."""
@@ -22,7 +26,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        # a table of fewer files than cores (here: one file, one row group) would be read by a single task
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores and name in TEXT_TABLES else df
 
 
 def query(name: str, sql: str | None = None):

@@ -42,7 +42,7 @@ def date_value_rows(lines: DataFrame, indicator: str = RATE_NAME) -> DataFrame:
 
 def date_value_pairs(texts: DataFrame, indicator: str = RATE_NAME) -> DataFrame:
     """One row per date in a whole text (doc_id, text) that has a rate within the next 80 characters."""
-    flat = F.regexp_replace(F.coalesce("text", F.lit("")), rf"(?U){SPACE_CLASS}+", " ")
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), rf"{SPACE_CLASS}+", " ")
     pattern = DATE_RANGE + rf"(?=(.{{0,{VALUE_DISTANCE}}}))"
 
     def pairs(t: Column) -> Column:
