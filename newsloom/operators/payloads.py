@@ -295,7 +295,7 @@ def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_i
             break
         first = open_rows.groupBy(report, "key").agg(F.min("fact_no").alias("first_no"))
         marked = open_rows.join(first, [report, "key"])
-        won = stage(marked.groupBy(report, "fact_no").agg(F.max("first_no").alias("m")).where("m = fact_no")
+        won = stage(marked.groupBy(report, "fact_no").agg(F.min("first_no").alias("m")).where("m = fact_no")
                     .select(report, "fact_no"), "facts")
         accepted.append(won)
         taken = open_rows.join(won, [report, "fact_no"], "left_semi").select(report, "key")

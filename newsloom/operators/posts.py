@@ -27,8 +27,8 @@ def cursor_max(df: DataFrame, by: str, value: str) -> DataFrame:
     """(by, cursor): highest id per key; ids are compared as numbers when all of a key's ids are digits."""
     digits = F.col(value).rlike(r"^\s*[+-]?\d+\s*$")
     number = F.when(digits, F.col(value).try_cast("decimal(38,0)"))
-    out = df.groupBy(by).agg(F.max(number).alias("n"), F.max(value).alias("s"), F.bool_and(digits).alias("all_digits"))
-    return out.select(by, F.when(F.col("all_digits"), F.col("n").cast("string")).otherwise(F.col("s")).alias("cursor"))
+    highest = F.when(F.bool_and(digits), F.max(number).cast("string")).otherwise(F.max(value))
+    return df.groupBy(by).agg(highest.alias("cursor"))
 
 
 def _unit(grouped: Column, message: Column) -> Column:
