@@ -8,7 +8,6 @@ results are concatenated; the answer does not depend on the slicing.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -70,17 +69,12 @@ def _constant(value: object, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
 
 
-def _padded(text: Column) -> Column:
-    """Words separated by single blanks, blank at both ends."""
-    return F.concat(F.lit(" "), F.regexp_replace(text, f"[^{WORD}]", " "), F.lit(" "))
-
+def _alone(term: str) -> str:
+    return rf"(?<![{WORD}])\Q{term}\E(?![{WORD}])"
 
-def _is_plain(term: str) -> bool:
-    return re.fullmatch(f"[{WORD}]+", term) is not None
 
-
-def _bounded(term: str) -> str:
-    return rf"(?<![{WORD}])\Q{term}\E(?![{WORD}])"
+def _at_word_start(term: str) -> str:
+    return rf"(?<![{WORD}])\Q{term}\E"
 
 
 def mentions(text: Column, entries: list[tuple[str, list[str]]]) -> Column:
@@ -94,21 +88,19 @@ def mentions(text: Column, entries: list[tuple[str, list[str]]]) -> Column:
 
 
 def _mentions_slice(text: Column, entries) -> Column:
-    spec = [{"id": k,
-             "long": [t for t in terms if len(t) > SHORT_TERM],
-             "word": [f" {t} " for t in terms if len(t) <= SHORT_TERM and _is_plain(t)],
-             "odd": [_bounded(t) for t in terms if len(t) <= SHORT_TERM and not _is_plain(t)]} for k, terms in entries]
-    table = _constant(spec, "array<struct<id:string,long:array<string>,word:array<string>,odd:array<string>>>")
+    spec = [{"id": k, "long": [t for t in terms if len(t) > SHORT_TERM],
+             "short": [{"t": t, "alone": _alone(t)} for t in terms if len(t) <= SHORT_TERM]} for k, terms in entries]
+    table = _constant(spec, "array<struct<id:string,long:array<string>,short:array<struct<t:string,alone:string>>>>")
 
     def look(hay: Column) -> Column:
         def hit(e: Column) -> Column:
-            return (F.exists(e["long"], lambda t: F.contains(hay["text"], t))
-                    | F.exists(e["word"], lambda t: F.contains(hay["padded"], t))
-                    | F.exists(e["odd"], lambda t: F.rlike(hay["text"], t)))
+            # the substring search is cheap; the pattern only runs where the letters occur at all
+            return (F.exists(e["long"], lambda t: F.contains(hay, t))
+                    | F.exists(e["short"], lambda t: F.contains(hay, t["t"]) & F.rlike(hay, t["alone"])))
 
         return F.transform(F.filter(table, hit), lambda e: e["id"])
 
-    return let(text, lambda t: let(F.struct(t.alias("text"), _padded(t).alias("padded")), look))
+    return let(text, look)
 
 
 def tag_entities(items: DataFrame, entities: DataFrame, text: Column, out: str = "mentions") -> DataFrame:
@@ -162,41 +154,29 @@ def _scores_slice(title: Column, body: Column, entries) -> Column:
         rows = []
         for t in filter(_usable, terms):
             short = len(t) <= SHORT_TERM
-            rows.append({
-                "s": min(len(t), 16) / 16.0,
-                "word": f" {t} " if short and _is_plain(t) else None,
-                "odd": _bounded(t) if short and not _is_plain(t) else None,
-                "part": None if short else t,
-                "stem": None if short else t[:-1],
-                "start": f" {t[:-1]}" if not short and _is_plain(t[:-1]) else None,
-                "odd_start": rf"(?<![{WORD}])\Q{t[:-1]}\E" if not short and not _is_plain(t[:-1]) else None,
-            })
+            stem = t if short else t[:-1]
+            rows.append({"s": min(len(t), 16) / 16.0, "stem": stem, "whole": None if short else t,
+                         "at": _alone(t) if short else _at_word_start(stem)})
         spec.append({"id": key, "terms": rows})
-    table = _constant(spec, "array<struct<id:string,terms:array<struct<s:double,word:string,odd:string,"
-                            "part:string,stem:string,start:string,odd_start:string>>>>")
+    table = _constant(spec, "array<struct<id:string,terms:array<struct<s:double,stem:string,whole:string,at:string>>>>")
 
-    def hit(hay: Column, name: str, t: Column) -> Column:
-        words = hay[f"{name}_words"]
-        # a whole term, else the term without its last letter at the start of a word
-        inflected = F.contains(hay[name], t["stem"]) & F.coalesce(F.contains(words, t["start"]), F.rlike(hay[name], t["odd_start"]))
-        return F.coalesce(F.contains(words, t["word"]), F.rlike(hay[name], t["odd"]), F.contains(hay[name], t["part"]) | inflected)
+    def hit(text: Column, t: Column) -> Column:
+        # a long term anywhere, or without its last letter at the start of a word; a short one standing alone
+        return F.contains(text, t["stem"]) & (F.coalesce(F.contains(text, t["whole"]), F.lit(False)) | F.rlike(text, t["at"]))
 
     def look(hay: Column) -> Column:
         def points(total: Column, t: Column) -> Column:
-            in_title = F.when(hit(hay, "title", t), 4.0 + t["s"] * 2.0).otherwise(0.0)
-            in_body = (F.when(hit(hay, "head", t), 1.2 + t["s"])
-                       .when(hit(hay, "body", t), 0.45 + t["s"] * 0.35).otherwise(0.0))
+            in_title = F.when(hit(hay["title"], t), 4.0 + t["s"] * 2.0).otherwise(0.0)
+            in_body = (F.when(hit(hay["head"], t), 1.2 + t["s"])
+                       .when(hit(hay["body"], t), 0.45 + t["s"] * 0.35).otherwise(0.0))
             return total + in_title + in_body
 
         scored = F.transform(table, lambda r: F.struct(
             r["id"].alias("region_id"), F.round(F.aggregate(r["terms"], F.lit(0.0), points), 6).alias("score")))
         return F.filter(scored, lambda r: r["score"] > 0)
 
-    def view(c: Column, name: str) -> list[Column]:
-        return [c.alias(name), _padded(c).alias(f"{name}_words")]
-
-    return let(title, lambda t: let(body, lambda b: let(F.substring(b, 1, 300), lambda h: let(
-        F.struct(*view(t, "title"), *view(h, "head"), *view(b, "body")), look))))
+    return let(body, lambda b: let(
+        F.struct(title.alias("title"), F.substring(b, 1, 300).alias("head"), b.alias("body")), look))
 
 
 SOURCE_BONUS = 3.0
