@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import hamming64, simhash64
-from ..scale import packed_arrays
+from ..scale import attach_counted, packed_arrays
 from ..session import stage
 
 HOT_BUCKET = 20_000
@@ -104,9 +104,10 @@ def _hot_pairs(hot: DataFrame, masks: list[int], threshold: int) -> DataFrame:
 
 def copy_links(items: DataFrame, item_id: str = "item_id") -> DataFrame:
     """(fingerprint, lowest item id) → every other item with the same fingerprint, as star edges."""
-    first = items.where("simhash64 is not null").groupBy("simhash64").agg(F.min(item_id).alias("first_id"))
-    return (items.where("simhash64 is not null").join(first, "simhash64").where(F.col(item_id) != F.col("first_id"))
-            .select("simhash64", "first_id", F.col(item_id).alias("copy_id")))
+    rows = items.where("simhash64 is not null").select("simhash64", item_id)
+    first = stage(rows.groupBy("simhash64").agg(F.min(item_id).alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    return attach_counted(rows, first, ["simhash64"], "n").where(F.col(item_id) != F.col("first_id")).select(
+        "simhash64", "first_id", F.col(item_id).alias("copy_id"))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
@@ -163,8 +164,9 @@ def cluster_members(items: DataFrame, threshold: int = 3, since: Column | None =
     grouped = hashes.join(near.withColumnRenamed("node", "simhash64"), "simhash64", "left").withColumn(
         "component", F.coalesce("component", "simhash64"))
     heads = grouped.groupBy("component").agg(F.sum("n").alias("size"), F.min("first").alias("head")).where("size > 1")
-    lookup = grouped.join(heads, "component").select("simhash64", F.col("head.item_id").alias("primary_id"), "size")
-    return pool.join(lookup, "simhash64").select("primary_id", "item_id", "published_at", "simhash64", "size")
+    lookup = stage(grouped.join(heads, "component").select(
+        "simhash64", F.col("head.item_id").alias("primary_id"), "size", "n"), "lookup")
+    return attach_counted(pool, lookup, ["simhash64"], "n").select("primary_id", "item_id", "published_at", "simhash64", "size")
 
 
 def build_clusters(items: DataFrame, threshold: int = 3, since: Column | None = None,

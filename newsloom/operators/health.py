@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import CHUNK, attach, order_chunks, scan
+from ..session import stage
 from .filters import at
 from .paging import sort_alerts, sort_schedule
 from .sections import source_label
@@ -60,7 +61,7 @@ def fold_runs(runs: DataFrame, state: DataFrame | None = None) -> DataFrame:
     walked, so a source with a large share of the runs stays spread over the tasks.
     """
     moment = F.struct("run_at", "run_id")
-    last_ok = runs.where("ok").groupBy("source_id").agg(F.max(moment).alias("_ok_at"))
+    last_ok = stage(runs.where("ok").groupBy("source_id").agg(F.max(moment).alias("_ok_at")), "last_ok")
     marked = attach(runs, last_ok, ["source_id"])
     after = ~F.col("ok") & (F.col("_ok_at").isNull() | (moment > F.col("_ok_at")))
     folded = marked.groupBy("source_id").agg(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import period_sort_key
 from ..functions.numbers import change_pct as change_of
 from ..functions.text import strip
-from ..scale import CHUNK, order_chunks, packed_arrays, scan, top_n
+from ..scale import CHUNK, attach, order_chunks, packed_arrays, scan, top_n
+from ..session import stage
 
 SERIES = "series_key"
 
@@ -67,8 +68,8 @@ def downsample(rows: DataFrame, key: str, order: list[str], points: int = 12) ->
     A series of one row yields it twice.
     """
     pos = scan(order_chunks(rows, [key], order), [key], order, rank="_pos").drop(CHUNK)
-    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    j = pos.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    sizes = stage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    j = attach(pos, sizes, [key], "inner")
     n, i = F.col("_n"), F.col("_pos") - 1
     step = F.greatest(F.lit(1), F.floor(n / points))
     kept = F.least(F.floor((n - 1) / step) + 1, F.lit(points))

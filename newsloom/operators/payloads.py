@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_iso_ts
 from ..functions.text import blank_to_null, classify_fact, let, strip, strip_emoji
-from ..scale import keep_first
+from ..scale import attach, keep_first
 from ..session import stage
 
 CITATION = "struct<label:string,url:string>"
@@ -176,13 +176,13 @@ def merge_sections(parts: DataFrame, keys: Sequence[str], drafts: bool = False)
     A group with a single part keeps all of its rows.
     """
     rows = section_rows(parts, keys)
-    counts = parts.where("section is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("_parts"))
+    counts = stage(parts.where("section is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("_parts")), "parts")
     own = rows.where("sub_no = -1") if not drafts else rows
     key = F.when(F.col("kind") == "bullet", match_text(F.col("text"))).otherwise(strip(F.col("text")))
     ordered = own.withColumns({"_key": key, "_late": (F.col("sub_no") >= 0).cast("int")})
     first = keep_first(ordered.where("_key <> ''"), [*keys, "kind", "_key"], ["_late", "part_no", "sub_no", "pos"])
-    merged = first.join(counts.where("_parts > 1"), list(keys), "left_semi").drop("_key", "_late")
-    single = rows.join(counts.where("_parts = 1"), list(keys), "left_semi")
+    merged = attach(first, counts.where("_parts > 1"), keys, "left_semi").drop("_key", "_late")
+    single = attach(rows, counts.where("_parts = 1"), keys, "left_semi")
     return merged.unionByName(single)
 
 
@@ -211,8 +211,8 @@ def merge_time_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     Parts need ``label``; rows come out with sub_title and an order (part_no, sub_no, kind, pos). A group with
     a single part keeps its shape.
     """
-    counts = parts.where("section is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("parts"))
-    rows = section_rows(parts.withColumn("_l", F.struct("label")), [*keys, "_l"]).join(counts, list(keys))
+    counts = stage(parts.where("section is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("parts")), "parts")
+    rows = attach(section_rows(parts.withColumn("_l", F.struct("label")), [*keys, "_l"]), counts, keys, "inner")
     many = F.col("parts") > 1
     own = F.col("sub_no") == -1
     title = F.when(own, F.col("_l.label")).otherwise(F.coalesce(blank_to_null(F.col("sub_title")), F.col("_l.label")))

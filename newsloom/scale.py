@@ -6,6 +6,7 @@
   computed per range-partitioned chunk and stitched by one summary row per (key, chunk).
 * ``packed_arrays``: ordered arrays of bounded length instead of one array per key.
 * ``attach``: lookup join that broadcasts a measured small side and salts the shuffle otherwise.
+* ``attach_counted``: lookup join for keys whose row counts are known: hot keys apart from the others.
 """
 
 from __future__ import annotations
@@ -174,3 +175,18 @@ def attach(facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+HOT_ROWS = 1_000_000
+
+
+def attach_counted(facts: DataFrame, dim: DataFrame, on: Sequence[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join with a lookup whose column ``rows`` tells how many facts each key has.
+
+    Keys with more than ``hot_rows`` facts are broadcast: there are at most facts / hot_rows of them. All
+    other keys are small enough for an ordinary shuffle join.
+    """
+    hot = dim.where(F.col(rows) > hot_rows)
+    cold = dim.where(F.col(rows) <= hot_rows)
+    rest = facts.join(F.broadcast(hot.select(*on)), list(on), "left_anti").join(cold, list(on))
+    return facts.join(F.broadcast(hot), list(on)).unionByName(rest)

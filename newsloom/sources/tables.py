@@ -126,11 +126,11 @@ def unpivot_matrix(cells: DataFrame) -> DataFrame:
         F.max(F.when(F.col("col") == 0, F.col("text"))).alias("h0"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("h1"))
     second = (F.col("h0") == NUMBER_SIGN) & (F.col("h1") != "") & (
         F.contains("h1", F.lit(NAME_WORD)) | F.contains(F.lower("h1"), F.lit(NAME_WORD_2)))
-    names = names.select("table_id", F.when(F.coalesce(second, F.lit(False)), 1).otherwise(0).alias("name_col"))
-    periods = head.join(names, "table_id").where((F.col("col") > F.col("name_col")) & (F.col("text") != ""))
+    names = stage(names.select("table_id", F.when(F.coalesce(second, F.lit(False)), 1).otherwise(0).alias("name_col")), "names")
+    periods = attach(head, names, ["table_id"], "inner").where((F.col("col") > F.col("name_col")) & (F.col("text") != ""))
     numbered = scan(order_chunks(periods.select("table_id", "col", "text"), ["table_id"], ["col"]), ["table_id"], ["col"],
                     rank="slot").select("table_id", F.col("slot").alias("slot"), F.col("text").alias("period"))
-    body = c.where("row > 0").join(names, "table_id")
+    body = attach(c.where("row > 0"), names, ["table_id"], "inner")
     name = body.where(F.col("col") == F.col("name_col")).select("table_id", "row", F.col("text").alias("name"))
     name = name.where((F.col("name") != "") & (F.col("name") != NUMBER_SIGN) & ~F.col("name").rlike(rf"(?iu)^{NAME_WORD}"))
     values = body.where(F.col("col") > F.col("name_col")).select(

@@ -134,7 +134,7 @@ def backfill(messages: DataFrame, until, page_size: int = 500) -> tuple[DataFram
     last = pages.where(F.col("old") | (F.col("n") < page_size)).groupBy("channel").agg(F.min("page_no").alias("last_page"))
     ends = pages.groupBy("channel").agg(F.max("page_no").alias("max_page")).join(last, "channel", "left").withColumn(
         "last_page", F.coalesce("last_page", "max_page"))
-    read = attach(paged, ends, ["channel"]).where(F.col("page_no") <= F.col("last_page"))
+    read = attach(paged, stage(ends, "ends"), ["channel"]).where(F.col("page_no") <= F.col("last_page"))
     kept = read.where(~old).drop("_no", "page_no", "last_page", "max_page")
     status = read.groupBy("channel").agg(
         (F.max("page_no") + 1).alias("pages"), F.max(old).alias("reached_until"), F.lit(True).alias("backfill_complete"),
