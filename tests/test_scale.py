@@ -66,6 +66,14 @@ def test_attach_both_ways(spark):
     assert sorted(map(str, cast.collect())) == sorted(map(str, salted.select(cast.columns).collect()))
 
 
+def test_attach_with_known_counts(spark):
+    _, df = skewed(spark)
+    dim = df.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    plain = sorted(map(str, df.join(dim, "k").collect()))
+    for hot in (10, 100, 10 ** 6):
+        assert sorted(map(str, scale.attach_counted(df, dim, ["k"], "n", hot).select("k", "ts", "id", "v", "n", "top").collect())) == plain
+
+
 def test_pairs_complete_with_refined_buckets(spark):
     rnd = random.Random(7)
     base = [rnd.getrandbits(64) for _ in range(25)]
