@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batches, health, indicators, payloads, posts
 from ..scale import keep_first
+from ..session import stage
 from ..sources import tables
 from .registry import joined, query, ts_text
 from .rows import HEALTH_SQL, NOW, NOW_SQL, health_sources
@@ -312,7 +313,8 @@ def _(t):
 
 def answers(t):
     """documents as model answers: one JSON section per document, some fenced, some inside prose, some broken."""
-    i = items(t)
+    # titles and snippets are used many times below, so they are computed once
+    i = stage(items(t).select("item_id", "source_id", "url", "title", "snippet"), "heads")
     k = F.col("item_id")
     words = F.split(F.col("title"), " ")
     bullet = F.struct(F.concat(F.lit("b "), F.get(words, F.lit(0))).alias("text"), F.array(F.struct(F.lit("src").alias("label"), F.col("url").alias("url"))).alias("citations"))
@@ -353,7 +355,7 @@ def _(t):
 
 
 def section_parts(t):
-    return payloads.parse_sections(answers(t), "raw").select("source_id", F.col("item_id").alias("part_no"), "section")
+    return stage(payloads.parse_sections(answers(t), "raw").select("source_id", F.col("item_id").alias("part_no"), "section"), "parts")
 
 
 @query("merge_sections", f"""
@@ -382,7 +384,7 @@ def _(t):
 
 def theme_parts(t):
     first = keep_first(items(t).select("source_id", "item_id"), ["source_id"], ["item_id"]).withColumnRenamed("item_id", "first_id")
-    p = payloads.parse_sections(answers(t), "raw").join(first, "source_id")
+    p = stage(payloads.parse_sections(answers(t), "raw"), "parts").join(first, "source_id")
     return p.select("source_id", (F.col("item_id") - F.col("first_id")).alias("position"), F.concat(F.lit("Theme "), F.col("item_id").cast("string")).alias("title"), "section")
 
 
