@@ -23,7 +23,7 @@ TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 WORD = "[A-Za-z0-9+/_.=-]{4,}"
 #: about so many documents give random strings, and so many ordinary tokens, to the models
 RANDOM_DOCS, ORDINARY_DOCS = 20_000, 500
-THRESHOLD = 0.6
+THRESHOLD = 0.4
 CODES = 128
 SPAN = "struct<start:int,stop:int,kind:int>"
 
@@ -83,24 +83,30 @@ def pair_counts(docs: DataFrame, random_docs: int = RANDOM_DOCS, ordinary_docs:
         F.transform(F.filter("m_assign", lambda m: F.length(_value(m)) >= ASSIGN_LEAST), _value), "m_access", "m_hex")).alias("s"))
     plain = base_matches(_sample(docs, ordinary_docs, total, "ordinary")).where(
         (F.size("m_assign") == 0) & (F.size("m_access") == 0) & (F.size("m_hex") == 0))
-    ordinary = plain.select(F.explode(_matches(F.col("_t"), WORD)).alias("s"))
+    # a token of several documents is an ordinary one; random strings that no pattern finds stand in a single document
+    words = plain.select("_id", F.explode(F.array_distinct(_matches(F.col("_t"), WORD))).alias("s"))
+    ordinary = words.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     both = random.select("s", F.lit(1).alias("label")).unionByName(ordinary.select("s", F.lit(0).alias("label"))).where(F.length("s") > 1)
     pairs = both.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, 2))).alias("pair"))
     return {(r.label, r.pair): r["count"] for r in pairs.groupBy("label", "pair").count().collect()}
 
 
-def ratio_table(counts: dict[tuple[int, str], int], smooth: float = 1.0) -> list[float]:
-    """log P(next | char, random) − log P(next | char, ordinary) for each pair of ASCII codes; unseen contexts give zero."""
-    alphabet = 66
-    sums = [[0.0] * CODES, [0.0] * CODES]
-    for (label, pair), n in counts.items():
-        sums[label][ord(pair[0]) % CODES] += n
-    table = []
-    for a in range(CODES):
-        for b in range(CODES):
-            log = [math.log((counts.get((k, chr(a) + chr(b)), 0) + smooth) / (sums[k][a] + smooth * alphabet)) for k in (0, 1)]
-            table.append(round(log[1] - log[0], 6))
-    return table
+def ratio_table(counts: dict[tuple[int, str], int], weight: float = 8.0) -> list[float]:
+    """log P(next | char, random) − log P(next | char, ordinary) for each pair of ASCII codes.
+
+    Each model backs off to its single-character distribution, so a context it never saw still tells what may follow.
+    """
+    logs = []
+    for k in (0, 1):
+        after, single = [0.0] * CODES, [0.5] * CODES
+        for (label, pair), n in counts.items():
+            if label == k:
+                after[ord(pair[0]) % CODES] += n
+                single[ord(pair[1]) % CODES] += n
+        total = sum(single)
+        logs.append([math.log((counts.get((k, chr(a) + chr(b)), 0) + weight * single[b] / total) / (after[a] + weight))
+                     for a in range(CODES) for b in range(CODES)])
+    return [round(r - o, 6) for o, r in zip(*logs)]
 
 
 def _ratio(token: Column, table: Column) -> Column:
@@ -111,16 +117,15 @@ def _ratio(token: Column, table: Column) -> Column:
     return total / (F.length(token) - 1)
 
 
-def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD, counts: dict[tuple[int, str], int] | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text, n_assign, n_access, n_hex, base (array of spans), spans (base and Markov spans).
+def with_spans(docs: DataFrame, threshold: float = THRESHOLD, counts: dict[tuple[int, str], int] | None = None) -> DataFrame:
+    """The columns of ``docs`` in _row, then _id, _t (text, empty for null), base and spans: arrays of (start, stop, kind).
 
-    Spans are (start, stop, kind) in code points, stop exclusive, by start and then by kind. Markov spans never touch a base span. Null
-    texts count as empty and have no spans; repeated rows and null ids are scanned like others; other columns are ignored; an empty
-    table gives an empty result. A table without any base match has nothing to learn from: the ratio is then zero or less and
-    no Markov span is added. ``counts`` takes a model trained before; otherwise two small jobs train it.
+    Positions are code points, stop exclusive; spans are ordered by start, then kind, and hold base and Markov spans, which never touch a
+    base span. ``counts`` takes a model trained before; otherwise two small jobs train it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_t"))
-    counts = pair_counts(rows) if counts is None else counts
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+                       F.coalesce("text", F.lit("")).alias("_t"))
+    counts = pair_counts(rows.select("_id", "_t")) if counts is None else counts
     if not any(label == 1 for label, _ in counts):
         counts = {}
     # a constant that Spark folds once; a table of fixed size
@@ -134,10 +139,31 @@ def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD, counts: dict[tup
         _spans(t, F.col("m_hex"), _least(HEX, HEX_LEAST), 2, any_match)))
     found = found.withColumn("base", F.array_sort("base", _by_start_kind))
     found = found.withColumn("more", _spans(t, F.col("m_token"), TOKEN, 3, lambda m: _ratio(m, table) > threshold))
-    found = found.withColumn("more", F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))))
+    apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    return found.select("_row", "_id", "_t", "base", F.array_sort(F.concat(F.col("base"), apart), _by_start_kind).alias("spans"))
+
+
+def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD, counts: dict[tuple[int, str], int] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base and spans as in ``with_spans``.
+
+    Null texts count as empty and have no spans; repeated rows and null ids are scanned like others; other columns are ignored; an empty
+    table gives an empty result. A table without any base match has nothing to learn from: the ratio is then zero and
+    no Markov span is added.
+    """
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return found.select(F.col("_id").alias("doc_id"), F.col("_t").alias("text"), count(0).alias("n_assign"), count(1).alias("n_access"),
-                        count(2).alias("n_hex"), "base", F.array_sort(F.concat("base", "more"), _by_start_kind).alias("spans"))
+    return with_spans(docs, threshold, counts).select(F.col("_id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"),
+                                                      count(2).alias("n_hex"), "base", "spans")
+
+
+def redact_secrets(docs: DataFrame, mark: str = "[redacted]", **options) -> DataFrame:
+    """``docs`` with every secret in text replaced by ``mark``; n_chars, where there is such a column, follows the new text."""
+    found = with_spans(docs, **options)
+    some = F.size("spans") > 0
+    found = found.withColumn("_new", F.when(some, redact(F.col("_t"), F.col("spans"), mark)).otherwise(F.col("_row.text")))
+    out = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_new")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(some, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[v.alias(c) for c, v in out.items()])
 
 
 def _by_start_kind(a: Column, b: Column) -> Column:
