@@ -1,11 +1,12 @@
 """Quality classifier by importance resampling: two hashed n-gram models and Gumbel top-k.
 
-The target model counts the n-grams of documents labelled good, the raw model those of all documents. A document's weight is the ratio of
-its probabilities under both. Adding Gumbel noise to the log-weights and keeping the k largest keys is sampling without
-replacement in proportion to the weights. k follows from labelled documents held out from the target model: it is the number of
+The target model counts in how many documents labelled good each hashed n-gram stands, the raw model does so for all documents. A document's
+weight is the ratio of the probabilities of its distinct n-grams under both. Adding Gumbel noise to the log-weights (times
+``SHARPNESS``) and keeping the k largest keys is sampling without replacement in proportion to the (sharpened) weights. k follows from labelled documents held out from the target model: it is the number of
 documents on the good side of the cut that separates them best.
 
-N-grams are words (letters and digits, lower case), pairs of neighbouring words, and word shapes (the kinds of characters in a word).
+An n-gram seen within a factor of two, or within chance, of what the raw model expects weighs nothing: small differences between
+languages or sources would otherwise add up over long texts. N-grams are words (letters and digits, lower case), pairs of neighbouring words, and word shapes (the kinds of characters in a word).
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .licences import WORD_BYTES
 BITS = 16
 BUCKETS = 1 << BITS
 KINDS = 3
-PRIOR = 0.1
+#: pseudo-count of the ratio in a slot; least factor and least deviation (in standard deviations) that count; power of the weights
+PRIOR, FACTOR, DEVIATION, SHARPNESS = 1.0, 2.0, 3.0, 4.0
 #: at most about so many labelled rows are used; one half trains the target model, the other places the cut
 LABELLED = 20_000
 CHUNK_CHARS = 4_000_000
@@ -52,7 +54,7 @@ class Features(dict):
 
 
 def slots(texts: list, features: Features, pair: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each n-gram, index of its text); every kind of n-gram has ``BUCKETS`` slots of its own."""
+    """(slot, index of its text) of the distinct n-grams of each text; every kind of n-gram has ``BUCKETS`` slots of its own."""
     split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
     lengths = np.array([len(s) for s in split], np.int64)
     both = np.array([features[w] for s in split for w in s], np.uint64).reshape(-1, 2)
@@ -60,7 +62,8 @@ def slots(texts: list, features: Features, pair: Rolling) -> tuple[np.ndarray, n
     at = np.flatnonzero(window_starts(lengths, 2))
     low = np.uint64(64 - BITS)
     parts = [mix64(both[:, 0]) >> low, (mix64(pair(both[:, 0]))[at] >> low) + np.uint64(BUCKETS), (mix64(both[:, 1]) >> low) + np.uint64(2 * BUCKETS)]
-    return np.concatenate(parts).astype(np.int64), np.concatenate([owner, owner[at], owner])
+    seen = np.unique(np.concatenate([owner, owner[at], owner]) * (KINDS * BUCKETS) + np.concatenate(parts).astype(np.int64))
+    return seen % (KINDS * BUCKETS), seen // (KINDS * BUCKETS)
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -89,16 +92,18 @@ def fit_models(rows: DataFrame) -> np.ndarray:
 
     sums = rows.select("text", "train_good").mapInArrow(run, "slot int, raw long, target long").groupBy("slot").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    counts = np.zeros((2, KINDS * BUCKETS))
-    counts[:, sums["slot"].to_numpy(np.int64)] = sums[["raw", "target"]].to_numpy(float).T
-    return np.concatenate([log_ratio(counts[0, k * BUCKETS:(k + 1) * BUCKETS], counts[1, k * BUCKETS:(k + 1) * BUCKETS]) for k in range(KINDS)])
+    raw, target = np.zeros(KINDS * BUCKETS), np.zeros(KINDS * BUCKETS)
+    raw[sums["slot"].to_numpy(np.int64)], target[sums["slot"].to_numpy(np.int64)] = sums["raw"].to_numpy(float), sums["target"].to_numpy(float)
+    total, good = rows.agg(F.count(F.lit(1)), F.count_if("train_good")).first()
+    return log_ratio(raw, target, good / max(total, 1))
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """With the raw model as the prior of the target model, so that slots hardly seen in the target sample weigh little."""
-    share = (raw + 1e-9) / (raw.sum() + 1e-9 * len(raw))
-    mass = prior * len(raw)
-    return np.log((target + mass * share) / (target.sum() + mass)) - np.log(share)
+def log_ratio(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
+    """``share`` is the target's part of all documents, so ``raw`` × ``share`` is what a neutral target would hold."""
+    expected = raw * share
+    ratio = np.log((target + PRIOR) / (expected + PRIOR))
+    clear = (np.abs(ratio) >= math.log(FACTOR)) & (np.abs(target - expected) >= DEVIATION * np.sqrt(expected + 1))
+    return np.where(clear, ratio, 0.0)
 
 
 def log_weights(rows: DataFrame, table: np.ndarray) -> DataFrame:
@@ -176,10 +181,10 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed:
     weighed = stage(log_weights(rows, fit_models(rows)), "weights")
     held = weighed.where(~F.col("train") & (F.col("n_features") > 0)).select("log_weight", "good").toPandas()  # bounded by ``labelled``
     cut = best_cut(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool))
-    if not len(held):
-        cut = -math.inf
+    # without evidence for or against it a document is not rejected
+    cut = min(cut, 0.0) if len(held) else -math.inf
     u = (F.pmod(F.xxhash64("_id", "_th", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    keyed = weighed.withColumn("key", SHARPNESS * F.col("log_weight") - F.log(-F.log(u)))
     able = keyed.where("n_features > 0")
     k = able.where(F.col("log_weight") >= cut).count()
     kept = top_k(able, "key", k).groupBy("_id", "_th").agg(F.lit(True).alias("kept"))
