@@ -6,7 +6,8 @@ Method: a metric-space join on the Jaccard distance d = 1 − J with link radius
    table. The first pivots are one-shingle sets drawn from a third of all shingles (by hash): a document lies in the
    cells of the pivots it contains. If d(x, y) ≤ r, at most k = ⌊0.15 |x|⌋ shingles of x are missing in y, so x can have
    a partner only if all but k of its pivots recur elsewhere (counted exactly over all documents), and the first common
-   pivot of a pair is among the first k + 1 of either. Hence a document is replicated to the cells of its first k + 1 pivots only.
+   pivot of a pair is among the first k + 1 of either, in any common order. Hence a document is replicated to the cells of its first
+   k + 1 pivots only. The order is by rising frequency, from a sketch of fixed size, so that common passages hardly ever make cells.
    Documents with too few pivots for the bound use all their shingles.
 2. *Blocks.* Cells that share documents form a block; documents of different blocks cannot link.
 3. *Document pivots.* Inside a block distances tell something: Voronoi cells around far-apart documents, boundary
@@ -23,7 +24,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.clusters import connected_components
@@ -35,7 +36,9 @@ WIDTH, PERCENT = 4, 85
 PIVOT_SHARE = 3
 CHUNK_CHARS = 6_000_000
 #: shingles that one task holds at once; larger blocks are split by Spark
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 4_000_000
+#: counters of the sketch that tells frequent pivots from rare ones; a fixed size, whatever the input
+SKETCH = 1 << 21
 BROADCAST_ROWS = 400_000
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 SET_SCHEMA = "_id long, _th long, n_shingles long, node binary, near boolean"
@@ -83,13 +86,19 @@ def pivots_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
     return (own, False) if len(own) > missing_bound(len(shingles), percent) else (shingles, True)
 
 
-def cells_of(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Cells that a document is replicated to."""
+def sketch_slots(pivots: np.ndarray) -> np.ndarray:
+    return (mix64(pivots ^ BASES[0]) >> np.uint64(43)).astype(np.int64)
+
+
+def cells_of(shingles: np.ndarray, percent: int, frequency: np.ndarray) -> np.ndarray:
+    """Cells that a document is replicated to: its first k + 1 pivots, rare ones first; ``frequency`` is the sketch."""
     k = missing_bound(len(shingles), percent)
     pivots, every = pivots_of(shingles, percent)
+    ranked = pivots[np.lexsort((pivots, frequency[sketch_slots(pivots)]))]
     if not every:
-        return pivots[:k + 1]
-    return np.union1d(shingles[:k + 1], shingles[shingles % np.uint64(PIVOT_SHARE) == 0])
+        return ranked[:k + 1]
+    # such a document may meet others that only know the third: those pivots, k at most, stay
+    return np.union1d(ranked[:k + 1], shingles[shingles % np.uint64(PIVOT_SHARE) == 0])
 
 
 def _entries(width: int, percent: int, buckets: int):
@@ -214,55 +223,89 @@ def _voronoi(percent: int):
 
     def run(batches):
         for batch in batches:
-            out = {"block": [], "node": [], "n": [], "shingles": []}
+            out = {"up": [], "cell": [], "node": [], "n": []}
             for block, node, n, blob, pivots in zip(*(batch[c].to_pylist() for c in ("block", "node", "n", "shingles", "pivots"))):
                 own = np.frombuffer(blob, np.uint64)
                 common = [len(np.intersect1d(own, np.frombuffer(p, np.uint64), assume_unique=True)) for p in pivots]
                 d = [1 - c / (n + len(p) // 8 - c) for c, p in zip(common, pivots)]
                 for q, x in enumerate(d):
                     if x <= min(d) + 2 * radius + 1e-9:
-                        for k, v in zip(out, (f"{block}/{q}", node, n, blob)):
+                        for k, v in zip(out, (block, q, node, n)):
                             out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.string()), pa.array(out["node"], pa.binary()),
-                                              pa.array(out["n"], pa.int64()), pa.array(out["shingles"], pa.binary())], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["up"], pa.string()), pa.array(out["cell"], pa.int32()), pa.array(out["node"], pa.binary()),
+                                              pa.array(out["n"], pa.int64())], names=list(out))
     return run
 
 
-MEMBER_SCHEMA = "block string, node binary, n long, shingles binary"
+CELL_SCHEMA = "up string, cell int, node binary, n long"
 
 
-def _split_large(large: DataFrame, sizes: DataFrame, percent: int, limit: int, pivots: int = 16) -> DataFrame:
-    """Members of blocks that a task can't hold → members of cells that it can; runs a few jobs per level."""
-    from pyspark.sql import Window
+def _split_large(members: DataFrame, large: DataFrame, percent: int, limit: int, pivots: int = 16) -> DataFrame:
+    """(block, node, n) of blocks that a task can't hold → (block, node) of cells that it can; a few jobs per level.
 
-    done, level = None, 0
+    Only ids travel to the cells. A block whose largest cell stays above 70 % of it is cut into tiles instead, and each pair of tiles
+    becomes a cell, so that any two members meet in one.
+    """
+    done = None
     while True:
         rank = Window.partitionBy("block").orderBy(F.xxhash64("node"), "node")
-        chosen = large.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= pivots)
-        chosen = stage(chosen.groupBy("block").agg(F.collect_list("shingles").alias("pivots")), "pivots")
-        cells = stage(large.join(chosen, "block").mapInArrow(_voronoi(percent), MEMBER_SCHEMA), "cells")
-        before = sizes.select(F.col("block").alias("_up"), F.col("total").alias("_was"))
-        now = stage(cells.groupBy("block").agg(F.sum("n").alias("total")).withColumn("_up", F.regexp_replace("block", "/[0-9]+$", ""))
-                    .join(before, "_up").withColumn("stuck", F.col("total") > 0.7 * F.col("_was")).drop("_up", "_was"), "sizes")
-        # a cell that doesn't shrink goes to pairs of tiles, all of which a task can hold
-        parents = now.where("stuck").select(F.regexp_replace("block", "/[0-9]+$", "").alias("block")).distinct()
-        tiled = large.join(parents, "block").join(sizes.select("block", "total"), "block")
-        tiles = F.ceil(F.col("total") * 4 / limit)
-        mine = F.pmod(F.xxhash64("node"), tiles)
-        tiled = tiled.withColumn("_t", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1))).select(
-            F.concat_ws(":", "block", F.least("_t", "_o"), F.greatest("_t", "_o")).alias("block"), "node", "n", "shingles")
-        fresh = cells.withColumn("_up", F.regexp_replace("block", "/[0-9]+$", "")).join(
-            parents.select(F.col("block").alias("_up")), "_up", "left_anti").drop("_up")
-        small = fresh.join(now.where(F.col("total") <= limit).select("block"), "block", "left_semi")
-        part = tiled.unionByName(small.select(*tiled.columns))
+        chosen = large.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= pivots).select("block", "node")
+        chosen = stage(chosen.join(members, "node").groupBy("block").agg(F.collect_list("shingles").alias("pivots")), "pivots")
+        with_sets = large.select("block", "node").join(members, "node").join(chosen, "block")
+        cells = stage(with_sets.select("block", "node", "n", "shingles", "pivots").mapInArrow(_voronoi(percent), CELL_SCHEMA), "cells")
+        totals = stage(cells.groupBy("up", "cell").agg(F.sum("n").alias("total")), "totals")
+        was = large.groupBy(F.col("block").alias("up")).agg(F.sum("n").alias("was"))
+        judged = stage(totals.groupBy("up").agg(F.max("total").alias("most")).join(was, "up").select(
+            "up", "was", (F.col("most") > 0.7 * F.col("was")).alias("stuck")), "judged")
+        stuck = judged.where("stuck").select(F.col("up").alias("block"), F.ceil(F.col("was") * 4 / limit).alias("tiles"))
+        tiled = large.join(stuck, "block").withColumn("_t", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn(
+            "_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+            F.concat_ws(":", "block", F.least("_t", "_o"), F.greatest("_t", "_o")).alias("block"), "node")
+        split = cells.join(totals, ["up", "cell"]).join(judged.where("not stuck").select("up"), "up").select(
+            F.concat_ws("/", "up", "cell").alias("block"), "node", "n", "total")
+        part = tiled.unionByName(split.where(F.col("total") <= limit).select("block", "node"))
         done = part if done is None else done.unionByName(part)
-        rest = now.where((F.col("total") > limit)).join(
-            parents.select(F.concat("block", F.lit("/")).alias("_p")), F.expr("startswith(block, _p)"), "left_anti")
-        level += 1
-        if rest.limit(1).count() == 0:
+        large = stage(split.where(F.col("total") > limit).select("block", "node", "n"), "large")
+        if large.isEmpty():
             return done
-        sizes = stage(rest.select("block", "total"), "sizes")
-        large = stage(fresh.join(sizes.select("block"), "block", "left_semi").select(*tiled.columns), "large")
+
+
+def _sets_of(docs_text: DataFrame, width: int) -> DataFrame:
+    """(node, n, shingles) of texts."""
+    def run(batches):
+        hasher, rolling = WordHash(), Rolling(width, BASES[0])
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for i, j in slices(texts, CHUNK_CHARS // 4):
+                found = shingle_sets(texts[i:j], width, hasher, rolling)
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
+                                                  pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "shingles"])
+
+    return docs_text.mapInArrow(run, "node binary, n long, shingles binary")
+
+
+def _pivot_frequency(members: DataFrame, percent: int) -> np.ndarray:
+    """Counts of hashed pivots: SKETCH numbers, whatever the input; each task sends what it has counted once."""
+    def counts(batches):
+        count = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            found = [sketch_slots(pivots_of(np.frombuffer(b, np.uint64), percent)[0]) for b in batch["shingles"].to_pylist()]
+            if found:
+                np.add.at(count, np.concatenate(found), 1)
+        part = SKETCH // 64
+        for i in range(64):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([count[i * part:(i + 1) * part].astype("<i4").tobytes()], pa.binary())],
+                                             names=["part", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, "<i4").astype(np.int64) for b in group["counts"].to_pylist())
+        return pa.table({"part": group["part"][:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+    rows = members.select("shingles").mapInArrow(counts, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    out = np.zeros(SKETCH, np.int32)
+    for r in rows:
+        out[r.part * (SKETCH // 64):(r.part + 1) * (SKETCH // 64)] = np.frombuffer(r.counts, "<i4")
+    return out
 
 
 def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
@@ -275,43 +318,42 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, blo
     sets = stage(recurring(rows.mapInArrow(_entries(width, percent, buckets), ENTRY_SCHEMA), _finish, SET_SCHEMA), "sets")
     pick = stage(sets.where("near").groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("r")).select(
         F.col("r._id").alias("_id"), F.col("r._th").alias("_th")).distinct(), "pick")
-    # about 40 bytes a row: broadcast while that is at most 16 MB
-    small = F.broadcast(pick) if pick.count() <= BROADCAST_ROWS else pick
-    a, b = rows.alias("a"), small.alias("b")
+    a, b = rows.alias("a"), _bounded(pick).alias("b")
     chosen = a.join(b, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._th") == F.col("b._th")), "left_semi")
+    members = stage(_sets_of(chosen.select("text"), width), "members")
+    if members.count() > pick.count():  # rows that repeat both id and text
+        members = stage(members.dropDuplicates(["node"]), "members")
+    frequency = docs.sparkSession.sparkContext.broadcast(_pivot_frequency(members, percent))
 
-    def expand(batches):
-        hasher, rolling = WordHash(), Rolling(width, BASES[0])
+    def cells(batches):
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for i, j in slices(texts, CHUNK_CHARS // 4):
-                found = shingle_sets(texts[i:j], width, hasher, rolling)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([node_of(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([s.tobytes() for s in found], pa.binary()),
-                    pa.array([cells_of(s, percent).view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "n", "shingles", "cells"])
+            found = [cells_of(np.frombuffer(s, np.uint64), percent, frequency.value).view(np.int64) for s in batch["shingles"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "cells"])
 
-    members = stage(chosen.select("text").mapInArrow(expand, "node binary, n long, shingles binary, cells array<long>"), "members")
-    inside = members.select("node", F.explode("cells").alias("cell")).distinct()
+    inside = members.select("node", "shingles").mapInArrow(cells, "node binary, cells array<long>").select("node", F.explode("cells").alias("cell"))
     low = inside.groupBy("cell").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1")
     edges = inside.join(low, "cell").where("node <> low").select("node", "low").distinct()
     blocks = connected_components(edges, "node", "low")
-    one = members.groupBy("node").agg(F.first(F.struct("n", "shingles")).alias("s")).select("node", "s.n", "s.shingles")
-    placed = stage(one.join(blocks, "node").select(F.hex("component").alias("block"), "node", "n", "shingles"), "placed")
-    sizes = placed.groupBy("block").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles)
-    sizes = stage(sizes, "large")
-    if sizes.limit(1).count() == 0:
-        return sets, stage(placed.groupBy("block").applyInArrow(_solve(percent), "node binary, root binary"), "roots")
-    cells = _split_large(placed.join(sizes.select("block"), "block", "left_semi"), sizes, percent, block_shingles)
-    parts = cells.unionByName(placed.join(sizes.select("block"), "block", "left_anti"))
-    links = stage(parts.groupBy("block").applyInArrow(_solve(percent), "node binary, root binary"), "links")
+    placed = stage(members.select("node", "n").join(blocks, "node").select(F.hex("component").alias("block"), "node", "n"), "placed")
+    sizes = stage(placed.groupBy("block").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles), "sizes")
+    solve = lambda parts: members.join(_bounded(parts), "node").groupBy("block").applyInArrow(_solve(percent), "node binary, root binary")
+    if sizes.isEmpty():
+        return sets, stage(solve(placed.select("block", "node")), "roots")
+    parts = _split_large(members, placed.join(sizes.select("block"), "block", "left_semi"), percent, block_shingles)
+    parts = stage(parts.unionByName(placed.join(sizes.select("block"), "block", "left_anti").select("block", "node")), "parts")
+    links = stage(solve(parts), "links")
     return sets, connected_components(links, "node", "root").select("node", F.col("component").alias("root"))
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast while it has at most BROADCAST_ROWS narrow rows (some 20 MB), else as it is: Spark then shuffles."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, _th (hash of the text), n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, _th (hash of the text), n_shingles, group, component_id.
 
-    component_id is the smallest doc_id reachable over links, the own one included. Null, empty and blank texts have no
+    group names the component (null without shingles); component_id is the smallest doc_id reachable over links, the own one included. Null, empty and blank texts have no
     shingles and link with nothing. Equal texts and repeated rows link; a null doc_id takes part but is never
     the smallest, so a component of such rows alone has a null id. Other columns are ignored, whatever their names. An
     empty table gives an empty result. ``docs`` must be a table or a staged result, see ``recurrence``.
@@ -321,7 +363,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage(named, "classes")
     joined = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    lookup = named.join(joined, "root").select("node", "component_id")
+    lookup = named.join(joined, "root").select("node", "root", "component_id")
     return sets.join(lookup, "node", "left").select(
-        F.col("_id").alias("doc_id"), "_th", "n_shingles",
+        F.col("_id").alias("doc_id"), "_th", "n_shingles", F.col("root").alias("group"),
         F.when(F.col("n_shingles") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
