@@ -13,6 +13,7 @@ from ..session import new_path
 from ..sources import articles, feeds, html, posts, quotes
 from ..streaming import jobs
 from .registry import joined, query, ts_text
+from .reports import MEMBERS_SQL
 from .rows import HEALTH_SQL
 from .scalars import CANON_KEPT, CANON_SQL
 from .views import ITEM_START, ITEMS, MESSAGES, NORM, competitors, developers, items, messages, regions, run_log, sources, ts_sql
@@ -83,13 +84,13 @@ def _(t):
 
 
 @query("sitemap_urls_capped", """
-SELECT url AS loc FROM pages ORDER BY 'https://maps.example/' || (page_id // 20), page_id LIMIT 5000""")
+SELECT url AS loc, (SELECT greatest(count(*) - 45, 0) FROM pages) AS left_out FROM pages ORDER BY 'https://maps.example/' || (page_id // 20), page_id LIMIT 45""")
 def _(t):
-    return feeds.sitemap_urls(sitemap_payloads(t)).select("loc")
+    return feeds.sitemap_urls(sitemap_payloads(t), max_urls=45).select("loc", "left_out")
 
 
 @query("expand_sitemap_index", """
-WITH n AS (SELECT count(DISTINCT page_id // 20) AS parts FROM pages), x AS (SELECT unnest(range(20)) AS seq)
+WITH n AS (SELECT count(DISTINCT page_id // 20) AS parts FROM pages), x AS (SELECT unnest(range(21)) AS seq)
 SELECT 'site' AS source_id, seq, CASE WHEN seq = 0 THEN 'https://maps.example/root' ELSE 'https://maps.example/' || (seq - 1) END AS url FROM x, n WHERE seq <= parts""")
 def _(t):
     maps = sitemap_payloads(t)
@@ -253,7 +254,7 @@ def _(t):
     target = new_path(t.spark, "dedup")
     rows = _stream(t, "pages").select(canonicalize_url(F.col("url")).alias("canonical_url"),
                                       F.timestamp_seconds(F.lit(ITEM_START) + F.col("page_id")).alias("seen_at"))
-    jobs.stream_dedup(rows, target, ["canonical_url"], "seen_at", "1 hour").awaitTermination()
+    jobs.stream_dedup(rows, target, ["canonical_url"], "seen_at").awaitTermination()
     return t.spark.read.parquet(f"{target}/rows").select("canonical_url")
 
 
@@ -281,19 +282,42 @@ def _(t):
                                                    ts_text(F.col("backoff_until")).alias("backoff_until"))
 
 
+def _batches(t, df: DataFrame, order: str, files: int = 4) -> DataFrame:
+    """A table as a file stream of several micro-batches: range ``order`` cut into ``files`` folders, read one file at a time."""
+    path = new_path(t.spark, "batches")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((F.col(order) - F.lit(low)) * files / F.lit((high or 0) - (low or 0) + 1)), F.lit(files - 1))
+    for i in range(files):
+        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_rate", f"""
-SELECT event_type, {ts_sql("date_trunc('minute', ts)")} AS minute, count(*) AS requests FROM events GROUP BY ALL""")
+WITH m AS (SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY ALL)
+SELECT event_type, {ts_sql('minute')} AS minute, requests FROM m WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)""")
 def _(t):
-    s = _stream(t, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    out = jobs.run_to_table(jobs.stream_rate(s, "event_type"), new_path(t.spark, "rate"), "complete")
+    """Rates in append mode: a minute is written once the watermark has passed it, and its state is dropped."""
+    rows = t.events.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    s = _batches(t, rows, "at")
+    out = jobs.run_to_table(jobs.stream_rate(s, "event_type"), new_path(t.spark, "rate"), "append")
     return out.select("event_type", ts_text(F.col("minute")).alias("minute"), "requests")
 
 
-@query("late_policy", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+LATE_STEP = 997
+
+
+@query("late_policy", f"""
+WITH s AS (SELECT event_id, event_type, ts, least(floor((event_id - (SELECT min(event_id) FROM events)) * 4 / (SELECT max(event_id) - min(event_id) + 1 FROM events)), 3) AS part FROM
+  (SELECT event_id, event_type, CASE WHEN event_id % {LATE_STEP} < 100 THEN ts - to_hours(CAST(event_id % {LATE_STEP} AS INTEGER)) ELSE ts END AS ts FROM events)),
+n AS (SELECT part, max(ts) AS newest FROM s GROUP BY 1)
+SELECT event_type, count(*) AS n FROM s WHERE ts >= coalesce((SELECT max(newest) FROM n WHERE n.part < s.part), ts) - INTERVAL 48 HOUR GROUP BY 1""")
 def _(t):
-    s = _stream(t, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    counted = jobs.late_policy(s, "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return jobs.run_to_table(counted, new_path(t.spark, "late"), "complete")
+    """Events in four micro-batches, some of them up to 99 hours late; 48 hours are allowed."""
+    target, step = new_path(t.spark, "late"), F.col("event_id") % LATE_STEP
+    ts = F.col("ts").cast("timestamp")
+    rows = t.events.select("event_id", "event_type", F.when(step < 100, F.timestamp_micros(F.unix_micros(ts) - step * F.lit(3_600_000_000))).otherwise(ts).alias("ts"))
+    jobs.late_policy(_batches(t, rows, "event_id"), target, "ts").awaitTermination()
+    return jobs.appended_rows(t.spark, target, rows.schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("backfill", """
@@ -307,7 +331,8 @@ def _(t):
     return status.join(n, "channel", "left").select("channel", "pages", "reached_until", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-@query("rebuild_clusters")
+@query("rebuild_clusters", f"""
+WITH RECURSIVE {MEMBERS_SQL} SELECT primary_id, 0 AS part_no, string_agg(item_id, '|' ORDER BY published_at, item_id) AS related FROM members WHERE item_id <> primary_id GROUP BY 1""")
 def _(t):
     """Scheduled rebuild: the cluster table is written anew and read back."""
     from ..operators import clusters

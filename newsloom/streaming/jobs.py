@@ -35,14 +35,15 @@ def stream_ingest(payloads: DataFrame, target: str, prepare: Callable[[DataFrame
     return start(payloads, f"{target}/_checkpoint", write)
 
 
-def stream_dedup(rows: DataFrame, target: str, keys: Sequence[str], event_time: str, delay: str) -> StreamingQuery:
-    """First row per key for ever: a watermarked filter for the hot window, the table for everything older."""
-    hot = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+def stream_dedup(rows: DataFrame, target: str, keys: Sequence[str], event_time: str) -> StreamingQuery:
+    """First arrived row per key for ever; within a micro-batch the one with the lowest ``event_time``.
 
+    The table itself is the memory, so a new key is kept however old its event time, and a repeated batch adds nothing.
+    """
     def write(batch: DataFrame, _: int) -> None:
-        append_new(batch.sparkSession, f"{target}/rows", batch, keys, [event_time])
+        append_new(batch.sparkSession, f"{target}/rows", stage(batch, "dedup"), keys, [event_time])
 
-    return start(hot, f"{target}/_checkpoint", write)
+    return start(rows, f"{target}/_checkpoint", write)
 
 
 # --- versioned small state tables --------------------------------------------------------------------
@@ -96,28 +97,52 @@ def stream_rate(requests: DataFrame, scope: str, delay: str = "5 minutes") -> Da
     return counted.select(scope, F.col("w.start").alias("minute"), "requests")
 
 
-def late_policy(rows: DataFrame, event_time: str, overlap_hours: int = 48) -> DataFrame:
-    """Accept rows up to ``overlap_hours`` late; with a first-write-wins sink a re-read changes nothing."""
-    return rows.withWatermark(event_time, f"{overlap_hours} hours")
+def late_policy(rows: DataFrame, target: str, event_time: str, overlap_hours: int = 48) -> StreamingQuery:
+    """Append rows that are at most ``overlap_hours`` older than the newest event of the micro-batches before.
+
+    The newest event time is a versioned state table; a repeated batch sees the version before it and rewrites its own rows.
+    Rows without an event time are accepted.
+    """
+    def write(batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        arrived = stage(batch, "late")
+        old = read_state(spark, target, version)
+        newest = old.first()["newest"] if old is not None else None
+        fresh = arrived if newest is None else arrived.where(
+            F.col(event_time).isNull() | (F.col(event_time) >= F.lit(newest) - F.expr(f"make_interval(0, 0, 0, 0, {int(overlap_hours)})")))
+        fresh.write.mode("overwrite").parquet(f"{target}/rows/batch={version}")
+        seen = arrived.agg(F.max(event_time).alias("newest"))
+        if newest is not None:
+            seen = seen.select(F.greatest("newest", F.lit(newest)).alias("newest"))
+        _write_state(seen, target, version)
+
+    return start(rows, f"{target}/_checkpoint", write)
 
 
 def run_to_table(df: DataFrame, target: str, mode: str = "complete") -> DataFrame:
     """Run a stateful stream over everything available and return its result table.
 
-    ``complete`` keeps one version per batch and returns the last; ``append`` collects the rows.
+    ``complete`` keeps one version per batch and returns the last; ``append`` collects the rows, one folder per batch, so that
+    a repeated batch replaces its own.
     """
     def write(batch: DataFrame, version: int) -> None:
         if mode == "complete":
             _write_state(batch, target, version)
         else:
-            batch.write.mode("append").parquet(f"{target}/rows")
+            batch.write.mode("overwrite").parquet(f"{target}/rows/batch={version}")
 
     start(df, f"{target}/_checkpoint", write, mode).awaitTermination()
     spark = df.sparkSession
     if mode == "complete":
         return read_state(spark, target)
-    return spark.read.schema(df.schema).parquet(f"{target}/rows") if table_exists(spark, f"{target}/rows") \
-        else spark.createDataFrame([], df.schema)
+    return appended_rows(spark, target, df.schema)
+
+
+def appended_rows(spark: SparkSession, target: str, schema) -> DataFrame:
+    """All rows of a target with one folder per batch."""
+    if not table_exists(spark, f"{target}/rows"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{target}/rows")
 
 
 def backfill(messages: DataFrame, until, page_size: int = 500) -> tuple[DataFrame, DataFrame]:

@@ -51,11 +51,28 @@ def test_dedup_survives_restarts(spark):
     target = new_path(spark, "dedup")
     stream = stream_of(spark, df, "i", 5)
     for _ in range(2):
-        jobs.stream_dedup(stream, target, ["k"], "at", "3 hours").awaitTermination()
+        jobs.stream_dedup(stream, target, ["k"], "at").awaitTermination()
     got = spark.read.parquet(f"{target}/rows").collect()
     assert sorted(r.k for r in got) == sorted({r[0] for r in rows}) and {r.i for r in got} == set(range(40))
 
 
+def test_dedup_keeps_late_new_keys(spark):
+    t = dt.datetime(2024, 1, 10)
+    rows = [("a", t, 0), ("b", t + dt.timedelta(hours=1), 1), ("old", dt.datetime(2024, 1, 1), 2), ("a", t, 3)]
+    target = new_path(spark, "dedup")
+    jobs.stream_dedup(stream_of(spark, spark.createDataFrame(rows, "k string, at timestamp, i int"), "i", 4), target, ["k"], "at").awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(f"{target}/rows").collect()) == ["a", "b", "old"]
+
+
+def test_late_policy_compares_with_the_batches_before(spark):
+    t = dt.datetime(2024, 1, 10)
+    rows = [("a", t, 0), ("within", t - dt.timedelta(hours=47), 1), ("beyond", t - dt.timedelta(hours=49), 2), ("none", None, 3)]
+    target = new_path(spark, "late")
+    df = spark.createDataFrame(rows, "k string, at timestamp, i int")
+    jobs.late_policy(stream_of(spark, df, "i", 4), target, "at").awaitTermination()
+    assert sorted(r.k for r in jobs.appended_rows(spark, target, df.schema).collect()) == ["a", "none", "within"]
+
+
 def test_cursor_over_batches(spark):
     df = spark.createDataFrame([("a", str(i), i) for i in range(8, 120)] + [("b", x, 200 + i) for i, x in enumerate(["9", "x2", "10"])], "s string, id string, o int")
     target = new_path(spark, "cursor")
