@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import hamming64, simhash64
-from ..scale import attach_counted, packed_arrays
+from ..scale import attach_counted, order_chunks, packed_arrays, ranked, scan
 from ..session import stage
 
 HOT_BUCKET = 20_000
@@ -110,7 +110,7 @@ def copy_links(items: DataFrame, item_id: str = "item_id") -> DataFrame:
         "simhash64", "first_id", F.col(item_id).alias("copy_id"))
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for all nodes of an undirected edge list; component = smallest node in it.
 
     Alternating large-star / small-star contraction (Kiveris et al., 2014). A node's minimum is a grouped
@@ -119,14 +119,12 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, before = stage(e, "edges"), None
-    for _ in range(max_rounds):
+    while True:
         e = stage(_small_star(_large_star(e)), "edges")
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(roots).distinct()
@@ -180,21 +178,30 @@ def build_clusters(items: DataFrame, threshold: int = 3, since: Column | None =
         "primary_id", "part_no", F.col("item_id").alias("related_item_ids"))
 
 
-def clusters_in_report(clusters: DataFrame, items: DataFrame, limit: int = 250) -> DataFrame:
-    """Clusters whose primary item is in the report; the newest ``limit`` of them (top-k report)."""
+def clusters_in_report(clusters: DataFrame, items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Clusters, all their parts, whose primary item is in the report, numbered from the newest; the first ``limit`` clusters if given."""
     kept = clusters.join(items.select(F.col("item_id").alias("primary_id")), "primary_id", "left_semi")
-    newest = [F.col("created_at").desc(), F.col("primary_id")]
-    return kept.orderBy(*newest).limit(limit).withColumn("cluster_no", F.row_number().over(Window.orderBy(*newest)))
+    heads = kept.groupBy("primary_id").agg(F.max("created_at").alias("created_at")).withColumns(
+        {"_all": F.lit(0), "_age": -F.unix_micros("created_at")})
+    if limit is not None:
+        heads = heads.orderBy("_age", "primary_id").limit(limit)
+    numbered = ranked(heads, ["_all"], ["_age", "primary_id"], "cluster_no").select("primary_id", "cluster_no")
+    return kept.join(numbered, "primary_id")
 
 
 def cluster_lookup(clusters: DataFrame, items: DataFrame) -> DataFrame:
     """One row per primary (position 0) and related item with its title, url and time.
 
-    Ids without an item keep a row; the id itself is then the title.
+    Positions run on over the parts of a cluster, whatever their lengths. Ids without an item keep a row; the id itself is then the title.
     """
     extra = ["cluster_no"] if "cluster_no" in clusters.columns else []
-    wanted = clusters.select(
-        "primary_id", *extra, F.posexplode(F.concat(F.array("primary_id"), "related_item_ids")).alias("position", "item_id"))
+    sizes = clusters.select("primary_id", "part_no", F.size("related_item_ids").cast("long").alias("n"))
+    before = scan(order_chunks(sizes, ["primary_id"], ["part_no"]), ["primary_id"], ["part_no"], sums={"upto": F.col("n")}).select(
+        "primary_id", "part_no", (F.col("upto") - F.col("n")).alias("_before"))
+    related = clusters.join(before, ["primary_id", "part_no"]).select(
+        "primary_id", *extra, "_before", F.posexplode("related_item_ids").alias("_i", "item_id"))
+    heads = clusters.where("part_no = 0").select("primary_id", *extra, F.lit(0).cast("long").alias("position"), F.col("primary_id").alias("item_id"))
+    wanted = heads.unionByName(related.select("primary_id", *extra, (F.col("_before") + F.col("_i") + 1).alias("position"), "item_id"))
     found = items.select("item_id", "title", "url", "published_at", F.lit(True).alias("_known"))
     return wanted.join(found, "item_id", "left").select(
         "primary_id", *extra, "position", "item_id",

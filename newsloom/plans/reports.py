@@ -64,41 +64,38 @@ def _(t):
     return clusters.cluster_members(hashed(t)).select("primary_id", "item_id", "size")
 
 
-def copy_clusters(t):
-    """Clusters of the items with one normalised snippet: a cheap cluster table for the cluster reports."""
-    i = items(t).select("item_id", "snippet", "published_at")
-    first = i.groupBy("snippet").agg(F.min("item_id").alias("primary_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    related = i.join(first, "snippet").where("item_id <> primary_id")
-    from ..scale import packed_arrays
-    packed = packed_arrays(related, ["primary_id"], ["published_at", "item_id"], ["item_id"])
-    return packed.select("primary_id", "part_no", F.col("item_id").alias("related_item_ids"),
-                         F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("primary_id") * 7919, F.lit(100000))).alias("created_at"))
+def small_parts(t):
+    """The cluster table in parts of five related items, so that most large clusters have several."""
+    return clusters.build_clusters(hashed(t), part_size=5).withColumn(
+        "created_at", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("primary_id") * 7919, F.lit(100000))))
 
 
-COPY_CLUSTERS = f"""{ITEMS}, heads AS (SELECT snippet, min(item_id) AS primary_id FROM items GROUP BY 1 HAVING count(*) > 1),
-copy_members AS (SELECT primary_id, item_id, row_number() OVER (PARTITION BY primary_id ORDER BY item_id) - 1 AS position, title, url, published_at FROM items JOIN heads USING (snippet)),
-copy_clusters AS (SELECT primary_id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(primary_id * 7919 % 100000) AS created_at FROM heads)"""
+CLUSTER_TABLE = f"""RECURSIVE {MEMBERS_SQL},
+cluster_rows AS (SELECT primary_id, item_id, row_number() OVER (PARTITION BY primary_id ORDER BY item_id <> primary_id, published_at, item_id) - 1 AS position, title, url, published_at FROM members),
+cluster_heads AS (SELECT primary_id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(primary_id * 7919 % 100000) AS created_at FROM members WHERE item_id = primary_id)"""
 
 
 @query("clusters_in_report", f"""
-WITH {COPY_CLUSTERS} SELECT primary_id, row_number() OVER (ORDER BY created_at DESC, primary_id) AS cluster_no FROM copy_clusters
-WHERE primary_id IN (SELECT item_id FROM items WHERE title ILIKE '%e%') ORDER BY created_at DESC, primary_id LIMIT 250""")
+WITH {CLUSTER_TABLE}, kept AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, primary_id) AS cluster_no FROM cluster_heads
+  WHERE primary_id IN (SELECT item_id FROM items WHERE title ILIKE '%e%') ORDER BY created_at DESC, primary_id LIMIT 20)
+SELECT primary_id, cluster_no, (SELECT count(*) FROM cluster_rows r WHERE r.primary_id = kept.primary_id AND position > 0) AS related FROM kept""")
 def _(t):
     report = items(t).where(F.ilike("title", F.lit("%e%")))
-    return clusters.clusters_in_report(copy_clusters(t), report).select("primary_id", "cluster_no")
+    found = clusters.clusters_in_report(small_parts(t), report, limit=20)
+    return found.groupBy("primary_id", "cluster_no").agg(F.sum(F.size("related_item_ids")).alias("related"))
 
 
-@query("cluster_lookup", f"WITH {COPY_CLUSTERS} SELECT primary_id, position, item_id, title, url FROM copy_members")
+@query("cluster_lookup", f"WITH {CLUSTER_TABLE} SELECT primary_id, position, item_id, title, url FROM cluster_rows")
 def _(t):
-    return clusters.cluster_lookup(copy_clusters(t), items(t)).select("primary_id", "position", "item_id", "title", "url")
+    return clusters.cluster_lookup(small_parts(t), items(t)).select("primary_id", "position", "item_id", "title", "url")
 
 
 @query("cluster_lines", f"""
-WITH {COPY_CLUSTERS} SELECT primary_id, position, CASE WHEN position = 0 THEN '  Главная: [' ELSE '  Похожая: [' END
-  || strftime(published_at, '%Y-%m-%d %H:%M') || '] [' || title || '](' || url || ')' AS line FROM copy_members
-UNION ALL SELECT primary_id, -1, '### Кластер ' || primary_id || ', порог simhash: 3' FROM copy_clusters""")
+WITH {CLUSTER_TABLE} SELECT primary_id, position, CASE WHEN position = 0 THEN '  Главная: [' ELSE '  Похожая: [' END
+  || strftime(published_at, '%Y-%m-%d %H:%M') || '] [' || title || '](' || url || ')' AS line FROM cluster_rows
+UNION ALL SELECT primary_id, -1, '### Кластер ' || primary_id || ', порог simhash: 3' FROM cluster_heads""")
 def _(t):
-    return batches.cluster_lines(clusters.cluster_lookup(copy_clusters(t), items(t)))
+    return batches.cluster_lines(clusters.cluster_lookup(small_parts(t), items(t)))
 
 
 # --- tags --------------------------------------------------------------------------------------------
