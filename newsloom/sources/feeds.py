@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_iso_ts
 from ..functions.text import normalize_text, strip
-from ..scale import keep_first, top_n
+from ..scale import attach, keep_first, ranked, top_n
 from ..session import stage
 from .html import html_to_text
 
@@ -21,10 +21,9 @@ ATOM_ENTRY = (f"struct<title:{CONTENT},link:array<{LINK}>,id:string,summary:{CON
 ATOM = f"entry array<{ATOM_ENTRY}>, _corrupt_record string"
 XML = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "attributePrefix": "_", "valueTag": "_VALUE"}
 
-# Zone names of feed dates, in the order of their offsets, and the sitemap limits.
+# Zone names of feed dates, in the order of their offsets.
 ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EDT": "-0400", "EST": "-0500",
          "CDT": "-0500", "CST": "-0600", "MDT": "-0600", "MST": "-0700", "PDT": "-0700", "PST": "-0800"}
-MAX_SITEMAPS, MAX_URLS = 20, 5000
 
 
 def feed_date(c: Column) -> Column:
@@ -41,14 +40,37 @@ def _first(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in cols])
 
 
+ROOT = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<([\w.:\-]+)"
+
+
+def feed_body(body: Column) -> Column:
+    """The feed as its schema expects it: no prefixes but those of content:encoded and dc:date, bare ampersands escaped, XHTML as text."""
+    plain = F.regexp_replace(body, r"(</?)(?!content:encoded|dc:date)[A-Za-z_][\w.\-]*:", "$1")
+    plain = F.regexp_replace(plain, r"&(?!#?\w+;)", "&amp;")
+    return F.regexp_replace(plain, r"""(?s)(<(content|summary|title)\b[^>]*\btype\s*=\s*["']xhtml["'][^>]*>)((?:(?!<!\[CDATA\[).)*?)(</\2>)""", "$1<![CDATA[$3]]>$4")
+
+
+def feed_kind(body: Column) -> Column:
+    """feed (Atom), rss, or malformed: no XML, or none that can be read."""
+    root = F.lower(F.regexp_replace(F.regexp_extract(body, ROOT, 1), "^.*:", ""))
+    kind = F.when(root == "feed", "feed").when(root.isin("rss", "rdf"), "rss").otherwise("malformed")
+    broken = F.from_xml(feed_body(body), f"_n string, {XML['columnNameOfCorruptRecord']} string", XML)["_corrupt_record"].isNotNull()
+    return F.when(body.isNull() | broken, F.lit("malformed")).otherwise(kind)
+
+
+def feed_errors(payloads: DataFrame) -> DataFrame:
+    """Payloads that are no readable feed: their sources count as failed."""
+    return payloads.where(feed_kind(F.col("body")) == "malformed").select("source_id", "url", "fetched_at")
+
+
 def rss_items(payloads: DataFrame) -> DataFrame:
     """One row per feed entry with an address: (source_id, feed_url, position, url, title, summary,
-    content_html, content_text, published_at, fetched_at)."""
-    base = payloads.where(~F.col("body").rlike(r"(?s)^\s*(?:<\?[^>]*>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<(?:\w+:)?feed[\s>]"))
-    atom = payloads.where(F.col("body").rlike(r"(?s)^\s*(?:<\?[^>]*>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<(?:\w+:)?feed[\s>]"))
+    content_html, content_text, published_at, fetched_at). Payloads that are no readable feed are in ``feed_errors``."""
+    parsed = payloads.withColumns({"_kind": feed_kind(F.col("body")), "_body": feed_body(F.col("body"))})
+    base, atom = parsed.where("_kind = 'rss'"), parsed.where("_kind = 'feed'")
     keep = ["source_id", F.col("url").alias("feed_url"), "fetched_at"]
 
-    r = base.select(*keep, F.from_xml("body", RSS, XML).alias("x"))
+    r = base.select(*keep, F.from_xml("_body", RSS, XML).alias("x"))
     empty = F.expr(f"cast(array() as array<{RSS_ITEM}>)")
     r = r.select("source_id", "feed_url", "fetched_at", F.posexplode(
         F.concat(F.coalesce("x.channel.item", empty), F.coalesce("x.item", empty))).alias("position", "i"))
@@ -57,7 +79,7 @@ def rss_items(payloads: DataFrame) -> DataFrame:
                    F.col("i").getField("content:encoded").alias("content"),
                    F.coalesce(feed_date(F.col("i.pubDate")), feed_date(F.col("i").getField("dc:date"))).alias("published_at"))
 
-    a = atom.select(*keep, F.from_xml("body", ATOM, XML).alias("x"))
+    a = atom.select(*keep, F.from_xml("_body", ATOM, XML).alias("x"))
     a = a.select("source_id", "feed_url", "fetched_at", F.posexplode("x.entry").alias("position", "i"))
     alternate = F.filter("i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     hrefs = F.transform(F.concat(alternate, F.coalesce("i.link", F.expr(f"cast(array() as array<{LINK}>)"))), lambda x: x["_href"])
@@ -96,10 +118,11 @@ def sitemap_errors(payloads: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(payloads: DataFrame, include: str | None = None, exclude: str | None = None,
-                 max_urls: int | None = MAX_URLS) -> DataFrame:
-    """(source_id, sitemap_url, position, loc, lastmod) of all urlset payloads, the first ``max_urls`` per source.
+                 max_urls: int | None = None) -> DataFrame:
+    """(source_id, sitemap_url, position, loc, lastmod) of all urlset payloads.
 
-    Payloads may carry ``seq``, the order in which their sitemaps were visited.
+    Payloads may carry ``seq``, the order in which their sitemaps were visited. With ``max_urls`` only the first ones per source are
+    returned, each with ``left_out``, the number of urls of its source that were not.
     """
     seq = F.col("seq") if "seq" in payloads.columns else F.lit(0)
     parsed = payloads.where(sitemap_kind(F.col("body")) == "urlset").select(
@@ -113,7 +136,9 @@ def sitemap_urls(payloads: DataFrame, include: str | None = None, exclude: str |
     if exclude:
         rows = rows.where(~F.col("loc").rlike(exclude))
     if max_urls is not None:
+        count = stage(rows.groupBy("source_id").agg(F.greatest(F.count(F.lit(1)) - max_urls, F.lit(0)).alias("left_out")), "left-out")
         rows = top_n(rows, ["source_id"], [F.col("seq"), F.col("sitemap_url"), F.col("position")], max_urls).drop("rank")
+        rows = attach(rows, count, ["source_id"])
     return rows
 
 
@@ -125,24 +150,26 @@ def sitemap_children(payloads: DataFrame) -> DataFrame:
     return rows.select("url", "position", _first(F.col("s.loc")).alias("child")).where("child is not null")
 
 
-def expand_sitemap_index(roots: DataFrame, payloads: DataFrame, max_sitemaps: int = MAX_SITEMAPS) -> DataFrame:
+def expand_sitemap_index(roots: DataFrame, payloads: DataFrame, max_sitemaps: int | None = None) -> DataFrame:
     """(source_id, seq, url) of the sitemaps visited from each root, breadth first, each once.
 
-    Every level is one join of the frontier with the child table; a source visits at most ``max_sitemaps``,
-    which also bounds the number of levels.
+    Every level is one join of the frontier with the child table, until a level finds nothing new. With ``max_sitemaps`` a source
+    visits no more than that.
     """
     children = stage(sitemap_children(payloads), "children")
     frontier = roots.select("source_id", "url", F.lit(0).cast("long").alias("seq"))
     visited = stage(frontier, "visited")
     frontier = visited
-    for _ in range(max_sitemaps):
+    while True:
         found = frontier.join(children, "url").select("source_id", F.col("child").alias("url"), "seq", "position")
         fresh = keep_first(found, ["source_id", "url"], ["seq", "position"]).join(
             visited.select("source_id", "url"), ["source_id", "url"], "left_anti")
         used = visited.groupBy("source_id").agg(F.count(F.lit(1)).alias("used"))
-        ranked = top_n(fresh, ["source_id"], [F.col("seq"), F.col("position"), F.col("url")], max_sitemaps)
-        frontier = stage(ranked.join(used, "source_id").where(F.col("rank") + F.col("used") <= max_sitemaps).select(
-            "source_id", "url", (F.col("rank") + F.col("used") - 1).cast("long").alias("seq")), "frontier")
+        next_ones = ranked(fresh.withColumn("_seq", F.col("seq")), ["source_id"], ["_seq", "position", "url"])
+        next_ones = next_ones.join(used, "source_id")
+        if max_sitemaps is not None:
+            next_ones = next_ones.where(F.col("rank") + F.col("used") <= max_sitemaps)
+        frontier = stage(next_ones.select("source_id", "url", (F.col("rank") + F.col("used") - 1).cast("long").alias("seq")), "frontier")
         if frontier.isEmpty():
             break
         visited = stage(visited.unionByName(frontier), "visited")
