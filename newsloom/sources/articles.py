@@ -18,6 +18,9 @@ from ..functions.dates import parse_iso_ts
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template"}
 BLOCKS = {"article", "main", "section", "div", "td", "body"}
+# Open elements that a start tag closes, and elements such a search doesn't leave.
+IMPLIED = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+BARRIERS = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "body"}
 MIN_BODY = 200
 
 STEP = re.compile(r"([\w*-]+)?((?:[.#][\w-]+|\[[^\]]+\])*)")
@@ -31,17 +34,22 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self):
-        for child in self.children:
+        """All elements below in document order; a stack, as markup may be nested deeper than calls can be."""
+        todo = self.children[::-1]
+        while todo:
+            child = todo.pop()
             if isinstance(child, Node):
                 yield child
-                yield from child.walk()
+                todo += child.children[::-1]
 
     def texts(self):
-        for child in self.children:
+        todo = self.children[::-1]
+        while todo:
+            child = todo.pop()
             if isinstance(child, str):
                 yield child
             elif child.tag not in HIDDEN:
-                yield from child.texts()
+                todo += child.children[::-1]
 
     def text(self):
         return " ".join(" ".join(self.texts()).split())
@@ -53,8 +61,12 @@ class Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.at.tag == "p":
-            self.at = self.at.parent
+        closes = IMPLIED.get(tag, ())
+        node = self.at
+        while closes and node.parent is not None and node.tag not in closes and node.tag not in BARRIERS:
+            node = node.parent
+        if node.tag in closes:
+            self.at = node.parent
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -72,7 +84,7 @@ class Tree(HTMLParser):
 
 
 def _step_fits(node: Node, step: tuple) -> bool:
-    tag, filters = step
+    tag, filters, _ = step
     if tag not in (None, "*") and node.tag != tag:
         return False
     for kind, name, attr, op, value in filters:
@@ -90,25 +102,46 @@ def _step_fits(node: Node, step: tuple) -> bool:
 
 
 def _compile(css: str) -> list[list[tuple]]:
-    """Selector lists of descendant steps made of tag, .class, #id and [attribute]."""
+    """Selector lists of descendant and child (>) steps made of tag, .class, #id and [attribute]."""
     out = []
     for one in css.split(","):
-        steps = [STEP.fullmatch(s) for s in re.findall(r"(?:\[[^\]]*\]|\S)+", one.replace(">", " "))]
-        if any(s is None for s in steps):
+        steps, child = [], False
+        for word in re.findall(r">|(?:\[[^\]]*\]|[^\s>])+", one):
+            if word == ">":
+                child = True
+                continue
+            step = STEP.fullmatch(word)
+            if step is None:
+                raise ValueError(f"unsupported selector: {css}")
+            steps.append((step.group(1), FILTERS.findall(step.group(2)), child))
+            child = False
+        if not steps or child or steps[0][2]:
             raise ValueError(f"unsupported selector: {css}")
-        out.append([(s.group(1), FILTERS.findall(s.group(2))) for s in steps])
+        out.append(steps)
     return out
 
 
 def _fits(node: Node, steps: list[tuple]) -> bool:
     if not _step_fits(node, steps[-1]):
         return False
-    rest, up = list(steps[:-1]), node.parent
-    while rest and up is not None:
-        if _step_fits(up, rest[-1]):
-            rest.pop()
-        up = up.parent
-    return not rest
+    # (element, step it fits): the steps before it must fit above
+    if len(steps) == 1:
+        return True
+    seen, todo = set(), [(node, len(steps) - 1)]
+    while todo:
+        at, left = todo.pop()
+        up = at.parent
+        while up is not None and up.parent is not None:
+            if _step_fits(up, steps[left - 1]):
+                if left == 1:
+                    return True
+                if (up, left - 1) not in seen:
+                    seen.add((up, left - 1))
+                    todo.append((up, left - 1))
+            if steps[left][2]:
+                break
+            up = up.parent
+    return False
 
 
 def select(root: Node, css: str | None) -> list[Node]:
@@ -157,24 +190,39 @@ def extract(html: str, template: dict) -> tuple:
     return title, date, author, body
 
 
-SCHEMA = "title string, published_at_raw string, author string, body_text string"
+def extract_or_error(html: str, template: dict) -> tuple:
+    """``extract`` and an error text: one page that can't be read must not fail its task."""
+    try:
+        return *extract(html, template), None
+    except (RecursionError, AssertionError, LookupError, TypeError, ValueError) as e:
+        return None, None, None, None, f"{type(e).__name__}: {e}"
+
+
+SCHEMA = "title string, published_at_raw string, author string, body_text string, error string"
+
+
+def _selectors(template: dict) -> list[str]:
+    found = [*((template.get("cleanup") or {}).get("remove_css") or [])]
+    return found + [d["css"] for d in (template.get("detail") or {}).values() if isinstance(d, dict) and d.get("css")]
 
 
 def extract_articles(pages: DataFrame, template: dict, page_id: str = "page_id", url: str = "url",
                      html: str = "html") -> DataFrame:
-    """(page_id, url, title, published_at_raw, published_at, author, body_text) of each page.
+    """(page_id, url, title, published_at_raw, published_at, author, body_text, error) of each page.
 
-    Selectors cover tag, .class, #id, [attribute] and descendants. A body that is missing or shorter than
+    Selectors cover tag, .class, #id, [attribute], descendants and children; others are refused before the job starts. A body that is missing or shorter than
     ``min_fulltext_length`` is replaced by the densest text block of the page.
     """
     spec = json.dumps(template)
+    for css in _selectors(template):
+        _compile(css)
     id_type, url_type = dict(pages.dtypes)[page_id], dict(pages.dtypes)[url]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules = json.loads(spec)
         for pdf in batches:
-            rows = [extract(h, rules) for h in pdf[html]]
-            found = pd.DataFrame(rows, columns=["title", "published_at_raw", "author", "body_text"], dtype=object)
+            rows = [extract_or_error(h, rules) for h in pdf[html]]
+            found = pd.DataFrame(rows, columns=["title", "published_at_raw", "author", "body_text", "error"], dtype=object)
             yield pd.concat([pdf[[page_id, url]].reset_index(drop=True), found], axis=1)
 
     out = pages.select(page_id, url, html).mapInPandas(run, f"{page_id} {id_type}, {url} {url_type}, {SCHEMA}")
