@@ -84,7 +84,8 @@ def absolute_url(base: Column, href: Column) -> Column:
 
 def _without_dots(path: Column) -> Column:
     ends_in_dots = path.rlike(r"/\.{1,2}$")
-    segments = F.slice(F.split(path, "/", -1), 2, 100_000)
+    parts = F.split(path, "/", -1)
+    segments = F.slice(parts, 2, F.size(parts))
     walked = F.aggregate(
         segments, F.expr("cast(array() as array<string>)"),
         lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))

@@ -158,19 +158,21 @@ def char_batches(rows: DataFrame, group: str, order: list[str], length: Column,
     """
     ts, row_id = order
     stamp = F.coalesce(F.unix_micros(ts), F.lit(-(2 ** 62)))
-    sized = rows.withColumns({"_w": (length + 1).cast("long"), "_at": -stamp if newest_first else stamp})
-    by = ["_at", row_id]
-    placed = scan(order_chunks(sized, [group], by), [group], by, rank="_pos")
+    # only group, order and width are staged; the rows themselves come back by group and order
+    place = {"_grp": F.coalesce(F.col(group), F.lit("")), "_at": -stamp if newest_first else stamp}
+    sized = rows.select(*[c.alias(n) for n, c in place.items()], F.col(row_id).alias("_rid"), (length + 1).cast("long").alias("_w"))
+    by = ["_at", "_rid"]
+    placed = scan(order_chunks(sized, ["_grp"], by), ["_grp"], by, rank="_pos")
     cap = max_chars - reserve + 1
-    narrow = placed.select(F.coalesce(F.col(group), F.lit("")).alias("grp"), F.col(CHUNK).alias("chunk"),
-                           F.col("_pos").alias("pos"), F.col("_w").alias("w"))
+    narrow = placed.select(F.col("_grp").alias("grp"), F.col(CHUNK).alias("chunk"), F.col("_pos").alias("pos"), F.col("_w").alias("w"))
     answers = narrow.groupBy("grp", "chunk").applyInPandas(
         _answers(cap), "grp string, chunk int, total long, upto array<long>, fill array<long>, opened array<long>")
     entries = answers.groupBy("grp").applyInPandas(_chain(cap), "grp string, chunk int, open_chars long, batch long")
     numbered = narrow.join(entries, ["grp", "chunk"]).groupBy("grp", "chunk").applyInPandas(
         _number(cap), "grp string, pos long, batch_no long")
-    on = (F.coalesce(F.col(group), F.lit("")) == F.col("grp")) & (F.col("_pos") == F.col("pos"))
-    return placed.join(numbered, on).drop("grp", "pos", "_w", "_at", CHUNK, "_pos")
+    found = placed.join(numbered, (F.col("_grp") == F.col("grp")) & (F.col("_pos") == F.col("pos"))).select("_grp", "_at", "_rid", "batch_no")
+    keyed = rows.withColumns({**place, "_rid": F.col(row_id)})
+    return keyed.join(found, ["_grp", "_at", "_rid"]).drop("_grp", "_at", "_rid")
 
 
 def batch_texts(batched: DataFrame, group: str, order: list[str], line: str = "line",

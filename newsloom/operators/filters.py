@@ -76,16 +76,19 @@ def search_text(*parts: str) -> Column:
 def judged_items(items: DataFrame, sources: DataFrame, global_cfg: dict) -> DataFrame:
     """Stored items with the verdict of their source's effective rule in ``verdict``."""
     rules = merge_filter_cfg(sources, global_cfg).select("source_id", "include", "exclude", "whole_words")
+    joined = attach(items, rules, ["source_id"])
+    hay = search_text("url", "title", "snippet", "content_text")
+    return joined.withColumn("verdict", explain_keywords(hay, *effective_rule(global_cfg))).drop("include", "exclude", "whole_words")
+
+
+def effective_rule(global_cfg: dict) -> list[Column]:
+    """(include, exclude, whole_words) after a left join with ``merge_filter_cfg``: the global words where the source is unknown."""
     none = F.expr("cast(array() as array<string>)")
     shared = [parse_keyword_list(literal_words(global_cfg.get(k, [])))
               for k in ("global_include_keywords", "global_exclude_keywords")]
-    joined = attach(items, rules, ["source_id"])
-    # items without a known source are judged by the global words alone
-    rule = [F.when(F.col("whole_words").isNull(), s).otherwise(F.coalesce(c, none))
-            for c, s in zip(("include", "exclude"), shared)]
-    whole = F.coalesce("whole_words", F.lit(bool(global_cfg.get("match_whole_words"))))
-    hay = search_text("url", "title", "snippet", "content_text")
-    return joined.withColumn("verdict", explain_keywords(hay, *rule, whole)).drop("include", "exclude", "whole_words")
+    words = [F.when(F.col("whole_words").isNull(), s).otherwise(F.coalesce(c, none))
+             for c, s in zip(("include", "exclude"), shared)]
+    return [*words, F.coalesce("whole_words", F.lit(bool(global_cfg.get("match_whole_words"))))]
 
 
 def filter_cleanup(items: DataFrame, sources: DataFrame, global_cfg: dict) -> tuple[DataFrame, DataFrame]:

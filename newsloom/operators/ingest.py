@@ -10,7 +10,7 @@ from ..functions.fingerprint import simhash64
 from ..functions.text import normalize_text, text_sha256
 from ..functions.urls import canonicalize_url
 from ..scale import attach
-from .filters import explain_keywords, merge_filter_cfg, search_text
+from .filters import effective_rule, explain_keywords, merge_filter_cfg, search_text
 from .tagging import resolve_regions, tag_entities
 
 
@@ -18,14 +18,15 @@ def enrich_items(entries: DataFrame, sources: DataFrame, global_cfg: dict, compe
                  developers: DataFrame, regions: DataFrame, now: Column) -> DataFrame:
     """Item rows ready to insert, from entries (source_id, url, title, content_text, published_at).
 
-    Entries that fail their source's keyword rule are dropped. One projection after one lookup join.
+    Entries that fail their source's keyword rule are dropped; those of unknown sources are judged by the global words. One
+    projection after one lookup join.
     """
     rules = merge_filter_cfg(sources, global_cfg).select(
         "source_id", "include", "exclude", "whole_words", "competitor_id", "developer_id",
         F.col("region_tags").alias("source_region_ids"))
     text = normalize_text(F.col("content_text"))
-    rows = attach(entries, rules, ["source_id"], "inner").withColumn("_hay", search_text("url", "title", "content_text"))
-    rows = rows.where(explain_keywords(F.col("_hay"), F.col("include"), F.col("exclude"), F.col("whole_words"))["keep"])
+    rows = attach(entries, rules, ["source_id"]).withColumn("_hay", search_text("url", "title", "content_text"))
+    rows = rows.where(explain_keywords(F.col("_hay"), *effective_rule(global_cfg))["keep"])
     rows = rows.withColumns({
         "canonical_url": canonicalize_url(F.col("url")),
         "period_month": period_month(F.col("published_at"), now),

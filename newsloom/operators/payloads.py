@@ -277,7 +277,7 @@ def fact_keys(text: Column, citations: Column) -> Column:
     return F.array_distinct(F.concat(own, F.transform(urls, lambda u: F.concat(F.lit("u:"), u))))
 
 
-def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_id", max_rounds: int = 1000) -> DataFrame:
+def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_id") -> DataFrame:
     """Draft facts the summary lacks, each accepted fact hiding later ones that share a key with it.
 
     Drafts have (report, fact_no, text, citations), the summary (report, text, citations). The sequential
@@ -290,9 +290,7 @@ def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_i
     open_rows = stage(keyed.join(hidden, [report, "fact_no"], "left_anti"), "facts")
     free = open_rows.where("key is null").select(report, "fact_no")
     open_rows, accepted = open_rows.where("key is not null"), [free]
-    for _ in range(max_rounds):
-        if open_rows.isEmpty():
-            break
+    while not open_rows.isEmpty():
         first = open_rows.groupBy(report, "key").agg(F.min("fact_no").alias("first_no"))
         marked = open_rows.join(first, [report, "key"])
         won = stage(marked.groupBy(report, "fact_no").agg(F.min("first_no").alias("m")).where("m = fact_no")
@@ -301,8 +299,6 @@ def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_i
         taken = open_rows.join(won, [report, "fact_no"], "left_semi").select(report, "key")
         lost = open_rows.join(taken, [report, "key"], "left_semi").select(report, "fact_no").distinct()
         open_rows = stage(open_rows.join(lost, [report, "fact_no"], "left_anti"), "facts")
-    else:
-        raise RuntimeError("facts did not settle; raise max_rounds")
     kept = accepted[0]
     for more in accepted[1:]:
         kept = kept.unionByName(more)

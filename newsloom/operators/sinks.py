@@ -51,11 +51,23 @@ def touched_partitions(target: DataFrame, batch: DataFrame, partition: str) -> D
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], version: str,
                  partition: str) -> None:
-    """Rewrite only the touched partitions of a partitioned parquet table."""
+    """Rewrite only the touched partitions of a partitioned parquet table.
+
+    The table keeps its columns: those the batch lacks stay as they were for known keys and are null for new ones; columns
+    that the table doesn't have are refused.
+    """
     from ..session import stage
     if table_exists(spark, path):
         target = spark.read.parquet(path)
-        batch = upsert(touched_partitions(target, batch, partition).select(*batch.columns), batch, keys, version)
+        new = [c for c in batch.columns if c not in target.columns]
+        if new:
+            raise ValueError(f"the table at {path} has no columns {new}")
+        old = touched_partitions(target, batch, partition)
+        lacking = [c for c in target.columns if c not in batch.columns]
+        merged = upsert(old.select(*batch.columns), batch, keys, version)
+        if lacking:
+            merged = merged.join(keep_last(old.select(*keys, version, *lacking), keys, [version]).drop(version), list(keys), "left")
+        batch = merged.select(*target.columns)
     else:
         batch = keep_last(batch, keys, [version])
     (stage(batch, "upsert").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -166,9 +166,11 @@ def attach(facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left
            limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """Join ``facts`` with a lookup table whose keys ``on`` are unique.
 
-    The lookup is broadcast only when its measured size is within ``limit``. Beyond that both sides are
-    shuffled on (key, salt), so a key with a large share of the facts is spread over ``salts`` tasks.
+    The lookup is staged and measured by a job of its own, so its plan runs once. It is broadcast only when its size is
+    within ``limit``. Beyond that both sides are shuffled on (key, salt), so a key with a large share of the facts is spread over
+    ``salts`` tasks.
     """
+    dim = stage(dim, "lookup")
     if measured_bytes(dim) <= limit:
         return facts.join(F.broadcast(dim), list(on), how)
     plain = [c for c, t in facts.dtypes if not t.startswith("map")]

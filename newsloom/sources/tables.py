@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DATE_RANGE
 from ..functions.numbers import parse_value_change, rate_value
 from ..functions.text import SPACE_CLASS, strip
-from ..scale import CHUNK, attach, keep_first, order_chunks, scan, top_n
+from ..scale import CHUNK, attach, keep_first, keep_last, order_chunks, scan, top_n
 from ..session import stage
 
 # Default indicator and unit, header words, how far a value may follow its date,
@@ -75,7 +75,7 @@ def wide_rows_from_text(lines: DataFrame) -> DataFrame:
     rows = full.join(head, "doc_id", "left").withColumn("parts", parts).where(
         (F.size("parts") >= 2) & ~F.col("_l").rlike(r"(?iu)^№?\s*$") & ~F.col("_l").rlike(r"(?iu)^Наименование"))
     rows = rows.withColumn("name", strip(F.col("parts")[0])).where("name <> ''").where(~F.col("name").rlike(r"^\d+$"))
-    cells = rows.select("doc_id", "line_no", "name", "periods", F.posexplode(F.slice("parts", 2, 100_000)).alias("i", "cell"))
+    cells = rows.select("doc_id", "line_no", "name", "periods", F.posexplode(F.slice("parts", 2, F.size("parts"))).alias("i", "cell"))
     cells = cells.withColumn("c", parse_value_change(F.col("cell"))).where("c.value is not null")
     period = F.coalesce(F.get("periods", F.col("i")), F.col("i").cast("string"))
     named = cells.select("doc_id", "line_no", "i", *_row(F.col("name"), period, F.col("c.value"), F.col("c.change_pct"), F.lit(None)))
@@ -135,7 +135,9 @@ def unpivot_matrix(cells: DataFrame) -> DataFrame:
     name = name.where((F.col("name") != "") & (F.col("name") != NUMBER_SIGN) & ~F.col("name").rlike(rf"(?iu)^{NAME_WORD}"))
     values = body.where(F.col("col") > F.col("name_col")).select(
         "table_id", "row", (F.col("col") - F.col("name_col")).cast("long").alias("slot"), parse_value_change(F.col("text")).alias("c"))
-    values = stage(values.where("c.value is not null").join(numbered, ["table_id", "slot"]), "values")
+    values = values.where("c.value is not null").join(numbered, ["table_id", "slot"])
+    # of equal period headers the last one with a value counts
+    values = stage(keep_last(values, ["table_id", "row", "period"], ["slot"]), "values")
     filled = forward_fill_parent(name.join(values.select("table_id", "row").distinct(), ["table_id", "row"], "left_semi"),
                                  "table_id", ["row"])
     child = F.regexp_replace(F.col("name"), rf"^{DASH}+", "")
@@ -158,7 +160,8 @@ def table_fallback(cells: DataFrame) -> DataFrame:
         "table_id", "row", F.col("col").cast("long").alias("slot"), parse_value_change(F.col("text")).alias("c")).where("c.value is not null")
     joined = values.join(name, ["table_id", "row"]).join(numbered, ["table_id", "slot"], "left")
     period = F.coalesce("period", (F.col("slot") - 1).cast("string"))
-    return joined.select("table_id", "row", "slot", *_row(F.col("name"), period, F.col("c.value"), F.col("c.change_pct"), F.lit(None)))
+    joined = keep_last(joined.withColumn("period", period), ["table_id", "row", "period"], ["slot"])
+    return joined.select("table_id", "row", "slot", *_row(F.col("name"), F.col("period"), F.col("c.value"), F.col("c.change_pct"), F.lit(None)))
 
 
 def classify_table(cells: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import health, payloads, posts, sections, tagging
+from newsloom.session import new_path
 from newsloom.sources import articles, feeds, tables
 
 NOW = dt.datetime(2024, 1, 31, 12)
@@ -211,7 +213,7 @@ def test_sitemaps(spark):
     assert {r.url for r in feeds.expand_sitemap_index(p.where("url = 'r'").select("source_id", "url"), p, max_sitemaps=2).collect()} == {"r", "a"}
     visited = p.join(seen.select("url", "seq"), "url")
     assert [r["loc"] for r in feeds.sitemap_urls(visited, exclude="^skip").orderBy("seq", "position").collect()] == ["u1", "u2"]
-    assert [r["loc"] for r in feeds.sitemap_urls(visited, max_urls=1).collect()] == ["u1"]
+    assert [(r["loc"], r.left_out) for r in feeds.sitemap_urls(visited, max_urls=1).collect()] == [("u1", 2)]
     assert {r.url for r in feeds.sitemap_errors(p).collect()} == {"x"}
 
 
@@ -221,3 +223,74 @@ def test_disabled_groups(spark):
     left = sections.drop_disabled(g, off, unassigned=sections.NO_REGION)
     assert {r.item_id for r in left.collect()} == {2, 3}
     assert {r.item_id for r in sections.drop_disabled(g, off, sections.NO_REGION, False).collect()} == {2}
+
+
+def test_feed_forms(spark):
+    rss = "<rss><channel><item><title>R & D</title><link>https://a/1</link><description>s</description></item></channel></rss>"
+    prefixed = ('<?xml version="1.0"?><atom:feed xmlns:atom="x"><atom:entry><atom:title>T</atom:title><atom:link href="https://a/2"/>'
+                '<atom:content type="xhtml"><div xmlns="y"><p>one <b>two</b></p></div></atom:content></atom:entry></atom:feed>')
+    rdf = ('<rdf:RDF xmlns:rdf="r"><item><title>D</title><link>https://a/3</link><dc:date>2024-01-02T00:00:00Z</dc:date>'
+           '<content:encoded>&lt;p&gt;full&lt;/p&gt;</content:encoded></item></rdf:RDF>')
+    bad = {"b1": "<rss><channel><item>", "b2": "no xml", "b3": None, "b4": "<html><body>x</body></html>"}
+    rows = [("s", "f1", rss), ("s", "f2", prefixed), ("s", "f3", rdf), *[("s", k, v) for k, v in bad.items()]]
+    p = spark.createDataFrame(rows, "source_id string, url string, body string").withColumn("fetched_at", F.lit(NOW))
+    got = {r.url: (r.title, r.content_text, str(r.published_at)) for r in feeds.rss_items(p).collect()}
+    assert got == {"https://a/1": ("R & D", "s", "None"), "https://a/2": ("T", "one two", "None"), "https://a/3": ("D", "full", "2024-01-02 00:00:00")}
+    assert {r.url for r in feeds.feed_errors(p).collect()} == set(bad)
+
+
+def test_articles_with_odd_markup(spark):
+    deep = "<body>" + "<div>" * 5000 + "deep text</div>"
+    page = "<ul class=a><li>one<li>two<ul><li>inner</ul></ul><div class=b><section><p>far</p></section><p>near</p></div>"
+    df = spark.createDataFrame([(1, "u", deep), (2, "u", page), (3, "u", None), (4, "u", "<![x <p")], "page_id int, url string, html string")
+    template = {"detail": {"title": {"css": "div.b > p"}, "body": {"css": "body"}}, "min_fulltext_length": 1}
+    got = {r.page_id: r for r in articles.extract_articles(df, template).collect()}
+    assert len(got) == 4 and got[1].error is None and "deep text" in got[1].body_text and got[2].title == "near"
+    tree = articles.Tree()
+    tree.feed(page)
+    assert [n.text() for n in articles.select(tree.root, "ul.a > li")] == ["one", "two inner"]
+    assert [n.text() for n in articles.select(tree.root, "div p")] == ["far", "near"]
+    for css in ("a:hover", "> p", "p >"):
+        with pytest.raises(ValueError):
+            articles.extract_articles(df, {"detail": {"title": {"css": css}}})
+
+
+def test_equal_period_headers_keep_the_last(spark):
+    grid = [["Name", "2023", "2023", "2024"], ["a", "1", "2", "3"], ["b", "4", "", "5"]]
+    cells = spark.createDataFrame([("t", i, j, x) for i, row in enumerate(grid) for j, x in enumerate(row)], "table_id string, row int, col int, text string")
+    got = {(r.indicator_name, r.period): r.value for r in tables.unpivot_matrix(cells).collect()}
+    assert got == {("a", "2023"): 2.0, ("a", "2024"): 3.0, ("b", "2023"): 4.0, ("b", "2024"): 5.0}
+
+
+def test_clusters_in_several_parts(spark):
+    from newsloom.operators import batches, clusters
+    t = NOW
+    table = spark.createDataFrame([(1, 0, [2, 3], t), (1, 1, [4], t), (9, 0, [8], t)], "primary_id int, part_no int, related_item_ids array<int>, created_at timestamp")
+    items = spark.createDataFrame([(i, f"t{i}", f"u{i}", t) for i in (1, 2, 3, 4, 8, 9)], "item_id int, title string, url string, published_at timestamp")
+    rows = clusters.cluster_lookup(table, items)
+    assert sorted((r.primary_id, r.position, r.item_id) for r in rows.collect()) == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4), (9, 0, 9), (9, 1, 8)]
+    assert batches.cluster_lines(rows).where("position = -1").count() == 2
+    first = clusters.clusters_in_report(table, items, limit=1).collect()
+    assert sorted((r.primary_id, r.part_no, r.cluster_no) for r in first) == [(1, 0, 1), (1, 1, 1)]
+
+
+def test_facts_that_share_keys_in_a_chain(spark):
+    cite = lambda *urls: [{"url": u, "title": None} for u in urls]
+    kind = spark.sql(f"select cast(array() as array<{payloads.CITATION}>) c").schema["c"].dataType
+    names = [f.name for f in kind.elementType.fields]
+    row = lambda i: (1, i, f"fact number {i} about something", [tuple(c.get(n) for n in names) for c in cite(f"u{i}", f"u{i + 1}")])
+    ddl = f"report_id int, fact_no int, text string, citations {kind.simpleString()}"
+    drafts = spark.createDataFrame([row(i) for i in range(30)], ddl)
+    told = spark.createDataFrame([], ddl).drop("fact_no")
+    assert sorted(r.fact_no for r in payloads.missing_facts(drafts, told).collect()) == list(range(0, 30, 2))
+
+
+def test_upsert_keeps_other_columns(spark):
+    from newsloom.operators import sinks
+    path = new_path(spark, "wide")
+    rows = spark.createDataFrame([("A", 1, 1.0, "m", "note"), ("B", 1, 2.0, "m", "other")], "k string, v int, value double, month string, note string")
+    sinks.upsert_table(spark, path, rows, ["k"], "v", "month")
+    sinks.upsert_table(spark, path, spark.createDataFrame([("A", 2, 9.0, "m"), ("C", 1, 3.0, "m")], "k string, v int, value double, month string"), ["k"], "v", "month")
+    assert sorted((r.k, r.value, r.note) for r in spark.read.parquet(path).collect()) == [("A", 9.0, "note"), ("B", 2.0, "other"), ("C", 3.0, None)]
+    with pytest.raises(ValueError):
+        sinks.upsert_table(spark, path, rows.withColumn("extra", F.lit(1)), ["k"], "v", "month")
