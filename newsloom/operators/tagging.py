@@ -1,8 +1,8 @@
 """Entity mentions and region scores by term dictionaries.
 
-Dictionaries are compiled into one constant expression, so tagging is a projection of the item scan:
-no join, no shuffle, no Python. A dictionary of more than ``SLICE_TERMS`` terms is applied in slices whose
-results are concatenated; the answer does not depend on the slicing.
+A small dictionary is compiled into one constant expression, so tagging is a projection of the item scan: no join, no
+shuffle, no Python. Its cost is terms × text, so beyond ``SCAN_TERMS`` terms an Aho-Corasick automaton reads each text once
+instead, in Arrow batches. Dictionaries are fetched and applied in slices of bounded size; the answer depends on neither.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ SHORT_TERM = 3
 GENERIC_GEO_TERMS = ["республика", "народная", "национальная", "область", "край", "округ",
                      "город", "район", "фо", "россия", "рф"]
 
-SLICE_TERMS = 2_000
-DICTIONARY_BYTES = 256 * 1024 * 1024
+#: terms up to which a dictionary is searched term by term, and characters of terms in one slice
+SCAN_TERMS = 200
+SLICE_CHARS = 4_000_000
+WORD_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789" + "".join(map(chr, range(ord("а"), ord("я") + 1))) + "ё")
 
 
 def entity_terms(entities: DataFrame) -> DataFrame:
@@ -43,28 +46,57 @@ def region_terms(regions: DataFrame) -> DataFrame:
         F.concat(*[F.coalesce(c, none) for c in ("federal_subjects", "keywords", "geographic_aliases")]).alias("terms"))
 
 
-def _dictionary(terms: DataFrame, key: str) -> list[tuple[str, list[str]]]:
-    """Dictionary rows on the driver, after a check of their size."""
-    size = terms.agg(F.sum(F.octet_length(F.to_json("terms"))).alias("b")).first()["b"] or 0
-    if size > DICTIONARY_BYTES:
-        raise ValueError(f"{size} bytes of terms; a dictionary may hold {DICTIONARY_BYTES}")
-    rows = terms.select(key, F.transform("terms", lambda t: strip(F.lower(F.coalesce(t, F.lit("")))))).collect()
-    return sorted((r[0], [t for t in r[1] if t]) for r in rows)
+Entries = list[tuple[str, list[str]]]
 
 
-def _slices(entries: list[tuple[str, list[str]]]) -> Iterator[list[tuple[str, list[str]]]]:
-    """Cut a dictionary into runs of at most SLICE_TERMS terms; one key never spans two runs of scores."""
+def _dictionary(terms: DataFrame, key: str) -> Iterator[Entries]:
+    """Slices of (key, terms) in key order, each of at most SLICE_CHARS characters (or one key); fetched partition by partition."""
+    rows = terms.select(F.col(key).alias("key"), F.transform("terms", lambda t: strip(F.lower(F.coalesce(t, F.lit(""))))).alias("terms")).orderBy("key", "terms")
     run, n = [], 0
-    for key, terms in entries:
-        if run and n + len(terms) > SLICE_TERMS:
+    for r in rows.toLocalIterator():
+        words = [t for t in r.terms if t]
+        size = sum(map(len, words)) + len(words)
+        if run and n + size > SLICE_CHARS:
             yield run
             run, n = [], 0
-        run.append((key, terms))
-        n += len(terms)
+        run.append((r.key, words))
+        n += size
     if run:
         yield run
 
 
+def _few(entries: Entries) -> bool:
+    return sum(len(terms) for _, terms in entries) <= SCAN_TERMS
+
+
+class TermScan:
+    """All terms of a slice in one pass over a text. ``patterns`` maps a string to the uses made of it, with its boundary rule."""
+
+    def __init__(self, patterns: dict[str, list[tuple[str, object]]]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for p, uses in patterns.items():
+            self.automaton.add_word(p, (len(p), uses))
+        self.automaton.make_automaton()
+
+    def hits(self, text: str) -> set:
+        found = set()
+        if not text or not len(self.automaton):
+            return found
+        for last, (n, uses) in self.automaton.iter(text):
+            for rule, use in uses:
+                if use in found:
+                    continue
+                begin = last - n + 1
+                if rule != "any" and begin > 0 and text[begin - 1] in WORD_CHARS:
+                    continue
+                if rule == "alone" and last + 1 < len(text) and text[last + 1] in WORD_CHARS:
+                    continue
+                found.add(use)
+        return found
+
+
 def _constant(value: object, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
 
@@ -77,16 +109,32 @@ def _at_word_start(term: str) -> str:
     return rf"(?<![{WORD}])\Q{term}\E"
 
 
-def mentions(text: Column, entries: list[tuple[str, list[str]]]) -> Column:
+def mentions(text: Column, slices: Iterator[Entries]) -> Column:
     """Ids whose terms occur in ``text`` (from ``tagging_text``), sorted.
 
     Terms up to three characters must stand alone; longer ones match anywhere.
     """
-    parts = [_mentions_slice(text, s) for s in _slices(entries)]
+    parts = [_mentions_slice(text, s) if _few(s) else _mentions_scan(text, s) for s in slices]
     none = F.expr("cast(array() as array<string>)")
     return F.array_sort(F.concat(*parts)) if parts else none
 
 
+def _mentions_scan(text: Column, entries: Entries) -> Column:
+    built = []
+
+    @F.pandas_udf("array<string>")
+    def scan(texts: pd.Series) -> pd.Series:
+        if not built:
+            patterns = {}
+            for i, (_, terms) in enumerate(entries):
+                for t in terms:
+                    patterns.setdefault(t, []).append(("alone" if len(t) <= SHORT_TERM else "any", i))
+            built.append(TermScan(patterns))
+        return pd.Series([[entries[i][0] for i in sorted(built[0].hits(t))] for t in texts])
+
+    return F.when(text.isNotNull(), scan(text)).otherwise(F.expr("cast(array() as array<string>)"))
+
+
 def _mentions_slice(text: Column, entries) -> Column:
     spec = [{"id": k, "long": [t for t in terms if len(t) > SHORT_TERM],
              "short": [{"t": t, "alone": _alone(t)} for t in terms if len(t) <= SHORT_TERM]} for k, terms in entries]
@@ -137,17 +185,50 @@ def _usable(term: str) -> bool:
     return len(term) >= 2 and term not in GENERIC_GEO_TERMS
 
 
-def region_scores(title: Column, body: Column, entries: list[tuple[str, list[str]]]) -> Column:
+def region_scores(title: Column, body: Column, slices: Iterator[Entries]) -> Column:
     """array<struct<region_id,score>> of the regions with a positive score, rounded to 6 digits.
 
     A title hit is worth 4 to 6 points, a hit in the first 300 characters of the body about 1.2 to 2.2,
     one further down 0.45 to 0.8; longer terms weigh more.
     """
-    parts = [_scores_slice(title, body, s) for s in _slices(entries)]
+    parts = [_scores_slice(title, body, s) if _few(s) else _scores_scan(title, body, s) for s in slices]
     empty = F.expr("cast(array() as array<struct<region_id:string,score:double>>)")
     return F.concat(*parts) if parts else empty
 
 
+def _scores_scan(title: Column, body: Column, entries: Entries) -> Column:
+    built = []
+
+    @F.pandas_udf("array<struct<region_id:string,score:double>>")
+    def scan(titles: pd.Series, bodies: pd.Series) -> pd.Series:
+        if not built:
+            patterns = {}
+            for i, (_, terms) in enumerate(entries):
+                for j, t in enumerate(filter(_usable, terms)):
+                    use = (i, j, min(len(t), 16) / 16.0)
+                    if len(t) <= SHORT_TERM:
+                        patterns.setdefault(t, []).append(("alone", use))
+                    else:
+                        patterns.setdefault(t, []).append(("any", use))
+                        patterns.setdefault(t[:-1], []).append(("start", use))
+            built.append(TermScan(patterns))
+        out = []
+        for title_, body_ in zip(titles, bodies):
+            top, body_ = built[0].hits(title_ or ""), body_ or ""
+            head = built[0].hits(body_[:300])
+            whole = built[0].hits(body_)
+            scores: dict[int, float] = {}
+            for use in sorted(top | head | whole):
+                i, _, s = use
+                in_title = 4.0 + s * 2.0 if use in top else 0.0
+                in_body = 1.2 + s if use in head else 0.45 + s * 0.35 if use in whole else 0.0
+                scores[i] = scores.get(i, 0.0) + in_title + in_body
+            out.append([{"region_id": entries[i][0], "score": scores[i]} for i in sorted(scores)])
+        return pd.Series(out)
+
+    return F.transform(scan(title, body), lambda r: F.struct(r["region_id"].alias("region_id"), F.round(r["score"], 6).alias("score")))
+
+
 def _scores_slice(title: Column, body: Column, entries) -> Column:
     spec = []
     for key, terms in entries:

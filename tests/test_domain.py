@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,10 +61,30 @@ def test_sliced_dictionaries_agree(spark, monkeypatch):
                               "entity_id int, name string, aliases array<string>, tags array<string>, is_active boolean")
     i = item(spark, "", "term3x term17x term39x", [])
     whole = tagging.tag_entities(i, e, F.col("content_text")).first().mentions
-    monkeypatch.setattr(tagging, "SLICE_TERMS", 7)
+    monkeypatch.setattr(tagging, "SLICE_CHARS", 50)
     assert tagging.tag_entities(i, e, F.col("content_text")).first().mentions == whole == ["17", "3", "39"]
 
 
+def test_term_by_term_and_one_scan_agree(spark, monkeypatch):
+    rnd = random.Random(3)
+    syllables = ["ка", "зань", "мо", "сква", "ab", "c1", "x", "пик", "ё", "-", "области"]
+    term = lambda n: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, n)))
+    names = [[term(4) for _ in range(3)] for _ in range(60)]
+    r = regions(spark, *[(f"R{i}", t) for i, t in enumerate(names)])
+    e = spark.createDataFrame([(i, t[0], t[1:], [], True) for i, t in enumerate(names)], "entity_id int, name string, aliases array<string>, tags array<string>, is_active boolean")
+    texts = [(" ".join(term(4) for _ in range(6)), " ".join(term(5) for _ in range(120))) for _ in range(40)] + [("", ""), (None, None)]
+    df = spark.createDataFrame([(i, a, b, []) for i, (a, b) in enumerate(texts)], "item_id int, title string, content_text string, source_region_ids array<string>")
+
+    def run():
+        tagged = tagging.score_regions(tagging.tag_entities(df, e, F.col("content_text")), r, F.col("title"), F.col("content_text"))
+        return {x.item_id: (x.mentions, sorted(map(tuple, x.scores))) for x in tagged.collect()}
+
+    monkeypatch.setattr(tagging, "SCAN_TERMS", 0)
+    scanned = run()
+    monkeypatch.setattr(tagging, "SCAN_TERMS", 10_000)
+    assert run() == scanned
+
+
 def test_rate_tables(spark):
     text = """
     Период действия ставки | Значение
