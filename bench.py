@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from newsloom.plans.catalog import QUERIES
@@ -23,7 +24,7 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="newsloom-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     # start the JVM's and the Python workers' machinery before timing
     QUERIES["head_chars"](spark, root).limit(1).collect()

@@ -37,18 +37,33 @@ def _chunked(rows: DataFrame, row_id: str, line: Column, by: str | None = None)
 
 
 def feed_payloads(t) -> DataFrame:
-    """documents as feeds of twenty entries: even parts RSS, odd parts Atom."""
+    """documents, whole texts, as feeds of twenty entries: even parts RSS, odd parts Atom, every second Atom feed with prefixes.
+
+    Even items carry their text as full content, odd ones as description or summary; every third Atom content is XHTML.
+    """
     i = items(t)
     odd = F.floor(F.col("item_id") / PER_FEED) % 2 == 1
+    full = F.col("item_id") % 2 == 0
     iso = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rfc = F.concat(F.lit("Mon, "), F.date_format("published_at", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
-    rss = F.concat(F.lit("<item><title>"), xml(F.col("title")), F.lit("</title><link>"), "url", F.lit("</link><description>"),
-                   xml(F.concat(F.lit("<p>"), "snippet", F.lit("</p>"))), F.lit("</description><pubDate>"), rfc, F.lit("</pubDate></item>"))
-    atom = F.concat(F.lit("<entry><title>"), xml(F.col("title")), F.lit('</title><link rel="alternate" href="'), "url", F.lit('"/><id>x</id><summary>'),
-                    xml(F.col("snippet")), F.lit("</summary><updated>"), iso, F.lit("</updated></entry>"))
+    markup = F.concat(F.lit("<p>"), xml(F.coalesce("content_text", F.lit(""))), F.lit("</p>"))
+
+    def tag(name: str, value: Column, attrs: str = "") -> Column:
+        return F.concat(F.lit(f"<{name}{attrs}>"), value, F.lit(f"</{name}>"))
+
+    rss = tag("item", F.concat(
+        tag("title", xml(F.col("title"))), tag("link", F.col("url")),
+        F.when(full, F.concat(tag("description", F.lit("short")), tag("content:encoded", xml(markup)))).otherwise(tag("description", xml(markup))),
+        tag("pubDate", rfc)))
+    content = F.when(F.col("item_id") % 3 == 0, tag("content", tag("div", markup), ' type="xhtml"')).otherwise(tag("content", xml(markup), ' type="html"'))
+    atom = tag("entry", F.concat(
+        tag("title", xml(F.col("title"))), F.lit('<link rel="alternate" href="'), "url", F.lit('"/><id>x</id>'),
+        F.when(full, F.concat(tag("summary", F.lit("short")), content)).otherwise(tag("summary", xml(markup), ' type="html"')), tag("updated", iso)))
     body = _chunked(i, "item_id", F.when(odd, atom).otherwise(rss))
-    wrapped = F.when(F.col("part") % 2 == 1, F.concat(F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">'), "body", F.lit("</feed>"))).otherwise(
-        F.concat(F.lit('<rss version="2.0"><channel><title>t</title>'), "body", F.lit("</channel></rss>")))
+    feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "body", F.lit("</feed>"))
+    prefixed = F.replace(F.regexp_replace(feed, "(</?)([a-z]+)", "$1a:$2"), F.lit("xmlns="), F.lit("xmlns:a="))
+    wrapped = F.when(F.col("part") % 4 == 1, F.concat(F.lit('<?xml version="1.0"?>'), feed)).when(F.col("part") % 4 == 3, prefixed).otherwise(
+        F.concat(F.lit('<rss version="2.0" xmlns:content="c"><channel><title>t</title>'), "body", F.lit("</channel></rss>")))
     return body.select(F.concat(F.lit("src"), F.col("part").cast("string")).alias("source_id"), F.lit("https://feeds.example/f").alias("url"),
                        wrapped.alias("body"), F.timestamp_seconds(F.lit(ITEM_START) + F.col("part")).alias("fetched_at"))
 
@@ -57,7 +72,7 @@ CLEAN = r"regexp_replace({0}, '[\x01-\x08\x0b\x0c\x0e-\x1f]', '', 'g')"
 
 
 @query("rss_items", f"""
-WITH {ITEMS} SELECT url, trim({CLEAN.format('title')}) AS title, trim({CLEAN.format('snippet')}) AS content_text, {ts_sql('published_at')} AS published_at FROM items""")
+WITH {ITEMS} SELECT url, trim({CLEAN.format('title')}) AS title, {NORM.replace('text', CLEAN.format('content_text'))} AS content_text, {ts_sql('published_at')} AS published_at FROM items""")
 def _(t):
     r = feeds.rss_items(feed_payloads(t))
     return r.select("url", F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("content_text", F.lit("")).alias("content_text"),

@@ -47,7 +47,7 @@ def feed_body(body: Column) -> Column:
     """The feed as its schema expects it: no prefixes but those of content:encoded and dc:date, bare ampersands escaped, XHTML as text."""
     plain = F.regexp_replace(body, r"(</?)(?!content:encoded|dc:date)[A-Za-z_][\w.\-]*:", "$1")
     plain = F.regexp_replace(plain, r"&(?!#?\w+;)", "&amp;")
-    return F.regexp_replace(plain, r"""(?s)(<(content|summary|title)\b[^>]*\btype\s*=\s*["']xhtml["'][^>]*>)((?:(?!<!\[CDATA\[).)*?)(</\2>)""", "$1<![CDATA[$3]]>$4")
+    return F.regexp_replace(plain, r"""(?s)(<(content|summary|title)\b[^>]*\btype\s*=\s*["']xhtml["'][^>]*>)(.*?)(</\2>)""", "$1<![CDATA[$3]]>$4")
 
 
 def feed_kind(body: Column) -> Column:

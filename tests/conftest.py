@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ from newsloom.session import build_session  # noqa: E402
 def spark():
     s = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "6", "spark.driver.memory": "6g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="newsloom-tests-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
