@@ -150,9 +150,10 @@ def _(t):
 
 
 @query("selected_links", r"""
-SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?is)<a\s+href="([^"]+)"', 1)) FROM pages) GROUP BY 1""")
+SELECT page_id, replace(unnest(h), '&amp;', '&') AS href, generate_subscripts(h, 1) - 1 AS position FROM (
+  SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?is)<a\s+href="([^"]+)"', 1) AS h FROM pages)""")
 def _(t):
-    return articles.selected_links(t.pages, "nav a").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    return articles.selected_links(t.pages, "nav a").select("page_id", "href", "position")
 
 
 def bot_payloads(t) -> DataFrame:

@@ -246,10 +246,9 @@ def _(t):
     return sections.group_by_region(i, regions(t), disabled=["4"]).select("section_name", "item_id")
 
 
-@query("group_by_channel", f"WITH {LINKED} SELECT coalesce(label, 'Без источника') AS section_name, count(*) AS items FROM linked GROUP BY 1")
+@query("group_by_channel", f"WITH {LINKED} SELECT coalesce(label, 'Без источника') AS section_name, item_id FROM linked")
 def _(t):
-    g = sections.group_by_channel(sections.with_source(items(t), sources(t)))
-    return g.groupBy("section_name").agg(F.count(F.lit(1)).alias("items"))
+    return sections.group_by_channel(sections.with_source(items(t), sources(t))).select("section_name", "item_id")
 
 
 @query("general_items", f"""

@@ -62,6 +62,11 @@ def _(t):
     return filters.filter_cleanup(items(t), sources(t), GLOBAL)[1]
 
 
+@query("filter_cleanup_kept", f"WITH {RULES_SQL} SELECT item_id FROM judged WHERE len(bad) = 0 AND (n = 0 OR len(good) > 0)")
+def _(t):
+    return filters.filter_cleanup(items(t), sources(t), GLOBAL)[0].select("item_id")
+
+
 @query("merge_filter_cfg", f"""
 WITH {SOURCES} SELECT source_id, array_to_string(list_concat(include_words, ['und']), '|') AS include,
   array_to_string(list_concat(exclude_words, ['cionado']), '|') AS exclude, match_whole_words AS whole_words FROM sources""")
@@ -221,9 +226,9 @@ def _(t):
     return paging.page_indicators(indicator_rows(t), 20, 40).select("indicator_name", "period", "value")
 
 
-@query("cap_newest", f"WITH {ITEMS} SELECT item_id FROM items ORDER BY published_at DESC, item_id LIMIT 5000")
+@query("cap_newest", f"WITH {ITEMS} SELECT item_id FROM items ORDER BY published_at DESC, item_id LIMIT 150")
 def _(t):
-    return paging.cap_newest(items(t), 5000, "published_at", "item_id").select("item_id")
+    return paging.cap_newest(items(t), 150, "published_at", "item_id").select("item_id")
 
 
 @query("state_listing", f"""
