@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..functions.dates import parse_iso_ts
 from ..functions.text import blank_to_null, classify_fact, let, strip, strip_emoji
 from ..scale import attach, keep_first
 from ..session import stage
+from .clusters import connected_components
 
 CITATION = "struct<label:string,url:string>"
 BULLET = f"struct<text:string,citations:array<{CITATION}>>"
@@ -277,19 +279,9 @@ def fact_keys(text: Column, citations: Column) -> Column:
     return F.array_distinct(F.concat(own, F.transform(urls, lambda u: F.concat(F.lit("u:"), u))))
 
 
-def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_id") -> DataFrame:
-    """Draft facts the summary lacks, each accepted fact hiding later ones that share a key with it.
-
-    Drafts have (report, fact_no, text, citations), the summary (report, text, citations). The sequential
-    rule is solved in rounds: a fact that is first on all of its keys is accepted, facts sharing a key with an
-    accepted one drop out, and the rest go into the next round. Adds the subsection the fact belongs to.
-    """
-    keyed = drafts.select(report, "fact_no", F.explode_outer(fact_keys(F.col("text"), F.col("citations"))).alias("key"))
-    told = summary.select(report, F.explode(fact_keys(F.col("text"), F.col("citations"))).alias("key")).distinct()
-    hidden = keyed.join(told, [report, "key"], "left_semi").select(report, "fact_no").distinct()
-    open_rows = stage(keyed.join(hidden, [report, "fact_no"], "left_anti"), "facts")
-    free = open_rows.where("key is null").select(report, "fact_no")
-    open_rows, accepted = open_rows.where("key is not null"), [free]
+def _accepted_in_rounds(open_rows: DataFrame, report: str) -> list[DataFrame]:
+    """Groups too large for one task: a fact that is first on all of its keys is accepted, facts sharing a key with it drop out, and so on."""
+    accepted = []
     while not open_rows.isEmpty():
         first = open_rows.groupBy(report, "key").agg(F.min("fact_no").alias("first_no"))
         marked = open_rows.join(first, [report, "key"])
@@ -299,7 +291,46 @@ def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_i
         taken = open_rows.join(won, [report, "fact_no"], "left_semi").select(report, "key")
         lost = open_rows.join(taken, [report, "key"], "left_semi").select(report, "fact_no").distinct()
         open_rows = stage(open_rows.join(lost, [report, "fact_no"], "left_anti"), "facts")
-    kept = accepted[0]
-    for more in accepted[1:]:
+    return accepted
+
+
+def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_id", group_rows: int = 200_000) -> DataFrame:
+    """Draft facts the summary lacks, each accepted fact hiding later ones that share a key with it.
+
+    Drafts have (report, fact_no, text, citations), the summary (report, text, citations). The sequential
+    rule is applied to each group of facts connected by keys: in one task up to ``group_rows`` keys, in rounds beyond that. Adds the
+    subsection the fact belongs to. Runs several jobs.
+    """
+    keyed = drafts.select(report, "fact_no", F.explode_outer(fact_keys(F.col("text"), F.col("citations"))).alias("key"))
+    told = summary.select(report, F.explode(fact_keys(F.col("text"), F.col("citations"))).alias("key")).distinct()
+    hidden = keyed.join(told, [report, "key"], "left_semi").select(report, "fact_no").distinct()
+    open_rows = stage(keyed.join(hidden, [report, "fact_no"], "left_anti"), "facts")
+    free = open_rows.where("key is null").select(report, "fact_no")
+    open_rows = open_rows.where("key is not null")
+
+    # facts that share no key, directly or over others, don't influence each other
+    node = lambda c: F.concat_ws(":", F.col(report).cast("string"), F.col(c).cast("string"))
+    first = open_rows.groupBy(report, "key").agg(F.min("fact_no").alias("first_no"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = open_rows.join(first, [report, "key"]).where("fact_no <> first_no").select(node("fact_no").alias("a"), node("first_no").alias("b"))
+    groups = connected_components(edges, "a", "b")
+    placed = stage(open_rows.join(groups, node("fact_no") == F.col("node"), "left").select(report, "fact_no", "key", "component"), "facts")
+    alone = placed.where("component is null").select(report, "fact_no").distinct()
+    linked = placed.where("component is not null")
+    sizes = stage(linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    types = dict(placed.dtypes)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, won = set(), []
+        for no, keys in sorted(pdf.groupby("fact_no")["key"].agg(list).items()):
+            if taken.isdisjoint(keys):
+                taken.update(keys)
+                won.append(no)
+        return pd.DataFrame({report: pdf[report].iloc[0], "fact_no": won})
+
+    small = linked.join(sizes.where(F.col("n") <= group_rows).select("component"), "component", "left_semi")
+    kept = free.unionByName(alone).unionByName(small.groupBy("component").applyInPandas(
+        walk, f"{report} {types[report]}, fact_no {types['fact_no']}"))
+    large = linked.join(sizes.where(F.col("n") > group_rows).select("component"), "component", "left_semi").drop("component")
+    for more in _accepted_in_rounds(large, report):
         kept = kept.unionByName(more)
     return drafts.join(kept, [report, "fact_no"], "left_semi").withColumn("sub_title", classify_fact(F.col("text")))

@@ -301,9 +301,11 @@ def test_facts_that_share_keys_in_a_chain(spark):
     names = [f.name for f in kind.elementType.fields]
     row = lambda i: (1, i, f"fact number {i} about something", [tuple(c.get(n) for n in names) for c in cite(f"u{i}", f"u{i + 1}")])
     ddl = f"report_id int, fact_no int, text string, citations {kind.simpleString()}"
-    drafts = spark.createDataFrame([row(i) for i in range(30)], ddl)
+    drafts = spark.createDataFrame([row(i) for i in range(1000)], ddl)
     told = spark.createDataFrame([], ddl).drop("fact_no")
-    assert sorted(r.fact_no for r in payloads.missing_facts(drafts, told).collect()) == list(range(0, 30, 2))
+    assert sorted(r.fact_no for r in payloads.missing_facts(drafts, told).collect()) == list(range(0, 1000, 2))
+    few = drafts.where("fact_no < 10")
+    assert sorted(r.fact_no for r in payloads.missing_facts(few, told, group_rows=5).collect()) == list(range(0, 10, 2))
 
 
 def test_upsert_keeps_other_columns(spark):
