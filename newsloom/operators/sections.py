@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
-from ..scale import attach
+from ..scale import attach, ranked, top_n
 
 # Labels of the groups without a region or a source.
 NO_REGION = "Без региона"
@@ -139,6 +139,47 @@ def assign_theme(items: DataFrame, themes: Sequence[tuple[str, Sequence[str]]] |
     return items.withColumn("theme", F.transform(F.array(hay), pick)[0])
 
 
+def report_rows(joined: DataFrame, competitors: DataFrame, developers: DataFrame, regions: DataFrame,
+                per_section: int | None = None) -> DataFrame:
+    """The whole report as one long table (section_kind, section_name, item_id, rank), newest items first.
+
+    ``joined`` carries what the single groupings need: primary ids and confirmed mentions of both kinds, region_ids, source_label and
+    theme. Every item is read once and sent to all its sections; kinds are competitor, developer, region, channel, theme and
+    general (items of no competitor and no developer). With ``per_section`` each section keeps its newest items.
+    """
+    none = F.expr("cast(array() as array<struct<section_kind:string,entity_id:string>>)")
+
+    def keys(kind: str, ids: Column) -> Column:
+        found = F.transform(F.array_distinct(ids), lambda x: F.struct(F.lit(kind).alias("section_kind"), x.cast("string").alias("entity_id")))
+        return F.coalesce(found, none)
+
+    def entity(kind: str) -> Column:
+        primary = F.col(f"primary_{kind}_id").cast("string")
+        return F.when(primary.isNotNull(), F.array(primary)).otherwise(F.transform(f"{kind}_mentions", lambda x: x.cast("string")))
+
+    somewhere = F.coalesce(F.size("region_ids"), F.lit(0)) > 0
+    lone = [F.coalesce(F.size(entity(k)), F.lit(0)) <= 0 for k in ("competitor", "developer")]
+    sections = F.concat(
+        keys("competitor", entity("competitor")), keys("developer", entity("developer")),
+        keys("region", F.when(somewhere, F.col("region_ids")).otherwise(F.array(F.lit(None).cast("string")))),
+        keys("channel", F.array(F.coalesce("source_label", F.lit(NO_SOURCE)))), keys("theme", F.array("theme")),
+        F.when(lone[0] & lone[1], keys("general", F.array(F.lit("")))).otherwise(none))
+    rows = joined.select("item_id", "published_at", F.explode(sections).alias("k")).select("item_id", "published_at", "k.*")
+    names = None
+    for kind, dim, key in (("competitor", competitors, "entity_id"), ("developer", developers, "entity_id"), ("region", regions.where("is_active"), "region_id")):
+        part = dim.select(F.lit(kind).alias("section_kind"), F.col(key).cast("string").alias("entity_id"), "name")
+        names = part if names is None else names.unionByName(part)
+    rows = attach(rows, names, ["section_kind", "entity_id"])
+    label = F.when((F.col("section_kind") == "region") & F.col("entity_id").isNull(), F.lit(NO_REGION)).otherwise(
+        F.coalesce(F.nullif("name", F.lit("")), "entity_id"))
+    rows = rows.select("section_kind", label.alias("section_name"), "item_id",
+                       F.coalesce(-F.unix_micros("published_at"), F.lit(2 ** 62)).alias("_age"))
+    group = ["section_kind", "section_name"]
+    if per_section is None:
+        return ranked(rows, group, ["_age", "item_id"]).drop("_age")
+    return top_n(rows, group, [F.col("_age"), F.col("item_id")], per_section).drop("_age")
+
+
 def referenced_ids(joined: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
     """Distinct entity ids a report refers to: primary, mentioned, and those of the items' sources."""
     own = joined.select(F.col(f"primary_{kind}_id").alias("entity_id"))

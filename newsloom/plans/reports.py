@@ -267,6 +267,40 @@ def _(t):
     return sections.assign_theme(items(t), THEMES).select("item_id", "theme")
 
 
+REPORT_SQL = f"""
+WITH {LINKED}, placed AS (
+  SELECT 'competitor' AS section_kind, section_name, item_id FROM by_competitor UNION ALL SELECT 'developer', section_name, item_id FROM by_developer
+  UNION ALL SELECT 'channel', coalesce(label, 'Без источника'), item_id FROM linked
+  UNION ALL SELECT 'general', '', item_id FROM linked WHERE pc IS NULL AND pd IS NULL AND item_id NOT IN (SELECT item_id FROM c_found) AND item_id NOT IN (SELECT item_id FROM d_found)
+  UNION ALL SELECT 'theme', CASE WHEN contains(h, 'reation') OR contains(h, 'eauon') THEN 'Alpha' WHEN contains(h, 'the') THEN 'Beta'
+    WHEN contains(h, 'und') OR contains(h, 'que') THEN 'Gamma' ELSE 'Rest' END, item_id FROM (SELECT item_id, lower(title || ' ' || snippet) AS h FROM items)
+  UNION ALL SELECT 'region', section_name, item_id FROM (
+    WITH {scores_sql("title", "content_text || ' ' || snippet")}, {PICK_SQL.format(n=1)}, {names_sql('regions', REGIONS)},
+    chosen AS (SELECT item_id, CASE WHEN ids IS NOT NULL THEN [ids] ELSE region_tags END AS ids FROM texts LEFT JOIN picked USING (item_id)),
+    flat AS (SELECT item_id, unnest(CASE WHEN len(ids) = 0 THEN [NULL] ELSE ids END) AS region_id FROM chosen)
+    SELECT CASE WHEN region_id IS NULL THEN 'Без региона' ELSE coalesce(r.name, region_id) END AS section_name, item_id
+    FROM flat LEFT JOIN regions r ON r.is_active AND CAST(r.entity_id AS VARCHAR) = region_id)),
+numbered AS (SELECT section_kind, section_name, item_id, row_number() OVER (PARTITION BY section_kind, section_name ORDER BY published_at DESC, item_id) AS rank
+  FROM placed JOIN items USING (item_id))
+SELECT * FROM numbered"""
+
+
+def report_rows(t, per_section=None):
+    j = tagging.effective_regions(sections.assign_theme(linked_items(t), THEMES), regions(t))
+    return sections.report_rows(j, _names(competitors(t)), _names(developers(t)), regions(t), per_section)
+
+
+@query("report_rows", REPORT_SQL)
+def _(t):
+    """The report as one table."""
+    return report_rows(t)
+
+
+@query("report_rows_capped", REPORT_SQL + " WHERE rank <= 5")
+def _(t):
+    return report_rows(t, per_section=5)
+
+
 @query("sync_entity_links", f"""
 WITH {ITEMS}, {SOURCES}, x AS (SELECT item_id, source_id, CASE WHEN item_id % 2 = 0 THEN 4 END AS c0, CASE WHEN item_id % 3 = 0 THEN 1 END AS d0, competitor_id AS c, developer_id AS d,
   competitor_id IS NOT NULL OR developer_id IS NOT NULL AS hit FROM items LEFT JOIN sources USING (source_id))
