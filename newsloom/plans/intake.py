@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import canonicalize_url
 from ..operators.ingest import enrich_items
 from ..session import new_path
-from ..sources import articles, feeds, html, posts, quotes
+from ..sources import articles, entries, feeds, html, posts, quotes
 from ..streaming import jobs
 from .registry import joined, query, ts_text
 from .reports import MEMBERS_SQL
@@ -250,6 +250,17 @@ def _(t):
                     joined(F.col("region_ids")).alias("regions"), F.col("period_month").cast("string").alias("month"))
 
 
+@query("feed_entries", f"""
+WITH {ITEMS} SELECT url, {NORM.replace('text', CLEAN.format('content_text'))} AS content_text, item_id % 2 = 0 AND item_id // {PER_FEED} % 2 = 0 AS short_summary,
+  {ts_sql("TIMESTAMP '2024-01-01' + to_seconds(item_id // " + str(PER_FEED) + ")")} AS fetched_at FROM items""")
+def _(t):
+    """Feed items in the entry schema of all connectors."""
+    e = entries.entries(feeds.rss_items(feed_payloads(t)))
+    short = (F.col("summary") == "short") & F.col("source_id").rlike("[02468]$")
+    return e.select("url", F.coalesce("content_text", F.lit("")).alias("content_text"), F.coalesce(short, F.lit(False)).alias("short_summary"),
+                    ts_text(F.col("fetched_at")).alias("fetched_at"))
+
+
 def _stream(t, name: str) -> DataFrame:
     """The same parquet table as a file stream."""
     schema = getattr(t, name).schema

@@ -34,16 +34,17 @@ def channel_messages(messages: DataFrame, channel: Column) -> DataFrame:
 def bot_messages(payloads: DataFrame) -> DataFrame:
     """Messages in bot API answers (source_id, channel_id, body, fetched_at): an array, or an object holding one.
 
-    (source_id, channel_id, message_id, url, title, content_text, published_at); messages without an id or
+    (source_id, channel_id, message_id, url, title, content_text, published_at, fetched_at); messages without an id or
     text are left out.
     """
     names = ["messages", "items", "data", "results"]
     holder = F.from_json("body", ", ".join(f"{n} array<{BOT_MESSAGE}>" for n in names))
     listed = F.when(F.col("body").rlike(r"^\s*\["), F.from_json("body", f"array<{BOT_MESSAGE}>")).otherwise(
         F.coalesce(*[holder[n] for n in names]))
-    m = payloads.select("source_id", "channel_id", F.explode(listed).alias("m"))
+    fetched = [c for c in ("fetched_at",) if c in payloads.columns]
+    m = payloads.select("source_id", "channel_id", *fetched, F.explode(listed).alias("m"))
     rows = m.select(
-        "source_id", "channel_id",
+        "source_id", "channel_id", *fetched,
         strip(_first(F.col("m.message_id"), F.col("m.messageId"), F.col("m.id"))).alias("message_id"),
         normalize_text(_first(F.col("m.text"), F.col("m.body.text"), F.col("m.payload.text"))).alias("content_text"),
         strip(_first(F.col("m.url"), F.col("m.link"))).alias("link"),
@@ -51,16 +52,17 @@ def bot_messages(payloads: DataFrame) -> DataFrame:
     rows = rows.where("message_id is not null and content_text <> ''")
     own = F.concat(F.lit("max://"), F.col("channel_id"), F.lit("/"), F.col("message_id"))
     return rows.select("source_id", "channel_id", "message_id", F.coalesce("link", own).alias("url"),
-                       head_chars(F.col("content_text"), 120).alias("title"), "content_text", "published_at")
+                       head_chars(F.col("content_text"), 120).alias("title"), "content_text", "published_at", *fetched)
 
 
 def wall_posts(payloads: DataFrame) -> DataFrame:
     """Posts in wall API answers (source_id, body, fetched_at): reposts stand in for an empty text."""
-    x = payloads.select("source_id", F.from_json("body", WALL).alias("x")).where("x.error is null")
-    p = x.select("source_id", F.explode("x.response.items").alias("p")).where("p.id > 0")
+    fetched = [c for c in ("fetched_at",) if c in payloads.columns]
+    x = payloads.select("source_id", *fetched, F.from_json("body", WALL).alias("x")).where("x.error is null")
+    p = x.select("source_id", *fetched, F.explode("x.response.items").alias("p")).where("p.id > 0")
     text = normalize_text(_first(F.col("p.text"), F.get("p.copy_history", F.lit(0))["text"]))
     rows = p.select(
-        "source_id", F.col("p.id").alias("message_id"), text.alias("content_text"),
+        "source_id", *fetched, F.col("p.id").alias("message_id"), text.alias("content_text"),
         F.concat(F.lit("https://vk.com/wall"), F.coalesce("p.owner_id", F.lit(0)).cast("string"), F.lit("_"),
                  F.col("p.id").cast("string")).alias("url"),
         F.when(F.coalesce("p.date", F.lit(0)) != 0, F.timestamp_seconds("p.date")).alias("published_at"))

@@ -317,3 +317,27 @@ def test_upsert_keeps_other_columns(spark):
     assert sorted((r.k, r.value, r.note) for r in spark.read.parquet(path).collect()) == [("A", 9.0, "note"), ("B", 2.0, "other"), ("C", 3.0, None)]
     with pytest.raises(ValueError):
         sinks.upsert_table(spark, path, rows.withColumn("extra", F.lit(1)), ["k"], "v", "month")
+
+
+def test_entries_of_all_connectors(spark):
+    from newsloom.operators import ingest
+    from newsloom.sources import entries
+    from newsloom.sources import posts as channels
+    bot = spark.createDataFrame([("s1", "c", '[{"id": 1, "text": "hello", "timestamp": 1704067200000}]', NOW)], "source_id string, channel_id string, body string, fetched_at timestamp")
+    wall = spark.createDataFrame([("s2", '{"response": {"items": [{"id": 5, "owner_id": 7, "text": "wall"}]}}', NOW)], "source_id string, body string, fetched_at timestamp")
+    pages = spark.createDataFrame([("s3", "https://a/1", "<body>" + "word " * 60 + "</body>", NOW)], "source_id string, url string, html string, fetched_at timestamp")
+    read = articles.extract_articles(pages.withColumn("page_id", F.lit(1)), {"detail": {"body": {"css": "body"}}})
+    found = [entries.entries(channels.bot_messages(bot)), entries.entries(channels.wall_posts(wall)),
+             entries.entries(read, source_id=F.lit("s3"), content_text="body_text")]
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    assert rows.columns == list(entries.ENTRY)
+    assert {(r.source_id, r.url, r.fetched_at is not None) for r in rows.collect()} == {
+        ("s1", "max://c/1", True), ("s2", "https://vk.com/wall7_5", True), ("s3", "https://a/1", False)}
+    # a source that isn't registered is judged by the global words; the summary counts for rules and regions
+    sources = spark.createDataFrame([], "source_id string, include_keywords array<string>, exclude_keywords array<string>, match_whole_words boolean, "
+                                        "competitor_id int, developer_id int, region_tags array<string>")
+    entity = spark.createDataFrame([], "entity_id int, name string, aliases array<string>, tags array<string>, is_active boolean")
+    told = spark.createDataFrame([("x", "https://a/2", "t", "Самара wanted", "", NOW, NOW), ("x", "https://a/3", "t", "other", "", NOW, NOW)],
+                                 "source_id string, url string, title string, summary string, content_text string, published_at timestamp, fetched_at timestamp")
+    got = ingest.enrich_items(told, sources, {"global_include_keywords": ["wanted"]}, entity, entity, regions(spark, ("A", ["Самара"])), F.lit(NOW)).collect()
+    assert [(r.url, r.region_ids, r.content_text) for r in got] == [("https://a/2", ["1"], "")]
