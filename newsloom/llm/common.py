@@ -58,6 +58,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for millions of values several times faster than a hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class WordHash(dict):
     """word bytes → 64-bit hash, remembered for a bounded number of words."""
 

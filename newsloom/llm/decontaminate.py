@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, mix64, slices
+from .common import BASES, Rolling, distinct, mix64, slices
 
 Q, SEGMENT, STEP, EDIT_PERCENT = 8, 64, 32, 10
 SHORTEST = 24
@@ -23,6 +23,7 @@ INDEX_CHARS = 2_000_000
 CHUNK_CHARS = 2_000_000
 GAP = 0x110000  # no character
 BITS = 22
+ALIGNED = 256
 SCHEMA = "_id long, _th long, text string, matches array<struct<item_id:long,start:int,stop:int,edits:int>>"
 
 
@@ -48,25 +49,44 @@ def edit_budget(m: int) -> int:
     return min(m * EDIT_PERCENT // 100, (m - Q) // Q)
 
 
-def banded_distance(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """(edits, from, to) of the best place of ``pattern`` inside ``text`` with at most ``most`` edits; shortest start last wins no tie: the first end does."""
-    n = len(text)
-    far = most + 1
-    cost = np.zeros(n + 1, np.int64)
-    origin = np.arange(n + 1)
-    index = np.arange(n + 1)
-    for i, c in enumerate(pattern):
-        across = np.concatenate([[far + i], cost[:-1] + (text != c)])
-        fresh = np.minimum(across, cost + 1)
-        begin = np.where(across <= cost + 1, np.concatenate([[0], origin[:-1]]), origin)
+def banded_distances(patterns: np.ndarray, texts: np.ndarray, most: int) -> list[tuple[int, int, int] | None]:
+    """For each pair of rows: (edits, from, to) of the best place of the pattern inside the text, or None beyond ``most`` edits.
+
+    ``patterns`` and ``texts`` are matrices with one pair per row; texts are padded with GAP. All pairs advance together, and pairs whose
+    whole band exceeds ``most`` are left behind. Of equal places the one that ends first is reported.
+    """
+    out: list[tuple[int, int, int] | None] = [None] * len(patterns)
+    k, n = texts.shape
+    open_rows = np.arange(k)
+    index = np.arange(n + 1, dtype=np.int16)
+    cost, origin = np.zeros((k, n + 1), np.int16), np.tile(index, (k, 1))
+    for i in range(patterns.shape[1]):
+        across = np.empty_like(cost)
+        across[:, 0] = most + 1 + i
+        np.add(cost[:, :-1], texts != patterns[:, i:i + 1], out=across[:, 1:])
+        down = cost + np.int16(1)
+        diagonal = across <= down
+        fresh = np.where(diagonal, across, down) - index
+        begin = origin.copy()
+        begin[:, 1:] = np.where(diagonal[:, 1:], origin[:, :-1], origin[:, 1:])
         # insertions: running minimum of cost − position
-        low = np.minimum.accumulate(fresh - index)
-        source = np.maximum.accumulate(np.where(fresh - index == low, index, 0))
-        cost, origin = np.minimum(fresh, low + index), begin[source]
-        if cost.min() > most:
-            return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(origin[end]), end) if cost[end] <= most else None
+        low = np.minimum.accumulate(fresh, axis=1)
+        source = np.maximum.accumulate(np.where(fresh == low, index, np.int16(0)), axis=1)
+        cost, origin = low + index, np.take_along_axis(begin, source.astype(np.int64), axis=1)
+        if i % 4 == 3 or i == patterns.shape[1] - 1:
+            alive = cost.min(axis=1) <= most
+            if not alive.all():
+                cost, origin, patterns, texts, open_rows = cost[alive], origin[alive], patterns[alive], texts[alive], open_rows[alive]
+            if not len(open_rows):
+                return out
+    ends = cost.argmin(axis=1)
+    for r, c, o, end in zip(open_rows, cost, origin, ends):
+        out[r] = (int(c[end]), int(o[end]), int(end))
+    return out
+
+
+def banded_distance(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    return banded_distances(pattern[None, :], text[None, :], most)[0]
 
 
 class QGramIndex:
@@ -113,18 +133,33 @@ class QGramIndex:
         band = diagonal // w - lowest
         bands = int(band.max()) + 2
         key = owner * bands + band
-        keys, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # a band of two strips, one strip apart
+        # a band is two strips, one strip apart; each q-gram of the segment counts once in it
+        place = self.place[take]
+        seen = distinct(np.concatenate([key, key - 1]) * SEGMENT + np.concatenate([place, place]))
+        keys, count = np.unique(seen // SEGMENT, return_counts=True)
         good = keys[count >= self.bounds[np.clip(keys // bands, 0, len(self.bounds) - 1)]]
-        found = []
+        regions: dict[int, list] = {}
         for k in good.tolist():
             s, strip = divmod(k, bands)
-            item, pattern, most, _ = self.segments[s]
+            most, m = self.segments[s][2], len(self.segments[s][1])
             lo = max((strip + lowest) * w - most, 0)
-            hi = min((strip + lowest + 2) * w + len(pattern) + most, len(codes))
-            hit = banded_distance(pattern, codes[lo:hi], most) if hi > lo else None
-            if hit:
-                found.append((s, lo + hit[1], lo + hit[2], hit[0]))
-        return found
+            hi = min((strip + lowest + 2) * w + m + most, len(codes))
+            if hi > lo:
+                regions.setdefault(m, []).append((s, lo, hi))
+        found = []
+        for part in regions.values():
+            for at in range(0, len(part), ALIGNED):
+                found += self._align(part[at:at + ALIGNED], codes)
+        return sorted(found)
+
+    def _align(self, part: list[tuple[int, int, int]], codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Regions of segments of one length, and so of one edit budget, aligned together."""
+        texts = np.full((len(part), max(hi - lo for _, lo, hi in part)), GAP, np.uint32)
+        for row, (_, lo, hi) in zip(texts, part):
+            row[:hi - lo] = codes[lo:hi]
+        patterns = np.array([self.segments[s][1] for s, _, _ in part], np.uint32)
+        hits = banded_distances(patterns, texts, self.segments[part[0][0]][2])
+        return [(s, lo + h[1], lo + h[2], h[0]) for (s, lo, _), h in zip(part, hits) if h]
 
 
 def bounded_items(benchmark: DataFrame, limit: int = INDEX_CHARS) -> Iterator[list[tuple[int, str]]]:
