@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import BASES, Rolling, mix64, slices, window_starts
+from .common import BASES, Rolling, distinct, mix64, slices, window_starts
 from .licences import WORD_BYTES
 
 BITS = 16
@@ -36,33 +36,42 @@ _KIND = bytes(85 if 65 <= i <= 90 else 108 if 97 <= i <= 122 or i >= 128 else 57
 
 
 class Features(dict):
-    """white-space word → (hash of its letters and digits, hash of its shape), for a bounded number of words."""
+    """white-space word → its number; ``plain`` and ``shape`` hold the hashes of its letters and digits and of its shape.
+
+    Words are remembered from chunk to chunk while there are at most ``most`` of them.
+    """
 
     def __init__(self, most: int = 300_000):
-        self.most = most
+        self.most, self.plain, self.shape = most, [], []
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= self.most:
-            self.clear()
         kinds = word.translate(_KIND)
         shape = bytes(c for i, c in enumerate(kinds) if i == 0 or c != kinds[i - 1])
-        plain = word.translate(WORD_BYTES).replace(b" ", b"")
-        self[word] = out = (xxhash.xxh3_64_intdigest(plain), xxhash.xxh3_64_intdigest(shape, seed=1))
-        return out
+        self.plain.append(xxhash.xxh3_64_intdigest(word.translate(WORD_BYTES).replace(b" ", b"")))
+        self.shape.append(xxhash.xxh3_64_intdigest(shape, seed=1))
+        self[word] = n = len(self.plain) - 1
+        return n
+
+    def of(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > self.most:
+            self.clear()
+            self.plain, self.shape = [], []
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.array(self.plain, np.uint64)[numbers], np.array(self.shape, np.uint64)[numbers]
 
 
 def slots(texts: list, features: Features, pair: Rolling) -> tuple[np.ndarray, np.ndarray]:
     """(slot, index of its text) of the distinct n-grams of each text; every kind of n-gram has ``BUCKETS`` slots of its own."""
     split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
     lengths = np.array([len(s) for s in split], np.int64)
-    both = np.array([features[w] for s in split for w in s], np.uint64).reshape(-1, 2)
+    plain, shape = features.of([w for s in split for w in s])
     owner = np.repeat(np.arange(len(texts)), lengths)
     at = np.flatnonzero(window_starts(lengths, 2))
     low = np.uint64(64 - BITS)
-    parts = [mix64(both[:, 0]) >> low, (mix64(pair(both[:, 0]))[at] >> low) + np.uint64(BUCKETS), (mix64(both[:, 1]) >> low) + np.uint64(2 * BUCKETS)]
-    seen = np.unique(np.concatenate([owner, owner[at], owner]) * (KINDS * BUCKETS) + np.concatenate(parts).astype(np.int64))
+    parts = [mix64(plain) >> low, (mix64(pair(plain))[at] >> low) + np.uint64(BUCKETS), (mix64(shape) >> low) + np.uint64(2 * BUCKETS)]
+    seen = distinct(np.concatenate([owner, owner[at], owner]) * (KINDS * BUCKETS) + np.concatenate(parts).astype(np.int64))
     return seen % (KINDS * BUCKETS), seen // (KINDS * BUCKETS)
 
 
