@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clusters import connected_components
 from ..session import stage
-from .common import BASES, Rolling, WordHash, mix64, slices, text_key
+from .common import BASES, Rolling, WordHash, distinct, mix64, slices, text_key
 from .recurrence import ENTRY_SCHEMA, bucket_count, entry_rows, recurring, total_chars
 
 WIDTH, PERCENT = 4, 85
@@ -53,7 +53,7 @@ def shingle_sets(texts: list, width: int, hasher: WordHash, rolling: Rolling) ->
     out = []
     for n, end in zip(lengths.tolist(), ends.tolist()):
         if n >= width:
-            out.append(np.unique(hashes[end - n:end - width + 1]))
+            out.append(distinct(hashes[end - n:end - width + 1]))
         elif n:
             place = np.arange(1, n + 1, dtype=np.uint64) * BASES[1]
             out.append(mix64(np.array([np.sum(mix64(words[end - n:end] + place), dtype=np.uint64) + np.uint64(n)], np.uint64)))
@@ -122,7 +122,7 @@ def _entries(width: int, percent: int, buckets: int):
 
 def _finish(head: bytes, places: np.ndarray) -> pa.Table:
     ids, keys, sizes, nodes, need, lengths, local = pickle.loads(head)
-    doc = np.searchsorted(np.cumsum(lengths), np.unique(np.concatenate([places, local])), side="right")
+    doc = np.searchsorted(np.cumsum(lengths), distinct(np.concatenate([places, local])), side="right")
     found = np.bincount(doc, minlength=len(ids))
     return pa.table({"_id": pa.array(ids, pa.int64()), "_th": pa.array(keys, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()),
                      "node": pa.array(nodes, pa.binary()), "near": pa.array((found >= np.array(need)) & (lengths > 0), pa.bool_())})

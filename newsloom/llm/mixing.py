@@ -43,40 +43,30 @@ def _sums(totals: DataFrame, exponents: list[float]) -> list[tuple[float, float,
     return [(r[f"z{i}"], r[f"e{i}"], math.exp(r[f"m{i}"])) for i in range(len(exponents))]
 
 
+def _boundary(totals: DataFrame, good, at_low: bool) -> float:
+    """Where ``good`` changes between exponents 0 and 1: the last for which it holds from 0 on (``at_low``), else the first from which it holds."""
+    low, high = 0.0, 1.0
+    for _ in range(ROUNDS):
+        grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
+        below = [good(*s) == at_low for s in _sums(totals, grid)]
+        if all(below):
+            return grid[-1]
+        if not below[0]:
+            return grid[0]
+        i = below.index(False)
+        low, high = grid[i - 1], grid[i]
+    return low if at_low else high
+
+
 def bisect_exponent(totals: DataFrame, entropy: float, max_passes: float, budget_ratio: float) -> float:
     """The largest exponent up to 1 whose weights have at least ``entropy``, raised where a source would be repeated more than ``max_passes`` times.
 
     Entropy falls and repetition falls as the exponent grows, so both are bisected; ``totals`` has lp, the log-share of each source.
     """
-    def search(fits_low) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(ROUNDS):
-            grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
-            good = [fits_low(*s) for s in _sums(totals, grid)]
-            if good[-1]:
-                return grid[-1]
-            if not good[0]:
-                return grid[0]
-            i = good.index(False)
-            low, high = grid[i - 1], grid[i]
-        return low
-
-    by_entropy = search(lambda z, e, m: math.log(z) - e / z >= entropy - 1e-12)
+    by_entropy = _boundary(totals, lambda z, e, m: math.log(z) - e / z >= entropy - 1e-12, True)
     # passes of the most repeated source: budget × w / tokens = ratio × p^x / (z × p)
-    def search_repeats() -> float:
-        low, high = 0.0, 1.0
-        for _ in range(ROUNDS):
-            grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
-            good = [budget_ratio * m / z <= max_passes + 1e-12 for z, _, m in _sums(totals, grid)]
-            if good[0]:
-                return grid[0]
-            if not good[-1]:
-                return grid[-1]
-            i = good.index(True)
-            low, high = grid[i - 1], grid[i]
-        return high
-
-    return max(by_entropy, search_repeats())
+    by_passes = _boundary(totals, lambda z, e, m: budget_ratio * m / z <= max_passes + 1e-12, False)
+    return max(by_entropy, by_passes)
 
 
 def mix_sources(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_passes: float = MAX_PASSES, budget: int | None = None,

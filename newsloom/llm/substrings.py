@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, WordHash, mix64, slices, text_key, window_starts
+from .common import BASES, Rolling, WordHash, distinct, mix64, slices, text_key, window_starts
 from .recurrence import ENTRY_SCHEMA, bucket_count, entry_rows, recurring, total_chars
 
 WINDOW = 35
@@ -51,7 +51,7 @@ def _entries(width: int, buckets: int):
 
 def _finish(head: bytes, places: np.ndarray) -> pa.Table:
     ids, keys, lengths, local = pickle.loads(head)
-    hit = np.unique(np.concatenate([places, local]))
+    hit = distinct(np.concatenate([places, local]))
     ends = np.cumsum(lengths)
     begins = ends - lengths
     doc = np.searchsorted(ends, hit, side="right")

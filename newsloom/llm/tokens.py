@@ -8,6 +8,8 @@ first wins; a character that is no piece costs the lowest score less ten and cou
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,23 +45,26 @@ class PieceCounter:
         self.known: dict[str, int] = {}
 
     def part(self, text: str) -> int:
-        n = len(text)
-        best, count, whole = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        matches: list[list] = [[] for _ in range(n + 1)]
-        for end, hit in self.automaton.iter(text):
-            matches[end + 1].append(hit)
-        for end in range(1, n + 1):
-            score = None
-            for length, value in sorted(matches[end], reverse=True):  # the earliest start first: it keeps a tie
-                total = best[end - length] + value
-                whole[end] |= length == 1
-                if score is None or total > score:
-                    score, count[end] = total, count[end - length] + 1
-            if not whole[end]:
-                total = best[end - 1] + self.unknown
-                if score is None or total > score:
-                    score, count[end] = total, count[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
-            best[end] = score
+        n, unknown = len(text), self.unknown
+        best, count, single = [0.0] + [-math.inf] * n, [0] * (n + 1), bytearray(n + 1)
+        done = 0  # ends up to here are settled
+        for last, (length, value) in self.automaton.iter(text):
+            while done < last:
+                done += 1
+                if not single[done] and best[done - 1] + unknown > best[done]:
+                    best[done] = best[done - 1] + unknown
+                    count[done] = count[done - 1] + len(text[done - 1].encode("utf-8", "surrogatepass"))
+            # matches of one end come longest first, so the piece that starts first keeps a tie
+            total = best[last + 1 - length] + value
+            if total > best[last + 1]:
+                best[last + 1], count[last + 1] = total, count[last + 1 - length] + 1
+            if length == 1:
+                single[last + 1] = 1
+        while done < n:
+            done += 1
+            if not single[done] and best[done - 1] + unknown > best[done]:
+                best[done] = best[done - 1] + unknown
+                count[done] = count[done - 1] + len(text[done - 1].encode("utf-8", "surrogatepass"))
         return count[n]
 
     def text(self, text: str | None) -> int:
