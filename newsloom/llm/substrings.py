@@ -19,7 +19,7 @@ from .common import BASES, Rolling, WordHash, distinct, mix64, slices, text_key,
 from .recurrence import ENTRY_SCHEMA, bucket_count, entry_rows, recurring, total_chars
 
 WINDOW = 35
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 3_000_000
 SPAN_SCHEMA = "_id long, _th long, starts binary"
 
 
