@@ -81,6 +81,16 @@ def repeated_starts(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return spans.groupBy("_id", "_th").agg(F.first("starts").alias("starts"))
 
 
+def _packed(batches):
+    """Texts compressed for the shuffle that brings them to their windows."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [pack.compress(t.encode("utf-8", "surrogatepass")) if t else None for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["_id"], batch["_th"], pa.array(texts, pa.binary())], names=["_id", "_th", "packed"])
+
+
 def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text, intervals (array of from, to).
 
@@ -89,15 +99,18 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     Rows with a null doc_id are judged like others. An empty table gives an empty result.
     """
     marks = repeated_starts(docs, width)
-    rows = docs.select(*text_key(), "text").alias("d")
+    rows = docs.select(*text_key(), "text").mapInArrow(_packed, "_id long, _th long, packed binary").alias("d")
     joined = rows.join(marks.alias("m"), F.col("d._id").eqNullSafe(F.col("m._id")) & (F.col("d._th") == F.col("m._th")), "left").select(
-        F.col("d._id").alias("doc_id"), F.col("d.text").alias("text"), F.col("m.starts").alias("starts"))
+        F.col("d._id").alias("doc_id"), F.col("d.packed").alias("packed"), F.col("m.starts").alias("starts"))
 
     def cut(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for i, t, s in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "starts"))):
-                words = t.encode("utf-8", "surrogatepass").split() if t else []
+            for i, t, s in zip(*(batch[c].to_pylist() for c in ("doc_id", "packed", "starts"))):
+                words = unpack.decompress(t).split() if t else []
                 spans = removal_intervals(np.frombuffer(s, np.int32), width) if s else []
                 kept, at = [], 0
                 for a, b in spans:
