@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
-#: bytes.split() without an argument cuts at exactly these six characters
-BLANKS = "\x20\x09-\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +21,6 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_th")]
 
 
-def on_text_key(a: DataFrame, b: DataFrame) -> Column:
-    return a["_id"].eqNullSafe(b["_id"]) & (a["_th"] == b["_th"])
-
-
 def kept_rows(docs: DataFrame, decisions: DataFrame, keep: str) -> DataFrame:
     """Rows of ``docs`` whose decision (keyed by ``_id``, ``_th``) has ``keep``; columns as in ``docs``.
 
