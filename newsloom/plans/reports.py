@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import batches, clusters, sections, tagging
 from ..operators.filters import at
-from ..scale import keep_first
-from .registry import joined, query, ts_text
+from .registry import joined, query
 from .scalars import SIMHASH_CTE
 from .views import (COMPETITOR_TERMS, COMPETITORS, DEVELOPER_TERMS, DEVELOPERS, ITEMS, REGION_TERMS, REGIONS, SOURCES, TAG_TEXT,
-                    competitors, developers, hit_sql, items, mentions_sql, names_sql, regions, sources, ts_sql)
+                    competitors, developers, items, mentions_sql, names_sql, regions, sources)
 
 # --- clusters ----------------------------------------------------------------------------------------
 
