@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from test_operators import SCHEMA, corpus, frame, prose
+from test_operators import SCHEMA, brute_components, corpus, frame, prose
 
 import corpus_pipeline
 from newsloom.llm import queries
@@ -48,6 +48,22 @@ def test_stages(spark, folder, tmp_path):
             assert all(r.text and r.text.strip() for r in got)
 
 
+def test_near_duplicates_between_the_thresholds(spark, tmp_path):
+    """Pairs that link on five words and 80 % but not on four words and 85 %, and pairs just outside, against brute force."""
+    rng, rows = random.Random(21), []
+    for n, edits in ((48, 1), (49, 1), (50, 1), (52, 1), (94, 2), (101, 2), (139, 3), (150, 3), (30, 1)):
+        w = prose(rng, n, 10**6).split()
+        rows.append((len(rows), " ".join(w)))
+        for k in range(edits):
+            w[(k + 1) * n // (edits + 1)] = f"changed{k}"
+        rows.append((len(rows), " ".join(w)))
+    frame(spark, rows).write.parquet(str(tmp_path / "d"))
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), str(tmp_path))
+    wide, narrow = ({i for i, _, low in brute_components(rows, *k) if i == low} for k in ((5, 80), (4, 85)))
+    assert len(narrow - wide) > 4
+    assert {r.doc_id for r in got.collect()} == wide
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert set(FIELDS) <= set(out.columns) and "pass_no" in out.columns
