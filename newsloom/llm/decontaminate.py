@@ -1,8 +1,10 @@
 """Benchmark decontamination: q-gram lemma filter, then banded alignment.
 
-Items are cut into overlapping segments. If a text region matches a segment of m characters with at most e edits, they
-share at least m − q + 1 − q·e q-grams, all on neighbouring diagonals (text position − segment position). Shared q-grams are
-counted in overlapping bands of diagonals; only bands that reach the bound are aligned, in a band, and those within e edits are reported.
+Every stretch of 64 characters of an item is a segment, whatever its start. If a text region matches a segment of m characters with at
+most e edits, they share at least m − q + 1 − q·e q-grams, all on neighbouring diagonals (text position − item position). The index holds
+each q-gram of an item once, so overlapping segments don't make it larger. Shared q-grams are looked at in overlapping bands of diagonals:
+where enough of them lie within one segment, the segments there are aligned, ``NEAR`` neighbouring starts at a time. First what
+these have in common is aligned, which leaves out most of them, then single segments; those within e edits are reported.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import BASES, Rolling, distinct, mix64, slices
 
-Q, SEGMENT, STEP, EDIT_PERCENT = 8, 64, 32, 10
+Q, SEGMENT, EDIT_PERCENT = 8, 64, 10
 SHORTEST = 24
+#: neighbouring starts that are aligned together and reported as one match
+NEAR = 16
 #: characters of benchmark items in one broadcast index; more items take further passes over the texts
 INDEX_CHARS = 2_000_000
 CHUNK_CHARS = 2_000_000
@@ -36,14 +40,6 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def segments_of(length: int, size: int = SEGMENT, step: int = STEP) -> list[tuple[int, int]]:
-    """(from, to) of overlapping segments; the last one ends with the item."""
-    if length <= size:
-        return [(0, length)] if length >= SHORTEST else []
-    starts = list(range(0, length - size, step)) + [length - size]
-    return [(s, s + size) for s in starts]
-
-
 def edit_budget(m: int) -> int:
     """At most EDIT_PERCENT of the segment, and so few that the q-gram bound stays positive."""
     return min(m * EDIT_PERCENT // 100, (m - Q) // Q)
@@ -91,31 +87,40 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[i
 
 class QGramIndex:
     def __init__(self, items: list[tuple[int, str]]):
-        self.segments: list[tuple[int, np.ndarray, int, int]] = []  # item, codes, edits, bound
+        self.items: list[int] = []
+        self.codes: list[np.ndarray] = []
         roll = Rolling(Q, BASES[0])
         grams, owner, place = [], [], []
         for item, text in items:
             codes = codes_of(normal(text))
-            for a, b in segments_of(len(codes)):
-                m, e = b - a, edit_budget(b - a)
-                g = mix64(roll(codes[a:b]))
-                grams.append(g)
-                owner.append(np.full(len(g), len(self.segments)))
-                place.append(np.arange(len(g)))
-                self.segments.append((item, codes[a:b], e, m - Q + 1 - Q * e))
+            if len(codes) < SHORTEST:
+                continue
+            g = mix64(roll(codes))
+            grams.append(g)
+            owner.append(np.full(len(g), len(self.items)))
+            place.append(np.arange(len(g)))
+            self.items.append(item)
+            self.codes.append(codes)
         none = np.zeros(0, np.int64)
         g = np.concatenate([np.zeros(0, np.uint64), *grams])
         order = np.argsort(g, kind="stable")
         self.owner, self.place = np.concatenate([none, *owner])[order], np.concatenate([none, *place])[order]
         self.grams, self.first, self.count = np.unique(g[order], return_index=True, return_counts=True)
-        self.width = 2 * max((s[2] for s in self.segments), default=0) + 1
+        self.lengths = np.array([len(c) for c in self.codes], np.int64)
+        self.sizes = np.minimum(self.lengths, SEGMENT)
+        self.edits = np.array([edit_budget(m) for m in self.sizes.tolist()], np.int64)
+        self.bounds = self.sizes - Q + 1 - Q * self.edits
+        self.width = 2 * int(self.edits.max(initial=0)) + 1
         self.maybe = np.zeros(1 << BITS, bool)
         self.maybe[(self.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
         self.roll = Rolling(Q, BASES[0])
-        self.bounds = np.array([s[3] for s in self.segments], np.int64)
 
     def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(segment, from, to, edits) in one array of texts joined by gaps."""
+        """(index of the item, from, to, edits) in one array of texts joined by gaps.
+
+        Of up to NEAR neighbouring starts (from a multiple of NEAR) that match in one band the first is reported where that one matches,
+        else the one with the fewest edits.
+        """
         if not len(self.grams) or len(codes) < Q:
             return []
         g = mix64(self.roll(codes))
@@ -127,39 +132,64 @@ class QGramIndex:
             return []
         n = self.count[slot]
         take = np.repeat(self.first[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        owner, diagonal = self.owner[take], np.repeat(at, n) - self.place[take]
+        place = self.place[take]
+        owner, diagonal = self.owner[take], np.repeat(at, n) - place
         w = self.width
         lowest = int(diagonal.min()) // w - 1
         band = diagonal // w - lowest
         bands = int(band.max()) + 2
         key = owner * bands + band
-        # a band is two strips, one strip apart; each q-gram of the segment counts once in it
-        place = self.place[take]
-        seen = distinct(np.concatenate([key, key - 1]) * SEGMENT + np.concatenate([place, place]))
-        keys, count = np.unique(seen // SEGMENT, return_counts=True)
-        good = keys[count >= self.bounds[np.clip(keys // bands, 0, len(self.bounds) - 1)]]
-        regions: dict[int, list] = {}
-        for k in good.tolist():
-            s, strip = divmod(k, bands)
-            most, m = self.segments[s][2], len(self.segments[s][1])
-            lo = max((strip + lowest) * w - most, 0)
-            hi = min((strip + lowest + 2) * w + m + most, len(codes))
+        # a band is two strips, one strip apart; each q-gram of the item counts once in it
+        longest = int(self.lengths.max())
+        seen = distinct(np.concatenate([key, key - 1]) * longest + np.concatenate([place, place]))
+        key, place = seen // longest, seen % longest
+        owner = np.clip(key // bands, 0, len(self.items) - 1)
+        # enough q-grams from here on within one segment: the segment starts between the two
+        last = np.minimum(np.arange(len(seen)) + self.bounds[owner] - 1, len(seen) - 1)
+        span = self.sizes[owner] - Q
+        good = (np.arange(len(seen)) + self.bounds[owner] - 1 < len(seen)) & (key[last] == key) & (place[last] - place <= span) & (key >= 0)
+        low = np.maximum(place[last] - span, 0)[good] // NEAR
+        high = np.minimum(place, self.lengths[owner] - self.sizes[owner])[good] // NEAR
+        n = high - low + 1
+        group = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        found = distinct(np.repeat(key[good], n) * longest + group)
+        todo = []
+        for k, c in zip((found // longest).tolist(), (found % longest).tolist()):
+            i, strip = divmod(k, bands)
+            first = c * NEAR
+            todo.append((i, (strip + lowest) * w, first, min(first + NEAR - 1, int(self.lengths[i] - self.sizes[i]))))
+        # what the segments have in common, then the first of them, then the others
+        core = self._align([(i, at, b, int(self.sizes[i]) - (b - a)) for i, at, a, b in todo], codes, NEAR)
+        todo = [t for t, hit in zip(todo, core) if hit]
+        heads = self._align([(i, at, a, int(self.sizes[i])) for i, at, a, _ in todo], codes)
+        out = [(t[0], *hit) for t, hit in zip(todo, heads) if hit]
+        rest = [(r, i, at, s) for r, ((i, at, a, b), hit) in enumerate(zip(todo, heads)) if not hit for s in range(a + 1, b + 1)]
+        best: dict[int, tuple] = {}
+        for (r, i, _, s), hit in zip(rest, self._align([(i, at, s, int(self.sizes[i])) for _, i, at, s in rest], codes)):
+            if hit and (r not in best or (hit[2], s) < best[r][:2]):
+                best[r] = (hit[2], s, (i, *hit))
+        return sorted(out + [x[2] for x in best.values()])
+
+    def _align(self, wanted: list[tuple[int, int, int, int]], codes: np.ndarray, more: int = 0) -> list[tuple[int, int, int] | None]:
+        """(from, to, edits) or None for each (item, lowest diagonal, start, length); those of one length and edit budget together."""
+        out: list[tuple[int, int, int] | None] = [None] * len(wanted)
+        alike: dict[tuple, list] = {}
+        for r, (i, at, s, m) in enumerate(wanted):
+            most = int(self.edits[i])
+            lo, hi = max(at + s - most - more, 0), min(at + 2 * self.width + s + m + most + more, len(codes))
             if hi > lo:
-                regions.setdefault(m, []).append((s, lo, hi))
-        found = []
-        for part in regions.values():
-            for at in range(0, len(part), ALIGNED):
-                found += self._align(part[at:at + ALIGNED], codes)
-        return sorted(found)
-
-    def _align(self, part: list[tuple[int, int, int]], codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Regions of segments of one length, and so of one edit budget, aligned together."""
-        texts = np.full((len(part), max(hi - lo for _, lo, hi in part)), GAP, np.uint32)
-        for row, (_, lo, hi) in zip(texts, part):
-            row[:hi - lo] = codes[lo:hi]
-        patterns = np.array([self.segments[s][1] for s, _, _ in part], np.uint32)
-        hits = banded_distances(patterns, texts, self.segments[part[0][0]][2])
-        return [(s, lo + h[1], lo + h[2], h[0]) for (s, lo, _), h in zip(part, hits) if h]
+                alike.setdefault((m, most), []).append((r, lo, hi))
+        for (m, most), part in alike.items():
+            for k in range(0, len(part), ALIGNED):
+                some = part[k:k + ALIGNED]
+                texts = np.full((len(some), max(hi - lo for _, lo, hi in some)), GAP, np.uint32)
+                for row, (_, lo, hi) in zip(texts, some):
+                    row[:hi - lo] = codes[lo:hi]
+                patterns = np.array([self.codes[wanted[r][0]][wanted[r][2]:wanted[r][2] + m] for r, _, _ in some], np.uint32)
+                for (r, lo, _), hit in zip(some, banded_distances(patterns, texts, most)):
+                    if hit:
+                        out[r] = (lo + hit[1], lo + hit[2], hit[0])
+        return out
 
 
 def bounded_items(benchmark: DataFrame, limit: int = INDEX_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -190,9 +220,9 @@ def _pass(items):
                     starts.append(at)
                     parts += [codes, np.full(Q, GAP, np.uint64)]
                     at += len(codes) + Q
-                for s, lo, hi, edits in index.matches(np.concatenate(parts)):
+                for i, lo, hi, edits in index.matches(np.concatenate(parts)):
                     d = int(np.searchsorted(starts, lo, side="right")) - 1
-                    out[a + d].append({"item_id": index.segments[s][0], "start": lo - starts[d], "stop": hi - starts[d], "edits": edits})
+                    out[a + d].append({"item_id": index.items[i], "start": lo - starts[d], "stop": hi - starts[d], "edits": edits})
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["_th"], batch["text"], pa.array(out, none)], names=["_id", "_th", "text", "matches"])
     return run
 
@@ -200,8 +230,8 @@ def _pass(items):
 def contaminated(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """One row per row of ``docs``: doc_id, _th, contaminated, n_matches, items (ids ascending), matches.
 
-    Matches are positions in the normalised text (lower case, single blanks), distinct per segment. A passage counts when a whole segment of 64
-    characters (the whole item where it is shorter, 24 at least) is found with at most a tenth of its characters edited. Null and
+    Matches are positions in the normalised text (lower case, single blanks), distinct; of NEAR neighbouring segments one is listed. A passage counts when any 64
+    characters in a row (the whole item where it is shorter, 24 at least) are found with at most a tenth of them edited. Null and
     empty texts and items match nothing; items of fewer than 24 characters are no evidence. Repeated rows and items, null ids and
     extra columns change nothing for other rows. Empty tables give an empty result or no matches.
     """

@@ -332,6 +332,31 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_passages_at_every_offset():
+    """Passages of 57 to 64 characters of a long item, exact and edited, against the alignment of all its segments."""
+    rng = random.Random(17)
+    noise = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    item = noise(230)
+    windows = np.array([decontaminate.codes_of(item[s:s + 64]) for s in range(230 - 63)], np.uint32)
+    index, texts = decontaminate.QGramIndex([(7, item), (8, noise(150)), (9, noise(40))]), []
+    for offset in range(230 - 63):
+        for length, edits in ((64, 0), (64, 6), (64, 7), (60, 0), (60, 3), (57, 0)):
+            w = list(item[offset:offset + length])
+            for p in rng.sample(range(length), edits):
+                w[p] = rng.choice(["", "#", w[p] + "#"])
+            texts.append((length, edits, noise(30) + "".join(w) + noise(30)))
+    found = 0
+    for length, edits, text in texts:
+        codes = decontaminate.codes_of(text)
+        want = any(decontaminate.banded_distances(windows, np.tile(codes.astype(np.uint32), (len(windows), 1)), 6))
+        got = index.matches(codes)
+        assert {index.items[i] for i, *_ in got} == ({7} if want else set()), (length, edits, text)
+        assert all(e <= 6 and 0 <= a < b <= len(codes) for _, a, b, e in got)
+        assert want or (length, edits) != (64, 0)
+        found += want
+    assert 0 < found < len(texts)
+
+
 def test_banded_distance_is_the_edit_distance():
     rng = random.Random(4)
 
