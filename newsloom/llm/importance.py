@@ -6,7 +6,9 @@ weight is the ratio of the probabilities of its distinct n-grams under both. Add
 documents on the good side of the cut that separates them best.
 
 An n-gram seen within a factor of two, or within chance, of what the raw model expects weighs nothing: small differences between
-languages or sources would otherwise add up over long texts. N-grams are words (letters and digits, lower case), pairs of neighbouring words, and word shapes (the kinds of characters in a word).
+languages or sources would otherwise add up over long texts. Rare n-grams are never clear of chance there, so the same is asked of the labelled
+training rows alone: an n-gram whose documents are good clearly less often than the training rows are speaks against a document, however
+rare it is in the whole table. N-grams are words (letters and digits, lower case), pairs of neighbouring words, and word shapes (the kinds of characters in a word).
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ BUCKETS = 1 << BITS
 KINDS = 3
 #: pseudo-count of the ratio in a slot; least factor and least deviation (in standard deviations) that count; power of the weights
 PRIOR, FACTOR, DEVIATION, SHARPNESS = 1.0, 2.0, 3.0, 4.0
-#: at most about so many labelled rows are used; one half trains the target model, the other places the cut
+#: least deviation of the counts in good and bad training rows, as the root of the log-likelihood ratio statistic
+LABEL_DEVIATION = 4.0
+#: at most about so many labelled rows are used; one half trains the models, the other places the cut
 LABELLED = 20_000
 CHUNK_CHARS = 4_000_000
 SEED = 7
@@ -86,25 +90,45 @@ def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 
 
 def fit_models(rows: DataFrame) -> np.ndarray:
-    """log P(target) − log P(raw) of each slot; ``rows`` has text and train_good. KINDS × BUCKETS sums come to the driver."""
+    """Weight of each slot; ``rows`` has text, train_good and train_bad. KINDS × BUCKETS sums come to the driver."""
     def run(batches):
         features, pair = Features(), Rolling(2, BASES[0])
-        raw, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
+        counts = np.zeros((3, KINDS * BUCKETS), np.int64)
         for batch in batches:
-            texts, good = batch["text"].to_pylist(), np.array(batch["train_good"].to_pylist(), bool)
+            texts = batch["text"].to_pylist()
+            good, bad = (np.array(batch[c].to_pylist(), bool) for c in ("train_good", "train_bad"))
             for a, b in slices(texts, CHUNK_CHARS):
                 slot, owner = slots(texts[a:b], features, pair)
-                raw += np.bincount(slot, minlength=len(raw))
-                target += np.bincount(slot[good[a:b][owner]], minlength=len(raw))
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], names=["slot", "raw", "target"])
+                for row, some in zip(counts, (slot, slot[good[a:b][owner]], slot[bad[a:b][owner]])):
+                    row += np.bincount(some, minlength=len(row))
+        used = np.flatnonzero(counts[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(row[used]) for row in counts)], names=["slot", "raw", "good", "bad"])
+
+    sums = rows.select("text", "train_good", "train_bad").mapInArrow(run, "slot int, raw long, good long, bad long").groupBy("slot").agg(
+        F.sum("raw").alias("raw"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
+    counts = np.zeros((3, KINDS * BUCKETS))
+    for row, name in zip(counts, ("raw", "good", "bad")):
+        row[sums["slot"].to_numpy(np.int64)] = sums[name].to_numpy(float)
+    return slot_weights(*counts, *rows.agg(F.count(F.lit(1)), F.count_if("train_good"), F.count_if("train_bad")).first())
+
+
+def slot_weights(raw: np.ndarray, good: np.ndarray, bad: np.ndarray, total: int, n_good: int, n_bad: int) -> np.ndarray:
+    """log P(target) − log P(raw) where clear; where the labelled rows speak against an n-gram, their ratio if that is lower."""
+    ratio, labelled = log_ratio(raw, good, n_good / max(total, 1)), label_ratio(good, bad, n_good, n_bad)
+    return np.where(labelled < 0, np.minimum(labelled, ratio), ratio)
 
-    sums = rows.select("text", "train_good").mapInArrow(run, "slot int, raw long, target long").groupBy("slot").agg(
-        F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(KINDS * BUCKETS), np.zeros(KINDS * BUCKETS)
-    raw[sums["slot"].to_numpy(np.int64)], target[sums["slot"].to_numpy(np.int64)] = sums["raw"].to_numpy(float), sums["target"].to_numpy(float)
-    total, good = rows.agg(F.count(F.lit(1)), F.count_if("train_good")).first()
-    return log_ratio(raw, target, good / max(total, 1))
+
+def label_ratio(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> np.ndarray:
+    """As ``log_ratio`` with the good and bad training rows in place of all documents; 0 unless clearly negative.
+
+    Clear means by the log-likelihood ratio of the two counts, which stays right for counts of a few documents.
+    """
+    if not n_good or not n_bad:
+        return np.zeros(len(good))
+    n, share = good + bad, n_good / (n_good + n_bad)
+    ratio = np.log((good + PRIOR) / (n * share + PRIOR))
+    deviation = 2 * sum(c * np.log(np.maximum(c, 1) / np.maximum(n * s, 1e-9)) for c, s in ((good, share), (bad, 1 - share)))
+    return np.where((ratio <= -math.log(FACTOR)) & (deviation >= LABEL_DEVIATION ** 2), ratio, 0.0)
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
@@ -185,8 +209,9 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed:
     """
     sample = F.broadcast(labelled_sample(labels, labelled))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), "text")
-    rows = rows.join(sample, F.col("_id") == F.col("_label_id"), "left").withColumn(
-        "train_good", F.coalesce(F.col("good") & F.col("train"), F.lit(False)))
+    rows = rows.join(sample, F.col("_id") == F.col("_label_id"), "left").withColumns({
+        "train_good": F.coalesce(F.col("good") & F.col("train"), F.lit(False)),
+        "train_bad": F.coalesce(~F.col("good") & F.col("train"), F.lit(False))})
     weighed = stage(log_weights(rows, fit_models(rows)), "weights")
     held = weighed.where(~F.col("train") & (F.col("n_features") > 0)).select("log_weight", "good").toPandas()  # bounded by ``labelled``
     cut = best_cut(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool))

@@ -414,6 +414,25 @@ def test_resampling_on_held_out_documents(spark):
     assert all(r.kept == (r.n_features > 0) for r in importance.resample(frame(spark, rows[:20]), labels.limit(0)).collect())
 
 
+def test_resampling_on_rare_words(spark):
+    """A word of abuse in 2 % of the documents, few labels: all documents alone can't tell it from chance, the labelled ones do."""
+    rng = random.Random(31)
+    bad = {i for i in range(3000) if i % 50 == 0}
+    rows = [(i, prose(rng, 40, 900) + (" vile" if i in bad else "")) for i in range(3000)]
+    labels = [(i, 1, int(i in bad)) for i in range(3000) if i % 12 == 1 or i in bad and i % 100 == 0]
+    got = importance.resample(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    unseen = [i for i in bad if i % 100]
+    assert sum(kept[i] for i in unseen) <= len(unseen) // 10
+    assert sum(kept[i] for i in range(3000) if i not in bad) > 0.95 * (3000 - len(bad))
+
+
+def test_label_ratio():
+    """The floor: six documents where a quarter of the training rows is bad, whatever the number of all documents."""
+    got = importance.label_ratio(np.array([0, 0, 0, 3, 30, 100]), np.array([5, 6, 50, 1, 10, 0]), 7500, 2500)
+    assert (got < 0).tolist() == [False, True, True, False, False, False] and (got <= 0).all()
+
+
 # mixing
 
 def test_mixture(spark):
