@@ -1,6 +1,6 @@
-"""Quality classifier by importance resampling: two hashed n-gram models and Gumbel top-k.
+"""Quality classifier by importance resampling: two n-gram models and Gumbel top-k.
 
-The target model counts in how many documents labelled good each hashed n-gram stands, the raw model does so for all documents. A document's
+The target model counts in how many documents labelled good each n-gram stands, the raw model does so for all documents. A document's
 weight is the ratio of the probabilities of its distinct n-grams under both. Adding Gumbel noise to the log-weights (times
 ``SHARPNESS``) and keeping the k largest keys is sampling without replacement in proportion to the (sharpened) weights. k follows from labelled documents held out from the target model: it is the number of
 documents on the good side of the cut that separates them best.
@@ -9,6 +9,10 @@ An n-gram seen within a factor of two, or within chance, of what the raw model e
 languages or sources would otherwise add up over long texts. Rare n-grams are never clear of chance there, so the same is asked of the labelled
 training rows alone: an n-gram whose documents are good clearly less often than the training rows are speaks against a document, however
 rare it is in the whole table. N-grams are words (letters and digits, lower case), pairs of neighbouring words, and word shapes (the kinds of characters in a word).
+
+An n-gram is known by a slot of 32 bits inside its bucket. Buckets grow in number with the input and hold about ``BUCKET_ENTRIES`` entries,
+so that hardly any two n-grams ever share a slot. Counts are a Spark table: chunks of texts send each bucket their slots and
+counts, packed; buckets are summed and weighed apart, and only slots with a weight stay. Scoring reads those in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import BASES, Rolling, distinct, mix64, slices, window_starts
 from .licences import WORD_BYTES
+from .recurrence import pack_places, unpack_places
 
-BITS = 16
-BUCKETS = 1 << BITS
-KINDS = 3
+#: bits of a slot inside its bucket; entries of a bucket, summed in one task; texts counted at once
+INNER, BUCKET_ENTRIES, TEXTS = 32, 2_000_000, 4096
+#: slots with a weight that one pass of scoring holds; more of them take further passes over the texts
+MODEL_SLOTS = 2_000_000
 #: pseudo-count of the ratio in a slot; least factor and least deviation (in standard deviations) that count; power of the weights
 PRIOR, FACTOR, DEVIATION, SHARPNESS = 1.0, 2.0, 3.0, 4.0
 #: least deviation of the counts in good and bad training rows, as the root of the log-likelihood ratio statistic
@@ -66,17 +72,28 @@ class Features(dict):
         return np.array(self.plain, np.uint64)[numbers], np.array(self.shape, np.uint64)[numbers]
 
 
-def slots(texts: list, features: Features, pair: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, index of its text) of the distinct n-grams of each text; every kind of n-gram has ``BUCKETS`` slots of its own."""
+def slot_bits(chars: int) -> int:
+    """Bits of a slot: two n-grams a word, a word every six characters, and as many buckets (a power of two) as those need."""
+    return INNER + min(max(math.ceil(math.log2(max(chars / 3 / BUCKET_ENTRIES, 1))), 6), 63 - INNER - TEXTS.bit_length())
+
+
+def slots(texts: list, bits: int, features: Features, pair: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, index of its text) of the distinct n-grams of each of at most TEXTS texts."""
     split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
     lengths = np.array([len(s) for s in split], np.int64)
     plain, shape = features.of([w for s in split for w in s])
     owner = np.repeat(np.arange(len(texts)), lengths)
     at = np.flatnonzero(window_starts(lengths, 2))
-    low = np.uint64(64 - BITS)
-    parts = [mix64(plain) >> low, (mix64(pair(plain))[at] >> low) + np.uint64(BUCKETS), (mix64(shape) >> low) + np.uint64(2 * BUCKETS)]
-    seen = distinct(np.concatenate([owner, owner[at], owner]) * (KINDS * BUCKETS) + np.concatenate(parts).astype(np.int64))
-    return seen % (KINDS * BUCKETS), seen // (KINDS * BUCKETS)
+    hashes = np.concatenate([mix64(plain), mix64(pair(plain))[at], mix64(shape)]) >> np.uint64(64 - bits)
+    seen = distinct((np.concatenate([owner, owner[at], owner]) << bits) + hashes.astype(np.int64))
+    return seen & ((1 << bits) - 1), seen >> bits
+
+
+def chunks(texts: list):
+    """(from, to) of slices of at most CHUNK_CHARS characters and TEXTS texts."""
+    for a, b in slices(texts, CHUNK_CHARS):
+        for k in range(a, b, TEXTS):
+            yield k, min(k + TEXTS, b)
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -89,27 +106,50 @@ def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
         "train", F.pmod(F.xxhash64("_label_id", F.lit("fold")), F.lit(2)) == 0)
 
 
-def fit_models(rows: DataFrame) -> np.ndarray:
-    """Weight of each slot; ``rows`` has text, train_good and train_bad. KINDS × BUCKETS sums come to the driver."""
+def fit_models(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(slot, weight) of the slots with a weight, and the bits of a slot; ``rows`` has text, train_good and train_bad."""
+    total, n_good, n_bad, chars = rows.agg(F.count(F.lit(1)), F.count_if("train_good"), F.count_if("train_bad"), F.sum(F.octet_length("text"))).first()
+    bits = slot_bits(chars or 0)
+
     def run(batches):
         features, pair = Features(), Rolling(2, BASES[0])
-        counts = np.zeros((3, KINDS * BUCKETS), np.int64)
+        edges = np.arange((1 << (bits - INNER)) + 1) << INNER
         for batch in batches:
             texts = batch["text"].to_pylist()
             good, bad = (np.array(batch[c].to_pylist(), bool) for c in ("train_good", "train_bad"))
-            for a, b in slices(texts, CHUNK_CHARS):
-                slot, owner = slots(texts[a:b], features, pair)
-                for row, some in zip(counts, (slot, slot[good[a:b][owner]], slot[bad[a:b][owner]])):
-                    row += np.bincount(some, minlength=len(row))
-        used = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(row[used]) for row in counts)], names=["slot", "raw", "good", "bad"])
-
-    sums = rows.select("text", "train_good", "train_bad").mapInArrow(run, "slot int, raw long, good long, bad long").groupBy("slot").agg(
-        F.sum("raw").alias("raw"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
-    counts = np.zeros((3, KINDS * BUCKETS))
-    for row, name in zip(counts, ("raw", "good", "bad")):
-        row[sums["slot"].to_numpy(np.int64)] = sums[name].to_numpy(float)
-    return slot_weights(*counts, *rows.agg(F.count(F.lit(1)), F.count_if("train_good"), F.count_if("train_bad")).first())
+            for a, b in chunks(texts):
+                slot, owner = slots(texts[a:b], bits, features, pair)
+                ranked = np.sort(slot)
+                first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+                keys = ranked[first]
+                counts = [np.diff(first, append=len(ranked))]
+                for some in (good[a:b], bad[a:b]):
+                    counts.append(np.bincount(np.searchsorted(keys, slot[some[owner]]), minlength=len(keys)) if some.any() else None)
+                cuts = np.searchsorted(keys, edges)
+                used = np.flatnonzero(np.diff(cuts))
+                parts = list(zip(used.tolist(), cuts[used].tolist(), cuts[used + 1].tolist()))
+                blobs = [[c[i:j].astype("<u2").tobytes() if c is not None else b"" for _, i, j in parts] for c in counts]
+                inner = keys & ((1 << INNER) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pack_places(inner[i:j]) for _, i, j in parts], pa.binary()),
+                                                  *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "slots", "raw", "good", "bad"])
+
+    def weigh(group: pa.Table) -> pa.Table:
+        keys = [unpack_places(x) for x in group["slots"].to_pylist()]
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        ranked = every[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        sums = []
+        for name in ("raw", "good", "bad"):
+            blobs = group[name].to_pylist()
+            count = np.concatenate([np.frombuffer(x, "<u2") if x else np.zeros(len(k), "<u2") for x, k in zip(blobs, keys)])
+            sums.append(np.add.reduceat(count[order].astype(np.int64), first).astype(float))
+        weight = slot_weights(*sums, total, n_good, n_bad)
+        some = np.flatnonzero(weight)
+        return pa.table({"slot": pa.array(ranked[first[some]] + (group["bucket"][0].as_py() << INNER), pa.int64()), "weight": pa.array(weight[some])})
+
+    packed = rows.select("text", "train_good", "train_bad").mapInArrow(run, "bucket int, slots binary, raw binary, good binary, bad binary")
+    return stage(packed.groupBy("bucket").applyInArrow(weigh, "slot long, weight double"), "model"), bits
 
 
 def slot_weights(raw: np.ndarray, good: np.ndarray, bad: np.ndarray, total: int, n_good: int, n_bad: int) -> np.ndarray:
@@ -139,24 +179,40 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
     return np.where(clear, ratio, 0.0)
 
 
-def log_weights(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """(_id, _th, good, train, n_features, log_weight) of each row."""
-    model = rows.sparkSession.sparkContext.broadcast(table)  # KINDS × BUCKETS doubles
+def log_weights(rows: DataFrame, model: DataFrame, bits: int, most: int = MODEL_SLOTS) -> DataFrame:
+    """(_id, _th, good, train, n_features, log_weight) of each row; one pass for each part of the model of about ``most`` slots."""
+    schema = "_id long, _th long, good boolean, train boolean, n_features long, log_weight double"
+    parts = max(1, math.ceil(model.count() / most))
+    rows = rows.select("_id", "_th", "good", "train", F.lit(0).cast("long").alias("n_features"), F.lit(0.0).alias("log_weight"), "text")
+    for k in range(parts):
+        part = model.where(F.pmod(F.xxhash64("slot"), F.lit(parts)) == k).orderBy("slot").toPandas()
+        weights = rows.sparkSession.sparkContext.broadcast((part["slot"].to_numpy(np.int64), part["weight"].to_numpy(float)))
+        rows = rows.mapInArrow(_pass(weights, bits), f"{schema}, text string")
+    return rows.drop("text")
+
 
+def _pass(model, bits: int):
     def run(batches):
         features, pair = Features(), Rolling(2, BASES[0])
+        known, weights = model.value
+        mask = (1 << min(max(len(known).bit_length() + 4, 10), 26)) - 1
+        maybe = np.zeros(mask + 1, bool)
+        maybe[known & mask] = True
         for batch in batches:
             texts = batch["text"].to_pylist()
             sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for a, b in slices(texts, CHUNK_CHARS):
-                slot, owner = slots(texts[a:b], features, pair)
-                sums[a:b] = np.bincount(owner, model.value[slot], minlength=b - a)
+            for a, b in chunks(texts):
+                slot, owner = slots(texts[a:b], bits, features, pair)
                 n[a:b] = np.bincount(owner, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_th"], batch["good"], batch["train"], pa.array(n), pa.array(sums)],
-                                             names=["_id", "_th", "good", "train", "n_features", "log_weight"])
+                at = np.flatnonzero(maybe[slot & mask])
+                if len(at):
+                    place = np.minimum(np.searchsorted(known, slot[at]), len(known) - 1)
+                    sums[a:b] = np.bincount(owner[at], np.where(known[place] == slot[at], weights[place], 0.0), minlength=b - a)
+            total = np.asarray(batch["log_weight"].to_numpy(zero_copy_only=False)) + sums
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_th"], batch["good"], batch["train"], pa.array(n), pa.array(total), batch["text"]],
+                                             names=["_id", "_th", "good", "train", "n_features", "log_weight", "text"])
 
-    return rows.select("_id", "_th", "good", "train", "text").mapInArrow(
-        run, "_id long, _th long, good boolean, train boolean, n_features long, log_weight double")
+    return run
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -212,7 +268,7 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed:
     rows = rows.join(sample, F.col("_id") == F.col("_label_id"), "left").withColumns({
         "train_good": F.coalesce(F.col("good") & F.col("train"), F.lit(False)),
         "train_bad": F.coalesce(~F.col("good") & F.col("train"), F.lit(False))})
-    weighed = stage(log_weights(rows, fit_models(rows)), "weights")
+    weighed = stage(log_weights(rows, *fit_models(rows)), "weights")
     held = weighed.where(~F.col("train") & (F.col("n_features") > 0)).select("log_weight", "good").toPandas()  # bounded by ``labelled``
     cut = best_cut(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool))
     # without evidence for or against it a document is not rejected

@@ -427,6 +427,27 @@ def test_resampling_on_rare_words(spark):
     assert sum(kept[i] for i in range(3000) if i not in bad) > 0.95 * (3000 - len(bad))
 
 
+def test_slots_grow_with_the_input(spark):
+    """Counts of 300 000 distinct words and as many pairs are those of single n-grams; scoring in parts of the model adds up to the same."""
+    texts = [" ".join(f"u{i * 300 + k}" for k in range(300)) for i in range(1000)]
+    assert importance.slot_bits(10**12) > importance.slot_bits(10**9) > importance.slot_bits(10**6)
+    bits, features, pair = importance.slot_bits(sum(map(len, texts))), importance.Features(), importance.Rolling(2, importance.BASES[0])
+    slot, owner = importance.slots(texts, bits, features, pair)
+    assert np.bincount(owner).tolist() == [300 + 299 + 1] * 1000
+    assert len(np.unique(slot)) == 300_000 + 299_000 + 1
+    # every rare word of the bad rows is told from the words of the others
+    rng = random.Random(2)
+    rows = [(i, texts[i] + (f" vile{i % 4} foul{i % 4}" if i % 10 == 0 else "") + " " + prose(rng, 20, 50)) for i in range(1000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1000) if i % 3], "doc_id long, quality int, toxic int")
+    sample = importance.labelled_sample(labels)
+    full = frame(spark, rows).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text").join(sample, F.col("_id") == F.col("_label_id"), "left")
+    full = full.withColumns({"train_good": F.coalesce(F.col("good") & F.col("train"), F.lit(False)), "train_bad": F.coalesce(~F.col("good") & F.col("train"), F.lit(False))})
+    model, bits = importance.fit_models(full)
+    whole, parts = (table(importance.log_weights(full, model, bits, most), "_id", "n_features", F.round("log_weight", 9)) for most in (10**6, 3))
+    assert whole == parts and model.count() > 3
+    assert all((w < 0) == (i % 10 == 0) for i, _, w in whole)
+
+
 def test_label_ratio():
     """The floor: six documents where a quarter of the training rows is bad, whatever the number of all documents."""
     got = importance.label_ratio(np.array([0, 0, 0, 3, 30, 100]), np.array([5, 6, 50, 1, 10, 0]), 7500, 2500)
