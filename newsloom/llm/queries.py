@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, jaccard, licences, mixing, rules, secrets, substrings, tokens, urls
+from . import decontaminate, importance, jaccard, licences, mixing, ranking, rules, secrets, substrings, tokens, urls
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -102,3 +102,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
                       secrets.digest(F.col("spans")).alias("spans"))
+
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL["op11_ranked_search"] = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+             '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+             '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t FROM benchmark),
+s AS (SELECT count(*) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) GROUP BY 1, 2, 3),
+v AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_all) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t),
+c AS (SELECT p.doc_id, p.t, v.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_all) // l_all)))) AS x
+      FROM p JOIN v USING (t), s),
+z AS (SELECT item_id, doc_id, CAST(sum(x) AS BIGINT) AS score FROM i JOIN c USING (t) GROUP BY 1, 2 HAVING sum(x) > 0),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM z)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
