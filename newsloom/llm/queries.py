@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, jaccard, licences, mixing, ranking, rules, secrets, substrings, tokens, urls
+from . import decontaminate, divergence, importance, jaccard, licences, mixing, ranking, rules, secrets, substrings, tokens, urls
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -123,3 +123,33 @@ z AS (SELECT item_id, doc_id, CAST(sum(x) AS BIGINT) AS score FROM i JOIN c USIN
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM z)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+               '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+o AS (SELECT lang, source, r, t, count(*) AS c FROM (SELECT lang, source, r, unnest(w) AS t FROM d) GROUP BY ALL),
+k AS (SELECT lang, t FROM o GROUP BY lang, t HAVING count(*) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, t, sum(c) AS c FROM o JOIN k USING (lang, t) GROUP BY ALL),
+ng AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.t, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (coalesce(ng.n, 0) + v.v) AS p
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN ng USING (lang, source) LEFT JOIN c USING (lang, source, t)),
+q AS (SELECT lang, t, 1 + (1000000000 * (sum(c) + 1)) // (sum(sum(c)) OVER (PARTITION BY lang) + any_value(v)) AS q
+      FROM c JOIN v USING (lang) GROUP BY lang, t),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+       FROM f a JOIN f b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pv.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+      UNION ALL
+      SELECT f.lang, f.source, 'term', f.t, CAST((p - q) * (p - q) // q AS BIGINT) FROM f JOIN q USING (lang, t) WHERE c > 0 AND p > q),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e)
+SELECT lang, source, part, item, value, rank FROM n WHERE part = 'pair' OR rank <= 200
+"""
