@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprint import hamming64, simhash64
 from ..scale import attach_counted, order_chunks, packed_arrays, ranked, scan
-from ..session import stage
+from ..session import discard, new_path, stage
+from .buckets import LIMIT, close_links
 
 HOT_BUCKET = 20_000
+HUB_SHARE = 1000
+HUB_LEAST = 1000
 
 
 def with_simhash(items: DataFrame, text: str = "content_text") -> DataFrame:
@@ -102,6 +105,32 @@ def _hot_pairs(hot: DataFrame, masks: list[int], threshold: int) -> DataFrame:
     return out
 
 
+def _refine(distinct_hashes: int, threshold: int):
+    """Masks for ``close_links``: the banded tables first, then finer ones over the bits that a mask leaves out."""
+    def refine(mask: int) -> list[int]:
+        if not mask:
+            return block_masks(block_count(distinct_hashes, threshold), threshold)
+        free = [b for b in range(64) if not mask >> b & 1]
+        return [mask | m for m in block_masks(min(threshold + 3, len(free)), threshold, free)]
+
+    return refine
+
+
+def near_links(items: DataFrame, threshold: int = 3, forest: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+    """(a, b): enough links between *distinct* fingerprints to connect all that are within ``threshold`` bits, directly or over others.
+
+    Unlike ``near_dup_pairs`` the output grows with the fingerprints, not with the pairs of a group. With ``forest``, an earlier result of
+    ``connected_components``, only fingerprints outside of it are compared, among themselves and with all others; those of the forest must
+    have been compared with each other before. Fingerprints without a link are not in a forest and count as new.
+    """
+    hashes = items.select(F.col("simhash64").alias("h")).where("h is not null").distinct()
+    if forest is not None:
+        hashes = hashes.join(forest.select(F.col("node").alias("h"), F.lit(False).alias("fresh")), "h", "left").withColumn(
+            "fresh", F.coalesce("fresh", F.lit(True)))
+    hashes = stage(hashes, "hashes")
+    return close_links(hashes, threshold, _refine(hashes.count(), threshold), fresh=None if forest is None else "fresh", limit=limit)
+
+
 def copy_links(items: DataFrame, item_id: str = "item_id") -> DataFrame:
     """(fingerprint, lowest item id) → every other item with the same fingerprint, as star edges."""
     rows = items.where("simhash64 is not null").select("simhash64", item_id)
@@ -110,38 +139,71 @@ def copy_links(items: DataFrame, item_id: str = "item_id") -> DataFrame:
         "simhash64", "first_id", F.col(item_id).alias("copy_id"))
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, forest: DataFrame | None = None) -> DataFrame:
     """(node, component) for all nodes of an undirected edge list; component = smallest node in it.
 
     Alternating large-star / small-star contraction (Kiveris et al., 2014). A node's minimum is a grouped
-    aggregate with map-side combine; the join that hands it to the neighbours is an equi-join that AQE
-    splits when a hub is skewed. Every round is staged and compared by a checksum of the edge set.
+    aggregate with map-side combine. Handing it to the neighbours is a shuffle join, except for hubs, nodes with more than
+    one in ``HUB_SHARE`` of the edges: there are at most as many of them, and they are broadcast, so no task holds the edges of a hub.
+    Each round is staged and the one before deleted; one aggregate tells whether only stars are left, and how large the largest hub is.
+
+    ``forest`` is an earlier (node, component) result whose links hold on; only the new edges then need contraction.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, before = stage(e, "edges"), None
-    while True:
-        e = stage(_small_star(_large_star(e)), "edges")
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(roots).distinct()
-
-
-def _large_star(e: DataFrame) -> DataFrame:
+    spark = edges.sparkSession
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    if forest is not None:
+        e = e.unionByName(forest.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    path = new_path(spark, "edges")
+    e = stage(e.where("u <> v").distinct(), "edges", path=path)
+    n, degree, stars = _shape(e)
+    while not stars:
+        limit = max(HUB_LEAST, 2 * n // HUB_SHARE)
+        hubs = limit if degree > limit else None
+        following = new_path(spark, "edges")
+        e = stage(_small_star(_large_star(e, hubs), hubs), "edges", path=following)
+        discard(spark, path)
+        path = following
+        n, degree, stars = _shape(e)
+    roots = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        roots.select("node", F.col("node").alias("component")))
+
+
+def _shape(e: DataFrame) -> tuple[int, int, bool]:
+    """(edges, largest degree, is every edge one of a star around a smallest node?)"""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    r = nodes.agg(F.sum("up"), F.max(F.col("up") + F.col("down")), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return int(r[0] or 0), int(r[1] or 0), not r[2]
+
+
+def _with_low(rows: DataFrame, low: DataFrame, hubs: int | None) -> DataFrame:
+    """``rows`` with the minimum ``m`` of their ``u``; nodes with more than ``hubs`` rows apart."""
+    if hubs is None:
+        return rows.join(low.drop("n"), "u")
+    hot = F.broadcast(low.where(F.col("n") > hubs).drop("n"))
+    rest = rows.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("n") <= hubs).drop("n"), "u")
+    return rows.join(hot, "u").unionByName(rest)
+
+
+def _large_star(e: DataFrame, hubs: int | None = None) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_low(both.where("v > u"), low, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, hubs: int | None = None) -> DataFrame:
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_low(e, low, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def fingerprint_components(items: DataFrame, threshold: int = 3, forest: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all fingerprints with a near one; with ``forest`` an earlier result is completed instead of made anew."""
+    return connected_components(near_links(items, threshold, forest), "a", "b", forest)
+
+
 def cluster_members(items: DataFrame, threshold: int = 3, since: Column | None = None,
                     max_items: int | None = None) -> DataFrame:
     """(primary_id, item_id, published_at) for every item in a group of two or more near duplicates.
@@ -155,7 +217,7 @@ def cluster_members(items: DataFrame, threshold: int = 3, since: Column | None =
     if max_items is not None:
         pool = pool.orderBy(F.col("published_at").asc_nulls_last(), "item_id").limit(max_items)
     pool = stage(pool, "pool")
-    near = connected_components(near_dup_pairs(pool, threshold), "hash_a", "hash_b")
+    near = fingerprint_components(pool, threshold)
     hashes = pool.groupBy("simhash64").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("published_at", "item_id")).alias("first"))
     # one row per fingerprint from here on: groups of copies have already collapsed

@@ -179,15 +179,22 @@ def attach(facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-HOT_ROWS = 1_000_000
+#: a key is hot with more than one in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys
+HOT_SHARE = 1000
+HOT_LEAST = 1000
 
 
-def attach_counted(facts: DataFrame, dim: DataFrame, on: Sequence[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join with a lookup whose column ``rows`` tells how many facts each key has.
+def attach_counted(facts: DataFrame, dim: DataFrame, on: Sequence[str], rows: str, hot_rows: int | None = None) -> DataFrame:
+    """Inner join with a staged lookup of unique keys whose column ``rows`` tells how many facts each key has.
 
-    Keys with more than ``hot_rows`` facts are broadcast: there are at most facts / hot_rows of them. All
-    other keys are small enough for an ordinary shuffle join.
+    Hot keys are broadcast: by default those with more than a thousandth of the counted facts, at most a thousand keys
+    whatever the input. All other keys are small enough for an ordinary shuffle join.
     """
+    if hot_rows is None:
+        total, most = dim.agg(F.sum(rows), F.max(rows)).first()
+        hot_rows = max(HOT_LEAST, int(total or 0) // HOT_SHARE)
+        if (most or 0) <= hot_rows:
+            return facts.join(dim, list(on))
     hot = dim.where(F.col(rows) > hot_rows)
     cold = dim.where(F.col(rows) <= hot_rows)
     rest = facts.join(F.broadcast(hot.select(*on)), list(on), "left_anti").join(cold, list(on))

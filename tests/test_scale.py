@@ -108,6 +108,87 @@ def test_components(spark):
     assert len(got) == len(parent)
 
 
+def test_components_with_hubs_and_an_earlier_forest(spark, monkeypatch):
+    rnd = random.Random(9)
+    edges = [(5000 + i, 7) for i in range(900)] + [(5000 + rnd.randrange(900), 9000 + i) for i in range(50)] + [(i, i + 1) for i in range(100, 130)]
+    later = [(129, 20), (20, 5100), (30000, 30001)]
+    df = lambda e: spark.createDataFrame(e, "a int, b int")
+    plain = {tuple(r) for r in clusters.connected_components(df(edges + later), "a", "b").collect()}
+    monkeypatch.setattr(clusters, "HUB_LEAST", 3)
+    monkeypatch.setattr(clusters, "HUB_SHARE", 50)
+    assert {tuple(r) for r in clusters.connected_components(df(edges + later), "a", "b").collect()} == plain
+    first = clusters.connected_components(df(edges), "a", "b").persist()
+    assert {tuple(r) for r in clusters.connected_components(df(later), "a", "b", forest=first).collect()} == plain
+    assert clusters.connected_components(df([(1, 1)]), "a", "b").collect() == []
+
+
+def test_edges_of_a_hub_are_spread(spark):
+    """No task of a round holds the edges of one node, though it has nearly all of them."""
+    import tempfile
+
+    edges = spark.range(200_000).select(F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(F.lit(7)).alias("a"), (F.col("id") + 10**6).alias("b"))
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    out = clusters._large_star(e, 2 * 200_000 // 1000)
+    path = tempfile.mkdtemp() + "/star"
+    out.withColumn("p", F.spark_partition_id()).write.parquet(path)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("p").count().collect()]
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    joins = out._jdf.queryExecution().executedPlan().toString()
+    assert joins.count("BroadcastHashJoin") >= 2
+
+
+def brute_components(values, bits):
+    values = sorted(set(values))
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(values):
+        for y in values[i + 1:]:
+            if bin((x ^ y) & (2**64 - 1)).count("1") <= bits:
+                a, b = find(x), find(y)
+                parent[max(a, b)] = min(a, b)
+    found = {v: find(v) for v in values}
+    linked = {c for v, c in found.items() if v != c}
+    return {v: c for v, c in found.items() if c in linked}
+
+
+def signed(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def dense(rnd):
+    """A ball around one value, some smaller groups, and strangers."""
+    base = rnd.getrandbits(64)
+    ball = {base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(5))) for _ in range(250)}
+    groups = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(4))) for c in (rnd.getrandbits(64) for _ in range(15)) for _ in range(6)}
+    far = {base ^ 0x7FFF << 40 ^ 1 << rnd.randrange(64) for _ in range(20)}
+    return [signed(h) for h in ball | groups | far | {rnd.getrandbits(64) for _ in range(60)} | {0, 1, 2**64 - 1}]
+
+
+def test_links_connect_all_near_fingerprints(spark):
+    values = dense(random.Random(4))
+    expected = brute_components(values, 3)
+    df = spark.createDataFrame([(v,) for v in values + values[:5]] + [(None,)], "simhash64 long")
+    for limit in (50_000, 40, 3):
+        links = clusters.near_links(df, 3, limit=limit)
+        got = clusters.connected_components(links, "a", "b").collect()
+        assert {r.node: r.component for r in got} == expected
+        assert limit < 50_000 or links.count() <= 32 * len(values)
+
+
+def test_new_items_complete_an_earlier_result(spark):
+    values = dense(random.Random(6))
+    df = lambda v: spark.createDataFrame([(x,) for x in v], "simhash64 long")
+    old, new = values[:-12], values[-12:]
+    forest = clusters.fingerprint_components(df(old), 3).persist()
+    got = clusters.fingerprint_components(df(old + new), 3, forest).collect()
+    assert {r.node: r.component for r in got} == brute_components(values, 3)
+
+
 def test_clusters_with_a_hot_group_of_copies(spark):
     rnd = random.Random(1)
     rows = [(i, 7 if i % 3 == 0 else rnd.getrandbits(63), i) for i in range(300)] + [(900, 7 ^ 1, 0), (901, None, 1)]
