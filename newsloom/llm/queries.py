@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, importance, jaccard, licences, mixing, ranking, rules, secrets, substrings, tokens, urls
+from . import decontaminate, divergence, importance, jaccard, licences, mixing, ranking, rules, secrets, substrings, tokens, urls, variants
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -153,3 +153,8 @@ e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e)
 SELECT lang, source, part, item, value, rank FROM n WHERE part = 'pair' OR rank <= 200
 """
+
+
+def op13_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = variants.near_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", variants.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
