@@ -39,7 +39,8 @@ def _chunked(rows: DataFrame, row_id: str, line: Column, by: str | None = None)
 def feed_payloads(t) -> DataFrame:
     """documents, whole texts, as feeds of twenty entries: even parts RSS, odd parts Atom, every second Atom feed with prefixes.
 
-    Even items carry their text as full content, odd ones as description or summary; every third Atom content is XHTML.
+    Even items carry their text as full content, odd ones as description or summary; every third Atom content is XHTML. RSS items also have
+    elements of other namespaces, HTML entities and bare ampersands, every third one its text in CDATA; each RSS feed has a broken item.
     """
     i = items(t)
     odd = F.floor(F.col("item_id") / PER_FEED) % 2 == 1
@@ -51,10 +52,12 @@ def feed_payloads(t) -> DataFrame:
     def tag(name: str, value: Column, attrs: str = "") -> Column:
         return F.concat(F.lit(f"<{name}{attrs}>"), value, F.lit(f"</{name}>"))
 
+    once = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("<![CDATA["), markup, F.lit("]]>"))).otherwise(xml(markup))
+    other = '<media:title>other</media:title><atom:link rel="self" href="https://self.example/"/><category>a&nbsp;b & c:d</category><source><title>of</title></source>'
     rss = tag("item", F.concat(
-        tag("title", xml(F.col("title"))), tag("link", F.col("url")),
-        F.when(full, F.concat(tag("description", F.lit("short")), tag("content:encoded", xml(markup)))).otherwise(tag("description", xml(markup))),
-        tag("pubDate", rfc)))
+        F.lit(other), tag("title", xml(F.col("title"))), tag("link", F.col("url")),
+        F.when(full, F.concat(tag("description", F.lit("short")), tag("content:encoded", once))).otherwise(tag("description", once)),
+        tag("itunes:summary", F.lit("spoken")), tag("pubDate", rfc)))
     content = F.when(F.col("item_id") % 3 == 0, tag("content", tag("div", markup), ' type="xhtml"')).otherwise(tag("content", xml(markup), ' type="html"'))
     atom = tag("entry", F.concat(
         tag("title", xml(F.col("title"))), F.lit('<link rel="alternate" href="'), "url", F.lit('"/><id>x</id>'),
@@ -63,7 +66,8 @@ def feed_payloads(t) -> DataFrame:
     feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "body", F.lit("</feed>"))
     prefixed = F.replace(F.regexp_replace(feed, "(</?)([a-z]+)", "$1a:$2"), F.lit("xmlns="), F.lit("xmlns:a="))
     wrapped = F.when(F.col("part") % 4 == 1, F.concat(F.lit('<?xml version="1.0"?>'), feed)).when(F.col("part") % 4 == 3, prefixed).otherwise(
-        F.concat(F.lit('<rss version="2.0" xmlns:content="c"><channel><title>t</title>'), "body", F.lit("</channel></rss>")))
+        F.concat(F.lit('<rss version="2.0" xmlns:content="c"><channel><title>t &copy; &</title>'
+                       '<item><title>broken <b></title><link>https://broken.example/</link></item>'), "body", F.lit("</channel></rss>")))
     return body.select(F.concat(F.lit("src"), F.col("part").cast("string")).alias("source_id"), F.lit("https://feeds.example/f").alias("url"),
                        wrapped.alias("body"), F.timestamp_seconds(F.lit(ITEM_START) + F.col("part")).alias("fetched_at"))
 
@@ -250,6 +254,12 @@ def _(t):
                     joined(F.col("region_ids")).alias("regions"), F.col("period_month").cast("string").alias("month"))
 
 
+@query("feed_errors", f"""
+SELECT 'src' || part AS source_id, 'mismatched tag' AS reason, 1 AS broken_items FROM (SELECT DISTINCT doc_id // {PER_FEED} AS part FROM documents) WHERE part % 2 = 0""")
+def _(t):
+    return feeds.feed_errors(feed_payloads(t)).select("source_id", "reason", "broken_items")
+
+
 @query("feed_entries", f"""
 WITH {ITEMS} SELECT url, {NORM.replace('text', CLEAN.format('content_text'))} AS content_text, item_id % 2 = 0 AND item_id // {PER_FEED} % 2 = 0 AS short_summary,
   {ts_sql("TIMESTAMP '2024-01-01' + to_seconds(item_id // " + str(PER_FEED) + ")")} AS fetched_at FROM items""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +10,9 @@ from ..functions.dates import parse_iso_ts
 from ..functions.text import normalize_text, strip
 from ..scale import attach, keep_first, ranked, top_n
 from ..session import stage
+from .feedxml import FeedReader, entry_url, entry_value
 from .html import html_to_text
 
-LINK = "struct<_VALUE:string,_href:string,_rel:string>"
-CONTENT = "struct<_VALUE:string,_type:string>"
-RSS_ITEM = ("struct<title:string,link:string,guid:string,description:string,`content:encoded`:string,"
-            "pubDate:string,`dc:date`:string>")
-RSS = f"channel struct<item:array<{RSS_ITEM}>>, item array<{RSS_ITEM}>, _corrupt_record string"
-ATOM_ENTRY = (f"struct<title:{CONTENT},link:array<{LINK}>,id:string,summary:{CONTENT},content:array<{CONTENT}>,"
-              "published:string,updated:string>")
-ATOM = f"entry array<{ATOM_ENTRY}>, _corrupt_record string"
 XML = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "attributePrefix": "_", "valueTag": "_VALUE"}
 
 # Zone names of feed dates, in the order of their offsets.
@@ -40,57 +34,56 @@ def _first(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in cols])
 
 
-ROOT = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<([\w.:\-]+)"
-
-
-def feed_body(body: Column) -> Column:
-    """The feed as its schema expects it: no prefixes but those of content:encoded and dc:date, bare ampersands escaped, XHTML as text."""
-    plain = F.regexp_replace(body, r"(</?)(?!content:encoded|dc:date)[A-Za-z_][\w.\-]*:", "$1")
-    plain = F.regexp_replace(plain, r"&(?!#?\w+;)", "&amp;")
-    return F.regexp_replace(plain, r"""(?s)(<(content|summary|title)\b[^>]*\btype\s*=\s*["']xhtml["'][^>]*>)(.*?)(</\2>)""", "$1<![CDATA[$3]]>$4")
-
-
-def feed_kind(body: Column) -> Column:
-    """feed (Atom), rss, or malformed: no XML, or none that can be read."""
-    root = F.lower(F.regexp_replace(F.regexp_extract(body, ROOT, 1), "^.*:", ""))
-    kind = F.when(root == "feed", "feed").when(root.isin("rss", "rdf"), "rss").otherwise("malformed")
-    broken = F.from_xml(feed_body(body), f"_n string, {XML['columnNameOfCorruptRecord']} string", XML)["_corrupt_record"].isNotNull()
-    return F.when(body.isNull() | broken, F.lit("malformed")).otherwise(kind)
+def _read(payloads: DataFrame) -> DataFrame:
+    """One row per entry of every feed, broken ones with ``broken``, and one row with ``error`` per body that is no sound feed."""
+    kinds = dict(payloads.dtypes)
+    schema = ", ".join(f"{c} {kinds[k]}" for c, k in (("source_id", "source_id"), ("feed_url", "url"), ("fetched_at", "fetched_at")))
+    texts = ("url", "title", "summary", "content", "published", "updated", "error")
+
+    def run(batches):
+        for batch in batches:
+            owner, position, broken, out = [], [], [], {t: [] for t in texts}
+
+            def add(row, at, lost, **values):
+                owner.append(row)
+                position.append(at)
+                broken.append(lost)
+                for t in texts:
+                    out[t].append(values.get(t))
+
+            for row, body in enumerate(batch["body"].to_pylist()):
+                feed = FeedReader(body)
+                for at, e in enumerate(feed.entries):
+                    if e is None:
+                        add(row, at, True)
+                    else:
+                        add(row, at, False, url=entry_url(e), **{f: entry_value(e, f) for f in texts[1:6]})
+                if feed.error:
+                    add(row, None, False, error=feed.error)
+            take = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch[c].take(take) for c in ("source_id", "feed_url", "fetched_at")] + [pa.array(position, pa.int32()), pa.array(broken, pa.bool_())]
+                + [pa.array(out[t], pa.string()) for t in texts], names=["source_id", "feed_url", "fetched_at", "position", "broken", *texts])
+
+    rows = payloads.select("source_id", F.col("url").alias("feed_url"), "fetched_at", F.col("body").cast("binary").alias("body"))
+    return rows.mapInArrow(run, f"{schema}, position int, broken boolean, " + ", ".join(f"{t} string" for t in texts))
 
 
 def feed_errors(payloads: DataFrame) -> DataFrame:
-    """Payloads that are no readable feed: their sources count as failed."""
-    return payloads.where(feed_kind(F.col("body")) == "malformed").select("source_id", "url", "fetched_at")
+    """Payloads that are no sound feed: (source_id, url, fetched_at, reason, broken_items). Entries that could be read are in ``rss_items`` all the same."""
+    keys = ["source_id", "feed_url", "fetched_at"]
+    lost = _read(payloads).where("broken or error is not null").groupBy(*keys).agg(
+        F.max("error").alias("reason"), F.count_if("broken").alias("broken_items"))
+    return lost.select("source_id", F.col("feed_url").alias("url"), "fetched_at", F.coalesce("reason", F.lit("entry without an end")).alias("reason"), "broken_items")
 
 
 def rss_items(payloads: DataFrame) -> DataFrame:
     """One row per feed entry with an address: (source_id, feed_url, position, url, title, summary,
-    content_html, content_text, published_at, fetched_at). Payloads that are no readable feed are in ``feed_errors``."""
-    parsed = payloads.withColumns({"_kind": feed_kind(F.col("body")), "_body": feed_body(F.col("body"))})
-    base, atom = parsed.where("_kind = 'rss'"), parsed.where("_kind = 'feed'")
-    keep = ["source_id", F.col("url").alias("feed_url"), "fetched_at"]
-
-    r = base.select(*keep, F.from_xml("_body", RSS, XML).alias("x"))
-    empty = F.expr(f"cast(array() as array<{RSS_ITEM}>)")
-    r = r.select("source_id", "feed_url", "fetched_at", F.posexplode(
-        F.concat(F.coalesce("x.channel.item", empty), F.coalesce("x.item", empty))).alias("position", "i"))
-    rss = r.select("source_id", "feed_url", "fetched_at", "position", _first(F.col("i.link"), F.col("i.guid")).alias("url"),
-                   F.col("i.title").alias("title"), F.col("i.description").alias("summary"),
-                   F.col("i").getField("content:encoded").alias("content"),
-                   F.coalesce(feed_date(F.col("i.pubDate")), feed_date(F.col("i").getField("dc:date"))).alias("published_at"))
-
-    a = atom.select(*keep, F.from_xml("_body", ATOM, XML).alias("x"))
-    a = a.select("source_id", "feed_url", "fetched_at", F.posexplode("x.entry").alias("position", "i"))
-    alternate = F.filter("i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
-    hrefs = F.transform(F.concat(alternate, F.coalesce("i.link", F.expr(f"cast(array() as array<{LINK}>)"))), lambda x: x["_href"])
-    entries = a.select("source_id", "feed_url", "fetched_at", "position", _first(F.get(hrefs, F.lit(0)), F.col("i.id")).alias("url"),
-                       F.col("i.title._VALUE").alias("title"), F.col("i.summary._VALUE").alias("summary"),
-                       F.get(F.col("i.content"), F.lit(0))["_VALUE"].alias("content"),
-                       F.coalesce(feed_date(F.col("i.published")), feed_date(F.col("i.updated"))).alias("published_at"))
-
-    rows = rss.unionByName(entries).where("url is not null")
+    content_html, content_text, published_at, fetched_at). What could not be read is told by ``feed_errors``."""
+    rows = _read(payloads).where("not broken and url is not null")
     html = F.coalesce(F.nullif("content", F.lit("")), F.when(F.contains("summary", F.lit("<")), F.col("summary")))
-    rows = rows.withColumn("content_html", html).drop("content")
+    rows = rows.select("source_id", "feed_url", "fetched_at", "position", "url", "title", "summary",
+                       F.coalesce(feed_date(F.col("published")), feed_date(F.col("updated"))).alias("published_at"), html.alias("content_html"))
     text = F.when(F.col("content_html").isNotNull(), html_to_text(F.col("content_html"))).otherwise(
         F.when(F.coalesce("summary", F.lit("")) != "", normalize_text(F.col("summary"))))
     return rows.withColumn("content_text", text)

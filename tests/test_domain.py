@@ -260,6 +260,30 @@ def test_feed_forms(spark):
     assert {r.url for r in feeds.feed_errors(p).collect()} == set(bad)
 
 
+def test_feeds_with_namespaces_entities_and_broken_items(spark):
+    head = '<?xml version="1.0" encoding="windows-1251"?><rss xmlns:media="http://search.yahoo.com/mrss/" xmlns:a="http://www.w3.org/2005/Atom" xml:base="https://x/"><channel>'
+    bodies = {
+        "media": head + "<item><media:title>other</media:title><title>t</title><media:group><media:title>deep</media:title></media:group><link>https://a/1</link></item>"
+                 "<item><media:title>only</media:title><link>https://a/2</link></item></channel></rss>",
+        "atom": head + '<item><title>t</title><a:link rel="self" href="z"/><link>https://a/3</link></item><item><a:link href="/4"/><guid isPermaLink="false">g</guid></item></channel></rss>',
+        "entity": head + "<item><title>a&nbsp;b &copy; &unknown; &#8211; x&y</title><link>https://a/5?p=1&q=2</link></item></channel></rss>",
+        "cdata": head + "<item><title><![CDATA[<x:y> & more]]></title><link>https://a/6</link><description><![CDATA[a:b &amp; <b>c</b>]]></description></item></channel></rss>",
+        "broken": head + "<item><title>g1</title><link>https://a/7</link></item><item><title>x <b></title><link>https://bad</link></item>"
+                  "<item><title>open <![CDATA[</title></item><item><title>g2</title><link>https://a/8</link></item><item><title>no end<link>u</link></item>",
+        "source": '<feed xmlns="http://www.w3.org/2005/Atom"><entry><source><title>of</title><id>s</id></source><title type="html">own</title><link rel="enclosure" href="e"/><id>https://a/9</id>'
+                  '<content type="xhtml"><div>1 &lt; 2 <p>two<br/></p></div></content></entry></feed>',
+        "nested": head + "<item><title>lost</title><link>l</link><item><title>kept</title><link>https://a/10</link></item></channel></rss>",
+    }
+    p = spark.createDataFrame([("s", k, v) for k, v in bodies.items()], "source_id string, url string, body string").withColumn("fetched_at", F.lit(NOW))
+    got = {r.url: (r.title, r.content_text) for r in feeds.rss_items(p).collect()}
+    assert got == {
+        "https://a/1": ("t", None), "https://a/2": ("only", None), "https://a/3": ("t", None), "https://x/4": (None, None),
+        "https://a/5?p=1&q=2": ("a\u00a0b © &unknown; – x&y", None), "https://a/6": ("<x:y> & more", "a:b & c"),
+        "https://a/7": ("g1", None), "https://a/8": ("g2", None), "https://a/9": ("own", "1 < 2 two"), "https://a/10": ("kept", None)}
+    lost = {r.url: (r.reason, r.broken_items) for r in feeds.feed_errors(p).collect()}
+    assert lost == {"broken": ("mismatched tag", 3), "nested": ("mismatched tag", 1)}
+
+
 def test_articles_with_odd_markup(spark):
     deep = "<body>" + "<div>" * 5000 + "deep text</div>"
     page = "<ul class=a><li>one<li>two<ul><li>inner</ul></ul><div class=b><section><p>far</p></section><p>near</p></div>"
