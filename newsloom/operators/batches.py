@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..scale import CHUNK, order_chunks, scan, top_n
+from ..scale import CHUNK, IDENTITY, order_chunks, rejoin, row_identity, scan, top_n
 
 # Room kept for the header of a batch, and the options of the single-text selection.
 NEWS_RESERVE = 280
@@ -154,14 +154,14 @@ def char_batches(rows: DataFrame, group: str, order: list[str], length: Column,
     """Add batch_no (from 0) per group: lines joined by newlines plus ``reserve`` fit into ``max_chars``.
 
     ``order`` is (timestamp, id), undated rows count as oldest; an item too long for any batch gets its own.
-    ``group`` must be a string column.
+    ``group`` must be a string column; null counts as ''. Every row comes back once, whatever repeats: ids, times or whole rows.
     """
     ts, row_id = order
     stamp = F.coalesce(F.unix_micros(ts), F.lit(-(2 ** 62)))
-    # only group, order and width are staged; the rows themselves come back by group and order
-    place = {"_grp": F.coalesce(F.col(group), F.lit("")), "_at": -stamp if newest_first else stamp}
-    sized = rows.select(*[c.alias(n) for n, c in place.items()], F.col(row_id).alias("_rid"), (length + 1).cast("long").alias("_w"))
-    by = ["_at", "_rid"]
+    # only group, order, width and the rows' identities are staged; rows of equal or null ids stay apart by their content
+    sized = rows.select(F.coalesce(F.col(group), F.lit("")).alias("_grp"), (-stamp if newest_first else stamp).alias("_at"),
+                        F.col(row_id).alias("_rid"), (length + 1).cast("long").alias("_w"), *row_identity(rows))
+    by = ["_at", "_rid", *IDENTITY]
     placed = scan(order_chunks(sized, ["_grp"], by), ["_grp"], by, rank="_pos")
     cap = max_chars - reserve + 1
     narrow = placed.select(F.col("_grp").alias("grp"), F.col(CHUNK).alias("chunk"), F.col("_pos").alias("pos"), F.col("_w").alias("w"))
@@ -170,9 +170,8 @@ def char_batches(rows: DataFrame, group: str, order: list[str], length: Column,
     entries = answers.groupBy("grp").applyInPandas(_chain(cap), "grp string, chunk int, open_chars long, batch long")
     numbered = narrow.join(entries, ["grp", "chunk"]).groupBy("grp", "chunk").applyInPandas(
         _number(cap), "grp string, pos long, batch_no long")
-    found = placed.join(numbered, (F.col("_grp") == F.col("grp")) & (F.col("_pos") == F.col("pos"))).select("_grp", "_at", "_rid", "batch_no")
-    keyed = rows.withColumns({**place, "_rid": F.col(row_id)})
-    return keyed.join(found, ["_grp", "_at", "_rid"]).drop("_grp", "_at", "_rid")
+    found = placed.join(numbered, (F.col("_grp") == F.col("grp")) & (F.col("_pos") == F.col("pos"))).select(*IDENTITY, "batch_no")
+    return rejoin(rows, found)
 
 
 def batch_texts(batched: DataFrame, group: str, order: list[str], line: str = "line",

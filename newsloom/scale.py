@@ -4,6 +4,7 @@
 * ``top_n``: n rows per key; Spark limits each key before the shuffle (WindowGroupLimit).
 * ``order_chunks`` + ``scan``: running sums, ranks, lags and forward fills over one ordered key,
   computed per range-partitioned chunk and stitched by one summary row per (key, chunk).
+* ``row_identity`` + ``rejoin``: results of narrow staged columns brought back to the rows they came from.
 * ``packed_arrays``: ordered arrays of bounded length instead of one array per key.
 * ``attach``: lookup join that broadcasts a measured small side and salts the shuffle otherwise.
 * ``attach_counted``: lookup join for keys whose row counts are known: hot keys apart from the others.
@@ -135,6 +136,28 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ra
     return scan(order_chunks(df, keys, order), keys, order, rank=rank).drop(CHUNK)
 
 
+IDENTITY = ("_h1", "_h2")
+
+
+def row_identity(df: DataFrame) -> list[Column]:
+    """128 bits that name the content of a row, nulls included; rows equal in all columns share them."""
+    def part(c: str, kind: str) -> Column:
+        nested = kind.startswith(("array", "map", "struct", "variant"))
+        return F.to_json(F.struct(F.col(c).alias("c")), {"ignoreNullFields": "false"}) if nested else F.col(c)
+
+    parts = [part(c, t) for c, t in df.dtypes] + [F.col(c).isNull().cast("int") for c in df.columns]
+    return [F.xxhash64(*parts).alias(IDENTITY[0]), F.xxhash64(F.lit("2"), *parts).alias(IDENTITY[1])]
+
+
+def rejoin(df: DataFrame, found: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``found``, computed from its rows and named by ``row_identity``.
+
+    Equal rows are interchangeable: as many come back as ``found`` has for them, each with a result of its own.
+    """
+    wide = df.select("*", *row_identity(df)).dropDuplicates(list(IDENTITY))
+    return wide.join(found, list(IDENTITY)).drop(*IDENTITY)
+
+
 def packed_arrays(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: Sequence[str], size: int = 10_000
 ) -> DataFrame:

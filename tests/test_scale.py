@@ -198,6 +198,21 @@ def test_clusters_with_a_hot_group_of_copies(spark):
     assert sorted(i for p in parts for i in p.related_item_ids) == sorted([i for i in range(300) if i % 3 == 0 and i] + [900])
 
 
+def test_batches_keep_equal_rows_and_null_ids(spark):
+    rows = [(1, "g", 30, 5, ["a", None]), (1, "g", 30, 5, [None, "a"]), (1, "g", 30, 5, ["a", None]), (None, "g", 30, 5, None), (None, "g", 20, 5, []),
+            (None, None, 10, None, ["x"]), (2, "", 10, None, ["x"]), (2, "", 10, None, None)]
+    df = spark.createDataFrame(rows, "id int, g string, n int, t int, more array<string>").withColumn("at", F.timestamp_seconds("t"))
+    out = batches.char_batches(df, "g", ["at", "id"], F.col("n"), max_chars=70, reserve=0)
+    assert out.columns == [*df.columns, "batch_no"]
+    got = out.collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, rows))
+    fill = {}
+    for r in got:
+        fill.setdefault((r.g or "", r.batch_no), []).append(r.n)
+    assert all(sum(v) + len(v) - 1 <= 70 for v in fill.values())
+    assert {k[1] for k in fill if k[0] == "g"} == {0, 1, 2} and {k[1] for k in fill if k[0] == ""} == {0}
+
+
 def test_greedy_batches(spark):
     rnd = random.Random(11)
     rows = [(i, "hot" if rnd.random() < 0.7 else rnd.choice("ab"), rnd.randrange(1, 60) if rnd.random() < 0.97 else 400,
