@@ -6,11 +6,13 @@ import datetime as dt
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import period_month
 from ..scale import keep_first, keep_last
+from ..session import discard, folder_names, new_path, stage
+from .keytable import KeyTable
 
 dedup_keep_first = keep_first
 
@@ -24,13 +26,35 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], o
 
 
 def append_new(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str],
-               partition_by: Sequence[str] = ()) -> None:
-    """Append the absent rows of ``batch`` to the parquet table at ``path`` (one writer at a time)."""
-    if table_exists(spark, path):
-        batch = insert_if_absent(spark.read.parquet(path), batch, keys, order)
+               partition_by: Sequence[str] = (), batch_id: str | None = None) -> int:
+    """Append the absent rows of ``batch`` to the parquet table at ``path`` (one writer at a time); returns their number.
+
+    Known keys stand in a ``KeyTable`` beside the table, at ``path``_keys. The rows go to a folder ``ingest_batch=…``; with a
+    ``batch_id`` a repeated batch replaces its own rows and keys: rows are written first, keys last, so a crash in between is mended by
+    the repetition. Keys with a null are never known. A table that was not made here gets a key table, keeps its own
+    folders, and takes the rows of a batch that is repeated after such a crash twice.
+    """
+    name = batch_id or uuid.uuid4().hex
+    known = KeyTable(spark, f"{path}_keys", keys)
+    foreign = table_exists(spark, path) and not any(n.startswith("ingest_batch=") for n in folder_names(spark, path))
+    if foreign and not known.segments():
+        known.add(spark.read.parquet(path))
+    own = None if foreign else name
+    known.compact(without=own)
+    fresh, written, staged = known.absent(keep_first(batch, keys, order), without=own), Observation(), new_path(spark, "fresh")
+    fresh = fresh.observe(written, F.count(F.lit(1)).alias("rows"))
+    if foreign:
+        fresh = stage(fresh, "fresh", path=staged)
+        fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
     else:
-        batch = keep_first(batch, keys, order)
-    batch.write.mode("append").partitionBy(*partition_by).parquet(path)
+        kept = f"{path}/ingest_batch={name}"
+        fresh.write.mode("overwrite").partitionBy(*partition_by).parquet(kept)
+        fresh = spark.read.schema(batch.schema).parquet(kept)
+    rows = written.get["rows"]
+    known.add(fresh, name if own else None, rows)
+    if foreign:
+        discard(spark, staged)
+    return rows
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -56,7 +80,6 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: Sequenc
     The table keeps its columns: those the batch lacks stay as they were for known keys and are null for new ones; columns
     that the table doesn't have are refused.
     """
-    from ..session import stage
     if table_exists(spark, path):
         target = spark.read.parquet(path)
         new = [c for c in batch.columns if c not in target.columns]

@@ -54,6 +54,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def folder_names(spark: SparkSession, path: str, holding: str | None = None) -> list[str]:
+    """Names of the folders in ``path``, only those with a file ``holding`` if given; none if there is no such path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    if not fs.exists(place):
+        return []
+    found = [s.getPath() for s in fs.listStatus(place) if s.isDirectory()]
+    return sorted(p.getName() for p in found if holding is None or fs.exists(jvm.org.apache.hadoop.fs.Path(p, holding)))
+
+
 def stage(df: DataFrame, name: str, *partition_by: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +16,7 @@ from ..operators.health import fold_runs
 from ..operators.posts import cursor_max
 from ..operators.sinks import append_new, table_exists
 from ..scale import attach, ranked, top_n
-from ..session import stage
+from ..session import discard, new_path, stage
 
 
 def start(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -25,12 +25,43 @@ def start(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int],
             .trigger(availableNow=True).foreachBatch(write).start())
 
 
+RUN_SCHEMA = "batch_id string, fetched long, matched long, inserted long, skipped long, truncated long"
+
+
+def batch_name(spark: SparkSession, version: int) -> str:
+    """Names a micro-batch: the same when it is repeated, another one for another stream into the same target."""
+    return f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'batch'}-{version}"
+
+
+def run_log(spark: SparkSession, target: str) -> DataFrame:
+    """One row of statistics per micro-batch of ``stream_ingest``."""
+    if not table_exists(spark, f"{target}/runs"):
+        return spark.createDataFrame([], RUN_SCHEMA)
+    return spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{target}/runs")
+
+
 def stream_ingest(payloads: DataFrame, target: str, prepare: Callable[[DataFrame], DataFrame],
                   keys: Sequence[str] = ("canonical_url",), order: Sequence[str] = ("fetched_at", "url"),
                   partition_by: Sequence[str] = ("period_month",)) -> StreamingQuery:
-    """Parse and enrich payloads (``prepare``) and append the items whose keys the table does not hold yet."""
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch.sparkSession, f"{target}/items", stage(prepare(batch), "ingest"), keys, order, partition_by)
+    """Parse and enrich payloads (``prepare``) and append the items whose keys the table does not hold yet.
+
+    Each micro-batch leaves one row in ``runs``: batch_id, fetched, matched, inserted, skipped, truncated (``run_log``), observed
+    while its rows are written.
+    """
+    def write(batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        came, left = Observation(), Observation()
+        path = new_path(spark, "ingest")
+        payload = batch.observe(came, F.count(F.lit(1)).alias("fetched"))
+        ready = prepare(payload)
+        cut = F.count_if(F.coalesce(F.col("left_out"), F.lit(0)) > 0) if "left_out" in ready.columns else F.count_if(F.lit(False))
+        items = stage(ready.observe(left, F.count(F.lit(1)).alias("matched"), cut.alias("truncated")), "ingest", path=path)
+        name = batch_name(spark, version)
+        inserted = append_new(spark, f"{target}/items", items, keys, order, partition_by, name)
+        seen = {**came.get, **left.get, "inserted": inserted}
+        row = (name, seen["fetched"], seen["matched"], inserted, seen["matched"] - inserted, seen["truncated"])
+        spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{target}/runs/{name}")
+        discard(spark, path)
 
     return start(payloads, f"{target}/_checkpoint", write)
 
@@ -40,8 +71,10 @@ def stream_dedup(rows: DataFrame, target: str, keys: Sequence[str], event_time:
 
     The table itself is the memory, so a new key is kept however old its event time, and a repeated batch adds nothing.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch.sparkSession, f"{target}/rows", stage(batch, "dedup"), keys, [event_time])
+    def write(batch: DataFrame, version: int) -> None:
+        spark, path = batch.sparkSession, new_path(batch.sparkSession, "dedup")
+        append_new(spark, f"{target}/rows", stage(batch, "dedup", path=path), keys, [event_time], batch_id=batch_name(spark, version))
+        discard(spark, path)
 
     return start(rows, f"{target}/_checkpoint", write)
 

@@ -107,3 +107,69 @@ def test_rate_slots_and_upsert_table(spark):
     sinks.upsert_table(spark, path, spark.createDataFrame(rows, ddl), ["series", "period_date"], "fetched_at", "month")
     sinks.upsert_table(spark, path, spark.createDataFrame([("A", dt.date(2024, 1, 1), 9.0, 2, "2024-01")], ddl), ["series", "period_date"], "fetched_at", "month")
     assert sorted((str(x.period_date), x.value) for x in spark.read.parquet(path).collect()) == [("2024-01-01", 9.0), ("2024-02-01", 2.0)]
+
+
+def test_key_table_reads_few_files_and_survives_repetition(spark):
+    from newsloom.operators.keytable import KeyTable
+    from newsloom.operators import keytable
+
+    root = new_path(spark, "known")
+    table = KeyTable(spark, root, ["a", "b"])
+    assert table.lookup(spark.createDataFrame([("x", 1)], "a string, b int")) is None
+    old, keytable.BUCKET_KEYS = keytable.BUCKET_KEYS, 500
+    try:
+        rows = spark.range(200_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("a"), (F.col("id") % 7).cast("int").alias("b"))
+        table.add(rows)
+        files = spark.read.parquet(f"{root}/keys").inputFiles()
+        assert len(files) == 400
+        fresh = spark.range(100).select(F.concat(F.lit("new"), F.col("id").cast("string")).alias("a"), F.lit(1).alias("b"))
+        found = table.lookup(fresh)
+        assert found is None or len(found.inputFiles()) < 4  # under one in a hundred
+        mixed = fresh.unionByName(rows.where("id % 50000 = 7" if "id" in rows.columns else "a in ('k7', 'k50007')"))
+        assert len(table.lookup(mixed).inputFiles()) < 8
+        assert table.absent(mixed).count() == 100
+        # a null key is never known, equal keys with other second parts are others
+        odd = spark.createDataFrame([("k7", None), ("k7", 1), ("k7", 0)], "a string, b int")
+        table.add(odd)
+        assert {tuple(r) for r in table.absent(odd.unionByName(spark.createDataFrame([("k7", 5)], "a string, b int"))).collect()} == {("k7", None), ("k7", 5)}
+        for i in range(12):
+            table.add(spark.createDataFrame([(f"s{i}", 0)], "a string, b int"), f"seg{i}")
+            table.compact(without=f"seg{i}", most=4)
+        assert len(table.segments()) <= 6
+        assert table.absent(spark.createDataFrame([(f"s{i}", 0) for i in range(13)], "a string, b int")).collect()[0].a == "s12"
+        assert table.absent(mixed).count() == 100
+    finally:
+        keytable.BUCKET_KEYS = old
+
+
+def test_append_new_repeats_a_batch(spark):
+    path = new_path(spark, "table") + "/items"
+    df = lambda rows: spark.createDataFrame(rows, "k string, at int, m int")
+    assert sinks.append_new(spark, path, df([("a", 0, 1), ("c", 5, 3), ("c", 4, 3), (None, 1, 1)]), ["k"], ["at"], ["m"], "s-0") == 3
+    for _ in range(2):  # a repeated batch replaces its own rows
+        assert sinks.append_new(spark, path, df([("d", 1, 1), ("c", 9, 9)]), ["k"], ["at"], ["m"], "s-1") == 1
+    # rows were written, keys were not: a crash in between
+    df([("half", 1, 1), ("e", 1, 1)]).write.partitionBy("m").parquet(f"{path}/ingest_batch=s-2")
+    assert sinks.append_new(spark, path, df([("e", 1, 1)]), ["k"], ["at"], ["m"], "s-2") == 1
+    assert sinks.append_new(spark, path, df([("e", 1, 1), ("a", 1, 1)]), ["k"], ["at"], ["m"], "t-0") == 0
+    got = spark.read.parquet(path).collect()
+    assert sorted(str(r.k) for r in got) == ["None", "a", "c", "d", "e"]
+    assert {r.k: r["at"] for r in got}["c"] == 4
+
+
+def test_append_new_to_a_table_of_other_origin(spark):
+    path = new_path(spark, "table") + "/items"
+    df = lambda rows: spark.createDataFrame(rows, "k string, at int, m int")
+    df([("a", 1, 1), ("b", 2, 2)]).write.partitionBy("m").parquet(path)
+    assert sinks.append_new(spark, path, df([("a", 0, 1), ("c", 5, 3)]), ["k"], ["at"], ["m"], "s-0") == 1
+    assert sinks.append_new(spark, path, df([("a", 0, 1), ("c", 5, 3)]), ["k"], ["at"], ["m"], "s-0") == 0
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_run_log_of_the_ingest(spark):
+    rows = [(f"u{i % 30}", i, i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "canonical_url string, i int, left_out int")
+    target = new_path(spark, "runlog")
+    jobs.stream_ingest(stream_of(spark, df, "i", 3), target, lambda b: b.where("i % 10 <> 0"), order=["i"], partition_by=[]).awaitTermination()
+    log = sorted(map(tuple, jobs.run_log(spark, target).select("fetched", "matched", "inserted", "skipped", "truncated").collect()))
+    assert log == [(30, 27, 0, 27, 18), (30, 27, 0, 27, 18), (30, 27, 27, 0, 18)]
