@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_iso_ts
 from ..functions.text import blank_to_null, classify_fact, let, strip, strip_emoji
-from ..scale import attach, keep_first
-from ..session import stage
+from ..scale import attach, attach_counted, keep_first, order_chunks, scan
+from ..session import new_path, stage
 from .clusters import connected_components
 
 CITATION = "struct<label:string,url:string>"
@@ -279,58 +279,100 @@ def fact_keys(text: Column, citations: Column) -> Column:
     return F.array_distinct(F.concat(own, F.transform(urls, lambda u: F.concat(F.lit("u:"), u))))
 
 
-def _accepted_in_rounds(open_rows: DataFrame, report: str) -> list[DataFrame]:
-    """Groups too large for one task: a fact that is first on all of its keys is accepted, facts sharing a key with it drop out, and so on."""
-    accepted = []
-    while not open_rows.isEmpty():
-        first = open_rows.groupBy(report, "key").agg(F.min("fact_no").alias("first_no"))
-        marked = open_rows.join(first, [report, "key"])
-        won = stage(marked.groupBy(report, "fact_no").agg(F.min("first_no").alias("m")).where("m = fact_no")
-                    .select(report, "fact_no"), "facts")
-        accepted.append(won)
-        taken = open_rows.join(won, [report, "fact_no"], "left_semi").select(report, "key")
-        lost = open_rows.join(taken, [report, "key"], "left_semi").select(report, "fact_no").distinct()
-        open_rows = stage(open_rows.join(lost, [report, "fact_no"], "left_anti"), "facts")
-    return accepted
+def _walk(report: str, types: dict):
+    """The sequential rule over the keys of some facts: in order, a fact is taken when none of its keys is."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([report, "fact_no"])
+        taken, won, keys, last = set(), [], [], None
+
+        def close():
+            if last is not None and taken.isdisjoint(keys):
+                taken.update(keys)
+                won.append(last)
+
+        for owner, no, key in zip(pdf[report], pdf["fact_no"], pdf["key"]):
+            if (owner, no) != last:
+                close()
+                keys, last = [], (owner, no)
+            keys.append((owner, key))
+        close()
+        return pd.DataFrame(won, columns=[report, "fact_no"])
+
+    return run, f"{report} {types[report]}, fact_no {types['fact_no']}"
+
+
+def _sweep(rows: DataFrame, report: str, chunk_keys: int) -> DataFrame:
+    """Facts taken in groups too large for one task: chunks of ``chunk_keys`` keys in fact order, one after the other.
+
+    A chunk first drops the facts that share a key with one taken before, then is walked by one task; the chunks of all groups with the same number
+    are worked on together. So the steps are the chunks of the largest group, however long its chains are.
+    """
+    spark = rows.sparkSession
+    facts = rows.groupBy("component", report, "fact_no").agg(F.count(F.lit(1)).alias("n"))
+    by = ["fact_no", report]
+    summed = scan(order_chunks(facts, ["component"], by), ["component"], by, sums={"upto": F.col("n")})
+    number = summed.select(report, "fact_no", F.floor((F.col("upto") - 1) / chunk_keys).cast("int").alias("chunk"))
+    dealt = stage(rows.join(number, [report, "fact_no"]), "sweep", "chunk")
+    walk, result = _walk(report, dict(rows.dtypes))
+    last = dealt.agg(F.max("chunk")).first()[0]
+    won_path, key_path = new_path(spark, "won"), new_path(spark, "taken")
+    won_schema, key_schema = rows.select(report, "fact_no").schema, rows.select(report, "key").schema
+    spark.createDataFrame([], won_schema).write.parquet(won_path)
+    spark.createDataFrame([], key_schema).write.parquet(key_path)
+    for chunk in range(-1 if last is None else last + 1):
+        part = dealt.where(F.col("chunk") == chunk)
+        if chunk:
+            taken = spark.read.schema(key_schema).parquet(key_path)
+            lost = part.join(taken, [report, "key"], "left_semi").select(report, "fact_no").distinct()
+            part = part.join(lost, [report, "fact_no"], "left_anti")
+        won = stage(part.select("component", report, "fact_no", "key").groupBy("component").applyInPandas(walk, result), "won")
+        won.write.mode("append").parquet(won_path)
+        if chunk < last:
+            part.join(won, [report, "fact_no"], "left_semi").select(report, "key").write.mode("append").parquet(key_path)
+    return spark.read.schema(won_schema).parquet(won_path)
 
 
 def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_id", group_rows: int = 200_000) -> DataFrame:
     """Draft facts the summary lacks, each accepted fact hiding later ones that share a key with it.
 
-    Drafts have (report, fact_no, text, citations), the summary (report, text, citations). The sequential
-    rule is applied to each group of facts connected by keys: in one task up to ``group_rows`` keys, in rounds beyond that. Adds the
-    subsection the fact belongs to. Runs several jobs.
+    Drafts have (report, fact_no, text, citations), the summary (report, text, citations). A report of up to ``group_rows`` keys is walked by
+    one task. A larger one is cut into groups of facts connected by keys, which don't influence each other: small groups take a task each, larger
+    ones are swept in chunks of that size. Adds the subsection the fact belongs to. Runs several jobs.
     """
     keyed = drafts.select(report, "fact_no", F.explode_outer(fact_keys(F.col("text"), F.col("citations"))).alias("key"))
     told = summary.select(report, F.explode(fact_keys(F.col("text"), F.col("citations"))).alias("key")).distinct()
     hidden = keyed.join(told, [report, "key"], "left_semi").select(report, "fact_no").distinct()
     open_rows = stage(keyed.join(hidden, [report, "fact_no"], "left_anti"), "facts")
-    free = open_rows.where("key is null").select(report, "fact_no")
+    kept = open_rows.where("key is null").select(report, "fact_no")
     open_rows = open_rows.where("key is not null")
+    walk, result = _walk(report, dict(open_rows.dtypes))
+
+    sizes = stage(open_rows.groupBy(report).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= group_rows:
+        small, large = open_rows, None
+    else:
+        counted = attach_counted(open_rows, sizes, [report], "n")
+        small, large = counted.where(F.col("n") <= group_rows), stage(counted.where(F.col("n") > group_rows).drop("n"), "large")
+    kept = kept.unionByName(small.groupBy(report).applyInPandas(walk, result))
+    if large is not None:
+        kept = kept.unionByName(_connected_facts(large, report, group_rows))
+    return drafts.join(kept, [report, "fact_no"], "left_semi").withColumn("sub_title", classify_fact(F.col("text")))
+
 
-    # facts that share no key, directly or over others, don't influence each other
-    node = lambda c: F.concat_ws(":", F.col(report).cast("string"), F.col(c).cast("string"))
-    first = open_rows.groupBy(report, "key").agg(F.min("fact_no").alias("first_no"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = open_rows.join(first, [report, "key"]).where("fact_no <> first_no").select(node("fact_no").alias("a"), node("first_no").alias("b"))
+def _connected_facts(rows: DataFrame, report: str, group_rows: int) -> DataFrame:
+    """Accepted facts of large reports."""
+    first = stage(rows.groupBy(report, "key").agg(F.min("fact_no").alias("first_no"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    # a hash stands for a fact: if two should share one, their groups are only walked together
+    node = lambda c: F.xxhash64(report, c)
+    edges = attach_counted(rows, first, [report, "key"], "n").where("fact_no <> first_no").select(
+        node("fact_no").alias("a"), node("first_no").alias("b"))
     groups = connected_components(edges, "a", "b")
-    placed = stage(open_rows.join(groups, node("fact_no") == F.col("node"), "left").select(report, "fact_no", "key", "component"), "facts")
+    placed = stage(rows.withColumn("node", node("fact_no")).join(groups, "node", "left").drop("node"), "facts")
     alone = placed.where("component is null").select(report, "fact_no").distinct()
     linked = placed.where("component is not null")
     sizes = stage(linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    types = dict(placed.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, won = set(), []
-        for no, keys in sorted(pdf.groupby("fact_no")["key"].agg(list).items()):
-            if taken.isdisjoint(keys):
-                taken.update(keys)
-                won.append(no)
-        return pd.DataFrame({report: pdf[report].iloc[0], "fact_no": won})
-
-    small = linked.join(sizes.where(F.col("n") <= group_rows).select("component"), "component", "left_semi")
-    kept = free.unionByName(alone).unionByName(small.groupBy("component").applyInPandas(
-        walk, f"{report} {types[report]}, fact_no {types['fact_no']}"))
-    large = linked.join(sizes.where(F.col("n") > group_rows).select("component"), "component", "left_semi").drop("component")
-    for more in _accepted_in_rounds(large, report):
-        kept = kept.unionByName(more)
-    return drafts.join(kept, [report, "fact_no"], "left_semi").withColumn("sub_title", classify_fact(F.col("text")))
+    counted = attach_counted(linked, sizes, ["component"], "n")
+    walk, result = _walk(report, dict(rows.dtypes))
+    small = counted.where(F.col("n") <= group_rows).drop("n")
+    swept = _sweep(stage(counted.where(F.col("n") > group_rows).drop("n"), "large"), report, group_rows)
+    return alone.unionByName(small.groupBy("component").applyInPandas(walk, result)).unionByName(swept)

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_text
 from ..operators import batches, health, indicators, payloads, posts
 from ..scale import keep_first
 from ..session import stage
@@ -312,32 +313,45 @@ def _(t):
 # --- nested payloads ---------------------------------------------------------------------------------
 
 def answers(t):
-    """documents as model answers: one JSON section per document, some fenced, some inside prose, some broken."""
-    # titles and snippets are used many times below, so they are computed once
-    i = stage(items(t).select("item_id", "source_id", "url", "title", "snippet"), "heads")
+    """documents, whole texts, as model answers: one JSON section per document, some fenced, some inside prose, some cut off.
+
+    Every line is a paragraph; the lead is the start of the text, the subsection has the text in one piece and a bullet for each line.
+    """
+    # cleaned texts are used several times below, so they are computed once
+    i = stage(items(t).select("item_id", "source_id", "url", "title", "snippet", "content_text", normalize_text(F.col("content_text")).alias("whole")), "heads")
     k = F.col("item_id")
-    words = F.split(F.col("title"), " ")
-    bullet = F.struct(F.concat(F.lit("b "), F.get(words, F.lit(0))).alias("text"), F.array(F.struct(F.lit("src").alias("label"), F.col("url").alias("url"))).alias("citations"))
-    sub = F.struct(F.concat(F.lit("\U0001F680 T"), (k % 3).cast("string")).alias("title"), F.array(F.col("snippet"), F.lit(" ")).alias("paragraphs"), F.array(bullet).alias("bullets"))
+    lines = F.split(F.coalesce("content_text", F.lit("")), "\n")
+    bullet = lambda text: F.struct(F.concat(F.lit("b "), F.get(F.split(text, " "), F.lit(0))).alias("text"),
+                                   F.array(F.struct(F.lit("src").alias("label"), F.col("url").alias("url"))).alias("citations"))
+    sub = F.struct(F.concat(F.lit("\U0001F680 T"), (k % 3).cast("string")).alias("title"), F.array(F.col("whole"), F.lit(" ")).alias("paragraphs"),
+                   F.transform(lines, bullet).alias("bullets"))
+    # objects and plain strings in one list
+    mixed = F.array(F.to_variant_object(bullet(F.col("title"))), F.parse_json(F.lit('" plain \u2726"')))
     body = F.to_json(F.struct(
-        F.when(k % 4 != 0, F.concat(F.lit("H"), k.cast("string"))).alias("headline"), F.col("title").alias("lead"),
-        F.array(F.concat(F.lit("p "), F.get(words, F.lit(0))), F.lit("")).alias("paragraphs"),
-        F.array(F.to_json(bullet), F.lit(" plain ✦")).alias("bullets"), F.array(sub).alias("subsections"), F.concat(F.lit("C"), k.cast("string")).alias("closing")))
-    # object bullets inside the string array have to become objects again
-    body = F.regexp_replace(F.regexp_replace(body, r'"bullets":\["(\{.*?\})"," plain', r'"bullets":[$1," plain'), r'\\"', '"')
+        F.when(k % 4 != 0, F.concat(F.lit("H"), k.cast("string"))).alias("headline"), F.col("snippet").alias("lead"), F.concat(lines, F.array(F.lit(" "))).alias("paragraphs"),
+        mixed.alias("bullets"), F.array(sub).alias("subsections"), F.concat(F.lit("C"), k.cast("string")).alias("closing")))
     raw = (F.when(k % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 5 == 1, F.concat(F.lit("Вот ответ: "), body, F.lit(" конец")))
            .when(k % 5 == 2, F.substring(body, 2, 20)).otherwise(body))
-    return i.select("item_id", "source_id", F.when(F.contains("title", F.lit('"')) | F.contains("snippet", F.lit('"')) | F.contains("title", F.lit("\\"))
-                                                   | F.contains("snippet", F.lit("\\")), F.lit("[]")).otherwise(raw).alias("raw"))
+    return i.select("item_id", "source_id", raw.alias("raw"))
+
+
+def _tidy(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{FE00}}-\x{{FEFF}}]+', '', 'g'), '^{WS}|{WS}$', '', 'g')"
 
 
-ANSWERS = f"""{ITEMS}, parsed AS (SELECT item_id, source_id, CASE WHEN item_id % 4 <> 0 THEN 'H' || item_id END AS headline, nullif(trim(title), '') AS lead,
-  trim('p ' || split_part(title, ' ', 1)) AS p1, trim('b ' || split_part(title, ' ', 1)) AS b1, url, trim(snippet) AS sp, 'T' || (item_id % 3) AS st, 'C' || item_id AS closing
-  FROM items WHERE item_id % 5 <> 2 AND NOT regexp_matches(title || snippet, '["\\\\]'))"""
+ANSWERS = f"""{ITEMS}, lines AS (SELECT *, string_split(coalesce(content_text, ''), chr(10)) AS l, {NORM.replace('text', 'content_text')} AS whole FROM items),
+parsed AS (SELECT item_id, source_id, CASE WHEN item_id % 4 <> 0 THEN 'H' || item_id END AS headline, nullif({_tidy('snippet')}, '') AS lead,
+  list_filter(list_transform(l, lambda x: {_tidy('x')}), lambda x: x <> '') AS ps, {_tidy("'b ' || split_part(title, ' ', 1)")} AS b1, url,
+  {_tidy('whole')} AS sp, list_transform(l, lambda x: {_tidy("'b ' || split_part(x, ' ', 1)")}) AS sb, 'T' || (item_id % 3) AS st, 'C' || item_id AS closing
+  FROM lines WHERE item_id % 5 <> 2),
+own AS (SELECT item_id, source_id, 'paragraph' AS kind, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS pos FROM parsed
+  UNION ALL SELECT item_id, source_id, 'bullet', b1, 0 FROM parsed UNION ALL SELECT item_id, source_id, 'bullet', 'plain', 1 FROM parsed),
+below AS (SELECT item_id, source_id, st, 'paragraph' AS kind, sp AS text, 0 AS pos FROM parsed WHERE sp <> ''
+  UNION ALL SELECT item_id, source_id, st, 'bullet', unnest(sb), generate_subscripts(sb, 1) - 1 FROM parsed)"""
 
 
 @query("parse_sections", f"""
-WITH {ANSWERS} SELECT item_id, headline, lead, p1 AS paragraphs, b1 || '|plain' AS bullets, '1|0' AS citations, st AS sub_titles, closing FROM parsed""")
+WITH {ANSWERS} SELECT item_id, headline, lead, array_to_string(ps, '|') AS paragraphs, b1 || '|plain' AS bullets, '1|0' AS citations, st AS sub_titles, closing FROM parsed""")
 def _(t):
     s = payloads.parse_sections(answers(t), "raw").where("section is not null")
     c = F.col("section")
@@ -347,7 +361,7 @@ def _(t):
 
 
 @query("normalize_sections", f"""
-WITH {ANSWERS} SELECT item_id, headline, p1 AS paragraphs, '1' AS subs FROM parsed""")
+WITH {ANSWERS} SELECT item_id, headline, array_to_string(ps, '|') AS paragraphs, '1' AS subs FROM parsed""")
 def _(t):
     s = payloads.normalize_sections(payloads.parse_sections(answers(t), "raw").where("section is not null"))
     c = F.col("section")
@@ -359,9 +373,7 @@ def section_parts(t):
 
 
 @query("merge_sections", f"""
-WITH {ANSWERS}, rows AS (SELECT source_id, item_id, 'paragraph' AS kind, p1 AS text, p1 AS k, 0 AS pos FROM parsed
-  UNION ALL SELECT source_id, item_id, 'bullet', b1, substr(lower(b1), 1, 160), 0 FROM parsed UNION ALL SELECT source_id, item_id, 'bullet', 'plain', 'plain', 1 FROM parsed)
-SELECT source_id, kind, text, item_id AS part_no FROM rows QUALIFY row_number() OVER (PARTITION BY source_id, kind, k ORDER BY item_id, pos) = 1""")
+WITH {ANSWERS} SELECT source_id, kind, text, item_id AS part_no FROM own QUALIFY row_number() OVER (PARTITION BY source_id, kind, CASE WHEN kind = 'bullet' THEN substr(lower(text), 1, 160) ELSE text END ORDER BY item_id, pos) = 1""")
 def _(t):
     return payloads.merge_sections(section_parts(t), ["source_id"]).select("source_id", "kind", "text", "part_no")
 
@@ -374,10 +386,8 @@ def _(t):
 
 
 @query("flat_draft", f"""
-WITH {ANSWERS}, rows AS (SELECT source_id, item_id, 'paragraph' AS kind, p1 AS text, p1 AS k, 0 AS late, 0 AS pos FROM parsed
-  UNION ALL SELECT source_id, item_id, 'bullet', b1, substr(lower(b1), 1, 160), 0, 0 FROM parsed UNION ALL SELECT source_id, item_id, 'bullet', 'plain', 'plain', 0, 1 FROM parsed
-  UNION ALL SELECT source_id, item_id, 'paragraph', sp, sp, 1, 0 FROM parsed WHERE sp <> '' UNION ALL SELECT source_id, item_id, 'bullet', b1, substr(lower(b1), 1, 160), 1, 0 FROM parsed)
-SELECT source_id, kind, text, item_id AS part_no FROM rows QUALIFY row_number() OVER (PARTITION BY source_id, kind, k ORDER BY late, item_id, pos) = 1""")
+WITH {ANSWERS}, rows AS (SELECT source_id, item_id, kind, text, 0 AS late, pos FROM own UNION ALL SELECT source_id, item_id, kind, text, 1, pos FROM below)
+SELECT source_id, kind, text, item_id AS part_no FROM rows QUALIFY row_number() OVER (PARTITION BY source_id, kind, CASE WHEN kind = 'bullet' THEN substr(lower(text), 1, 160) ELSE text END ORDER BY late, item_id, pos) = 1""")
 def _(t):
     return payloads.merge_sections(section_parts(t), ["source_id"], drafts=True).select("source_id", "kind", "text", "part_no")
 
@@ -397,31 +407,29 @@ def _(t):
 
 
 @query("assemble_subsection_rows", f"""
-WITH {ANSWERS} SELECT source_id, 'Theme ' || item_id AS sub_title, 'paragraph' AS kind, p1 AS text FROM parsed
-UNION ALL SELECT source_id, 'Theme ' || item_id, 'bullet', b1 FROM parsed UNION ALL SELECT source_id, 'Theme ' || item_id, 'bullet', 'plain' FROM parsed""")
+WITH {ANSWERS} SELECT source_id, 'Theme ' || item_id AS sub_title, kind, text FROM own""")
 def _(t):
     return payloads.assemble_subsections(theme_parts(t), ["source_id"])[1].select("source_id", "sub_title", "kind", "text")
 
 
 @query("merge_time_parts", f"""
-WITH {ANSWERS} SELECT source_id, item_id AS part_no, 'part ' || item_id AS sub_title, 'paragraph' AS kind, p1 AS text FROM parsed
-UNION ALL SELECT source_id, item_id, 'part ' || item_id, 'bullet', b1 FROM parsed UNION ALL SELECT source_id, item_id, 'part ' || item_id, 'bullet', 'plain' FROM parsed
-UNION ALL SELECT source_id, item_id, st, 'paragraph', sp FROM parsed WHERE sp <> '' UNION ALL SELECT source_id, item_id, st, 'bullet', b1 FROM parsed""")
+WITH {ANSWERS} SELECT source_id, item_id AS part_no, 'part ' || item_id AS sub_title, kind, text FROM own
+UNION ALL SELECT source_id, item_id, st, kind, text FROM below""")
 def _(t):
     p = section_parts(t).withColumn("label", F.concat(F.lit("part "), F.col("part_no").cast("string")))
     return payloads.merge_time_parts(p, ["source_id"]).select("source_id", "part_no", "sub_title", "kind", "text")
 
 
 @query("sections_to_text", f"""
-WITH {ANSWERS} SELECT item_id, array_to_string(list_filter([headline, lead, p1, '- ' || b1 || ' [src](' || url || ')', '- plain', '### ' || st, nullif(sp, ''), '- ' || b1 || ' [src](' || url || ')', closing],
-  lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text FROM parsed""")
+WITH {ANSWERS} SELECT item_id, array_to_string(list_filter(list_concat([headline, lead], ps, ['- ' || b1 || ' [src](' || url || ')', '- plain', '### ' || st, nullif(sp, '')],
+  list_transform(sb, lambda x: '- ' || x || ' [src](' || url || ')'), [closing]), lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text FROM parsed""")
 def _(t):
     s = payloads.parse_sections(answers(t), "raw").where("section is not null")
     return payloads.sections_to_text(s).select("item_id", "text")
 
 
 @query("section_quality", f"""
-WITH {ANSWERS} SELECT item_id, length(coalesce(lead, '')) >= 180 AND length(sp) >= 200 AS strict, false AS six FROM parsed""")
+WITH {ANSWERS} SELECT item_id, length(coalesce(lead, '')) >= 180 AND length(sp) >= 200 AS strict, length(coalesce(lead, '')) >= 180 AND length(sp) >= 200 AND len(sb) >= 6 AS six FROM parsed""")
 def _(t):
     s = payloads.parse_sections(answers(t), "raw").where("section is not null")
     q = payloads.section_quality(s, min_bullets=1).withColumnRenamed("is_analytical", "strict")
@@ -432,11 +440,13 @@ CITED = 2000  # cited pages; neighbouring facts share one, so facts form chains
 
 
 @query("missing_facts", f"""
-WITH RECURSIVE {ITEMS}, facts AS (
-  SELECT source_id AS report_id, item_id AS fact_no, row_number() OVER (PARTITION BY source_id ORDER BY item_id) AS k,
-    list_concat(CASE WHEN title = '' THEN [] ELSE ['t:' || substr(lower(title), 1, 160)] END,
-      CASE WHEN item_id % 4 = 3 THEN [] ELSE ['u:https://c.example/' || (item_id // 30 % {CITED}), 'u:https://c.example/' || ((item_id // 30 + item_id % 3) % {CITED})] END) AS keys
-  FROM items),
+WITH RECURSIVE {ITEMS}, lines AS (SELECT item_id, source_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos
+  FROM (SELECT item_id, source_id, string_split(coalesce(content_text, ''), chr(10)) AS l FROM items)),
+facts AS (
+  SELECT source_id AS report_id, item_id * 1000000 + pos AS fact_no, row_number() OVER (PARTITION BY source_id ORDER BY item_id, pos) AS k,
+    list_concat(['t:' || substr(lower(line), 1, 160)],
+      CASE WHEN item_id % 4 = 3 OR pos > 0 THEN [] ELSE ['u:https://c.example/' || (item_id // 30 % {CITED}), 'u:https://c.example/' || ((item_id // 30 + item_id % 3) % {CITED})] END) AS keys
+  FROM lines WHERE trim(line) <> ''),
 told AS (SELECT list('t:' || substr(lower(substr({NORM}, 1, 120)), 1, 160)) || ['u:https://c.example/1'] AS keys FROM benchmark),
 walk AS (
   SELECT report_id, 0 AS k, keys AS seen, CAST(NULL AS BIGINT) AS fact_no, false AS ok FROM (SELECT DISTINCT report_id FROM facts), told
@@ -445,12 +455,15 @@ walk AS (
   FROM walk w JOIN facts f ON f.report_id = w.report_id AND f.k = w.k + 1)
 SELECT report_id, fact_no FROM walk WHERE ok""")
 def _(t):
+    """Every line of a document is a fact; the first one cites pages."""
     from ..functions.text import item_title
     page = F.floor(F.col("item_id") / 30)
     cite = lambda n: F.struct(F.lit("page").alias("label"), F.concat(F.lit("https://c.example/"), (n % CITED).cast("string")).alias("url"))
     none = F.expr(f"cast(array() as array<{payloads.CITATION}>)")
-    cited = F.when(F.col("item_id") % 4 == 3, none).otherwise(F.array(cite(page), cite(page + F.col("item_id") % 3)))
-    drafts = items(t).select(F.col("source_id").alias("report_id"), F.col("item_id").alias("fact_no"), F.col("title").alias("text"), cited.alias("citations"))
+    cited = F.when((F.col("item_id") % 4 == 3) | (F.col("pos") > 0), none).otherwise(F.array(cite(page), cite(page + F.col("item_id") % 3)))
+    lines = items(t).select("source_id", "item_id", F.posexplode(F.split(F.coalesce("content_text", F.lit("")), "\n")).alias("pos", "text"))
+    drafts = lines.where(F.trim("text") != "").select(F.col("source_id").alias("report_id"), (F.col("item_id") * 1_000_000 + F.col("pos")).alias("fact_no"),
+                                                      "text", cited.alias("citations"))
     reports = items(t).groupBy().agg(F.collect_set("source_id").alias("ids"))  # a report per source: a handful
     told = t.benchmark.select(item_title(F.col("text")).alias("text"), none.alias("citations"))
     told = told.unionByName(t.benchmark.groupBy().agg(F.lit("").alias("text"), F.first(F.array(cite(F.lit(1)))).alias("citations")))

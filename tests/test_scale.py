@@ -248,7 +248,19 @@ def test_missing_facts_follow_the_sequential_rule(spark):
             if r == rep and not any(keys(t, c) & s for s in seen):
                 want.add((rep, no))
                 seen.append(keys(t, c))
-    assert {(r.report_id, r.fact_no) for r in payloads.missing_facts(drafts, summary).collect()} == want
+    for group_rows in (200_000, 20, 3):  # whole reports, groups in a task each, groups swept in chunks
+        assert {(r.report_id, r.fact_no) for r in payloads.missing_facts(drafts, summary, group_rows=group_rows).collect()} == want
+
+
+def test_a_long_chain_of_facts_takes_as_many_steps_as_chunks(spark):
+    """Each fact shares a key with the next one: every second is taken."""
+    n = 20_000
+    cite = lambda c: F.struct(F.lit("l").alias("label"), c.cast("string").alias("url"))
+    drafts = spark.range(n).select(F.lit("r").alias("report_id"), F.col("id").alias("fact_no"), F.lit("").alias("text"),
+                                   F.array(cite(F.col("id")), cite(F.col("id") + 1)).alias("citations"))
+    none = spark.createDataFrame([], f"report_id string, text string, citations array<{payloads.CITATION}>")
+    got = payloads.missing_facts(drafts, none, group_rows=10_000)
+    assert got.count() == n // 2 and got.where("fact_no % 2 = 1").isEmpty()
 
 
 def test_shared_dir_is_the_session_setting(spark):
