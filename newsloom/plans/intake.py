@@ -139,18 +139,57 @@ TEMPLATE = {"detail": {"title": {"css": "article h1"}, "date": {"css": "html", "
             "cleanup": {"remove_css": [".ad", "nav"]}, "min_fulltext_length": 1}
 
 
+def _plain_html(c: str) -> str:
+    """Text of a piece of markup: tags out, the entities that occur decoded, whitespace collapsed."""
+    bare = f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
+    for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#x27;", "chr(39)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
+        bare = f"replace({bare}, '{name}', {char})"
+    return NORM.replace("text", bare)
+
+
+ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 0)"
+
+
 @query("extract_articles", rf"""
-SELECT page_id, url, {NORM.replace('text', 'h1')} AS title, 'utf-8' AS author, lang FROM (
-  SELECT page_id, url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>.*?<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS h1 FROM pages)""")
+SELECT page_id, url, {_plain_html("regexp_extract(html, '(?s)<article>.*?<h1>(.*?)</h1>', 1)")} AS title, 'utf-8' AS author, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+  {_plain_html(ARTICLE)} AS body_text,
+  replace(replace(regexp_replace({ARTICLE}, '<br>(<p>|</article>)', '<br/></b></p>\1', 'g'), '&quot;', '"'), '&#x27;', chr(39)) AS body_html FROM pages""")
 def _(t):
     a = articles.extract_articles(t.pages, TEMPLATE)
-    return a.select("page_id", "url", F.coalesce("title", F.lit("")).alias("title"), "author", F.col("published_at_raw").alias("lang"))
+    return a.select("page_id", "url", F.coalesce("title", F.lit("")).alias("title"), "author", F.col("published_at_raw").alias("lang"), F.coalesce("body_text", F.lit("")).alias("body_text"),
+                    F.coalesce("body_html", F.lit("")).alias("body_html"))
+
+
+@query("extract_articles_fallback", rf"""
+WITH p AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<title>.*?</title>', '', 'g'), '(?s)<(nav|footer|article)>.*?</(nav|footer|article)>', '', 'g') AS rest FROM pages),
+s AS (SELECT page_id, {_plain_html("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {_plain_html(ARTICLE)} AS article,
+  {_plain_html("regexp_replace(html, '(?s)^.*?<body>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g')")} AS whole,
+  list_sum(list_transform(string_split_regex({ARTICLE}, '<h1>|<p>'), lambda x: length({_plain_html('x')}))) AS article_score,
+  length({_plain_html("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")}) + length({_plain_html("regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)")})
+    - 2 * coalesce(list_sum(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a[^>]*>.*?</a>'), lambda x: length({_plain_html('x')}))), 0) AS body_score FROM p)
+SELECT page_id, title, CASE WHEN article_score > greatest(body_score, 0) THEN article WHEN body_score > 0 THEN whole ELSE '' END AS body_text FROM s""")
+def _(t):
+    """Without a body selector the densest block is taken."""
+    return articles.extract_articles(t.pages, {"detail": {}}).select("page_id", "title", F.coalesce("body_text", F.lit("")).alias("body_text"))
 
 
-@query("extract_articles_fallback")
+@query("crawl_lists", """
+SELECT 'src' || (page_id % 20) AS source_id, page_id // 20 % 3 AS page_no, 'https://site' || (page_id % 20) || '.example/a/' || page_id AS url
+FROM pages WHERE page_id // 20 % 3 < CASE WHEN page_id % 20 % 2 = 0 THEN 9 ELSE 2 END""")
 def _(t):
-    """Without a body selector the densest block is taken."""
-    return articles.extract_articles(t.pages, {"detail": {}}).select("page_id", "title", "body_text")
+    """pages as links on three list pages per source: the last one leads back to the first, the second repeats a link with a tracking parameter."""
+    source, part = F.col("page_id") % 20, (F.floor(F.col("page_id") / 20) % 3).cast("int")
+    line = F.concat(F.lit('<li><a href="/a/'), F.col("page_id").cast("string"), F.lit('">x</a></li>'))
+    lists = t.pages.groupBy(source.alias("s"), part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))).alias("l"))
+    site = F.concat(F.lit("https://site"), F.col("s").cast("string"), F.lit(".example"))
+    again = F.when(F.col("part") == 1, F.concat(F.lit('<li><a href="/a/'), F.col("s").cast("string"), F.lit('?utm_source=x#top">x</a></li>'))).otherwise("")
+    body = F.concat(F.lit('<html><nav><a href="/about">x</a></nav><ul class="items">'), F.array_join("l.line", ""), again,
+                    F.lit('</ul><a class="next" href="list?page='), ((F.col("part") + 1) % 3).cast("string"), F.lit('">next</a><a class="next" href="/other">y</a>'))
+    pages = lists.select(F.concat(site, F.lit("/list?page="), F.col("part").cast("string")).alias("url"), body.alias("html"))
+    one = lists.where("part = 0").select(
+        F.concat(F.lit("src"), F.col("s").cast("string")).alias("source_id"), F.concat(site, F.lit("/list?page=0")).alias("base_url"), F.lit("ul.items a").alias("item_links_css"),
+        F.lit("a.next").alias("next_page_css"), F.when(F.col("s") % 2 == 0, F.lit(9)).otherwise(2).alias("max_pages"))
+    return articles.crawl_lists(one, pages).select("source_id", "page_no", "url")
 
 
 @query("selected_links", r"""

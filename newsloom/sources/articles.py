@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_iso_ts
 
-# Elements without content, elements whose text is not shown, blocks compared by the fallback,
+# Elements without content, elements whose text is not shown, elements whose text is no markup, blocks compared by the fallback,
 # and the shortest body a template may deliver.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template"}
+RAW = {"script", "style"}
 BLOCKS = {"article", "main", "section", "div", "td", "body"}
 # Open elements that a start tag closes, and elements such a search doesn't leave.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -54,6 +57,28 @@ class Node:
     def text(self):
         return " ".join(" ".join(self.texts()).split())
 
+    def html(self):
+        """The element and all below as markup; a stack of nodes, texts and end tags still to write."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, tuple):
+                out.append(f"</{node[0]}>")
+            elif isinstance(node, str):
+                out.append(escape(node, quote=False))
+            else:
+                attrs = "".join(f" {k}" if v is None else f' {k}="{escape(v)}"' for k, v in node.attrs.items())
+                if node.tag in VOID:
+                    out.append(f"<{node.tag}{attrs}/>")
+                    continue
+                out.append(f"<{node.tag}{attrs}>")
+                todo.append((node.tag,))
+                if node.tag in RAW:
+                    out += [c for c in node.children if isinstance(c, str)]
+                else:
+                    todo += node.children[::-1]
+        return "".join(out)
+
 
 class Tree(HTMLParser):
     def __init__(self):
@@ -101,6 +126,7 @@ def _step_fits(node: Node, step: tuple) -> bool:
     return True
 
 
+@lru_cache(maxsize=10_000)
 def _compile(css: str) -> list[list[tuple]]:
     """Selector lists of descendant and child (>) steps made of tag, .class, #id and [attribute]."""
     out = []
@@ -159,7 +185,7 @@ def _value(root: Node, spec: dict | None) -> str | None:
     return None
 
 
-def densest_text(root: Node) -> str | None:
+def densest_block(root: Node) -> Node | None:
     """Fallback body: the block whose text, less the text inside links and nested blocks' chrome, is longest."""
     best, best_score = None, 0
     for node in root.walk():
@@ -169,7 +195,7 @@ def densest_text(root: Node) -> str | None:
                          for a in [c, *c.walk()] if a.tag == "a")
             if text - 2 * linked > best_score:
                 best, best_score = node, text - 2 * linked
-    return (best.text() or None) if best else None
+    return best
 
 
 def extract(html: str, template: dict) -> tuple:
@@ -183,11 +209,12 @@ def extract(html: str, template: dict) -> tuple:
             if node.parent is not None and node in node.parent.children:
                 node.parent.children.remove(node)
     title, date, author = (_value(root, detail.get(k)) for k in ("title", "date", "author"))
-    body = _value(root, {"css": (detail.get("body") or {}).get("css")})
-    if not body or len(body) < int(template.get("min_fulltext_length") or MIN_BODY):
-        body = densest_text(root) or body
+    body = next(iter(select(root, (detail.get("body") or {}).get("css"))), None)
+    if body is None or len(body.text()) < int(template.get("min_fulltext_length") or MIN_BODY):
+        body = densest_block(root) or body
         title = title or page_title or None
-    return title, date, author, body
+    text = body.text() if body else ""
+    return title, date, author, text or None, body.html() if text else None
 
 
 def extract_or_error(html: str, template: dict) -> tuple:
@@ -195,10 +222,10 @@ def extract_or_error(html: str, template: dict) -> tuple:
     try:
         return *extract(html, template), None
     except (RecursionError, AssertionError, LookupError, TypeError, ValueError) as e:
-        return None, None, None, None, f"{type(e).__name__}: {e}"
+        return None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
-SCHEMA = "title string, published_at_raw string, author string, body_text string, error string"
+SCHEMA = "title string, published_at_raw string, author string, body_text string, body_html string, error string"
 
 
 def _selectors(template: dict) -> list[str]:
@@ -208,7 +235,7 @@ def _selectors(template: dict) -> list[str]:
 
 def extract_articles(pages: DataFrame, template: dict, page_id: str = "page_id", url: str = "url",
                      html: str = "html") -> DataFrame:
-    """(page_id, url, title, published_at_raw, published_at, author, body_text, error) of each page.
+    """(page_id, url, title, published_at_raw, published_at, author, body_text, body_html, error) of each page.
 
     Selectors cover tag, .class, #id, [attribute], descendants and children; others are refused before the job starts. A body that is missing or shorter than
     ``min_fulltext_length`` is replaced by the densest text block of the page.
@@ -222,13 +249,75 @@ def extract_articles(pages: DataFrame, template: dict, page_id: str = "page_id",
         rules = json.loads(spec)
         for pdf in batches:
             rows = [extract_or_error(h, rules) for h in pdf[html]]
-            found = pd.DataFrame(rows, columns=["title", "published_at_raw", "author", "body_text", "error"], dtype=object)
+            found = pd.DataFrame(rows, columns=["title", "published_at_raw", "author", "body_text", "body_html", "error"], dtype=object)
             yield pd.concat([pdf[[page_id, url]].reset_index(drop=True), found], axis=1)
 
     out = pages.select(page_id, url, html).mapInPandas(run, f"{page_id} {id_type}, {url} {url_type}, {SCHEMA}")
     return out.withColumn("published_at", parse_iso_ts(F.col("published_at_raw")))
 
 
+LINKS = "kind string, position int, href string"
+
+
+def _list_links(html: str | None, item_css: str | None, next_css: str | None) -> list[tuple]:
+    """('item', position, href) of the picked anchors and ('next', 0, href) of the first next-page anchor of a list page."""
+    tree = Tree()
+    tree.feed(html or "")
+    tree.close()
+    found = [("item", i, n.attrs["href"]) for i, n in enumerate(select(tree.root, item_css or "a")) if n.attrs.get("href")]
+    following = select(tree.root, next_css)[:1]
+    return found + [("next", 0, n.attrs["href"]) for n in following if n.attrs.get("href")]
+
+
+def crawl_lists(sources: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(source_id, page_no, page_url, position, url, canonical_url): the item links of the list pages of every source, each once.
+
+    Sources have source_id, base_url, item_links_css, next_page_css and max_pages (null: all anchors, no next page, one page). From the
+    base page on, the frontier of all sources moves one list page at a time: it is joined with the table of fetched pages, the
+    selectors pick item and next links, and a next page is visited if its source has pages left and has not been there, by canonical url.
+    List pages missing from ``pages`` end their source's walk. Of links that share a canonical url the first in page order stays.
+    """
+    from ..functions.urls import absolute_url, canonicalize_url
+    from ..scale import keep_first
+    from ..session import stage
+
+    for r in sources.select(F.explode(F.array("item_links_css", "next_page_css")).alias("css")).where("css <> ''").distinct().toLocalIterator():
+        _compile(r.css)
+    rules = sources.select("source_id", "item_links_css", "next_page_css", F.coalesce("max_pages", F.lit(1)).alias("max_pages"))
+    kind = dict(sources.dtypes)["source_id"]
+    spark = sources.sparkSession
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(a, b, c, *link) for a, b, c, text, item, following in zip(*[pdf[x] for x in ("source_id", "page_no", "page_url", "_html", "item_links_css", "next_page_css")])
+                    for link in _list_links(text, item, following)]
+            yield pd.DataFrame(rows, columns=["source_id", "page_no", "page_url", "kind", "position", "href"])
+
+    texts = pages.select(F.col(url).alias("page_url"), F.col(html).alias("_html"))
+    frontier = stage(keep_first(sources.where("base_url <> ''").select("source_id", F.lit(0).alias("page_no"), F.col("base_url").alias("page_url")),
+                                ["source_id"], ["page_url"]).withColumn("visited", canonicalize_url(F.col("page_url"))), "frontier")
+    seen, found, no = frontier, None, 0
+    while not frontier.isEmpty():
+        # pages first: a url fetched twice is read once
+        at = keep_first(texts.join(frontier.select("page_url").distinct(), "page_url", "left_semi"), ["page_url"], ["_html"])
+        read = frontier.drop("visited").join(at, "page_url").join(rules, "source_id")
+        links = stage(read.mapInPandas(pick, f"source_id {kind}, page_no int, page_url string, {LINKS}").withColumn(
+            "url", absolute_url(F.col("page_url"), F.col("href"))).drop("href").where("url is not null"), "links")
+        items = links.where("kind = 'item'").drop("kind")
+        found = items if found is None else found.unionByName(items)
+        no += 1
+        following = links.where("kind = 'next'").join(rules.where(F.col("max_pages") > no).select("source_id"), "source_id", "left_semi").select(
+            "source_id", F.lit(no).alias("page_no"), F.col("url").alias("page_url"), canonicalize_url(F.col("url")).alias("visited"))
+        frontier = stage(following.join(seen.select("source_id", "visited"), ["source_id", "visited"], "left_anti").select(
+            "source_id", "page_no", "page_url", "visited"), "frontier")
+        seen = seen.unionByName(frontier)
+    if found is None:
+        return spark.createDataFrame([], f"source_id {kind}, page_no int, page_url string, position int, url string, canonical_url string")
+    named = found.withColumn("canonical_url", canonicalize_url(F.col("url")))
+    return keep_first(named, ["source_id", "canonical_url"], ["page_no", "position"]).select(
+        "source_id", "page_no", "page_url", "position", "url", "canonical_url")
+
+
 def selected_links(pages: DataFrame, css: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, page_url, position, href) of the anchors a selector picks on each page."""
     id_type = dict(pages.dtypes)[page_id]
