@@ -4,7 +4,7 @@ Method: documents are indexed once per block of items, one row for each chunk of
 block. In a chunk the terms' bitmaps give every document the mask of an item's terms it holds; documents of equal mask form a
 group, whose score cannot exceed the sum of its terms' largest contributions in the chunk. Groups are evaluated by descending bound, and a
 chunk is finished with an item as soon as the next bound is below the score that a document needs to be among the best. That score
-starts from the k-th best of a few chunks evaluated first, so most chunks send next to nothing.
+starts from the k-th best of the documents of some tasks evaluated first, so most chunks send next to nothing.
 
 A document is a row: rows repeated with one id are ranked as often as they occur, null ids stand behind all others of equal score.
 Rows of ``items`` with one id (null included) are one item with the terms of all its texts. Null or empty texts have no terms. An item with
@@ -18,6 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +31,14 @@ SLICE_BYTES = 2_000_000
 CHUNK_BYTES = 32_000_000
 #: (item, term) pairs held by a task at a time
 BLOCK_PAIRS = 200_000
-#: chunks evaluated first to learn the scores that are needed
-FIRST_CHUNKS = 4
+#: evaluated first to learn the scores that are needed: one in so many tasks' documents, and at least so many
+FIRST_SHARE, FIRST_DOCS = 64, 4 * CHUNK_DOCS
 
 NOT_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _KEPT = [c >= 0x80 or chr(c).isalnum() for c in range(256)]
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if _KEPT[c] else 32 for c in range(256))
 
-INDEX_SCHEMA = ("doc_ids array<bigint>, lengths binary, n_docs bigint, n_terms bigint, terms array<int>, counts array<int>, "
+INDEX_SCHEMA = ("task int, doc_ids array<bigint>, lengths binary, n_docs bigint, n_terms bigint, terms array<int>, counts array<int>, "
                 "places binary, tfs binary")
 FOUND_SCHEMA = "item_no int, doc_id bigint, score bigint"
 
@@ -66,7 +67,8 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text", b
 def _indexer(shared):
     """Rows (doc_id, text as bytes) → one index row per chunk, over the terms of the broadcast dictionary."""
     def run(batches):
-        ids = shared.value
+        ids, context = shared.value, TaskContext.get()
+        task = context.partitionId() if context else 0
         docs, lengths, found, size = [], [], [], 0
 
         def row():
@@ -78,10 +80,10 @@ def _indexer(shared):
             terms, counts = np.unique(key >> 32, return_counts=True)
             n = np.concatenate(lengths)
             out = pa.RecordBatch.from_arrays([
-                pa.array([docs], pa.list_(pa.int64())), pa.array([_pack(n)]), pa.array([int((n > 0).sum())], pa.int64()),
+                pa.array([task], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([_pack(n)]), pa.array([int((n > 0).sum())], pa.int64()),
                 pa.array([int(n.sum())], pa.int64()), pa.array([terms.astype(np.int32)], pa.list_(pa.int32())),
                 pa.array([counts.astype(np.int32)], pa.list_(pa.int32())), pa.array([_pack(key & 0xFFFFFFFF)]), pa.array([_pack(tf)]),
-            ], names=["doc_ids", "lengths", "n_docs", "n_terms", "terms", "counts", "places", "tfs"])
+            ], names=["task", "doc_ids", "lengths", "n_docs", "n_terms", "terms", "counts", "places", "tfs"])
             docs, lengths, found, size = [], [], [], 0
             return out
 
@@ -97,7 +99,7 @@ def _indexer(shared):
                     words = blob.split()
                     term = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
                     ends = np.flatnonzero(term == -2)
-                    doc = np.searchsorted(ends, np.arange(len(term)), side="right") if len(ends) > 1 else np.zeros(len(term), np.int64)
+                    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
                     hit = term >= 0
                     # one posting for each (document, term), as document and term number in one key
                     once, tf = np.unique((term[hit] << 32) | (doc[hit] + len(docs)), return_counts=True)
@@ -225,7 +227,7 @@ def _ranked(found: DataFrame, top: int) -> DataFrame:
 
 
 def rank_documents(docs: DataFrame, items: DataFrame, top: int = TOP, block_pairs: int = BLOCK_PAIRS,
-                   first_chunks: int = FIRST_CHUNKS) -> DataFrame:
+                   first_docs: int = FIRST_DOCS) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` best documents of each item, see the head of this module for the cases."""
     spark = docs.sparkSession
     table, blocks = item_terms(items, block_pairs=block_pairs)
@@ -236,19 +238,19 @@ def rank_documents(docs: DataFrame, items: DataFrame, top: int = TOP, block_pair
     for block in range(blocks):
         rows = table.where(F.col("block") == block).select("item_id", "terms").collect()
         if rows:
-            _block(texts, rows, top, first_chunks, f"item_no int, item_id {kind}").select(
+            _block(texts, rows, top, first_docs, f"item_no int, item_id {kind}").select(
                 "item_id", "rank", "doc_id", "score").write.mode("append").parquet(path)
     return spark.read.schema(result).parquet(path)
 
 
-def _block(texts: DataFrame, rows: list, top: int, first_chunks: int, names: str) -> DataFrame:
+def _block(texts: DataFrame, rows: list, top: int, first_docs: int, names: str) -> DataFrame:
     spark = texts.sparkSession
     terms = sorted({t for r in rows for t in r["terms"]})
     number = {t: i for i, t in enumerate(terms)}
     # -2 marks the end of a text
     words = spark.sparkContext.broadcast({**{t.encode("utf-8", "surrogatepass"): i for t, i in number.items()}, b"\0": -2})
     index = stage(texts.mapInArrow(_indexer(words), INDEX_SCHEMA), "index")
-    sums = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
+    sums = index.agg(F.sum("n_docs"), F.sum("n_terms"), F.max("task")).first()
     n_docs, n_terms = int(sums[0] or 0), int(sums[1] or 0)
     known = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], names)
     empty = spark.createDataFrame([], FOUND_SCHEMA)
@@ -267,7 +269,9 @@ def _block(texts: DataFrame, rows: list, top: int, first_chunks: int, names: str
 
     # a score that `top` documents reach: whatever is below it cannot be among the best
     needed = [0] * len(rows)
-    first = _ranked(found(index.limit(first_chunks), needed), top).where(F.col("rank") == top)
+    tasks = sums[2] + 1
+    share = max(math.ceil(tasks / FIRST_SHARE), math.ceil(tasks * first_docs / n_docs))
+    first = _ranked(found(index.where(F.col("task") < share), needed), top).where(F.col("rank") == top)
     for r in first.select("item_no", "score").collect():
         needed[r["item_no"]] = r["score"]
     return _ranked(found(index, needed), top).join(F.broadcast(known), "item_no")

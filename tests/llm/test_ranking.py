@@ -57,11 +57,11 @@ def got(df):
     return sorted(map(tuple, df.collect()), key=lambda x: (str(x[0]), x[1]))
 
 
-@pytest.mark.parametrize("parts, top, block_pairs, first", [(3, 10, 200_000, 4), (7, 3, 60, 1), (1, 50, 1_000, 2)])
+@pytest.mark.parametrize("parts, top, block_pairs, first", [(3, 10, 200_000, 10**6), (7, 3, 60, 1), (1, 50, 1_000, 100)])
 def test_ranking_equals_brute_force(spark, monkeypatch, parts, top, block_pairs, first):
     rows, items = corpus()
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, score string")
-    df = ranking.rank_documents(frame(spark, rows, parts), table, top=top, block_pairs=block_pairs, first_chunks=first)
+    df = ranking.rank_documents(frame(spark, rows, parts), table, top=top, block_pairs=block_pairs, first_docs=first)
     assert got(df) == brute(rows, items, top)
 
 
