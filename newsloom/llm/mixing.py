@@ -70,10 +70,10 @@ def bisect_exponent(totals: DataFrame, entropy: float, max_passes: float, budget
 
 
 def mix_sources(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_passes: float = MAX_PASSES, budget: int | None = None,
-                seed: int = SEED) -> DataFrame:
+                seed: int = SEED, budget_ratio: float = 1.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, _th, source, n_tokens, weight (of the source), passes (how often the row is taken), slot.
 
-    ``budget`` is in tokens, by default those of the table. Each source gets at most weight × budget tokens and misses less than its longest document's. ``slot`` (0 to 1) orders
+    ``budget`` is in tokens, by default those of the table times ``budget_ratio``. Each source gets at most weight × budget tokens and misses less than its longest document's. ``slot`` (0 to 1) orders
     one pass: rows by permuted block, so that sources interleave. A null source counts as the source ''. Null and blank texts have no
     tokens and ride along with their block; a source without tokens is left out (weight 0). Repeated rows share one decision; null ids are
     mixed like others; other columns are ignored; an empty table gives an empty result. Runs about a dozen small jobs.
@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_passe
     if not n:
         return rows.select(F.col("_id").alias("doc_id"), "_th", "source", "n_tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("passes"),
                            F.lit(0.0).alias("slot"))
-    budget = every if budget is None else budget
+    budget = int(every * budget_ratio) if budget is None else budget
     totals = stage(totals.withColumn("lp", F.log(F.col("source_tokens") / float(every))), "totals")
     x = bisect_exponent(totals, entropy_share * math.log(n), max_passes, budget / every)
     z = _sums(totals, [x])[0][0]

@@ -94,7 +94,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    # nearly even weights and one and a half times the tokens of the table: small sources are repeated, large ones are not
+    out = mixing.mix_sources(table(spark, sf_dir, "documents"), entropy_share=0.9999, budget_ratio=1.5)
     return out.select("doc_id", "source", "n_tokens", "weight", "passes", "slot")
 
 

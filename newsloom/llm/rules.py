@@ -4,10 +4,16 @@ Every rule looks at a few figures of a text and votes good (1), bad (0) or absta
 (at most 3^rules patterns, whatever the number of documents), and EM runs on those counts: for each class of documents it
 estimates how often a rule votes good, bad or not at all. A document is kept when its posterior probability of being good is
 at least one half; no rule alone can reject it, save the fixed base limits.
+
+EM takes rules as independent within a class, so figures that move together share one rule: repeated lines, windows and neighbours are
+one, and each of the others looks at a trait of its own. Junk shows in several traits at once (foreign marks at words, runs of marks,
+few letters, shouting, lines without an end), which is what tells the classes apart without a label.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,12 +25,27 @@ from .common import BASES, Rolling, mix64
 SYMBOLS = "#*$%&|<>"
 REPEAT_WIDTH = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_digits"]
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_digits",
+           "n_wide", "n_plain", "n_runs", "n_adjacent", "n_ends"]
+PLAIN = re.compile(rb"[\"'(\x80-\xff]*[A-Za-z\x80-\xff]+(?:['\-][A-Za-z\x80-\xff]+)*[\"')]*[.,;:!?]?[\"')]*")
+RUN = re.compile(rb"([!-/:-@\[-`{-~])\1")
+#: bytes that end a line of prose; the last one ends some wide quotation marks and dots
+ENDS = tuple(b".!?:;\"\xa6\x9d")
+
+
+class WordMarks(dict):
+    """word → 1 if it is letters and ordinary punctuation, 2 if it has a mark twice in a row; remembered for a bounded number of words."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        n = self[word] = (PLAIN.fullmatch(word) is not None) + 2 * (RUN.search(word) is not None)
+        return n
 
-def text_figures(text: str | None) -> tuple[int, ...]:
+
+def text_figures(text: str | None, marks: WordMarks | None = None) -> tuple[int, ...]:
     """The figures of one text, in the order of FIGURES."""
-    text = text or ""
+    text, marks = text or "", WordMarks() if marks is None else marks
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
@@ -36,8 +57,11 @@ def text_figures(text: str | None) -> tuple[int, ...]:
     lines = [line for line in raw.split(b"\n") if line.strip()]
     numbers: dict[bytes, int] = {}
     ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.uint64)
+    marked = np.fromiter(map(marks.__getitem__, words), np.uint8, n)
+    ended = sum(line.rstrip()[-1] in ENDS for line in lines)
     return (n, len(text) - blanks, sum(raw.count(c.encode()) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(ids),
-            len(lines), upper, letters, len(numbers), digits)
+            len(lines), upper, letters, len(numbers), digits, len(text) - int((codes < 128).sum()), int((marked & 1).sum()), int((marked >> 1).sum()),
+            int((ids[1:] == ids[:-1]).sum()), ended)
 
 
 def repeat_words(ids: np.ndarray, width: int = REPEAT_WIDTH) -> int:
@@ -56,8 +80,9 @@ def repeat_words(ids: np.ndarray, width: int = REPEAT_WIDTH) -> int:
 def figures(docs: DataFrame) -> DataFrame:
     """(_id, _th, figures …) of every row."""
     def run(batches):
+        marks = WordMarks()
         for batch in batches:
-            rows = np.array([text_figures(t) for t in batch["text"].to_pylist()], np.int64).reshape(-1, len(FIGURES))
+            rows = np.array([text_figures(t, marks) for t in batch["text"].to_pylist()], np.int64).reshape(-1, len(FIGURES))
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["_th"], *[pa.array(rows[:, i]) for i in range(len(FIGURES))]],
                                              names=["_id", "_th", *FIGURES])
 
@@ -73,17 +98,28 @@ def default_rules() -> dict[str, Column]:
     """name → vote over the figures; shares are compared by whole numbers."""
     c = F.col
     some = c("n_words") >= 10
+
+    def most(part: str, whole: Column, good: int, bad: int) -> Column:
+        """Good from ``good`` percent of the whole on, bad below ``bad`` percent."""
+        return _vote(some & (100 * c(part) >= good * whole), some & (100 * c(part) < bad * whole))
+
+    def few(part: str, whole: Column, good: int, bad: int) -> Column:
+        return _vote(some & (100 * c(part) <= good * whole), some & (100 * c(part) > bad * whole))
+
+    words, chars = c("n_words"), c("word_chars")
+    repeated = (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * words) | (100 * c("n_adjacent") > 10 * words) | (100 * c("n_dup_lines") > 30 * c("n_lines"))
+    fresh = (100 * c("n_repeat_words") <= 5 * words) & (100 * c("n_adjacent") <= 2 * words) & (100 * c("n_dup_lines") <= 10 * c("n_lines"))
     return {
-        "length": _vote(c("n_words") >= 50, c("n_words") < MIN_WORDS),
-        "word_length": _vote(some & c("word_chars").between(3 * c("n_words"), 10 * c("n_words")),
-                             some & ~c("word_chars").between(2 * c("n_words"), 14 * c("n_words"))),
-        "symbols": _vote(some & (100 * c("n_symbols") <= 2 * c("n_words")), 100 * c("n_symbols") > 20 * c("n_words")),
-        "lines": _vote((c("n_lines") >= 3) & (c("n_dup_lines") == 0), 100 * c("n_dup_lines") > 30 * c("n_lines")),
-        "repeats": _vote(some & (100 * c("n_repeat_words") <= 5 * c("n_words")), 100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words")),
-        "upper": _vote(some & (100 * c("n_upper") <= 15 * c("n_letters")), (c("n_letters") >= 20) & (100 * c("n_upper") > 50 * c("n_letters"))),
-        "variety": _vote(some & (100 * c("n_distinct") >= 20 * F.least(c("n_words"), F.lit(1000))),
-                         some & (100 * c("n_distinct") < 10 * F.least(c("n_words"), F.lit(1000)))),
-        "digits": _vote(some & (100 * c("n_digits") <= 5 * c("word_chars")), some & (100 * c("n_digits") > 30 * c("word_chars"))),
+        "length": _vote(words >= 50, words < MIN_WORDS),
+        "word_length": _vote(some & chars.between(3 * words, 10 * words), some & ~chars.between(2 * words, 14 * words)),
+        "symbols": few("n_symbols", words, 2, 20),
+        "repetition": _vote(some & fresh, some & repeated),
+        "upper": _vote(some & (100 * c("n_upper") <= 15 * c("n_letters")), (c("n_letters") >= 20) & (100 * c("n_upper") > 40 * c("n_letters"))),
+        "variety": most("n_distinct", F.least(words, F.lit(1000)), 20, 10),
+        "letters": _vote(some & (100 * (c("n_letters") + c("n_wide")) >= 90 * chars), some & (100 * (c("n_letters") + c("n_wide")) < 80 * chars)),
+        "plain_words": most("n_plain", words, 85, 65),
+        "runs": few("n_runs", words, 2, 10),
+        "line_ends": most("n_ends", c("n_lines"), 60, 30),
     }
 
 

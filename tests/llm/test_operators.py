@@ -186,6 +186,30 @@ def test_rules_learn_accuracies():
     assert np.abs(good - accuracy).max() < 0.05
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables not present")
+def test_rules_reject_labelled_bad_documents_and_leave_good_ones(spark):
+    """What the posterior decides beyond the base limits, without having seen a label."""
+    root = "/root/testdata/sf0.1"
+    judged = rules.judge_quality(spark.read.parquet(f"{root}/documents.parquet")).where("not base_failed")
+    seen = judged.join(spark.read.parquet(f"{root}/labels.parquet"), "doc_id").groupBy("quality").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept")).collect()
+    share = {r.quality: r.kept / r.n for r in seen}
+    assert share[0] < 0.5 and share[1] > 0.98
+
+
+def test_rule_votes_by_kind_of_junk(spark):
+    prose = "The quick brown fox jumps over the lazy dog, and then it sleeps. "
+    texts = {"prose": prose * 4 + "Another end.", "symbols": " ".join(w + "###" for w in prose.split() * 4), "shout": " ".join(w.upper() + "!!" for w in prose.split() * 4),
+             "menu": " | ".join(prose.split() * 4), "stutter": " ".join(w for w in prose.split() for _ in range(7)), "cyrillic": "Быстрая лиса прыгает через собаку. " * 2}
+    figures = rules.figures(spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id string, text string").withColumn("doc_id", F.hash("doc_id")))
+    names = {r.h: k for k in texts for r in [spark.range(1).select(F.hash(F.lit(k)).alias("h")).first()]}
+    votes = {names[r._id]: r for r in figures.select("_id", *[v.alias(k) for k, v in rules.default_rules().items()]).collect()}
+    bad = {k: {n for n in rules.default_rules() if v[n] == 0} for k, v in votes.items()}
+    assert not bad["prose"] - {"repetition"} and bad["symbols"] >= {"symbols", "plain_words", "runs", "letters", "line_ends"}
+    assert bad["shout"] >= {"upper", "runs", "plain_words"} and bad["menu"] >= {"symbols", "plain_words"} and "repetition" in bad["stutter"]
+    assert not bad["cyrillic"] & {"letters", "plain_words", "upper"}
+
+
 # secrets
 
 def brute_base(t):
@@ -521,3 +545,22 @@ def test_all_operators_on_odd_rows(spark, docs, rows):
     assert importance.resample(docs, labels).count() == len(rows)
     assert mixing.mix_sources(docs).count() == len(rows)
     assert secrets.scan_secrets(docs).count() == len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
+def test_the_mixing_query_repeats_small_sources(spark):
+    from newsloom.llm.queries import op8_source_mixing
+
+    got = op8_source_mixing(spark, "/root/testdata/sf0.01").collect()
+    taken, own, weight, longest = Counter(), Counter(), {}, Counter()
+    for r in got:
+        taken[r.source] += r.passes * r.n_tokens
+        own[r.source] += r.n_tokens
+        weight[r.source] = r.weight
+        longest[r.source] = max(longest[r.source], r.n_tokens)
+    budget = int(1.5 * sum(own.values()))
+    assert len({r.passes for r in got}) > 1 and len({round(taken[s] / own[s], 2) for s in own}) > 3
+    for s in own:
+        assert weight[s] * budget - longest[s] < taken[s] <= weight[s] * budget + 1 or own[s] * 4 <= weight[s] * budget
+    entropy = -sum(w * np.log(w) for w in weight.values())
+    assert entropy >= 0.9999 * np.log(len(own)) - 1e-9
