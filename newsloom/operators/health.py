@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import CHUNK, attach, order_chunks, scan
+from ..scale import IDENTITY, attach, order_chunks, rejoin, row_identity, scan, scan_rows
 from ..session import stage
 from .filters import at
 from .paging import sort_alerts, sort_schedule
@@ -39,12 +39,12 @@ def _until(run_at: Column, seconds: Column) -> Column:
 
 def failure_streak(runs: DataFrame) -> DataFrame:
     """Add consecutive_failures after every run (source_id, run_at, run_id, ok)."""
-    key, order = ["source_id"], ["run_at", "run_id"]
-    counted = scan(order_chunks(runs, key, order), key, order, rank="_pos")
+    key, order = ["source_id"], ["run_at", "run_id", *IDENTITY]
+    # messages and the like stay out of the staged chunks
+    counted = scan(order_chunks(runs.select("source_id", "run_at", "run_id", "ok", *row_identity(runs)), key, order), key, order, rank="_pos")
     filled = scan(counted, key, order, fills={"_last_ok": F.when(F.col("ok"), F.col("_pos"))})
-    return filled.withColumn(
-        "consecutive_failures", (F.col("_pos") - F.coalesce("_last_ok", F.lit(0))).cast("int")).drop(
-        CHUNK, "_pos", "_last_ok")
+    failures = (F.col("_pos") - F.coalesce("_last_ok", F.lit(0))).cast("int")
+    return rejoin(runs, filled.select(*IDENTITY, failures.alias("consecutive_failures")))
 
 
 def backoff_until(runs: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def rate_slots(requests: DataFrame, scope: str, max_per_min: int) -> DataFrame:
     """
     minute = requests.withColumn("minute", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 60) * 60))
     keys, order = [scope, "minute"], ["ts", "request_id"]
-    numbered = scan(order_chunks(minute, keys, order), keys, order, rank="slot_no").drop(CHUNK)
+    numbered = scan_rows(minute, keys, order, rank="slot_no")
     admitted = (F.col("slot_no") <= max_per_min) if max_per_min > 0 else F.lit(True)
     following = F.timestamp_seconds(F.unix_seconds("minute") + 60)
     return numbered.withColumns({"admitted": admitted, "run_at": F.when(admitted, F.col("ts")).otherwise(following)})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import period_sort_key
 from ..functions.numbers import change_pct as change_of
 from ..functions.text import strip
-from ..scale import CHUNK, attach, order_chunks, packed_arrays, scan, top_n
+from ..scale import attach, packed_arrays, scan_rows, top_n
 from ..session import stage
 
 SERIES = "series_key"
@@ -27,10 +27,9 @@ ORDER = ["p_y", "p_m", "p_d", "row_id"]
 def change_pct(rows: DataFrame) -> DataFrame:
     """Add change_pct against the previous period of the same series. Rows need a unique row_id."""
     keyed = with_period_key(rows.drop("change_pct"))
-    chunks = order_chunks(keyed, [SERIES], ORDER)
-    lagged = scan(chunks, [SERIES], ORDER, lags={"previous": F.col("value")})
+    lagged = scan_rows(keyed, [SERIES], ORDER, lags={"previous": F.col("value")})
     return lagged.withColumn("change_pct", change_of(F.col("value"), F.col("previous"))).drop(
-        CHUNK, "previous", SERIES, "p_y", "p_m", "p_d")
+        "previous", SERIES, "p_y", "p_m", "p_d")
 
 
 def _latest(rows: DataFrame, n: int, key: str) -> DataFrame:
@@ -67,7 +66,7 @@ def downsample(rows: DataFrame, key: str, order: list[str], points: int = 12) ->
     Every n//points-th row from the first on; the last kept one is replaced by the last of the series.
     A series of one row yields it twice.
     """
-    pos = scan(order_chunks(rows, [key], order), [key], order, rank="_pos").drop(CHUNK)
+    pos = scan_rows(rows, [key], order, rank="_pos")
     sizes = stage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     j = attach(pos, sizes, [key], "inner")
     n, i = F.col("_n"), F.col("_pos") - 1

@@ -4,6 +4,7 @@
 * ``top_n``: n rows per key; Spark limits each key before the shuffle (WindowGroupLimit).
 * ``order_chunks`` + ``scan``: running sums, ranks, lags and forward fills over one ordered key,
   computed per range-partitioned chunk and stitched by one summary row per (key, chunk).
+* ``scan_rows``: the same over wide rows, of which only key, order and used values are staged.
 * ``row_identity`` + ``rejoin``: results of narrow staged columns brought back to the rows they came from.
 * ``packed_arrays``: ordered arrays of bounded length instead of one array per key.
 * ``attach``: lookup join that broadcasts a measured small side and salts the shuffle otherwise.
@@ -14,15 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .session import stage
+from .session import discard, new_path, stage
 
 CHUNK = "_chunk"
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 GROUP_LIMIT_MAX = 1000
+#: rows of one key that a task orders at a time
+CHUNK_ROWS = 1_000_000
+#: types whose values are of fixed size
+NARROW = ("int", "bigint", "smallint", "tinyint", "double", "float", "date", "timestamp", "boolean", "decimal")
 
 
 def _ascending(order: Sequence[str | Column]) -> list[Column]:
@@ -64,11 +69,24 @@ def order_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     """Range-partition by key and order and tag each row with its partition as ``_chunk``.
 
     The result is staged, so the tags stay the same however often it is read. ``order`` must be
-    total; then no chunk grows with the size of a single key.
+    total; then no chunk grows with the size of a single key. Rows are counted while they are written: if there are more than
+    ``CHUNK_ROWS`` / 2 for each of the session's shuffle partitions, they are dealt anew to as many ranges as that takes.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *_ascending(order))
-    return stage(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranged(rows: DataFrame, n: int, path: str) -> tuple[DataFrame, int]:
+        seen = Observation()
+        dealt = rows.repartitionByRange(n, *[F.col(k) for k in keys], *_ascending(order)).withColumn(CHUNK, F.spark_partition_id())
+        return stage(dealt.observe(seen, F.count(F.lit(1)).alias("n")), "chunks", path=path), seen.get["n"]
+
+    path = new_path(spark, "chunks")
+    out, rows = ranged(df, parts, path)
+    wanted = -(-2 * rows // CHUNK_ROWS)
+    if wanted > parts:
+        out, _ = ranged(out.drop(CHUNK), wanted, new_path(spark, "chunks"))
+        discard(spark, path)
+    return out
 
 
 def scan(
@@ -131,9 +149,30 @@ def scan(
                          *[v.alias(k) for k, v in out.items()])
 
 
+def scan_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *, rank: str | None = None,
+              sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, fills: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with the ordered columns of ``scan``. Of wide rows only key, order and used values are staged, and the rest is joined back.
+
+    Ties of ``order`` are broken by the rows' content, so equal and null ids are fine.
+    """
+    names = [o for o in order if isinstance(o, str)]
+    wide = [c for c, t in df.dtypes if c not in keys and c not in names and not t.startswith(NARROW)]
+    if not wide and len(names) == len(order):
+        whole = [*order, *[c for c in df.columns if c not in keys and c not in order and not dict(df.dtypes)[c].startswith("map")]]
+        return scan(order_chunks(df, keys, whole), keys, whole, rank=rank, sums=sums, lags=lags, fills=fills).drop(CHUNK)
+    given = {"s": sums or {}, "l": lags or {}, "f": fills or {}}
+    by = [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(*keys, *[o.alias(n) for o, n in zip(_ascending(order), by)], *row_identity(df),
+                       *[v.alias(f"_{kind}_{k}_") for kind, cols in given.items() for k, v in cols.items()])
+    by += IDENTITY
+    sums, lags, fills = ({k: F.col(f"_{kind}_{k}_") for k in cols} for kind, cols in given.items())
+    out = scan(order_chunks(narrow, keys, by), keys, by, rank=rank, sums=sums, lags=lags, fills=fills)
+    return rejoin(df, out.select(*IDENTITY, *([rank] if rank else []), *sums, *lags, *fills))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rank: str = "rank") -> DataFrame:
     """Exact 1-based position of every row within its key, without one task per key."""
-    return scan(order_chunks(df, keys, order), keys, order, rank=rank).drop(CHUNK)
+    return scan_rows(df, keys, order, rank=rank)
 
 
 IDENTITY = ("_h1", "_h2")
@@ -165,7 +204,7 @@ def packed_arrays(
 
     Returns (keys, part_no, one array per value). A key with up to ``size`` rows has the single part 0.
     """
-    pos = ranked(df.select(*dict.fromkeys([*keys, *_names(order), *values])), keys, order, "_pos")
+    pos = scan(order_chunks(df.select(*dict.fromkeys([*keys, *_names(order), *values])), keys, order), keys, order, rank="_pos")
     parts = pos.withColumn("part_no", F.floor((F.col("_pos") - 1) / F.lit(size)).cast("long"))
     rows = F.array_sort(F.collect_list(F.struct("_pos", *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])))
     grouped = parts.groupBy(*keys, "part_no").agg(rows.alias("_rows"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DATE_RANGE
 from ..functions.numbers import parse_value_change, rate_value
 from ..functions.text import SPACE_CLASS, strip
-from ..scale import CHUNK, attach, keep_first, keep_last, order_chunks, scan, top_n
+from ..scale import attach, keep_first, keep_last, order_chunks, scan, scan_rows, top_n
 from ..session import stage
 
 # Default indicator and unit, header words, how far a value may follow its date,
@@ -111,7 +111,7 @@ def table_date_values(cells: DataFrame) -> DataFrame:
 def forward_fill_parent(rows: DataFrame, key: str, order: list[str], name: str = "name") -> DataFrame:
     """Add parent_name: the last name up to this row that is not a child (children start with a dash)."""
     parent = F.when(~F.startswith(F.col(name), F.lit(DASH)), F.col(name))
-    return scan(order_chunks(rows, [key], order), [key], order, fills={"parent_name": parent}).drop(CHUNK)
+    return scan_rows(rows, [key], order, fills={"parent_name": parent})
 
 
 def unpivot_matrix(cells: DataFrame) -> DataFrame:

@@ -34,6 +34,42 @@ def test_scan_over_chunks(spark):
     assert {r.id: (r.pos, r.total, r.prev, r.last_v) for r in got} == want
 
 
+def test_scan_over_wide_rows(spark, monkeypatch):
+    """One hot key, equal rows, null ids and orders, a map and a nested column; wide columns are not staged, no chunk is beyond its bound."""
+    rnd = random.Random(12)
+    rows = [("hot" if rnd.random() < 0.8 else rnd.choice(["a", None]), rnd.choice([None, 1, 2, 3]), rnd.choice([None, *range(40)]), float(rnd.randrange(5)),
+             "long text", [1, None], {"a": 1}) for _ in range(600)]
+    rows += rows[:30]
+    df = spark.createDataFrame(rows, "k string, ts int, id int, v double, text string, a array<int>, m map<string,int>")
+    staged = []
+    plain = scale.stage
+
+    def watched(rows, name, *args, **more):
+        out = plain(rows, name, *args, **more)
+        if name == "chunks":
+            staged.append(out)
+        return out
+
+    monkeypatch.setattr(scale, "stage", watched)
+    monkeypatch.setattr(scale, "CHUNK_ROWS", 60)
+    out = scale.scan_rows(df, ["k"], ["ts", "id"], rank="pos", sums={"total": F.col("v")}, lags={"prev": F.col("v")}, fills={"seen": F.col("id")})
+    assert out.columns == [*df.columns, "pos", "total", "prev", "seen"]
+    got = out.collect()
+    assert not {"text", "a", "m"} & set(staged[-1].columns) and len(staged) == 2
+    assert max(r["count"] for r in staged[-1].groupBy(scale.CHUNK).count().collect()) <= 60
+    assert sorted(str(tuple(r)[:7]) for r in got) == sorted(map(str, rows))
+    for key in ("hot", "a", None):
+        mine = sorted((r for r in got if r.k == key), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(1, len(mine) + 1))
+        order = [((r.ts is not None, r.ts or 0), (r.id is not None, r.id or 0)) for r in mine]
+        assert order == sorted(order)
+        total, prev, seen = 0.0, None, None
+        for r in mine:
+            total, seen = total + r.v, r.id if r.id is not None else seen
+            assert (r.total, r.prev, r.seen) == (total, prev, seen)
+            prev = r.v
+
+
 def test_keep_and_top(spark):
     rows, df = skewed(spark)
     first = {r.k: r.id for r in scale.keep_first(df, ["k"], ["ts", "id"]).collect()}
