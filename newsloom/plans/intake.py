@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import canonicalize_url
 from ..operators.ingest import enrich_items
-from ..session import new_path
+from ..session import discard, new_path
 from ..sources import articles, entries, feeds, html, posts, quotes
 from ..streaming import jobs
 from .registry import joined, query, ts_text
@@ -396,15 +396,44 @@ def _(t):
     return jobs.appended_rows(t.spark, target, rows.schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("backfill", """
-WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS i FROM events), p AS (SELECT *, i // 10 AS page FROM r),
-e AS (SELECT user_id, page, bool_or(ts < TIMESTAMP '2024-01-20') AS old, count(*) AS n FROM p GROUP BY ALL), l AS (SELECT user_id, coalesce(min(page) FILTER (WHERE old OR n < 10), max(page)) AS last FROM e GROUP BY 1)
-SELECT p.user_id AS channel, max(page) + 1 AS pages, bool_or(ts < TIMESTAMP '2024-01-20') AS reached_until, count_if(ts >= TIMESTAMP '2024-01-20') AS kept FROM p JOIN l ON p.user_id = l.user_id AND page <= last GROUP BY 1""")
+@query("backfill", f"""
+SELECT user_id AS channel, max(event_id) AS last_message_id, min(event_id) AS first_message_id, {ts_sql('min(ts)')} AS oldest_at, bool_or(ts < TIMESTAMP '2024-01-20') AS reached_until,
+  count_if(ts >= TIMESTAMP '2024-01-20') AS kept FROM events GROUP BY 1""")
 def _(t):
     m = t.events.select(F.col("user_id").alias("channel"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("published_at"))
-    kept, status = jobs.backfill(m, dt.date(2024, 1, 20), page_size=10)
+    kept, status = jobs.backfill(m, dt.date(2024, 1, 20))
     n = kept.groupBy("channel").agg(F.count(F.lit(1)).alias("kept"))
-    return status.join(n, "channel", "left").select("channel", "pages", "reached_until", F.coalesce("kept", F.lit(0)).alias("kept"))
+    return status.drop("kept").join(n, "channel", "left").withColumns({"kept": F.coalesce("kept", F.lit(0)), "oldest_at": ts_text(F.col("oldest_at"))})
+
+
+@query("stream_ingest_repeated", f"""
+SELECT canonical_url, first_id FROM (SELECT canonical_url, min(page_id) AS first_id FROM
+  (SELECT page_id, {CANON_SQL} AS canonical_url FROM (SELECT page_id, u, {CANON_KEPT} AS kept FROM (SELECT page_id, trim(url) AS u FROM pages))) GROUP BY 1)""")
+def _(t):
+    """Pages in four micro-batches through the ingest, and all of them once more by another stream: known urls stay as they were first seen."""
+    target = new_path(t.spark, "repeated")
+    rows = t.pages.select("page_id", "url", F.timestamp_seconds(F.lit(ITEM_START) + F.col("page_id")).alias("fetched_at"))
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return batch.withColumns({"canonical_url": canonicalize_url(F.col("url")), "first_id": F.col("page_id"), "period_month": F.trunc("fetched_at", "month")})
+
+    for _run in range(2):
+        jobs.stream_ingest(_batches(t, rows, "page_id"), target, prepare).awaitTermination()
+        target_items = t.spark.read.parquet(f"{target}/items")
+        discard(t.spark, f"{target}/_checkpoint")  # a new stream: it doesn't know what the first one has read
+    return target_items.select("canonical_url", "first_id")
+
+
+@query("ingest_runs", """
+WITH b AS (SELECT count(*) AS n FROM pages) SELECT CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(matched) AS BIGINT) AS matched FROM (SELECT n AS fetched, (SELECT count(*) FROM pages WHERE page_id % 10 <> 0) AS matched FROM b)""")
+def _(t):
+    """Run statistics of an ingest in four micro-batches, observed while it writes: every matched row was inserted or skipped."""
+    target = new_path(t.spark, "runs")
+    rows = t.pages.select("page_id", "url", F.timestamp_seconds(F.lit(ITEM_START) + F.col("page_id")).alias("fetched_at"))
+    jobs.stream_ingest(_batches(t, rows, "page_id"), target, lambda b: b.where("page_id % 10 <> 0").withColumn("canonical_url", canonicalize_url(F.col("url"))),
+                       partition_by=[]).awaitTermination()
+    log = jobs.run_log(t.spark, target)
+    return log.where("matched = inserted + skipped").agg(F.sum("fetched").alias("fetched"), F.sum("matched").alias("matched"))
 
 
 @query("rebuild_clusters", f"""

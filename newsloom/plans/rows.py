@@ -324,6 +324,20 @@ def _(t):
     return sinks.purge_scope(p, summaries(t), "profile_id").select("event_id")
 
 
+@query("purge_table", f"""
+WITH {SUMMARIES} SELECT event_id, event_type FROM events WHERE user_id NOT IN (SELECT profile_id FROM latest WHERE status = 'approved')""")
+def _(t):
+    """The purge as a change of a stored table: touched partitions are rewritten, one manifest switches to them."""
+    from ..operators.versioned import VersionedTable, purge_table
+    from ..session import new_path
+    p = t.events.select("event_id", F.col("user_id").alias("profile_id"), "event_type")
+    table = VersionedTable(t.spark, new_path(t.spark, "events"), "event_type", p.schema)
+    table.write(p)
+    purge_table(table, summaries(t), "profile_id")
+    table.vacuum(keep=1)
+    return table.read().select("event_id", "event_type")
+
+
 @query("reset_cursors", f"""
 WITH {SUMMARIES} SELECT c_custkey AS profile_id, CASE WHEN status = 'approved' THEN 0 ELSE c_custkey * 10 END AS last_message_id,
   coalesce(status, '') <> 'approved' AS backfill_complete FROM customer LEFT JOIN latest ON c_custkey = profile_id""")

@@ -6,17 +6,19 @@ writes per micro-batch with the batch operators, so batch and stream give the sa
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.filters import not_before
 from ..operators.health import fold_runs
 from ..operators.posts import cursor_max
 from ..operators.sinks import append_new, table_exists
-from ..scale import attach, ranked, top_n
-from ..session import discard, new_path, stage
+from ..scale import keep_last, top_n
+from ..session import discard, folder_names, new_path, stage
 
 
 def start(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -79,18 +81,42 @@ def stream_dedup(rows: DataFrame, target: str, keys: Sequence[str], event_time:
     return start(rows, f"{target}/_checkpoint", write)
 
 
-# --- versioned small state tables --------------------------------------------------------------------
+# --- versioned state tables --------------------------------------------------------------------------
+#
+# A batch writes what changed, as ``delta=<version>``; every COMPACT_AFTER deltas they are folded into a complete ``v=<version>``. Readers
+# merge the newest complete version with the deltas after it. The complete version before and its deltas stay, so that a
+# repeated batch finds the state it started from; older ones are deleted.
 
-def read_state(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """Latest complete version of a state table (only versions below ``before`` for a repeated batch)."""
-    if not table_exists(spark, f"{target}/state"):
+COMPACT_AFTER = 10
+STATE_KEY = "_state_key"
+
+
+def _state_versions(spark: SparkSession, target: str) -> tuple[list[int], list[int]]:
+    """Finished complete versions and deltas."""
+    names = folder_names(spark, f"{target}/state", "_SUCCESS")
+    numbers = lambda kind: sorted(int(n.removeprefix(kind)) for n in names if n.startswith(kind))
+    return numbers("v="), numbers("delta=")
+
+
+def _state(spark: SparkSession, target: str, base: int | None, deltas: list[int]) -> DataFrame | None:
+    """A complete version with deltas merged in, keys included."""
+    parts = [(base, f"{target}/state/v={base}")] if base is not None else []
+    parts += [(v, f"{target}/state/delta={v}") for v in deltas]
+    out = None
+    for version, path in parts:
+        part = spark.read.parquet(path).withColumn("_version", F.lit(version))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
         return None
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/state")
-    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    versions = [int(s.getPath().getName().removeprefix("v=")) for s in listed
-                if table_exists(spark, f"{s.getPath()}/_SUCCESS")]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{target}/state/v={max(versions)}") if versions else None
+    return (keep_last(out, [STATE_KEY], ["_version"]) if deltas else out).drop("_version")
+
+
+def read_state(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """Latest state of a table (only from versions below ``before`` for a repeated batch)."""
+    bases, deltas = ([v for v in found if before is None or v < before] for found in _state_versions(spark, target))
+    base = bases[-1] if bases else None
+    state = _state(spark, target, base, [v for v in deltas if base is None or v > base])
+    return None if state is None else state.drop(STATE_KEY)
 
 
 def _write_state(state: DataFrame, target: str, version: int) -> None:
@@ -98,14 +124,29 @@ def _write_state(state: DataFrame, target: str, version: int) -> None:
     state.write.mode("overwrite").parquet(f"{target}/state/v={version}")
 
 
+def write_changes(changed: DataFrame, target: str, version: int, keys: Sequence[str], compact_after: int = COMPACT_AFTER) -> None:
+    """Write the changed rows of a state, one for each of ``keys``, as the delta of a batch; fold the deltas from time to time."""
+    spark = changed.sparkSession
+    named = changed.withColumn(STATE_KEY, F.to_json(F.struct(*keys)))
+    named.write.mode("overwrite").parquet(f"{target}/state/delta={version}")
+    bases, deltas = _state_versions(spark, target)
+    base = max((v for v in bases if v < version), default=None)
+    since = [v for v in deltas if v <= version and (base is None or v > base)]
+    if len(since) > compact_after:
+        _state(spark, target, base, since).write.mode("overwrite").parquet(f"{target}/state/v={version}")
+        if base is not None:  # what the version before was made of
+            discard(spark, *[f"{target}/state/v={v}" for v in bases if v < base], *[f"{target}/state/delta={v}" for v in deltas if v <= base])
+
+
 def stream_cursor(rows: DataFrame, target: str, by: str, value: str) -> StreamingQuery:
     """Highest id per source seen so far, as a versioned state table."""
     def write(batch: DataFrame, version: int) -> None:
         new = cursor_max(batch, by, value)
         old = read_state(batch.sparkSession, target, version)
-        if old is not None:
+        if old is not None:  # cursors of the batch's sources alone
+            old = old.join(new.select(by), by, "left_semi")
             new = cursor_max(new.unionByName(old).withColumnRenamed("cursor", value), by, value)
-        _write_state(new, target, version)
+        write_changes(new, target, version, [by])
 
     return start(rows, f"{target}/_checkpoint", write)
 
@@ -118,7 +159,10 @@ def stream_health(runs: DataFrame, target: str) -> StreamingQuery:
     def write(batch: DataFrame, version: int) -> None:
         rows = stage(batch, "runs")
         if not rows.isEmpty():
-            _write_state(fold_runs(rows, read_state(batch.sparkSession, target, version)), target, version)
+            state = read_state(batch.sparkSession, target, version)
+            if state is not None:  # states of the batch's sources alone
+                state = state.join(rows.select("source_id").distinct(), "source_id", "left_semi")
+            write_changes(fold_runs(rows, state), target, version, ["source_id"])
 
     return start(runs, f"{target}/_checkpoint", write)
 
@@ -178,25 +222,17 @@ def appended_rows(spark: SparkSession, target: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{target}/rows")
 
 
-def backfill(messages: DataFrame, until, page_size: int = 500) -> tuple[DataFrame, DataFrame]:
-    """History of every channel (channel, message_id, published_at), paged backwards until a date.
+def backfill(messages: DataFrame, until: dt.date) -> tuple[DataFrame, DataFrame]:
+    """(kept, status) of a channel history (channel, message_id, published_at) that is wanted back to a date.
 
-    Pages of ``page_size`` messages are read newest first; reading stops with the page that reaches back
-    before ``until`` or is not full. Returns (messages kept, per channel: pages, reached_until,
-    backfill_complete, last_message_id). All pages are numbered at once instead of being fetched in a loop.
+    Kept are the messages from ``until`` on and undated ones; the status of a channel has its newest and oldest message, whether the history
+    reaches back before the date, and how many messages are kept: one filter and one aggregate with map-side combine.
     """
-    back = ranked(messages.withColumn("_back", -F.col("message_id")), ["channel"], ["_back"], "_no").drop("_back")
-    paged = back.withColumn("page_no", F.floor((F.col("_no") - 1) / page_size))
-    old = F.coalesce(F.to_date("published_at") < F.lit(until), F.lit(False))
-    pages = paged.groupBy("channel", "page_no").agg(F.max(old).alias("old"), F.count(F.lit(1)).alias("n"))
-    last = pages.where(F.col("old") | (F.col("n") < page_size)).groupBy("channel").agg(F.min("page_no").alias("last_page"))
-    ends = pages.groupBy("channel").agg(F.max("page_no").alias("max_page")).join(last, "channel", "left").withColumn(
-        "last_page", F.coalesce("last_page", "max_page"))
-    read = attach(paged, stage(ends, "ends"), ["channel"]).where(F.col("page_no") <= F.col("last_page"))
-    kept = read.where(~old).drop("_no", "page_no", "last_page", "max_page")
-    status = read.groupBy("channel").agg(
-        (F.max("page_no") + 1).alias("pages"), F.max(old).alias("reached_until"), F.lit(True).alias("backfill_complete"),
-        F.max("message_id").alias("last_message_id"))
+    kept, _ = not_before(messages, until, "channel")
+    old = F.to_date("published_at") < F.lit(until)
+    status = messages.groupBy("channel").agg(
+        F.max("message_id").alias("last_message_id"), F.min("message_id").alias("first_message_id"), F.min("published_at").alias("oldest_at"),
+        F.coalesce(F.max(old), F.lit(False)).alias("reached_until"), F.count_if(~F.coalesce(old, F.lit(False))).alias("kept"))
     return kept, status
 
 

@@ -173,3 +173,49 @@ def test_run_log_of_the_ingest(spark):
     jobs.stream_ingest(stream_of(spark, df, "i", 3), target, lambda b: b.where("i % 10 <> 0"), order=["i"], partition_by=[]).awaitTermination()
     log = sorted(map(tuple, jobs.run_log(spark, target).select("fetched", "matched", "inserted", "skipped", "truncated").collect()))
     assert log == [(30, 27, 0, 27, 18), (30, 27, 0, 27, 18), (30, 27, 27, 0, 18)]
+
+
+def test_state_is_written_as_changes_and_folded(spark):
+    from newsloom.session import folder_names
+
+    target = new_path(spark, "state")
+    full = {}
+    for version in range(27):
+        changed = [(k, version) for k in ({version % 5, 100 + version % 3} if version else set(range(200)))]
+        full.update(dict(changed))
+        df = spark.createDataFrame(changed, "k int, v int")
+        for _ in range(2 if version in (11, 12, 22) else 1):  # repeated batches
+            jobs.write_changes(df, target, version, ["k"], compact_after=5)
+        if version:
+            assert spark.read.parquet(f"{target}/state/delta={version}").count() == len(changed)
+    assert {r.k: r.v for r in jobs.read_state(spark, target).collect()} == full
+    assert len(folder_names(spark, f"{target}/state")) <= 2 + 2 * 7
+    before = {r.k: r.v for r in jobs.read_state(spark, target, 26).collect()}
+    assert before != full and before[26 % 5] == 21
+
+
+def test_purge_switches_by_one_manifest(spark, monkeypatch):
+    import pytest
+    from newsloom.operators.versioned import VersionedTable, purge_table
+
+    rows = spark.createDataFrame([(i, i % 4, f"p {i % 3}/x") for i in range(24)] + [(99, 1, None)], "id int, scope int, part string")
+    summaries = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), "approved"), (2, 2, dt.datetime(2024, 1, 1), "draft")],
+                                      "scope int, summary_id int, created_at timestamp, status string")
+    table = VersionedTable(spark, new_path(spark, "versioned"), "part", rows.schema)
+    assert table.read().count() == 0
+    table.write(rows)
+    before = sorted(map(str, table.read().collect()))
+    assert before == sorted(map(str, rows.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_switch", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            purge_table(table, summaries, "scope")
+    assert sorted(map(str, table.read().collect())) == before
+    purge_table(table, summaries, "scope")
+    assert sorted(r.id for r in table.read().collect()) == [i for i in range(24) if i % 4 != 1]
+    assert sorted(map(str, table.read(version=0).collect())) == before
+    only = rows.where("id = 2")
+    table.write(only.withColumn("scope", F.lit(7)), [v for v in table.entries() if "2" in v])
+    assert {r.scope for r in table.read().where("part = 'p 2/x'").collect()} == {7}
+    table.vacuum(keep=1)
+    assert len(table.versions()) == 1 and table.read().where("part <> 'p 2/x'").count() == 12
