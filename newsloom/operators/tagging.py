@@ -8,10 +8,10 @@ instead, in Arrow batches. Dictionaries are fetched and applied in slices of bou
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let, strip, tagging_text
@@ -30,6 +30,25 @@ SLICE_CHARS = 4_000_000
 WORD_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789" + "".join(map(chr, range(ord("а"), ord("я") + 1))) + "ё")
 
 
+class Scanner:
+    """A slice of a dictionary and its automaton, made once in each Python worker: a broadcast object outlives the tasks of a worker."""
+
+    def __init__(self, entries: "Entries", patterns: Callable[["Entries"], dict]):
+        self.entries, self.patterns, self.built = entries, patterns, None
+
+    def __getstate__(self):
+        return {"entries": self.entries, "patterns": self.patterns, "built": None}
+
+    def scan(self) -> "TermScan":
+        if self.built is None:
+            self.built = TermScan(self.patterns(self.entries))
+        return self.built
+
+
+def _shared(entries: "Entries", patterns: Callable[["Entries"], dict]):
+    return SparkSession.active().sparkContext.broadcast(Scanner(entries, patterns))
+
+
 def entity_terms(entities: DataFrame) -> DataFrame:
     """(entity_id, terms) of the active entities: name, aliases and tags."""
     none = F.expr("cast(array() as array<string>)")
@@ -119,18 +138,21 @@ def mentions(text: Column, slices: Iterator[Entries]) -> Column:
     return F.array_sort(F.concat(*parts)) if parts else none
 
 
+def _mention_patterns(entries: Entries) -> dict:
+    patterns = {}
+    for i, (_, terms) in enumerate(entries):
+        for t in terms:
+            patterns.setdefault(t, []).append(("alone" if len(t) <= SHORT_TERM else "any", i))
+    return patterns
+
+
 def _mentions_scan(text: Column, entries: Entries) -> Column:
-    built = []
+    shared = _shared(entries, _mention_patterns)
 
     @F.pandas_udf("array<string>")
     def scan(texts: pd.Series) -> pd.Series:
-        if not built:
-            patterns = {}
-            for i, (_, terms) in enumerate(entries):
-                for t in terms:
-                    patterns.setdefault(t, []).append(("alone" if len(t) <= SHORT_TERM else "any", i))
-            built.append(TermScan(patterns))
-        return pd.Series([[entries[i][0] for i in sorted(built[0].hits(t))] for t in texts])
+        terms, known = shared.value.scan(), shared.value.entries
+        return pd.Series([[known[i][0] for i in sorted(terms.hits(t))] for t in texts])
 
     return F.when(text.isNotNull(), scan(text)).otherwise(F.expr("cast(array() as array<string>)"))
 
@@ -196,34 +218,36 @@ def region_scores(title: Column, body: Column, slices: Iterator[Entries]) -> Col
     return F.concat(*parts) if parts else empty
 
 
+def _score_patterns(entries: Entries) -> dict:
+    patterns = {}
+    for i, (_, terms) in enumerate(entries):
+        for j, t in enumerate(filter(_usable, terms)):
+            use = (i, j, min(len(t), 16) / 16.0)
+            if len(t) <= SHORT_TERM:
+                patterns.setdefault(t, []).append(("alone", use))
+            else:
+                patterns.setdefault(t, []).append(("any", use))
+                patterns.setdefault(t[:-1], []).append(("start", use))
+    return patterns
+
+
 def _scores_scan(title: Column, body: Column, entries: Entries) -> Column:
-    built = []
+    shared = _shared(entries, _score_patterns)
 
     @F.pandas_udf("array<struct<region_id:string,score:double>>")
     def scan(titles: pd.Series, bodies: pd.Series) -> pd.Series:
-        if not built:
-            patterns = {}
-            for i, (_, terms) in enumerate(entries):
-                for j, t in enumerate(filter(_usable, terms)):
-                    use = (i, j, min(len(t), 16) / 16.0)
-                    if len(t) <= SHORT_TERM:
-                        patterns.setdefault(t, []).append(("alone", use))
-                    else:
-                        patterns.setdefault(t, []).append(("any", use))
-                        patterns.setdefault(t[:-1], []).append(("start", use))
-            built.append(TermScan(patterns))
-        out = []
+        terms, known, out = shared.value.scan(), shared.value.entries, []
         for title_, body_ in zip(titles, bodies):
-            top, body_ = built[0].hits(title_ or ""), body_ or ""
-            head = built[0].hits(body_[:300])
-            whole = built[0].hits(body_)
+            top, body_ = terms.hits(title_ or ""), body_ or ""
+            head = terms.hits(body_[:300])
+            whole = terms.hits(body_)
             scores: dict[int, float] = {}
             for use in sorted(top | head | whole):
                 i, _, s = use
                 in_title = 4.0 + s * 2.0 if use in top else 0.0
                 in_body = 1.2 + s if use in head else 0.45 + s * 0.35 if use in whole else 0.0
                 scores[i] = scores.get(i, 0.0) + in_title + in_body
-            out.append([{"region_id": entries[i][0], "score": scores[i]} for i in sorted(scores)])
+            out.append([{"region_id": known[i][0], "score": scores[i]} for i in sorted(scores)])
         return pd.Series(out)
 
     return F.transform(scan(title, body), lambda r: F.struct(r["region_id"].alias("region_id"), F.round(r["score"], 6).alias("score")))

@@ -89,6 +89,19 @@ def _(t):
     return filters.search_news(linked, q="an_the", competitor_id="1").select("item_id")
 
 
+@query("search_news_indexed", f"""
+WITH {ITEMS} SELECT item_id FROM items WHERE title ILIKE '%an_the%eaon%' OR snippet ILIKE '%an_the%eaon%' OR content_text ILIKE '%an_the%eaon%'""")
+def _(t):
+    """The text search over a stored table with trigram postings: only files that hold all trigrams are read."""
+    from ..operators.textindex import TextIndex
+    from ..session import new_path
+    path = new_path(t.spark, "items")
+    items(t).repartitionByRange(16, "item_id").write.parquet(path)
+    index = TextIndex(t.spark, path, new_path(t.spark, "trigrams"), ["title", "snippet", "content_text"])
+    index.build()
+    return index.search("%an_the%eaon%").select("item_id")
+
+
 @query("in_period", f"""
 WITH {ITEMS} SELECT item_id FROM items WHERE published_at >= TIMESTAMP '2024-01-05 00:00:00' AND published_at <= TIMESTAMP '2024-01-20 23:59:59.999999'""")
 def _(t):

@@ -135,7 +135,7 @@ def unpivot_matrix(cells: DataFrame) -> DataFrame:
     name = name.where((F.col("name") != "") & (F.col("name") != NUMBER_SIGN) & ~F.col("name").rlike(rf"(?iu)^{NAME_WORD}"))
     values = body.where(F.col("col") > F.col("name_col")).select(
         "table_id", "row", (F.col("col") - F.col("name_col")).cast("long").alias("slot"), parse_value_change(F.col("text")).alias("c"))
-    values = values.where("c.value is not null").join(numbered, ["table_id", "slot"])
+    values = attach(values.where("c.value is not null"), numbered, ["table_id", "slot"], "inner")
     # of equal period headers the last one with a value counts
     values = stage(keep_last(values, ["table_id", "row", "period"], ["slot"]), "values")
     filled = forward_fill_parent(name.join(values.select("table_id", "row").distinct(), ["table_id", "row"], "left_semi"),
@@ -158,7 +158,7 @@ def table_fallback(cells: DataFrame) -> DataFrame:
         (F.col("name") != "") & (F.col("name") != NUMBER_SIGN) & ~F.contains("name", F.lit(NAME_WORD)))
     values = c.where("row > 0 and col > 0").select(
         "table_id", "row", F.col("col").cast("long").alias("slot"), parse_value_change(F.col("text")).alias("c")).where("c.value is not null")
-    joined = values.join(name, ["table_id", "row"]).join(numbered, ["table_id", "slot"], "left")
+    joined = attach(values.join(name, ["table_id", "row"]), numbered, ["table_id", "slot"])
     period = F.coalesce("period", (F.col("slot") - 1).cast("string"))
     joined = keep_last(joined.withColumn("period", period), ["table_id", "row", "period"], ["slot"])
     return joined.select("table_id", "row", "slot", *_row(F.col("name"), F.col("period"), F.col("c.value"), F.col("c.change_pct"), F.lit(None)))

@@ -365,3 +365,25 @@ def test_entries_of_all_connectors(spark):
                                  "source_id string, url string, title string, summary string, content_text string, published_at timestamp, fetched_at timestamp")
     got = ingest.enrich_items(told, sources, {"global_include_keywords": ["wanted"]}, entity, entity, regions(spark, ("A", ["Самара"])), F.lit(NOW)).collect()
     assert [(r.url, r.region_ids, r.content_text) for r in got] == [("https://a/2", ["1"], "")]
+
+
+def test_text_index_reads_only_files_with_all_trigrams(spark):
+    from newsloom.operators.textindex import TextIndex, literal_runs
+    from newsloom.session import new_path
+
+    assert literal_runs(r"%ab\%c_d%%e\\") == ["ab%c", "d", "e\\"]
+    words = ["alpha", "beta", "Gamma", "ДЕЛЬТА", "100% sure", "under_score", "ab"]
+    rows = [(i, f"{words[i // 20]} number {i}", None if i % 3 else "Other") for i in range(140)]
+    path = new_path(spark, "texts")
+    spark.createDataFrame(rows, "id int, title string, body string").repartitionByRange(7, "id").write.parquet(path)
+    index = TextIndex(spark, path, new_path(spark, "trigrams"), ["title", "body"])
+    index.build()
+    whole = spark.read.parquet(path)
+    for pattern in ("%gamma%", "%дельта number 6_", "100\\% s%", "%under\\_score%", "%a_pha%1%", "other", "%ab%", "%nothing here%", "%", "%nu%ber 13_"):
+        plain = whole.where(F.ilike("title", F.lit(pattern)) | F.coalesce(F.ilike("body", F.lit(pattern)), F.lit(False)))
+        assert sorted(r.id for r in index.search(pattern).collect()) == sorted(r.id for r in plain.collect()), pattern
+    assert len(index.files("%gamma%")) == 1 and len(index.files("%nothing here%")) == 0 and len(index.files("%ab%")) == 7
+    spark.createDataFrame([(999, "late gamma", None)], "id int, title string, body string").coalesce(1).write.mode("append").parquet(path)
+    assert {r.id for r in index.search("%late gamma%").collect()} == {999}  # not indexed yet: read
+    index.build()
+    assert len(index.files("%gamma%")) == 2 and {r.id for r in index.search("%late gamma%").collect()} == {999}
