@@ -14,7 +14,7 @@ from .buckets import LIMIT, close_links
 
 HOT_BUCKET = 20_000
 HUB_SHARE = 1000
-HUB_LEAST = 1000
+HUB_LEAST = 2000
 
 
 def with_simhash(items: DataFrame, text: str = "content_text") -> DataFrame:
