@@ -30,8 +30,10 @@ from .common import slices
 LEAST_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-SLICE_BYTES = 2_000_000
-CHUNK_BYTES = 16_000_000
+SLICE_BYTES = 1_000_000
+CHUNK_BYTES = 6_000_000
+#: (source, term) pairs that a task adds up before it sends them
+HELD_USES = 600_000
 #: rows of (source, term) in a block
 BLOCK_ROWS = 500_000
 #: bits of the bitmap of surviving prefixes: 16 for each prefix, within these limits (16 MB at most)
@@ -48,9 +50,8 @@ PART_SCHEMA = "lang string, source string, part string, item string, value bigin
 
 
 def level_lengths() -> Iterator[int]:
-    """Prefix lengths in bytes: fine steps where words differ, doubling beyond."""
-    yield from (3, 5, 8, 12, 18, 27, 40)
-    yield from (80 << i for i in count())
+    """Prefix lengths in bytes: from where words begin to differ, doubling."""
+    yield from (6 << i for i in count())
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -79,17 +80,13 @@ class Pack:
 
     def __init__(self):
         self.numbers, self.source_no = Numbers(), {}
-        self.found, self.sizes, self.source_of = [], [], []
+        self.found, self.lengths, self.source_of = [], [], []
 
     def add(self, texts: list[bytes], sources: list[str]) -> None:
         words = (b" \0 ".join(t.translate(FOLD) for t in texts) + b" \0").split()
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        ends = np.flatnonzero(number == 0)
-        doc = np.searchsorted(ends, np.arange(len(number)))
-        hit = number > 0
-        once, tf = np.unique((doc[hit] << 32) | number[hit], return_counts=True)
-        self.sizes.append(np.bincount(once >> 32, minlength=len(texts)))
-        self.found.append(np.stack([once & 0xFFFFFFFF, tf]))
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        self.found.append(number[number > 0])
+        self.lengths.append(np.diff(np.flatnonzero(number == 0), prepend=-1) - 1)
         self.source_of += [self.source_no.setdefault(s, len(self.source_no)) for s in sources]
 
     def row(self, lang: str) -> tuple:
@@ -97,11 +94,11 @@ class Pack:
         order = sorted(range(len(terms)), key=terms.__getitem__)
         rank = np.empty(len(terms) + 1, np.int64)
         rank[np.array(order, np.int64) + 1] = np.arange(len(terms))
-        number, tf = np.concatenate(self.found, axis=1)
-        sizes = np.concatenate(self.sizes)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        turn = np.argsort((doc << 32) | rank[number], kind="stable")
-        return (lang, list(self.source_no), _pack(np.array(self.source_of)), _pack(sizes), _pack(rank[number][turn]), _pack(tf[turn]),
+        lengths = np.concatenate(self.lengths)
+        doc = np.repeat(np.arange(len(lengths)) << 32, lengths)
+        once, tf = np.unique(doc | rank[np.concatenate(self.found)], return_counts=True)
+        sizes = np.bincount(once >> 32, minlength=len(lengths))
+        return (lang, list(self.source_no), _pack(np.array(self.source_of)), _pack(sizes), _pack(once & 0xFFFFFFFF), _pack(tf),
                 b"\0".join(terms[i] for i in order))
 
 
@@ -159,6 +156,12 @@ def survivors(prefixes: DataFrame) -> Survivors:
     return Survivors(bits, words)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One packed row at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _runs(keys: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """Distinct keys of a sorted list, and the number of its distinct key for each entry."""
     fresh = np.fromiter((a != b for a, b in zip(keys, [None, *keys])), bool, len(keys))
@@ -169,7 +172,7 @@ def _prefix_counts(length: int, before: int, shared):
     """Documents of each prefix of ``length`` bytes below the surviving prefixes of ``before`` bytes, by chunk."""
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 terms = r["terms"].split(b"\0") if r["terms"] else []
                 alive = np.fromiter((len(t) >= before for t in terms), bool, len(terms))
                 at = np.flatnonzero(alive)
@@ -212,25 +215,52 @@ def kept_terms(chunks: DataFrame, least: int = LEAST_DOCS, lengths: Iterator[int
     return stage(out, "vocabulary")
 
 
+class Uses:
+    """Occurrences by (source, term) of one language, added up over chunks."""
+
+    def __init__(self):
+        self.terms, self.sources = Numbers(), {}
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, terms: list[bytes], sources: list[str], source: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
+        own = np.fromiter(map(self.terms.__getitem__, terms), np.int64, len(terms))
+        names = np.array([self.sources.setdefault(s, len(self.sources)) for s in sources], np.int64)
+        self.keys.append((names[source] << 32) | own[term])
+        self.counts.append(tf)
+        self.size += len(tf)
+        self._merge()
+
+    def _merge(self) -> None:
+        key, back = np.unique(np.concatenate(self.keys), return_inverse=True)
+        n = np.bincount(back, np.concatenate(self.counts), len(key)).astype(np.int64)  # exact below 2^53
+        self.keys, self.counts, self.size = [key], [n], len(key)
+
+    def batch(self, lang: str) -> pa.RecordBatch:
+        key, terms = self.keys[0], pa.array(list(self.terms), pa.binary())
+        return pa.RecordBatch.from_arrays([
+            pa.array([lang] * len(key), pa.string()), pa.array(list(self.sources), pa.string()).take(pa.array(key >> 32)),
+            terms.take(pa.array(key & 0xFFFFFFFF)), pa.array(self.counts[0], pa.int64())], names=["lang", "source", "term", "n"])
+
+
 def _uses(shared):
-    """Occurrences by source of the terms that the bitmap holds, by chunk."""
+    """Occurrences by source of the terms that the bitmap holds, added up within a task while they are no more than ``HELD_USES``."""
     def run(batches):
+        held = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                terms = r["terms"].split(b"\0") if r["terms"] else []
+            for r in _rows(batch):
+                terms = [t + b"\0" for t in r["terms"].split(b"\0")] if r["terms"] else []
                 if not terms:
                     continue
-                good = shared.value.holds(r["lang"], [t + b"\0" for t in terms])
+                good = shared.value.holds(r["lang"], terms)
                 sizes, ranks, tf = _unpack(r["sizes"]), _unpack(r["ranks"]), _unpack(r["tfs"])
-                source = np.repeat(_unpack(r["source_of"]), sizes)
-                hit = good[ranks]
-                key, back = np.unique(source[hit] * len(terms) + ranks[hit], return_inverse=True)
-                n = np.zeros(len(key), np.int64)
-                np.add.at(n, back, tf[hit])
-                names = pa.array(r["sources"], pa.string())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r["lang"]] * len(key), pa.string()), names.take(pa.array(key // len(terms))),
-                    pa.array([terms[i] + b"\0" for i in key % len(terms)], pa.binary()), pa.array(n, pa.int64())], names=["lang", "source", "term", "n"])
+                source, hit, place = np.repeat(_unpack(r["source_of"]), sizes), good[ranks], np.cumsum(good) - 1
+                held.setdefault(r["lang"], Uses()).add([terms[i] for i in np.flatnonzero(good)], r["sources"], source[hit], place[ranks[hit]], tf[hit])
+                if sum(u.size for u in held.values()) > HELD_USES:
+                    for lang, u in held.items():
+                        yield u.batch(lang)
+                    held = {}
+        for lang, u in held.items():
+            yield u.batch(lang)
     return run
 
 
@@ -306,8 +336,9 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS
     chunks = stage(plain.mapInArrow(_chunks, CHUNK_SCHEMA), "packed")
     kept = kept_terms(chunks, least, _endless(lengths) if lengths else None)
     words = spark.sparkContext.broadcast(survivors(kept))
-    found = chunks.mapInArrow(_uses(words), USE_SCHEMA).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    exact = kept.withColumnRenamed("prefix", "term")
+    # tasks have added up their own rows already: dealt out first, there is nothing for Spark to combine before the shuffle
+    found = chunks.mapInArrow(_uses(words), USE_SCHEMA).repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    exact = kept.withColumnRenamed("prefix", "term").hint("shuffle_hash")
     uses = stage(found.join(exact, ["lang", "term"], "left_semi"), "uses")
     words.destroy()
 
