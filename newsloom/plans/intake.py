@@ -311,9 +311,10 @@ def _(t):
 
 
 def _stream(t, name: str) -> DataFrame:
-    """The same parquet table as a file stream."""
+    """The same parquet table, a file or a folder of files, as a file stream."""
     schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.root)
+    # as a pattern the path may be either; a plain one would have to be a folder
+    return t.spark.readStream.schema(schema).parquet(f"{t.root}/[{name[0]}]{name[1:]}.parquet")
 
 
 @query("stream_ingest")

@@ -219,3 +219,30 @@ def test_purge_switches_by_one_manifest(spark, monkeypatch):
     assert {r.scope for r in table.read().where("part = 'p 2/x'").collect()} == {7}
     table.vacuum(keep=1)
     assert len(table.versions()) == 1 and table.read().where("part <> 'p 2/x'").count() == 12
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark):
+    from newsloom.plans.catalog import QUERIES
+
+    pages = spark.createDataFrame([(i, f"https://a.example/{i % 7}", f"<title>t{i}</title><p>text {i}</p>") for i in range(21)], "page_id long, url string, html string")
+    turns = spark.createDataFrame([(i // 3, i % 3, "user" if i % 2 else "bot", f"x{i}") for i in range(30)], "conv_id long, turn int, role string, text string")
+    documents = spark.createDataFrame([(1, "some text", "en", "src1", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = []
+    for files in (1, 3):
+        root = new_path(spark, "tables")
+        for name, df in (("pages", pages), ("conversations", turns), ("documents", documents)):
+            folder = f"{root}/{name}.parquet"
+            df.repartition(files).write.parquet(folder)
+            if files == 1:  # the one part file in place of the folder
+                jvm = spark.sparkContext._jvm
+                path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+                fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+                part = next(s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().endswith(".parquet"))
+                fs.rename(part, path(f"{root}/moved"))
+                fs.delete(path(folder), True)
+                fs.rename(path(f"{root}/moved"), path(folder))
+        found.append([sorted(map(tuple, QUERIES[q](spark, root).collect())) for q in ("stream_cursor", "stream_dedup", "stream_ingest")])
+    assert found[0] == found[1]
+    cursors, urls, items = found[1]
+    assert cursors == [("bot", "9001"), ("user", "9002")] and len(urls) == 7
+    assert len(items) == 7
