@@ -398,13 +398,18 @@ def _(t):
 
 
 @query("backfill", f"""
-SELECT user_id AS channel, max(event_id) AS last_message_id, min(event_id) AS first_message_id, {ts_sql('min(ts)')} AS oldest_at, bool_or(ts < TIMESTAMP '2024-01-20') AS reached_until,
-  count_if(ts >= TIMESTAMP '2024-01-20') AS kept FROM events GROUP BY 1""")
+WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS i FROM events), p AS (SELECT *, i // 10 AS page FROM r),
+e AS (SELECT user_id, page, bool_or(ts < TIMESTAMP '2024-01-20') AS old, count(*) AS n FROM p GROUP BY ALL), l AS (SELECT user_id, coalesce(min(page) FILTER (WHERE old OR n < 10), max(page)) AS last FROM e GROUP BY 1)
+SELECT p.user_id AS channel, max(page) FILTER (WHERE page <= last) + 1 AS pages, coalesce(bool_or(ts < TIMESTAMP '2024-01-20'), false) AS reached_until,
+  count_if(page <= last AND coalesce(ts >= TIMESTAMP '2024-01-20', true)) AS kept, count_if(coalesce(ts >= TIMESTAMP '2024-01-20', true)) AS wanted,
+  max(event_id) AS last_message_id, min(event_id) AS first_message_id, {ts_sql('min(ts)')} AS oldest_at FROM p JOIN l ON p.user_id IS NOT DISTINCT FROM l.user_id GROUP BY 1""")
 def _(t):
+    """Every history paged backwards, and what the whole of it holds."""
     m = t.events.select(F.col("user_id").alias("channel"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("published_at"))
-    kept, status = jobs.backfill(m, dt.date(2024, 1, 20))
-    n = kept.groupBy("channel").agg(F.count(F.lit(1)).alias("kept"))
-    return status.drop("kept").join(n, "channel", "left").withColumns({"kept": F.coalesce("kept", F.lit(0)), "oldest_at": ts_text(F.col("oldest_at"))})
+    kept, status = jobs.backfill(m, dt.date(2024, 1, 20), page_size=10)
+    n = kept.groupBy(F.struct("channel").alias("c")).agg(F.count_if("in_pages").alias("kept"), F.count(F.lit(1)).alias("wanted"))
+    found = status.drop("kept", "wanted").withColumn("c", F.struct("channel")).join(n, "c", "left").drop("c")
+    return found.withColumns({"kept": F.coalesce("kept", F.lit(0)), "wanted": F.coalesce("wanted", F.lit(0)), "oldest_at": ts_text(F.col("oldest_at"))})
 
 
 @query("stream_ingest_repeated", f"""

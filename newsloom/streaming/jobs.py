@@ -17,7 +17,7 @@ from ..operators.filters import not_before
 from ..operators.health import fold_runs
 from ..operators.posts import cursor_max
 from ..operators.sinks import append_new, table_exists
-from ..scale import keep_last, top_n
+from ..scale import attach, keep_last, ranked, top_n
 from ..session import discard, folder_names, new_path, stage
 
 
@@ -222,17 +222,34 @@ def appended_rows(spark: SparkSession, target: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{target}/rows")
 
 
-def backfill(messages: DataFrame, until: dt.date) -> tuple[DataFrame, DataFrame]:
-    """(kept, status) of a channel history (channel, message_id, published_at) that is wanted back to a date.
+def backfill(messages: DataFrame, until: dt.date, page_size: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(kept, status) of a channel history (channel, message_id, published_at), paged backwards until a date.
 
-    Kept are the messages from ``until`` on and undated ones; the status of a channel has its newest and oldest message, whether the history
-    reaches back before the date, and how many messages are kept: one filter and one aggregate with map-side combine.
+    Pages of ``page_size`` messages are read newest first; reading stops with the page that reaches back before ``until`` or is not full.
+    ``kept`` are the messages of the whole history from ``until`` on and undated ones, with ``in_pages``: do the pages read hold them?
+    The status of a channel has the number of pages read, whether they reach back before the date, how many kept messages they hold (``kept``), and
+    of the whole history the newest and oldest message and the number of kept ones (``wanted``). All pages are numbered at once; a null channel is a
+    channel of its own.
     """
-    kept, _ = not_before(messages, until, "channel")
-    old = F.to_date("published_at") < F.lit(until)
-    status = messages.groupBy("channel").agg(
-        F.max("message_id").alias("last_message_id"), F.min("message_id").alias("first_message_id"), F.min("published_at").alias("oldest_at"),
-        F.coalesce(F.max(old), F.lit(False)).alias("reached_until"), F.count_if(~F.coalesce(old, F.lit(False))).alias("kept"))
+    order = {"_undated": F.col("message_id").isNull(), "_back": -F.col("message_id")}
+    numbered = ranked(messages.withColumns(order), ["channel"], list(order), "_no").drop(*order)
+    # a struct is never null, so joins find the null channel too
+    paged = numbered.withColumns({"_channel": F.struct("channel"), "_page": F.floor((F.col("_no") - 1) / page_size)}).drop("_no")
+    old = F.coalesce(F.to_date("published_at") < F.lit(until), F.lit(False))
+    pages = stage(paged.groupBy("_channel", "_page").agg(
+        F.max(old).alias("old"), F.count(F.lit(1)).alias("n"), F.count_if(~old).alias("new"), F.max("message_id").alias("newest"),
+        F.min("message_id").alias("oldest"), F.min("published_at").alias("oldest_at")), "pages")
+    ends = pages.groupBy("_channel").agg(
+        F.coalesce(F.min(F.when(F.col("old") | (F.col("n") < page_size), F.col("_page"))), F.max("_page")).alias("_last"),
+        F.max("newest").alias("last_message_id"), F.min("oldest").alias("first_message_id"), F.min("oldest_at").alias("oldest_at"),
+        F.max("old").alias("reached_until"), F.sum("new").alias("wanted"))
+    read = attach(pages.select("_channel", "_page", "new"), ends.select("_channel", "_last"), ["_channel"]).where(F.col("_page") <= F.col("_last"))
+    wanted, _ = not_before(paged, until, "channel")
+    marks = read.select("_channel", "_page", F.lit(True).alias("_read"))
+    kept = wanted.join(marks, ["_channel", "_page"], "left").withColumn("in_pages", F.coalesce("_read", F.lit(False))).drop("_channel", "_page", "_read")
+    status = ends.join(read.groupBy("_channel").agg(F.sum("new").alias("kept")), "_channel").select(
+        F.col("_channel.channel").alias("channel"), (F.col("_last") + 1).alias("pages"), "reached_until", "kept", "wanted", "last_message_id",
+        "first_message_id", "oldest_at")
     return kept, status
 
 

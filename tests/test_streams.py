@@ -246,3 +246,15 @@ def test_streams_read_tables_of_one_file_and_of_many(spark):
     cursors, urls, items = found[1]
     assert cursors == [("bot", "9001"), ("user", "9002")] and len(urls) == 7
     assert len(items) == 7
+
+
+def test_backfill_pages_the_whole_history(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [("a", i, day(30 - (25 - i) // 3)) for i in range(1, 26)] + [("b", 1, day(30)), ("b", 2, None), (None, 1, day(5)), (None, 2, day(25))]
+    rows += [("late", i, day(10) if i == 20 else day(28)) for i in range(1, 26)]
+    kept, status = jobs.backfill(spark.createDataFrame(rows, "channel string, message_id int, published_at timestamp"), dt.date(2024, 1, 25), page_size=5)
+    got = {r.channel: (r.pages, r.reached_until, r.kept, r.wanted, r.last_message_id, r.first_message_id, r.oldest_at) for r in status.collect()}
+    assert got == {"a": (4, True, 18, 18, 25, 1, day(22)), "b": (1, False, 2, 2, 2, 1, day(30)), None: (1, True, 1, 1, 2, 1, day(5)),
+                   "late": (2, True, 9, 24, 25, 1, day(10))}
+    held = kept.groupBy("channel").agg(F.count_if("in_pages").alias("k"), F.count(F.lit(1)).alias("w")).collect()
+    assert {r.channel: (r.k, r.w) for r in held} == {c: (v[2], v[3]) for c, v in got.items()}
