@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
 from ..scale import attach, ranked, top_n
+from ..session import stage
 
 # Labels of the groups without a region or a source.
 NO_REGION = "Без региона"
@@ -176,7 +177,8 @@ def report_rows(joined: DataFrame, competitors: DataFrame, developers: DataFrame
                        F.coalesce(-F.unix_micros("published_at"), F.lit(2 ** 62)).alias("_age"))
     group = ["section_kind", "section_name"]
     if per_section is None:
-        return ranked(rows, group, ["_age", "item_id"]).drop("_age")
+        # the ranges of the order are sampled before they are written: staged, so that the items are tagged once
+        return ranked(stage(rows, "sections"), group, ["_age", "item_id"]).drop("_age")
     return top_n(rows, group, [F.col("_age"), F.col("item_id")], per_section).drop("_age")
 
 
