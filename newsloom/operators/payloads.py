@@ -339,10 +339,14 @@ def missing_facts(drafts: DataFrame, summary: DataFrame, report: str = "report_i
     one task. A larger one is cut into groups of facts connected by keys, which don't influence each other: small groups take a task each, larger
     ones are swept in chunks of that size. Adds the subsection the fact belongs to. Runs several jobs.
     """
-    keyed = drafts.select(report, "fact_no", F.explode_outer(fact_keys(F.col("text"), F.col("citations"))).alias("key"))
-    told = summary.select(report, F.explode(fact_keys(F.col("text"), F.col("citations"))).alias("key")).distinct()
-    hidden = keyed.join(told, [report, "key"], "left_semi").select(report, "fact_no").distinct()
-    open_rows = stage(keyed.join(hidden, [report, "fact_no"], "left_anti"), "facts")
+    # keys are only compared: 128 bits stand for each, so that the steps move no texts
+    keys = F.transform(fact_keys(F.col("text"), F.col("citations")), lambda k: F.unhex(F.md5(k)))
+    told = summary.select(report, F.explode(keys).alias("key")).distinct().withColumn("_told", F.lit(True))
+    listed = drafts.select(report, "fact_no", F.explode_outer(keys).alias("key"))
+    marked = attach(listed, told, [report, "key"])
+    hidden = marked.where("_told").select(report, "fact_no").distinct().withColumn("_hidden", F.lit(True))
+    # few rows share a fact, so its join needs no salts
+    open_rows = stage(attach(listed, hidden, [report, "fact_no"], salts=1).where("_hidden is null").drop("_hidden"), "facts")
     kept = open_rows.where("key is null").select(report, "fact_no")
     open_rows = open_rows.where("key is not null")
     walk, result = _walk(report, dict(open_rows.dtypes))
