@@ -18,14 +18,16 @@ counts, packed; buckets are summed and weighed apart, and only slots with a weig
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import BASES, Rolling, distinct, mix64, slices, window_starts
+from .common import BASES, Rolling, distinct, mix64, window_starts
 from .licences import WORD_BYTES
 from .recurrence import pack_places, unpack_places
 
@@ -39,7 +41,7 @@ PRIOR, FACTOR, DEVIATION, SHARPNESS = 1.0, 2.0, 3.0, 4.0
 LABEL_DEVIATION = 4.0
 #: at most about so many labelled rows are used; one half trains the models, the other places the cut
 LABELLED = 20_000
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 SEED = 7
 FEW = 10_000
 _KIND = bytes(85 if 65 <= i <= 90 else 108 if 97 <= i <= 122 or i >= 128 else 57 if 48 <= i <= 57 else i for i in range(256))
@@ -51,8 +53,8 @@ class Features(dict):
     Words are remembered from chunk to chunk while there are at most ``most`` of them.
     """
 
-    def __init__(self, most: int = 300_000):
-        self.most, self.plain, self.shape = most, [], []
+    def __init__(self, most: int = 150_000):
+        self.most, self.plain, self.shape = most, array("Q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -67,7 +69,7 @@ class Features(dict):
     def of(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > self.most:
             self.clear()
-            self.plain, self.shape = [], []
+            self.plain, self.shape = array("Q"), array("Q")
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return np.array(self.plain, np.uint64)[numbers], np.array(self.shape, np.uint64)[numbers]
 
@@ -89,11 +91,17 @@ def slots(texts: list, bits: int, features: Features, pair: Rolling) -> tuple[np
     return seen & ((1 << bits) - 1), seen >> bits
 
 
-def chunks(texts: list):
-    """(from, to) of slices of at most CHUNK_CHARS characters and TEXTS texts."""
-    for a, b in slices(texts, CHUNK_CHARS):
-        for k in range(a, b, TEXTS):
-            yield k, min(k + TEXTS, b)
+def chunks(texts: pa.Array):
+    """(from, to, texts) of slices of at most CHUNK_CHARS characters and TEXTS texts; no more of a batch are Python strings at once."""
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(lengths):
+        if i > start and (size + n > CHUNK_CHARS or i - start == TEXTS):
+            yield start, i, texts.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += n
+    if start < len(lengths):
+        yield start, len(lengths), texts.slice(start).to_pylist()
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -115,10 +123,9 @@ def fit_models(rows: DataFrame) -> tuple[DataFrame, int]:
         features, pair = Features(), Rolling(2, BASES[0])
         edges = np.arange((1 << (bits - INNER)) + 1) << INNER
         for batch in batches:
-            texts = batch["text"].to_pylist()
             good, bad = (np.array(batch[c].to_pylist(), bool) for c in ("train_good", "train_bad"))
-            for a, b in chunks(texts):
-                slot, owner = slots(texts[a:b], bits, features, pair)
+            for a, b, texts in chunks(batch["text"]):
+                slot, owner = slots(texts, bits, features, pair)
                 ranked = np.sort(slot)
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
                 keys = ranked[first]
@@ -199,10 +206,9 @@ def _pass(model, bits: int):
         maybe = np.zeros(mask + 1, bool)
         maybe[known & mask] = True
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for a, b in chunks(texts):
-                slot, owner = slots(texts[a:b], bits, features, pair)
+            sums, n = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            for a, b, texts in chunks(batch["text"]):
+                slot, owner = slots(texts, bits, features, pair)
                 n[a:b] = np.bincount(owner, minlength=b - a)
                 at = np.flatnonzero(maybe[slot & mask])
                 if len(at):

@@ -564,3 +564,15 @@ def test_the_mixing_query_repeats_small_sources(spark):
         assert weight[s] * budget - longest[s] < taken[s] <= weight[s] * budget + 1 or own[s] * 4 <= weight[s] * budget
     entropy = -sum(w * np.log(w) for w in weight.values())
     assert entropy >= 0.9999 * np.log(len(own)) - 1e-9
+
+
+def test_importance_holds_a_part_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["word " * 100, None, ""] * 50 + ["x" * 5000]
+    monkeypatch.setattr(importance, "CHUNK_CHARS", 2000)
+    monkeypatch.setattr(importance, "TEXTS", 8)
+    parts = list(importance.chunks(pa.array(texts)))
+    assert [t for _, _, part in parts for t in part] == texts and [a for a, _, _ in parts[1:]] == [b for _, b, _ in parts[:-1]]
+    assert all(b - a <= 8 and (b - a == 1 or sum(len(t or "") for t in part) <= 2000) for a, b, part in parts)
+    assert list(importance.chunks(pa.array([], pa.string()))) == []
