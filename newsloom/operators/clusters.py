@@ -76,7 +76,8 @@ def near_dup_pairs(items: DataFrame, threshold: int = 3, hot_bucket: int = HOT_B
     follows the number of distinct fingerprints; buckets larger than ``hot_bucket`` are compared on finer
     masks that also cover the bits their own mask leaves out, so no bucket is compared all against all.
     """
-    hashes = stage(items.select(F.col("simhash64").alias("h")).where("h is not null").distinct(), "hashes")
+    # a filter before the stage would be pushed below the fingerprints and make them a second time
+    hashes = stage(items.select(F.col("simhash64").alias("h")).distinct(), "hashes").where("h is not null")
     masks = block_masks(block_count(hashes.count(), threshold), threshold)
     buckets = _bucketed(hashes, masks)
     hot = stage(buckets.groupBy("t", "k").count().where(F.col("count") > hot_bucket).select("t", "k"), "hot")
@@ -123,17 +124,18 @@ def near_links(items: DataFrame, threshold: int = 3, forest: DataFrame | None =
     ``connected_components``, only fingerprints outside of it are compared, among themselves and with all others; those of the forest must
     have been compared with each other before. Fingerprints without a link are not in a forest and count as new.
     """
-    hashes = items.select(F.col("simhash64").alias("h")).where("h is not null").distinct()
+    hashes = items.select(F.col("simhash64").alias("h")).distinct()
     if forest is not None:
         hashes = hashes.join(forest.select(F.col("node").alias("h"), F.lit(False).alias("fresh")), "h", "left").withColumn(
             "fresh", F.coalesce("fresh", F.lit(True)))
-    hashes = stage(hashes, "hashes")
+    hashes = stage(hashes, "hashes").where("h is not null")
     return close_links(hashes, threshold, _refine(hashes.count(), threshold), fresh=None if forest is None else "fresh", limit=limit)
 
 
 def copy_links(items: DataFrame, item_id: str = "item_id") -> DataFrame:
     """(fingerprint, lowest item id) → every other item with the same fingerprint, as star edges."""
-    rows = items.where("simhash64 is not null").select("simhash64", item_id)
+    # read three times, and filtered after the stage: the fingerprints are made once
+    rows = stage(items.select("simhash64", item_id), "fingerprints").where("simhash64 is not null")
     first = stage(rows.groupBy("simhash64").agg(F.min(item_id).alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
     return attach_counted(rows, first, ["simhash64"], "n").where(F.col(item_id) != F.col("first_id")).select(
         "simhash64", "first_id", F.col(item_id).alias("copy_id"))
@@ -211,12 +213,13 @@ def cluster_members(items: DataFrame, threshold: int = 3, since: Column | None =
     Items need item_id, simhash64, published_at. ``since`` keeps items published from then on;
     ``max_items`` keeps the oldest ones (off by default). The primary is the earliest published member.
     """
-    pool = items.select("item_id", "simhash64", "published_at").where("simhash64 is not null")
+    # filtered after the stage: the fingerprints are made once
+    pool = stage(items.select("item_id", "simhash64", "published_at"), "pool").where("simhash64 is not null")
     if since is not None:
         pool = pool.where(F.col("published_at") >= since)
     if max_items is not None:
         pool = pool.orderBy(F.col("published_at").asc_nulls_last(), "item_id").limit(max_items)
-    pool = stage(pool, "pool")
+        pool = stage(pool, "pool")
     near = fingerprint_components(pool, threshold)
     hashes = pool.groupBy("simhash64").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("published_at", "item_id")).alias("first"))
@@ -242,7 +245,8 @@ def build_clusters(items: DataFrame, threshold: int = 3, since: Column | None =
 
 def clusters_in_report(clusters: DataFrame, items: DataFrame, limit: int | None = None) -> DataFrame:
     """Clusters, all their parts, whose primary item is in the report, numbered from the newest; the first ``limit`` clusters if given."""
-    kept = clusters.join(items.select(F.col("item_id").alias("primary_id")), "primary_id", "left_semi")
+    # read twice: the titles that the report goes by are made once
+    kept = stage(clusters.join(items.select(F.col("item_id").alias("primary_id")), "primary_id", "left_semi"), "kept")
     heads = kept.groupBy("primary_id").agg(F.max("created_at").alias("created_at")).withColumns(
         {"_all": F.lit(0), "_age": -F.unix_micros("created_at")})
     if limit is not None:

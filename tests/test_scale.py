@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom import scale
 from newsloom.operators import batches, clusters, payloads
-from newsloom.session import shared_dir
+from newsloom.session import shared_dir, stage
 
 
 def skewed(spark, n=900, seed=3):
@@ -302,3 +302,73 @@ def test_a_long_chain_of_facts_takes_as_many_steps_as_chunks(spark):
 def test_shared_dir_is_the_session_setting(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert shared_dir(spark) == (named or shared_dir(spark)).rstrip("/")
+
+
+def counted(spark, df, name, value):
+    """``df`` with a column made by Python, and the accumulator that counts how often it is made."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def make(x):
+        calls.add(1)
+        return value(x)
+
+    return df.withColumn(name, make("item_id")), calls
+
+
+def test_fingerprints_are_made_once(spark):
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("item_id"), F.timestamp_seconds("id").alias("published_at")).localCheckpoint()
+    with_text, calls = counted(spark, rows, "text", lambda i: str(i % 500 if i % 500 else 0))
+    items = with_text.withColumn("simhash64", F.xxhash64("text"))
+    assert clusters.copy_links(items).count() == n - 500 and calls.value == n
+    for job in (lambda x: clusters.near_dup_pairs(x), lambda x: clusters.cluster_members(x)):
+        before = calls.value
+        job(items).count()
+        assert calls.value - before == n
+
+
+def test_reports_make_their_columns_once(spark):
+    from newsloom.operators import sections
+
+    n = 400
+    rows = spark.range(n).select(F.col("id").alias("item_id"), F.timestamp_seconds("id").alias("published_at"), F.lit("c").alias("source_label"),
+                                 *[F.lit(None).cast("string").alias(f"primary_{k}_id") for k in ("competitor", "developer")],
+                                 *[F.expr("cast(array() as array<string>)").alias(c) for c in ("competitor_mentions", "developer_mentions", "region_ids")]).localCheckpoint()
+    joined, calls = counted(spark, rows, "theme", lambda i: f"t{i % 3}")
+    names = spark.createDataFrame([], "entity_id string, name string")
+    regions = spark.createDataFrame([], "region_id string, name string, is_active boolean")
+    found = sections.report_rows(joined, names, names, regions)
+    assert found.count() == 4 * n and calls.value == n
+    table = spark.createDataFrame([(i, 0, [i + 1000]) for i in range(n)], "primary_id long, part_no int, related_item_ids array<long>").withColumn("created_at", F.timestamp_seconds("primary_id"))
+    titled, calls = counted(spark, rows, "title", lambda i: f"t{i % 2}")
+    kept = clusters.clusters_in_report(table, titled.where("title = 't1'"), limit=20)
+    before = calls.value  # the result is read without making the titles again
+    assert {r.primary_id: r.cluster_no for r in kept.collect()} == {n - 1 - 2 * i: i + 1 for i in range(20)} and calls.value == before > 0
+
+
+def test_fingerprints_hold_a_slice_of_a_batch(monkeypatch):
+    import pyarrow as pa
+    from newsloom.functions import fingerprint
+
+    rnd = random.Random(8)
+    texts = [None, " ", "ab", "Ёж ёЖ Привет-мир naïve Ünï «abc»"] + [" ".join(f"w{rnd.randrange(5000)}" for _ in range(200)) for _ in range(300)]
+    whole = next(fingerprint.simhash64.func(iter([pa.array(texts)]))).to_pylist()
+    seen = []
+    of = fingerprint.TokenDigests.of
+    monkeypatch.setattr(fingerprint.TokenDigests, "of", lambda self, runs: (seen.append((len(runs), len(self))), of(self, runs))[1])
+    for name, value in (("SLICE_BYTES", 10_000), ("TOKENS_KEPT", 500), ("PIECE", 7)):
+        monkeypatch.setattr(fingerprint, name, value)
+    assert next(fingerprint.simhash64.func(iter([pa.array(texts)]))).to_pylist() == whole
+    assert len(seen) > 20 and max(n for n, _ in seen) < 3000 and max(kept for _, kept in seen) < 5000
+    assert whole[:3] == [None, None, 0] and whole[3] not in (None, 0)
+
+
+def test_facts_are_compared_by_short_keys(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(payloads, "stage", lambda df, name, *a, **k: (staged.append((name, dict(df.dtypes))), stage(df, name, *a, **k))[1])
+    ddl = f"report_id string, fact_no int, text string, citations array<{payloads.CITATION}>"
+    drafts = spark.createDataFrame([("r", 1, "x" * 400, []), ("r", 2, "X" * 400, []), ("r", 3, "told", [])], ddl)
+    told = spark.createDataFrame([("r", 0, "TOLD", [])], ddl).drop("fact_no")
+    assert sorted(r.fact_no for r in payloads.missing_facts(drafts, told).collect()) == [1]
+    assert dict(staged)["facts"]["key"] == "binary"
