@@ -3,18 +3,23 @@
 Method: a metric-space join on the Jaccard distance d = 1 − J with link radius r.
 
 1. *Shingle pivots.* Between unrelated documents every distance is 1, so documents can't be pivots for the whole
-   table. The first pivots are one-shingle sets drawn from a third of all shingles (by hash): a document lies in the
-   cells of the pivots it contains. If d(x, y) ≤ r, at most k = ⌊0.15 |x|⌋ shingles of x are missing in y, so x can have
-   a partner only if all but k of its pivots recur elsewhere (counted exactly over all documents), and the first common
-   pivot of a pair is among the first k + 1 of either, in any common order. Hence a document is replicated to the cells of its first
-   k + 1 pivots only. The order is by rising frequency, from a sketch of fixed size, so that common passages hardly ever make cells.
-   Documents with too few pivots for the bound use all their shingles.
-2. *Blocks.* Cells that share documents form a block; documents of different blocks cannot link.
-3. *Document pivots.* Inside a block distances tell something: Voronoi cells around far-apart documents, boundary
+   table. The first pivots are one-shingle sets drawn from a third of all shingles (by hash): If d(x, y) ≤ r, at most
+   k = ⌊0.15 |x|⌋ shingles of x are missing in y, so x can have a partner only if all but k of its pivots recur elsewhere
+   (counted exactly over all documents). Documents with too few pivots for the bound use all their shingles.
+2. *Cells.* A cell is a pair of neighbours in the sorted order of a set, so two documents that have a phrase in common hardly ever share one, but
+   near copies do: a shingle that y lacks breaks two pairs of x and one that only y has breaks another, ⌊2 · 0.15 |x|⌋ pairs at
+   most. So the first common cell of a pair is among the first ⌊2 · 0.15 |x|⌋ + 1 of either, in any common order, and a document lies in
+   those cells only. The order is by rising frequency, from a sketch of fixed size, so that common passages hardly ever make cells.
+   Cells of single shingles would connect more and more unrelated documents as the table grows, until most are one block.
+3. *Blocks.* Cells that share documents form a block; documents of different blocks cannot link.
+4. *Document pivots.* Inside a block distances tell something: Voronoi cells around far-apart documents, boundary
    documents replicated where d(x, q) ≤ d(x, home) + 2r, cells solved recursively. A cell that no longer shrinks is a dense
    cluster: its members outside the largest component are compared with those inside the windows |d(x, q) − d(y, q)| ≤ r.
    Blocks too large for a task are split the same way by Spark, and cells that don't shrink by pairs of bounded tiles.
 All tests of links are exact integer comparisons of whole sets.
+
+Sets are larger than their texts, so none is kept: each pass makes those it needs again, from the rows that a bitmap of bounded size lets
+through, and what travels to a block is the packed text. Only blocks too large for a task have their sets staged.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.clusters import connected_components
-from ..session import stage
+from ..session import discard, drop_shuffles, new_path, stage
 from .common import BASES, Rolling, WordHash, distinct, mix64, slices, text_key
-from .recurrence import ENTRY_SCHEMA, bucket_count, entry_rows, recurring, total_chars
+from .recurrence import ENTRY_SCHEMA, bucket_count, entry_rows, linking, recurring, total_chars
 
 WIDTH, PERCENT = 4, 85
 PIVOT_SHARE = 3
@@ -40,8 +45,11 @@ BLOCK_SHINGLES = 4_000_000
 #: counters of the sketch that tells frequent pivots from rare ones; a fixed size, whatever the input
 SKETCH = 1 << 21
 BROADCAST_ROWS = 400_000
+#: bits of the bitmap of picked rows: 32 for each row, within these limits (16 MB at most); a false hit costs a row more, never a wrong result
+LEAST_BITS, MOST_BITS = 16, 27
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 SET_SCHEMA = "_id long, _th long, n_shingles long, node binary, near boolean"
+LINK_SCHEMA = "num long, low long, _id long, _th long, n long"
 
 
 def shingle_sets(texts: list, width: int, hasher: WordHash, rolling: Rolling) -> list[np.ndarray]:
@@ -90,15 +98,28 @@ def sketch_slots(pivots: np.ndarray) -> np.ndarray:
     return (mix64(pivots ^ BASES[0]) >> np.uint64(43)).astype(np.int64)
 
 
-def cells_of(shingles: np.ndarray, percent: int, frequency: np.ndarray) -> np.ndarray:
-    """Cells that a document is replicated to: its first k + 1 pivots, rare ones first; ``frequency`` is the sketch."""
-    k = missing_bound(len(shingles), percent)
-    pivots, every = pivots_of(shingles, percent)
-    ranked = pivots[np.lexsort((pivots, frequency[sketch_slots(pivots)]))]
-    if not every:
-        return ranked[:k + 1]
-    # such a document may meet others that only know the third: those pivots, k at most, stay
-    return np.union1d(ranked[:k + 1], shingles[shingles % np.uint64(PIVOT_SHARE) == 0])
+def run_length(percent: int) -> int:
+    """Shingles of a cell: two neighbours where every set that can link has more such pairs than a partner may break, else one."""
+    return 2 if percent >= 50 and all(n - 1 > broken_bound(n, percent, 2) for n in range(1, 200) if can_link(n, percent)) else 1
+
+
+def broken_bound(n: int, percent: int, run: int) -> int:
+    """Runs of neighbours of a set of n that a linked set may lack: a shingles that it lacks break ``run`` each, b that only it has
+    one less, and 100 a + percent b ≤ (100 − percent) n."""
+    return run * (100 - percent) * n // 100
+
+
+def runs_of(shingles: np.ndarray, percent: int, run: int) -> np.ndarray:
+    """Hashes of the runs of neighbours in the sorted set; none for a set that cannot link."""
+    if not can_link(len(shingles), percent):
+        return shingles[:0]
+    return shingles if run == 1 else mix64(shingles[:-1] * BASES[0] + shingles[1:])
+
+
+def cells_of(shingles: np.ndarray, percent: int, run: int, frequency: np.ndarray) -> np.ndarray:
+    """Cells that a document lies in: its first runs, rare ones first, one more than may be broken; ``frequency`` is the sketch."""
+    runs = runs_of(shingles, percent, run)
+    return runs[np.lexsort((runs, frequency[sketch_slots(runs)]))][:broken_bound(len(shingles), percent, run) + 1]
 
 
 def _entries(width: int, percent: int, buckets: int):
@@ -207,14 +228,23 @@ class Block:
                 self.distances(part[j], part[near])
 
 
+def _solved(sets: dict[bytes, np.ndarray], percent: int) -> pa.Table:
+    nodes = sorted(sets)
+    labels = Block([sets[x] for x in nodes], percent).solve()
+    return pa.table({"node": pa.array(nodes, pa.binary()), "root": pa.array([nodes[i] for i in labels], pa.binary())})
+
+
 def _solve(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        nodes = group["node"].to_pylist()
-        order = sorted(range(len(nodes)), key=nodes.__getitem__)
-        nodes = [nodes[i] for i in order]
-        blobs = group["shingles"].to_pylist()
-        labels = Block([np.frombuffer(blobs[i], np.uint64) for i in order], percent).solve()
-        return pa.table({"node": pa.array(nodes, pa.binary()), "root": pa.array([nodes[i] for i in labels], pa.binary())})
+        return _solved({x: np.frombuffer(b, np.uint64) for x, b in zip(group["node"].to_pylist(), group["shingles"].to_pylist())}, percent)
+    return run
+
+
+def _solve_texts(width: int, percent: int):
+    hasher, rolling = WordHash(), Rolling(width, BASES[0])
+
+    def run(group: pa.Table) -> pa.Table:
+        return _solved({node_of(s): s for s in shingle_sets(_unpacked(group["packed"]), width, hasher, rolling)}, percent)
     return run
 
 
@@ -270,27 +300,67 @@ def _split_large(members: DataFrame, large: DataFrame, percent: int, limit: int,
             return done
 
 
-def _sets_of(docs_text: DataFrame, width: int) -> DataFrame:
-    """(node, n, shingles) of texts."""
+def _unpacked(texts) -> list[str]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(t).decode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+
+
+def _sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(block, packed) → (block, node, n, shingles)."""
     def run(batches):
         hasher, rolling = WordHash(), Rolling(width, BASES[0])
         for batch in batches:
-            texts = batch["text"].to_pylist()
+            blocks, texts = batch["block"].to_pylist(), _unpacked(batch["packed"])
             for i, j in slices(texts, CHUNK_CHARS // 4):
                 found = shingle_sets(texts[i:j], width, hasher, rolling)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
-                                                  pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(blocks[i:j], pa.string()), pa.array([node_of(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
+                    pa.array([s.tobytes() for s in found], pa.binary())], names=["block", "node", "n", "shingles"])
+
+    return texts.mapInArrow(run, "block string, node binary, n long, shingles binary")
+
+
+def _slot(bits: int):
+    return F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("long"), F.col("_th")), 64 - bits)
+
+
+def _bitmap(picked: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the slots of rows (_id, _th)."""
+    part = min(bits, 15)
+
+    def fill(group: pa.Table) -> pa.Table:
+        here = np.zeros(1 << part, bool)
+        here[group["slot"].to_numpy() & ((1 << part) - 1)] = True
+        return pa.table({"part": group["part"][:1], "set": pa.array([np.packbits(here, bitorder="little").tobytes()], pa.binary())})
+
+    slots = picked.select(_slot(bits).alias("slot")).select(F.shiftright("slot", part).alias("part"), "slot")
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in slots.groupBy("part").applyInArrow(fill, "part long, set binary").collect():
+        out[r.part << part - 3:r.part + 1 << part - 3] = np.frombuffer(r.set, np.uint8)
+    return out
+
 
-    return docs_text.mapInArrow(run, "node binary, n long, shingles binary")
+def _let_through(batches, bitmap: np.ndarray):
+    """Batches of the rows whose ``slot`` is set."""
+    for batch in batches:
+        slot = batch["slot"].to_numpy()
+        own = batch.filter(pa.array((bitmap[slot >> 3] >> (slot & 7) & 1).astype(bool)))
+        if own.num_rows:
+            yield own
 
 
-def _pivot_frequency(members: DataFrame, percent: int) -> np.ndarray:
-    """Counts of hashed pivots: SKETCH numbers, whatever the input; each task sends what it has counted once."""
+def _run_frequency(rows: DataFrame, picked, width: int, percent: int) -> np.ndarray:
+    """Counts of hashed runs of the picked rows: SKETCH numbers, whatever the input; each task sends what it has counted once."""
+    run = run_length(percent)
+
     def counts(batches):
-        count = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            found = [sketch_slots(pivots_of(np.frombuffer(b, np.uint64), percent)[0]) for b in batch["shingles"].to_pylist()]
-            if found:
+        count, hasher, rolling = np.zeros(SKETCH, np.int64), WordHash(), Rolling(width, BASES[0])
+        for batch in _let_through(batches, picked.value):
+            texts = batch["text"].to_pylist()
+            for i, j in slices(texts, CHUNK_CHARS // 4):
+                found = [sketch_slots(runs_of(s, percent, run)) for s in shingle_sets(texts[i:j], width, hasher, rolling)]
                 np.add.at(count, np.concatenate(found), 1)
         part = SKETCH // 64
         for i in range(64):
@@ -301,48 +371,103 @@ def _pivot_frequency(members: DataFrame, percent: int) -> np.ndarray:
         total = sum(np.frombuffer(b, "<i4").astype(np.int64) for b in group["counts"].to_pylist())
         return pa.table({"part": group["part"][:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
 
-    rows = members.select("shingles").mapInArrow(counts, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    found = rows.mapInArrow(counts, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros(SKETCH, np.int32)
-    for r in rows:
+    for r in found:
         out[r.part * (SKETCH // 64):(r.part + 1) * (SKETCH // 64)] = np.frombuffer(r.counts, "<i4")
     return out
 
 
+def _cell_entries(width: int, percent: int, buckets: int, picked, frequency):
+    """The cells of the picked rows as entries of ``linking``; rows of a chunk with a common cell are linked by the chunk itself."""
+    run_of = run_length(percent)
+
+    def run(batches):
+        task, hasher, rolling, n = TaskContext.get().partitionId(), WordHash(), Rolling(width, BASES[0]), 0
+        for batch in _let_through(batches, picked.value):
+            ids, keys, texts = (batch[c].to_pylist() for c in ("_id", "_th", "text"))
+            for a, b in slices(texts, CHUNK_CHARS):
+                sets = shingle_sets(texts[a:b], width, hasher, rolling)
+                cells = [cells_of(s, percent, run_of, frequency.value) for s in sets]
+                owner = np.repeat(np.arange(len(sets)), [len(c) for c in cells])
+                e = np.concatenate(cells)
+                _, where, back = np.unique(e, return_index=True, return_inverse=True)
+                first = owner[where][back]
+                local = np.unique(np.stack([owner, first])[:, owner != first], axis=1)
+                once = np.sort(where)
+                head = pickle.dumps((ids[a:b], keys[a:b], [len(s) for s in sets], local))
+                yield entry_rows(f"{task}-{n}", head, e[once], mix64(e[once] ^ BASES[1]), owner[once], buckets)
+                n += 1
+    return run
+
+
+def _links_of(head: bytes, base: int, owner: np.ndarray, low: np.ndarray) -> pa.Table:
+    ids, keys, sizes, local = pickle.loads(head)
+    pairs = np.stack([np.concatenate([owner, local[0], local[1]]), np.concatenate([low, base + local[1], base + local[1]])])
+    at, low = np.unique(pairs, axis=1)
+    pick = lambda values: pa.array([values[i] for i in at.tolist()], pa.int64())
+    return pa.table({"num": pa.array(base + at, pa.int64()), "low": pa.array(low, pa.int64()), "_id": pick(ids), "_th": pick(keys), "n": pick(sizes)})
+
+
+def _routed(picked):
+    """Texts of the picked rows, packed for the shuffles that bring them to their blocks; of rows that repeat id and text one in a batch."""
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in _let_through(batches, picked.value):
+            rows = dict(zip(zip(batch["_id"].to_pylist(), batch["_th"].to_pylist()), batch["text"].to_pylist()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([i for i, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.int64()),
+                pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in rows.values()], pa.binary())], names=["_id", "_th", "packed"])
+    return run
+
+
 def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(sets, roots): (_id, _th, n_shingles, node, near) of every row, and (node, root) of the nodes with links.
 
     Equal sets share one node. Runs several jobs and stages their results in the shared folder.
     """
+    spark = docs.sparkSession
     rows = docs.select(*text_key(), "text")
     buckets = bucket_count(total_chars(docs) // 6 // PIVOT_SHARE)
     sets = stage(recurring(rows.mapInArrow(_entries(width, percent, buckets), ENTRY_SCHEMA), _finish, SET_SCHEMA), "sets")
-    pick = stage(sets.where("near").groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("r")).select(
-        F.col("r._id").alias("_id"), F.col("r._th").alias("_th")).distinct(), "pick")
-    a, b = rows.alias("a"), _bounded(pick).alias("b")
-    chosen = a.join(b, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._th") == F.col("b._th")), "left_semi")
-    members = stage(_sets_of(chosen.select("text"), width), "members")
-    if members.count() > pick.count():  # rows that repeat both id and text
-        members = stage(members.dropDuplicates(["node"]), "members")
-    frequency = docs.sparkSession.sparkContext.broadcast(_pivot_frequency(members, percent))
-
-    def cells(batches):
-        for batch in batches:
-            found = [cells_of(np.frombuffer(s, np.uint64), percent, frequency.value).view(np.int64) for s in batch["shingles"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "cells"])
-
-    inside = members.select("node", "shingles").mapInArrow(cells, "node binary, cells array<long>").select("node", F.explode("cells").alias("cell"))
-    low = inside.groupBy("cell").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    edges = inside.join(low, "cell").where("node <> low").select("node", "low").distinct()
-    blocks = connected_components(edges, "node", "low")
-    placed = stage(members.select("node", "n").join(blocks, "node").select(F.hex("component").alias("block"), "node", "n"), "placed")
+    paths = [new_path(spark, name) for name in ("pick", "links", "placed", "large")]
+    pick = stage(sets.where("near").groupBy("node").agg(F.min(F.struct("_id", "_th", "n_shingles")).alias("r")).select(
+        "r._id", "r._th", "r.n_shingles").distinct(), "pick", path=paths[0])
+    run = run_length(percent)
+    count, cells = pick.agg(F.count(F.lit(1)), F.sum(F.floor(F.col("n_shingles") * (run * (100 - percent)) / 100) + 1)).first()
+    bits = min(max((32 * count).bit_length(), LEAST_BITS), MOST_BITS)
+    picked = spark.sparkContext.broadcast(_bitmap(pick, bits))
+    near = rows.withColumn("slot", _slot(bits))
+    frequency = spark.sparkContext.broadcast(_run_frequency(near, picked, width, percent))
+    entries = near.mapInArrow(_cell_entries(width, percent, bucket_count(int(cells or 0)), picked, frequency), ENTRY_SCHEMA)
+    links = stage(linking(entries, _links_of, LINK_SCHEMA), "links", path=paths[1])
+    blocks = connected_components(links, "num", "low")
+    # rows that repeat both id and text share all their cells; what else the bitmap let through goes
+    found = links.select(F.col("num").alias("node"), "_id", "_th", "n").distinct().join(blocks, "node").groupBy("_id", "_th").agg(
+        F.min("component").cast("string").alias("block"), F.max("n").alias("n"))
+    found, own = found.alias("f"), pick.alias("k")
+    placed = stage(found.join(own, F.col("f._id").eqNullSafe(F.col("k._id")) & (F.col("f._th") == F.col("k._th")), "left_semi"), "placed", path=paths[2])
     sizes = stage(placed.groupBy("block").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles), "sizes")
-    solve = lambda parts: members.join(_bounded(parts), "node").groupBy("block").applyInArrow(_solve(percent), "node binary, root binary")
+    t, p = near.mapInArrow(_routed(picked), "_id long, _th long, packed binary").alias("t"), _bounded(placed).alias("p")
+    texts = t.join(p, F.col("t._id").eqNullSafe(F.col("p._id")) & (F.col("t._th") == F.col("p._th"))).select("p.block", "t.packed")
+    solve = lambda some: some.groupBy("block").applyInArrow(_solve_texts(width, percent), "node binary, root binary")
     if sizes.isEmpty():
-        return sets, stage(solve(placed.select("block", "node")), "roots")
-    parts = _split_large(members, placed.join(sizes.select("block"), "block", "left_semi"), percent, block_shingles)
-    parts = stage(parts.unionByName(placed.join(sizes.select("block"), "block", "left_anti").select("block", "node")), "parts")
-    links = stage(solve(parts), "links")
-    return sets, connected_components(links, "node", "root").select("node", F.col("component").alias("root"))
+        roots = stage(solve(texts), "roots")
+    else:
+        large = stage(_sets_of(texts.join(sizes.select("block"), "block", "left_semi"), width), "large", path=paths[3])
+        if large.count() > large.select("node").distinct().count():  # rows that repeat both id and text
+            paths.append(new_path(spark, "large"))
+            large = stage(large.dropDuplicates(["node"]), "large", path=paths[4])
+        members = large.select("node", "n", "shingles")
+        parts = stage(_split_large(members, large.select("block", "node", "n"), percent, block_shingles), "parts")
+        solved = members.join(_bounded(parts), "node").groupBy("block").applyInArrow(_solve(percent), "node binary, root binary")
+        solved = stage(solved.unionByName(solve(texts.join(sizes.select("block"), "block", "left_anti"))), "solved")
+        joined = connected_components(solved, "node", "root")
+        roots = joined.select("node", F.col("component").alias("root"))
+    discard(spark, *paths)
+    return sets, roots
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -358,7 +483,11 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     the smallest, so a component of such rows alone has a null id. Other columns are ignored, whatever their names. An
     empty table gives an empty result. ``docs`` must be a table or a staged result, see ``recurrence``.
     """
-    sets, roots = linked_sets(docs, width, percent, block_shingles)
+    with drop_shuffles(docs.sparkSession):
+        return _named(*linked_sets(docs, width, percent, block_shingles))
+
+
+def _named(sets: DataFrame, roots: DataFrame) -> DataFrame:
     classes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("low"))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage(named, "classes")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 BUCKET_ENTRIES = 500_000
 ENTRY_SCHEMA = "bucket int, chunk string, head binary, hashes binary, places binary"
 ANSWER_SCHEMA = "chunk string, head binary, places binary"
+MEETING_SCHEMA = "chunk string, head binary, places binary, lows binary"
 
 
 def bucket_count(items: int) -> int:
@@ -105,5 +106,52 @@ def recurring(entries: DataFrame, finish: Callable, schema: str) -> DataFrame:
     return answers.groupBy("chunk").applyInArrow(close, schema)
 
 
+def _base(chunk: str) -> int:
+    """Number of the first owner of a chunk: owners of all chunks have numbers of their own (up to 2^22 in a chunk, 2^18 chunks in a task)."""
+    task, n = map(int, chunk.split("-"))
+    return task << 40 | n << 22
+
+
+def _meeting(group: pa.Table) -> pa.Table:
+    chunks, heads = group["chunk"].to_pylist(), group["head"].to_pylist()
+    blobs, places = group["hashes"].to_pylist(), group["places"].to_pylist()
+    rows = [i for i, x in enumerate(blobs) if x is not None]
+    out = [(chunks[i], heads[i], None, None) for i, x in enumerate(blobs) if x is None]
+    if rows:
+        own = [unpack_places(places[i]) for i in rows]
+        every = np.concatenate([np.frombuffer(blobs[i], np.uint64) for i in rows])
+        number = np.concatenate([_base(chunks[i]) + p for i, p in zip(rows, own)])
+        order = np.lexsort((number, every))
+        starts = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]))
+        count = np.diff(starts, append=len(every))
+        low, shared = np.empty(len(every), np.int64), np.empty(len(every), bool)
+        low[order], shared[order] = np.repeat(number[order][starts], count), np.repeat(count > 1, count)
+        at = 0
+        for i, p in zip(rows, own):
+            hit = shared[at:at + len(p)]
+            if hit.any():
+                out.append((chunks[i], None, pack_places(p[hit]), low[at:at + len(p)][hit].tobytes()))
+            at += len(p)
+    return pa.table({c: pa.array([x[k] for x in out], pa.string() if not k else pa.binary()) for k, c in enumerate(("chunk", "head", "places", "lows"))})
+
+
+def linking(entries: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """Entries of all chunks, whose places are owners → ``finish(head, base, owners, lows)`` for each chunk.
+
+    An owner of an entry that occurs in other chunks too comes with the lowest number of all owners of that entry, its own if that is the lowest; the
+    number of an owner is its place in the chunk added to ``base``. ``finish`` returns an Arrow table of ``schema``.
+    """
+    met = entries.groupBy("bucket").applyInArrow(_meeting, MEETING_SCHEMA)
+
+    def close(group: pa.Table) -> pa.Table:
+        head = next(h for h in group["head"].to_pylist() if h is not None)
+        none = np.zeros(0, np.int64)
+        owners = [unpack_places(p) for p in group["places"].to_pylist() if p is not None]
+        lows = [np.frombuffer(b, np.int64) for b in group["lows"].to_pylist() if b is not None]
+        return finish(head, _base(group["chunk"][0].as_py()), np.concatenate([none, *owners]), np.concatenate([none, *lows]))
+
+    return met.groupBy("chunk").applyInArrow(close, schema)
+
+
 def total_chars(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,21 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+@contextmanager
+def drop_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a job are deleted as soon as it has ended, not when the driver happens to collect its garbage.
+
+    For functions that stage what they need again. Spark before 4.1 doesn't know the setting and keeps the files.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def folder_names(spark: SparkSession, path: str, holding: str | None = None) -> list[str]:
     """Names of the folders in ``path``, only those with a file ``holding`` if given; none if there is no such path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

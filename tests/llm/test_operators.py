@@ -129,6 +129,16 @@ def test_components_of_short_texts(spark, tmp_path):
     assert table(got, "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def phrases(pairs=40, words=110):
+    """Pairs of near copies, one word apart; each pair shares a third of its words with the next one."""
+    rng, rows = random.Random(8), []
+    for p in range(pairs):
+        w = [f"p{p}", *prose(rng, words, 10**7).split()]
+        w[5:42], w[60:97] = [f"f{p}x{i}" for i in range(37)], [f"f{p + 1}x{i}" for i in range(37)]
+        rows += [(2 * p, " ".join(w)), (2 * p + 1, " ".join([*w[:-1], "changed"]))]
+    return rows
+
+
 def test_block_solver_on_random_clusters():
     rng = np.random.default_rng(1)
     sets = []

@@ -1,12 +1,13 @@
 """Stages of the corpus pipeline: columns kept, decisions applied, odd rows survive."""
 
 import random
+from functools import partial
 
 import pytest
-from test_operators import SCHEMA, brute_components, corpus, frame, prose
+from test_operators import SCHEMA, brute_components, corpus, frame, phrases, prose
 
 import corpus_pipeline
-from newsloom.llm import queries
+from newsloom.llm import jaccard, queries
 
 FIELDS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,6 +65,19 @@ def test_near_duplicates_between_the_thresholds(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} == wide
 
 
+def test_near_duplicates_with_phrases_in_common(spark, tmp_path, monkeypatch):
+    """The stage cuts no block for documents that only have phrases in common."""
+    def cut(*_):
+        raise AssertionError("a chain of phrases has become one block")
+
+    rows = phrases()
+    monkeypatch.setattr(jaccard, "_split_large", cut)
+    monkeypatch.setattr(jaccard, "near_components", partial(jaccard.near_components, block_shingles=800))
+    frame(spark, rows).write.parquet(str(tmp_path / "d"))
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), str(tmp_path))
+    assert {r.doc_id for r in got.collect()} == {i for i, _, low in brute_components(rows, 5, 80) if i == low} == {i for i, _ in rows if i % 2 == 0}
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert set(FIELDS) <= set(out.columns) and "pass_no" in out.columns
