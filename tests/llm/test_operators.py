@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -139,6 +140,49 @@ def phrases(pairs=40, words=110):
     return rows
 
 
+def test_phrases_in_common_make_no_blocks(spark, tmp_path, monkeypatch):
+    """Documents with a passage in common stay in blocks of their own, so no block is cut, whose cost grows with its square."""
+    def cut(*_):
+        raise AssertionError("a chain of phrases has become one block")
+
+    monkeypatch.setattr(jaccard, "_split_large", cut)
+    rows = phrases()
+    frame(spark, rows).write.parquet(str(tmp_path / "d"))
+    got = jaccard.near_components(spark.read.parquet(str(tmp_path / "d")), block_shingles=800)
+    assert table(got, "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 66, 70, 80, 85, 95])
+def test_linked_sets_share_a_cell(percent):
+    rng, run, linked = np.random.default_rng(percent), jaccard.run_length(percent), 0
+    assert run == (2 if percent >= 70 else 1)
+    frequency = rng.integers(0, 9, jaccard.SKETCH)
+    for _ in range(4000):
+        x = np.unique(rng.integers(0, 1 << 60, int(rng.integers(1, 90))).astype(np.uint64))
+        kept = x[rng.random(len(x)) > rng.random() * (1 - percent / 100)]
+        more = rng.integers(0, 1 << 60, int(rng.integers(0, 2 + len(x) * (100 - percent) // percent))).astype(np.uint64)
+        y = np.unique(np.concatenate([kept, more]))
+        common = len(np.intersect1d(x, y))
+        if not np.array_equal(x, y) and common and 100 * common >= percent * (len(x) + len(y) - common):
+            linked += 1
+            assert len(np.intersect1d(*(jaccard.cells_of(s, percent, run, frequency) for s in (x, y))))
+    assert linked > 300
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+
+def test_join_keeps_no_shuffle_files(spark, docs):
+    before = shuffle_files(spark)
+    result = jaccard.near_components(docs)
+    until = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and result.count() == docs.count()
+
+
 def test_block_solver_on_random_clusters():
     rng = np.random.default_rng(1)
     sets = []
